@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -16,6 +22,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe": op5_bpe,
     "op8_simhash": op8_simhash,
 }
 
