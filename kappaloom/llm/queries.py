@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 
+def op3_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rans import token_table
+
+    return token_table(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -22,6 +28,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_rans": op3_rans,
     "op5_bpe": op5_bpe,
     "op8_simhash": op8_simhash,
 }
