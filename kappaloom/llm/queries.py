@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 
+def op1_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mpeg import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 def op3_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans import token_table
 
@@ -27,10 +33,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mpeg": op1_mpeg,
     "op3_rans": op3_rans,
     "op5_bpe": op5_bpe,
     "op8_simhash": op8_simhash,
+    "op9_licences": op9_licences,
 }
 
 ORACLES: dict[str, str] = {}
