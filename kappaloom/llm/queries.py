@@ -15,6 +15,12 @@ def op1_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import capture_table
+
+    return capture_table(table(spark, sf_dir, "pages"))
+
+
 def op3_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans import token_table
 
@@ -41,6 +47,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg": op1_mpeg,
+    "op2_warc": op2_warc,
     "op3_rans": op3_rans,
     "op5_bpe": op5_bpe,
     "op8_simhash": op8_simhash,
