@@ -39,7 +39,7 @@ def url_key(url: str | None) -> str:
     """The sort key of a URL: reversed host, path and query in lower case, without scheme, www, default port and fragment.
 
     >>> url_key("https://WWW.Example.org:443/A?b#c"), url_key("http://[::1"), url_key(None)
-    ('org,example)/a?b', ')http://[::1', ')')
+    ('org,example)/a?b', ')http://[::1', ')/')
     """
     text = (url or "").strip()
     try:
