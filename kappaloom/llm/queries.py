@@ -41,6 +41,12 @@ def op3_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("print")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg": op1_mpeg,
     "op2_warc": op2_warc,
     "op3_rans": op3_rans,
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_html": op6_html,
     "op7_topk": op7_topk,
