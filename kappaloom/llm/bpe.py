@@ -264,7 +264,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_column:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         make = {
             "n_tokens": lambda n, ids, text: n,
-            "ids": lambda n, ids, text: [int(i) for i in ids.split()],
+            "ids": lambda n, ids, text: np.array(ids.split(), np.int32),
             "decoded": lambda n, ids, text: text,
             "ids_sha256": lambda n, ids, text: sha(ids),
             "decoded_sha256": lambda n, ids, text: sha(text),

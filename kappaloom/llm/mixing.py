@@ -26,11 +26,12 @@ ENTROPY, REPEATS = 0.97, 4.0
 
 
 def counted(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
-    """(doc_id, source, src, n_tokens): tokens are runs of other than ASCII white space; src stands for source and is never null."""
+    """(doc_id, source, src, print, n_tokens): tokens are runs of other than ASCII white space; src stands for source and is never null, print for the text."""
     return docs.select(
         F.col(id_column).alias("doc_id"),
         F.col(source_column).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_column).cast("string")), F.lit("")).alias("src"),
+        F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("print"),
         F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"),
     )
 
@@ -74,11 +75,28 @@ def mixture(docs: DataFrame, budget: int | None = None, entropy: float | None =
     and are not drawn. Repeated rows are drawn as such, in any order among themselves. An
     empty table gives an empty result. Other columns are left out.
     """
+    return _placed(docs, budget, entropy, repeats, seed, id_column, source_column, text_column, block_tokens).select("doc_id", "source", "n_tokens", "pass", "slot", "place", "weight", "exponent")
+
+
+def drawn(docs: DataFrame, budget: int | None = None, entropy: float | None = ENTROPY, repeats: float | None = REPEATS, seed: str = "mix", id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of docs, each as often as mixture() draws it, with the columns of docs.
+
+    Rows that agree in id, source and text stand for each other.
+    """
+    times = _placed(docs, budget, entropy, repeats, seed, id_column, source_column, text_column, block_tokens).groupBy("doc_id", "src", "print").agg(F.count("*").alias("_times"))
+    times = times.select(F.col("doc_id").alias("_id"), F.col("src").alias("_src"), F.col("print").alias("_print"), "_times")
+    keyed = docs.select("*", F.coalesce(F.concat(F.lit("="), F.col(source_column).cast("string")), F.lit("")).alias("_src"), F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("_print"))
+    single = keyed.dropDuplicates([id_column, "_src", "_print"])
+    joined = single.join(times.withColumnRenamed("_src", "_s").withColumnRenamed("_print", "_p"), F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_src") == F.col("_s")) & (F.col("_print") == F.col("_p")))
+    return joined.select(*docs.columns, F.explode(F.expr("sequence(1L, _times)")).alias("_turn")).drop("_turn")
+
+
+def _placed(docs: DataFrame, budget: int | None, entropy: float | None, repeats: float | None, seed: str, id_column: str, source_column: str, text_column: str, block_tokens: int) -> DataFrame:
     tokens = staged(counted(docs, id_column, source_column, text_column), "mix-tokens")
     plan = staged(source_plan(tokens, budget, entropy, repeats, block_tokens=block_tokens), "mix-plan")
     sources = F.broadcast(plan)  # max_sources rows at most
     number = "CAST(conv(substr(sha2(concat_ws('|', '{seed}', src, CAST(doc_id AS string)), 256), 1, 8), 16, 10) AS bigint)".format(seed=seed)
-    dealt = tokens.join(sources.select("src", "blocks"), "src").selectExpr("doc_id", "source", "src", "n_tokens", f"{number} % blocks AS block")
+    dealt = tokens.join(sources.select("src", "blocks"), "src").selectExpr("doc_id", "source", "src", "print", "n_tokens", f"{number} % blocks AS block")
     blocks = dealt.groupBy("src", "block").agg(F.sum("n_tokens").alias("block_tokens")).join(sources, "src")
     turns = blocks.withColumn("pass", F.explode(F.expr("sequence(0L, passes)"))).where("pass < passes OR rest > 0")
     shuffled = f"sha2(concat_ws('|', '{seed}', src, CAST(pass AS string), CAST(block AS string)), 256)"
@@ -88,7 +106,7 @@ def mixture(docs: DataFrame, budget: int | None = None, entropy: float | None =
     drawn = dealt.join(turns, ["src", "block"])
     inside = f"PARTITION BY src, block, pass ORDER BY sha2(concat_ws('|', '{seed}', CAST(pass AS string), CAST(doc_id AS string)), 256), doc_id, n_tokens"
     placed = drawn.selectExpr("*", f"CAST(row_number() OVER ({inside}) AS bigint) - 1 AS place", f"before + sum(n_tokens) OVER ({inside} ROWS UNBOUNDED PRECEDING) - n_tokens AS begun")
-    return placed.where("pass < passes OR begun < rest").select("doc_id", "source", "n_tokens", "pass", "slot", "place", "weight", "exponent")
+    return placed.where("pass < passes OR begun < rest")
 
 
 #: What mixture() returns with its defaults, in DuckDB's SQL.

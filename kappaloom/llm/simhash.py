@@ -110,3 +110,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     roots = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = joined.join(roots, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, hot: int = 1024) -> DataFrame:
+    """The rows of docs that stay when one document of each near-duplicate component does: that with the smallest id.
+
+    Repeated rows of that document are one. Where all ids of a component are null, one
+    row of each distinct text stays.
+    """
+    named = near_duplicates(docs, id_column, text_column, size, hot)
+    stay = named.select(F.col("component_id").alias("_stays")).distinct()
+    met = docs.join(stay, F.col(id_column).eqNullSafe(F.col("_stays")), "left_semi")
+    return met.withColumn("_print", F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))).dropDuplicates([id_column, "_print"]).drop("_print")
