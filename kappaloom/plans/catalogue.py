@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import agreement
+from . import agreement, ordering, statistics, texts, validation
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "agreement"]
+__all__ = ["ORACLES", "QUERIES", "agreement", "ordering", "statistics", "texts", "validation"]
