@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,9 +37,9 @@ LANES = 4096
 BLOCK = 1 << 20
 #: Tokens in a file, reached or passed by its last document.
 FILE_TOKENS = 1 << 24
-#: Ids that the unit cache of a worker holds, in units.
-CACHE_UNITS = 250_000
-BATCH_CHARS = 2_000_000
+#: Units that a worker's cache holds, some 200 bytes each.
+CACHE_UNITS = 1_000_000
+BATCH_CHARS = 1_000_000
 
 
 def scaled(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -227,11 +228,13 @@ class UnitTokens:
     """
 
     def __init__(self, path: str, width: str, cache_units: int = CACHE_UNITS) -> None:
+        import os
         import re
 
         from tokenizers import Tokenizer
 
         self.tokenizer, self.width, self.cache_units = Tokenizer.from_file(path), width, cache_units
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads only hold memory
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.units: dict[str, bytes] = {}
@@ -240,12 +243,19 @@ class UnitTokens:
         self.begins = np.zeros(1 + max(tokens.values()), bool)
         self.begins[[i for t, i in tokens.items() if t.startswith("Ġ")]] = True
 
+    def _has_runs(self, text: str) -> bool:
+        # most texts have only single spaces and line feeds, which is quick to see
+        if text.isascii() and not any(x in text for x in ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")):
+            return False
+        return bool(self.runs.search(text))
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str], at_once: int = 5000) -> None:
-        groups = [units[i : i + at_once] for i in range(0, len(units), at_once)]
-        for group, packed in zip(groups, self._whole(["".join([" " + u for u in g]) for g in groups]), strict=True):
+    def _learn(self, units: list[str], at_once: int = 50) -> None:
+        for i in range(0, len(units), at_once):
+            group = units[i : i + at_once]
+            [packed] = self._whole(["".join([" " + u for u in group])])
             starts = np.flatnonzero(self.begins[np.frombuffer(packed, self.width)])
             if len(starts) != len(group):
                 raise ValueError("the tokenizer merges across spaces; its texts can't be divided there")
@@ -261,7 +271,7 @@ class UnitTokens:
                 chars += len(texts[stop] or "")
                 stop += 1
             batch = [t or "" for t in texts[at:stop]]
-            split = [None if not t or self.runs.search(t) else t.split(" ") for t in batch]
+            split = [None if not t or self._has_runs(t) else t.split(" ") for t in batch]
             # a unit's key is the text behind its space; a text's first piece, which has none, goes alone
             wanted = set().union(*(s[1:] for s in split if s))
             missing = [u for u in wanted if u not in self.units]
@@ -275,6 +285,12 @@ class UnitTokens:
             at = stop
 
 
+@lru_cache(1)
+def unit_tokens(path: str, width: str) -> UnitTokens:
+    """One for each worker process, so that later tasks find its cache filled."""
+    return UnitTokens(path, width)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -285,7 +301,7 @@ def tokenised(docs: DataFrame, id_column: str, text_column: str, vocabulary: str
     """(doc_id, ids): the packed ids of each whole text."""
 
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        units = UnitTokens(vocabulary, width)
+        units = unit_tokens(vocabulary, width)
         for part in texts:
             yield pd.Series(list(units.encode(part.tolist(), end)), dtype=object)
 
