@@ -18,10 +18,17 @@ def mcnemar_p(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at round((n - 1) * p), halves to even, of an array; null for an empty one."""
-    ordered = F.array_sort(values)
-    return F.try_element_at(ordered, (F.bround((F.size(values) - 1) * F.lit(p), 0)).cast("int") + 1)
+def nearest_ranks(df: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """(keys, one column for each share): the value at round((n - 1) * p), halves to even, of each group.
+
+    Values are counted first, so that a group is as large as its distinct values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*keys)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(group.orderBy(value))).withColumn("_n", F.sum("_c").over(group))
+    # the first value that more rows than the wanted index reach
+    pick = lambda p: F.min(F.when(F.col("_upto") > F.bround((F.col("_n") - 1) * F.lit(p), 0), F.col(value)))
+    return ranked.groupBy(*keys).agg(*[pick(p).alias(name) for name, p in shares.items()])
 
 
 def largest_remainder(df: DataFrame, keys: list[str], total: str, part: str, ratio: tuple[str, str], order: str) -> DataFrame:

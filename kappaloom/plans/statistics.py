@@ -141,6 +141,4 @@ def percentiles_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("percentiles_nearest", "SELECT source, list_sort(list(n_chars))[round_even((count(*) - 1) * 0.1, 0)::INT + 1] AS p10, list_sort(list(n_chars))[round_even((count(*) - 1) * 0.5, 0)::INT + 1] AS p50 FROM documents GROUP BY source")
 def percentiles_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.collect_list("n_chars")
-    grouped = table(spark, sf_dir, "documents").groupBy("source").agg(values.alias("v"))
-    return grouped.select("source", numeric.nearest_rank(F.col("v"), 0.1).alias("p10"), numeric.nearest_rank(F.col("v"), 0.5).alias("p50"))
+    return numeric.nearest_ranks(table(spark, sf_dir, "documents"), "n_chars", {"p10": 0.1, "p50": 0.5}, "source")

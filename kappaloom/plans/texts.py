@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import spans, text
+from ..functions import hashing, spans, text
 from .agreement import rounded
 from .bindings import PASSAGES_SQL, passages, table
 from .registry import registered
@@ -120,12 +120,11 @@ def next_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "dataset_fingerprint",
-    "SELECT lang, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT lang, sha256(doc_id || '|' || source || '|' || text) AS h FROM documents) GROUP BY lang",
+    """WITH h AS (SELECT lang, sha256(doc_id || '|' || source || '|' || text) AS h FROM documents), b AS (SELECT lang, substr(h, 1, 3) AS bucket, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS f FROM h GROUP BY ALL)
+SELECT lang, sum(n)::BIGINT AS n, sha256(string_agg(f, chr(10) ORDER BY bucket)) AS fingerprint FROM b GROUP BY lang""",
 )
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Independent of row order: hashes of records, sorted and joined. Only hashes are gathered."""
-    hashed = table(spark, sf_dir, "documents").select("lang", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "source", "text"), 256).alias("h"))
-    return hashed.groupBy("lang").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("fingerprint"))
+    return hashing.fingerprint(table(spark, sf_dir, "documents"), F.concat_ws("|", F.col("doc_id").cast("string"), "source", "text"), "lang")
 
 
 @registered(
