@@ -24,47 +24,63 @@ from .shared import staged
 #: Vectors in a block of candidates and of queries.
 CANDIDATES, QUERIES = 4096, 1024
 #: Shares of the lists that are read, step by step.
-STEPS = (0.125, 0.25, 0.375, 0.5, 0.75)
+STEPS = (0.25, 0.5, 0.75, 0.9)
+#: Queries whose bounds are held at once.
+AT_ONCE = 256
 
 
 class Lists:
-    """The sorted lists of a block of integer vectors."""
+    """The sorted lists of a block of integer vectors.
+
+    What is read of a list depends on the query's sign alone. So a step's entries, from
+    either end, are kept as matrices, and the bounds of many queries are their products.
+    """
 
     def __init__(self, vectors: np.ndarray) -> None:
-        self.exact = bool(vectors.size == 0 or np.abs(vectors).max() < 1 << 24)
-        self.vectors = vectors.astype(np.float64) if self.exact else vectors
+        small = vectors.size == 0 or np.abs(vectors).max() < 1 << 24
+        self.vectors = vectors.astype(np.float64) if small else vectors
         order = np.argsort(vectors, axis=0, kind="stable")
         self.rank = np.empty(vectors.shape, np.int32)
         np.put_along_axis(self.rank, order, np.arange(len(vectors), dtype=np.int32)[:, None], axis=0)
         self.sorted = np.take_along_axis(self.vectors, order, axis=0)
-
-    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        return self.vectors[rows] @ query
-
-    def top(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (own left out) among which all of the k best are, ties included, with their exact scores."""
-        n = len(self.vectors)
-        left = np.flatnonzero(~own)
-        if len(left) <= k or not query.size:
-            return left, self.scores(left, query)
-        query = query.astype(self.vectors.dtype)
-        up = query > 0
-        bottom = query * np.where(up, self.sorted[0], self.sorted[-1])
-        for share in STEPS:
-            depth = max(1, int(n * share))
-            front = query * np.where(up, self.sorted[n - depth], self.sorted[depth - 1])
-            rank = self.rank[left]
-            seen = np.where(up, rank >= n - depth, rank < depth)
-            known = np.where(seen, self.vectors[left] * query, 0).sum(axis=1)
-            lower = known + (bottom.sum() - seen @ bottom)
-            upper = known + (front.sum() - seen @ front)
-            # rows dropped before had an upper bound below a k-th best lower bound, which only rises
-            least = np.partition(lower, len(left) - k)[len(left) - k]
-            keep = upper >= least
-            left = left[keep]
-            if len(left) <= 4 * k:
+        self.read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _step(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the first `depth` entries from the upper and from the lower ends show, and their values."""
+        if depth not in self.read:
+            seen = np.concatenate([self.rank >= len(self.vectors) - depth, self.rank < depth], axis=1)
+            self.read[depth] = seen.astype(self.vectors.dtype), np.where(seen, np.tile(self.vectors, 2), 0)
+        return self.read[depth]
+
+    def top(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows, without those in own (rows x queries), among which the k best are, and their exact scores."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(queries), AT_ONCE):
+            out += self._some(queries[at : at + AT_ONCE].astype(self.vectors.dtype), k, own[:, at : at + AT_ONCE])
+        return out
+
+    def _some(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, q = len(self.vectors), queries.T
+        left = ~own
+        going = left.sum(axis=0) > 4 * k
+        signs = np.concatenate([q > 0, q <= 0])
+        bottom = signs * np.concatenate([q * self.sorted[:1].T, q * self.sorted[-1:].T])
+        for share in STEPS if n > k and q.size else ():
+            if not going.any():
                 break
-        return left, self.scores(left, query)
+            depth, some = max(1, int(n * share)), np.flatnonzero(going)
+            seen, values = self._step(depth)
+            front = signs[:, some] * np.concatenate([q[:, some] * self.sorted[n - depth][:, None], q[:, some] * self.sorted[depth - 1][:, None]])
+            known = values @ (signs[:, some] * np.tile(q[:, some], (2, 1)))
+            lowest = self.vectors.dtype.type(-(1 << 62))
+            lower = np.where(left[:, some], known + bottom[:, some].sum(axis=0) - seen @ bottom[:, some], lowest)
+            upper = known + front.sum(axis=0) - seen @ front
+            # a row outside had an upper bound below a k-th best lower bound, which only rises
+            least = np.partition(lower, n - k, axis=0)[n - k]
+            left[:, some] &= upper >= least
+            going[some] = left[:, some].sum(axis=0) > 4 * k
+        scores = self.vectors @ q
+        return [(rows := np.flatnonzero(left[:, i]), scores[rows, i]) for i in range(q.shape[1])]
 
 
 def best(scores: np.ndarray, ids: list, k: int) -> list[int]:
@@ -115,8 +131,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_
             lists, vectors = Lists(_matrix(left.column("v"), len(ids))), _matrix(right.column("v"), len(asked))
             known = np.array([-1 if i is None else i for i in ids], np.int64)
             absent = np.array([i is None for i in ids], bool)
-            for query_id, query in zip(asked, vectors, strict=True):
-                rows, scores = lists.top(query, k, (known == query_id) & ~absent)
+            own = (known[:, None] == np.array(asked, np.int64)) & ~absent[:, None]
+            for query_id, (rows, scores) in zip(asked, lists.top(vectors, k, own), strict=True):
                 mine = [ids[i] for i in rows]
                 out += [(query_id, mine[i], int(scores[i])) for i in best(scores, mine, k)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 3, schema.types, strict=True)], schema=schema)
