@@ -1,51 +1,14 @@
-"""Reading tables, and the folder that the driver and all executors share."""
+"""Tables of a folder, and the library's helpers for the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import fresh_path, remove, shared_dir, staged, staged_at
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir.
-
-    Where the setting is absent a temporary folder is made, in local mode only:
-    on a cluster such a folder would not be visible to the executors.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="kappaloom-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    return staged_at(df, label, compression)[0]
-
-
-def staged_at(df: DataFrame, label: str, compression: str = "zstd") -> tuple[DataFrame, str]:
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete intermediate tables that no later plan reads."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+__all__ = ["fresh_path", "remove", "shared_dir", "staged", "staged_at", "table"]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
+from ..operators.components import connected
 from .shared import remove, staged, staged_at
 
 #: Shingles hashed at once, so that a very long text needs little memory.
