@@ -1,4 +1,4 @@
-"""Reading tables, and the folder that the driver and all executors share."""
+"""The folder that the driver and all executors share."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir.
