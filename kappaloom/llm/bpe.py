@@ -20,7 +20,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -39,6 +39,8 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 SEPARATORS = regex.compile(rf"[{SPACE}]+")
 WORD_END = "</w>"
+#: Beyond these, characters may be newer than Python's Unicode data; see Encoder._ids.
+FAMILIAR = regex.compile("[^\x00-\u024f]")
 #: Characters that Python takes for white space and the tokenizer does not.
 UNLIKE_SPACE = regex.compile("[\x1c-\x1f]")
 
@@ -61,6 +63,7 @@ class Merges:
     inner: np.ndarray
     final: np.ndarray
     special: dict[str, int]
+    source: str = field(repr=False, default="")
 
     @classmethod
     def load(cls, path: str) -> Merges:
@@ -90,6 +93,7 @@ class Merges:
             np.array([vocabulary[s] for s in symbols], np.int32),
             np.array([vocabulary[s + WORD_END] for s in symbols], np.int32),
             special,
+            json.dumps(data),
         )
 
     @property
@@ -177,6 +181,12 @@ class Encoder:
     def _special(self) -> regex.Pattern:
         return regex.compile("(" + "|".join(regex.escape(s) for s in self.merges.special) + ")")
 
+    @cached_property
+    def _library(self):  # noqa: ANN202
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.merges.source)
+
     def split(self, text: str) -> list[str]:
         """The pieces between white space as the tokenizer sees it."""
         if UNLIKE_SPACE.search(text):
@@ -195,6 +205,11 @@ class Encoder:
         if self._special.search("\n".join(missing)):
             marked = [x for x in missing if self._special.search(x)]
             plain = [x for x in missing if not self._special.search(x)]
+        if strange := {x for x in plain if FAMILIAR.search(x) and any(unicodedata.category(c) == "Cn" for c in x)}:
+            # what class a character has that Python does not know, only the tokenizers library can tell
+            plain = [x for x in plain if x not in strange]
+            for piece in strange:
+                self._put(piece, self._library.encode(piece, add_special_tokens=False).ids)
         for piece, ids in zip(plain, self._ids(plain), strict=True):
             self._put(piece, ids)
         for piece in marked:

@@ -94,6 +94,17 @@ def links(prints: DataFrame, hot: int = 1024) -> DataFrame:
     return pairs.unionByName(left.join(right, ["half", "key", "byte", "value"]).where(near).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct())
 
 
+def _named(docs: DataFrame, id_column: str, text_column: str, size: int, hot: int) -> DataFrame:
+    """(doc_id, print, fp, component_id); print tells the texts of rows without an id apart."""
+    text = F.col(text_column).cast("string")
+    marked = staged(docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("print"), fingerprint_column(text, size).alias("fp")), "simhash")
+    prints = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
+    groups = connected(links(prints.select("fp"), hot))
+    joined = prints.join(groups, prints.fp == groups.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
+    roots = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return marked.join(joined.join(roots, "root").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, hot: int = 1024) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) for every row of docs.
 
@@ -103,13 +114,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     their component, null if it has none; repeated rows come out as often as they
     went in; an empty table gives an empty result. Other columns are ignored.
     """
-    marked = staged(docs.select(F.col(id_column).alias("doc_id"), fingerprint_column(F.col(text_column).cast("string"), size).alias("fp")), "simhash")
-    prints = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
-    groups = connected(links(prints.select("fp"), hot))
-    joined = prints.join(groups, prints.fp == groups.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
-    roots = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = joined.join(roots, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _named(docs, id_column, text_column, size, hot).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, hot: int = 1024) -> DataFrame:
@@ -118,7 +123,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Repeated rows of that document are one. Where all ids of a component are null, one
     row of each distinct text stays.
     """
-    named = near_duplicates(docs, id_column, text_column, size, hot)
-    stay = named.select(F.col("component_id").alias("_stays")).distinct()
-    met = docs.join(stay, F.col(id_column).eqNullSafe(F.col("_stays")), "left_semi")
-    return met.withColumn("_print", F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))).dropDuplicates([id_column, "_print"]).drop("_print")
+    stay = _named(docs, id_column, text_column, size, hot).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("print").alias("_stays")).distinct()
+    printed = docs.withColumn("_print", F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))))
+    met = printed.join(stay, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_stays")), "left_semi")
+    return met.dropDuplicates([id_column, "_print"]).drop("_print")
