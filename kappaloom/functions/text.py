@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Python's white space in Java's syntax; the four separators are no white space to Java.
 SPACE = r"\s\x1c-\x1f"
@@ -20,7 +21,11 @@ WORD = r"\wÀ-ÖØ-öø-ÿ"
 _TOKEN = re.compile(r"\S+")
 
 
-@F.pandas_udf("array<struct<token_id:int,text:string,char_start:int,char_end:int>>")
+#: Types are spelled out, since a type's name is read by a session, which there may not be yet.
+TOKENS = T.ArrayType(T.StructType([T.StructField("token_id", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())]))
+
+
+@F.pandas_udf(TOKENS)
 def tokens(texts: pd.Series) -> pd.Series:
     """Maximal runs of other than white space: ids from 1, half-open offsets in code points.
 
@@ -81,13 +86,13 @@ def folded(text: Column) -> Column:
     return F.lower(collapsed(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Composed normal form; Spark has no function for it."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     """Compatible normal form, case folded (unlike lower(), ß is ss), white space collapsed."""
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))

@@ -41,12 +41,13 @@ def eligible(policy: Policy) -> Column:
 
 
 def accuracy() -> Column:
-    return F.count_if(F.col("gold") == F.col("pred")) / F.count("*")
+    """Null for no rows."""
+    return F.try_divide(F.count_if(F.col("gold") == F.col("pred")).cast("double"), F.count("*"))
 
 
 def kappa(policy: Policy = Policy()) -> Column:
     """Cohen's kappa over the fixed labels."""
-    n = F.count("*").cast("double")
+    n = F.nullif(F.count("*"), F.lit(0)).cast("double")
     observed = F.count_if(F.col("gold") == F.col("pred")) / n
     chance = sum((F.count_if(F.col("gold") == x) / n * (F.count_if(F.col("pred") == x) / n) for x in LABELS), F.lit(0.0))
     nan, one = F.lit(float("nan")), F.lit(1.0)

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import hashing, spans, text
 from .agreement import rounded
@@ -154,7 +155,10 @@ def boundary_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(replaced, 256).alias("replaced"), (F.length(replaced) - F.length("text")).cast("long").alias("places"))
 
 
-@F.pandas_udf("array<struct<tag:string,a_from:int,a_to:int,b_from:int,b_to:int>>")
+_EDITS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *[T.StructField(x, T.IntegerType()) for x in ("a_from", "a_to", "b_from", "b_to")]]))
+
+
+@F.pandas_udf(_EDITS)
 def word_changes(a: pd.Series, b: pd.Series) -> pd.Series:
     """The edits between two texts' words, equal runs left out; nothing is taken for junk."""
 
