@@ -15,10 +15,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -28,10 +30,11 @@ from pyspark.sql import functions as F
 
 from .shared import fresh_path, staged
 
-#: Bytes after which a task begins another archive; runs that a merge reads at once; index lines between two marks of a run.
-ARCHIVE_BYTES, FAN_IN, MARK = 256 << 20, 256, 64
+#: Bytes after which a task begins another archive; runs that a merge reads at once; URL keys that are told of a run, at most.
+ARCHIVE_BYTES, FAN_IN, TOLD = 256 << 20, 256, 64
 #: Lines of a range of the history that are aimed at, and splitter keys that are looked at, at most.
 RANGE_LINES, SAMPLE = 1 << 20, 100_000
+BLANK = re.compile(r"[\x00-\x20\x7f]")
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
@@ -41,7 +44,8 @@ def url_key(url: str | None) -> str:
     >>> url_key("https://WWW.Example.org:443/A?b#c"), url_key("http://[::1"), url_key(None)
     ('org,example)/a?b', ')http://[::1', ')/')
     """
-    text = (url or "").strip()
+    # blanks and line ends would break the index's lines
+    text = BLANK.sub(lambda m: f"%{ord(m[0]):02x}", (url or "").strip())
     try:
         parts = urlsplit(text if "//" in text else f"//{text}")
         host, port = (parts.hostname or "").rstrip("."), parts.port
@@ -171,44 +175,75 @@ def sort_key(entry: dict) -> tuple:
     return entry["url_key"], entry["captured"], entry["archive"], entry["offset"]
 
 
-def write_run(folder: str, entries: Iterator[dict]) -> tuple[str, int, list[str], list[int]]:
-    """Write sorted entries as a run: its url, the number of lines, every MARK-th URL key and where its line begins."""
+def write_run(folder: str, entries: Iterator[dict]) -> tuple[str, int, list[str]]:
+    """Write sorted entries as a run: its url, the number of lines, and at most TOLD evenly spaced URL keys."""
     system, path = fs.FileSystem.from_uri(folder)
     name = f"{uuid.uuid4().hex}.cdxj"
-    n, at, keys, offsets = 0, 0, [], []
+    n, step, keys = 0, 1, []
     with system.open_output_stream(f"{path}/{name}") as out:
         for entry in entries:
-            if n % MARK == 0:
+            if n % step == 0:
                 keys.append(entry["url_key"])
-                offsets.append(at)
-            line = line_of(entry)
-            out.write(line)
-            at += len(line)
+                if len(keys) > TOLD:
+                    keys, step = keys[::2], 2 * step
+            out.write(line_of(entry))
             n += 1
-    return f"{folder}/{name}", n, keys, offsets
-
-
-def read_run(url: str, keys: list[str], offsets: list[int], low: str | None, high: str | None, chunk: int = 1 << 20) -> Iterator[dict]:
-    """The entries with low <= URL key < high, read sequentially from the last mark before low."""
-    import bisect
-
-    i = max(0, bisect.bisect_left(keys, low) - 1) if low is not None else 0
+    return f"{folder}/{name}", n, keys
+
+
+def _entry(line: bytes) -> dict:
+    return json.loads(line[line.index(b" {") + 1 :])
+
+
+def _next_line(file, at: int, chunk: int = 4096) -> tuple[int, bytes]:  # noqa: ANN001
+    """Where the first line at or behind `at` begins, and the line; an empty one at the end. A line begins at 0 or behind a feed."""
+    size, begin = file.size(), at
+    if at:
+        while True:
+            data = file.read_at(min(chunk, size - begin + 1), begin - 1)
+            if (found := data.find(b"\n")) >= 0:
+                begin += found
+                break
+            begin += len(data)
+            if begin > size:
+                return size, b""
+    line, end = b"", begin
+    while end < size and b"\n" not in line:
+        line += file.read_at(min(chunk, size - end), end)
+        end = begin + len(line)
+    return begin, line.partition(b"\n")[0]
+
+
+def first_line(file, low: str) -> int:  # noqa: ANN001
+    """The offset of a run's first line whose URL key is not below low, by halving the file."""
+    left, right = 0, file.size()
+    while left < right:
+        middle = (left + right) // 2
+        begin, line = _next_line(file, middle)
+        if line and _entry(line)["url_key"] < low:
+            left = begin + 1
+        else:
+            right = middle
+    return _next_line(file, left)[0]
+
+
+def read_run(url: str, low: str | None = None, high: str | None = None, chunk: int = 1 << 20) -> Iterator[dict]:
+    """The entries with low <= URL key < high, read sequentially."""
     system, path = fs.FileSystem.from_uri(url)
     with system.open_input_file(path) as file:
-        file.seek(offsets[i] if offsets else 0)
+        file.seek(first_line(file, low) if low is not None else 0)
         rest = b""
         while data := file.read(chunk):
             *lines, rest = (rest + data).split(b"\n")
             for line in lines:
-                entry = json.loads(line[line.index(b" {") + 1 :])
+                entry = _entry(line)
                 if high is not None and entry["url_key"] >= high:
                     return
-                if low is None or entry["url_key"] >= low:
-                    yield entry
+                yield entry
 
 
-RUN = "url string, lines long, keys array<string>, offsets array<long>"
-_RUN = pa.schema([("url", pa.string()), ("lines", pa.int64()), ("keys", pa.list_(pa.string())), ("offsets", pa.list_(pa.int64()))])
+RUN = "url string, lines long, keys array<string>"
+_RUN = pa.schema([("url", pa.string()), ("lines", pa.int64()), ("keys", pa.list_(pa.string()))])
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -253,7 +288,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
                 at += len(data)
         if out:
             close()
-        columns = [list(c) for c in zip(*made, strict=True)] or [[]] * 5
+        columns = [list(c) for c in zip(*made, strict=True)] or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *(f.type for f in _RUN)], strict=True)], ["archive", *_RUN.names])
 
     system, path = fs.FileSystem.from_uri(folder)
@@ -265,11 +300,18 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """(archive, offset, page_id, url, payload_bytes, payload_digest, record_type, refers_to) of every record, read from the archives."""
     kinds = [("archive", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
 
+    def batched(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for url in batch.column("archive").to_pylist():
                 rows = []
                 for begin, _, data in members(url):
+                    if len(rows) == 10_000:
+                        yield batched(rows)
+                        rows = []
                     headers, http, payload = parse(data)
                     said, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
                     length = int(http.rsplit(b"Content-Length: ", 1)[1])
@@ -277,8 +319,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         raise ValueError(f"{url}: the record at {begin} is damaged")
                     number = lambda key: int(headers[key]) if headers.get(key) else None
                     rows.append((url.rsplit("/", 1)[1], begin, number("X-Page-ID"), headers["WARC-Target-URI"], length, said, kind, number("X-Refers-To-Page")))
-                columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
+                yield batched(rows)
 
     names = archives.select("archive")
     return names.repartition(max(1, names.count()), F.xxhash64("archive")).mapInArrow(read, "archive string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
@@ -290,21 +331,21 @@ def _merged(runs: DataFrame, jobs: DataFrame, folder: str) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                parts = [read_run(r["url"], r["keys"], r["offsets"], row["low"], row["high"]) for r in sorted(row["runs"], key=lambda r: r["url"])]
-                url, n, keys, offsets = write_run(folder, (entry for entry, _ in LoserTree(parts, sort_key)))
-                yield pa.RecordBatch.from_arrays([pa.array([row["job"]], pa.int64()), *(pa.array([v], t.type) for v, t in zip((url, n, keys, offsets), _RUN, strict=True))], ["job", *_RUN.names])
+                parts = [read_run(url, row["low"], row["high"]) for url in sorted(row["runs"])]
+                url, n, keys = write_run(folder, (entry for entry, _ in LoserTree(parts, sort_key)))
+                yield pa.RecordBatch.from_arrays([pa.array([row["job"]], pa.int64()), *(pa.array([v], t.type) for v, t in zip((url, n, keys), _RUN, strict=True))], ["job", *_RUN.names])
 
-    dealt = runs.groupBy("part").agg(F.collect_list(F.struct("url", "keys", "offsets")).alias("runs")).join(jobs, "part").drop("part")
+    dealt = runs.groupBy("part").agg(F.collect_list("url").alias("runs")).join(jobs, "part").drop("part")
     return staged(dealt.repartition(max(1, jobs.count()), "job").mapInArrow(merge, f"job long, {RUN}"), "merged")
 
 
 def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN, range_lines: int = RANGE_LINES) -> DataFrame:
     """Merge the runs (RUN) to a history: (range, RUN), where the ranges in order hold all entries in order.
 
-    A task holds at most fan_in runs' marks, one for every MARK lines.
+    A task holds the names of at most fan_in runs and a buffer for each.
     """
     spark = runs.sparkSession
-    runs = runs.select("url", "lines", "keys", "offsets")
+    runs = runs.select("url", "lines", "keys")
     none = "CAST(NULL AS string)"
     while (n := runs.count()) > fan_in:
         grouped = runs.selectExpr("*", f"pmod(xxhash64(url), {-(-n // (fan_in // 2 or 1))}) AS part")
@@ -326,9 +367,11 @@ def read_history(history: DataFrame) -> DataFrame:
         names = ("archive", "offset", "url_key", "captured")
         for batch in batches:
             for row in batch.to_pylist():
-                found = list(read_run(row["url"], [], [], None, None))
-                columns = [[e[c] for e in found] for c in names]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if k == "offset" else pa.string()) for k, c in zip(names, columns, strict=True)), pa.array(range(row["start"], row["start"] + len(found)), pa.int64())], [*names, "position"])
+                at, entries = row["start"], read_run(row["url"])
+                while found := list(islice(entries, 10_000)):
+                    columns = [[e[c] for e in found] for c in names]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if k == "offset" else pa.string()) for k, c in zip(names, columns, strict=True)), pa.array(range(at, at + len(found)), pa.int64())], [*names, "position"])
+                    at += len(found)
 
     return begun.repartition(max(1, history.count()), "url").mapInArrow(read, "archive string, offset long, url_key string, captured string, position long")
 

@@ -18,6 +18,19 @@ def test_loser_tree(runs):
     assert merged == sorted(merged)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "bb", "c {", "d\ne"]), max_size=40), st.sampled_from(["", "a", "b", "bc", "d", "z"]))
+def test_a_run_is_entered_by_halving(tmp_path_factory, names, low):
+    folder = f"file://{tmp_path_factory.mktemp('run')}"
+    entries = [{"url_key": warc.url_key(f"http://h/{n}"), "captured": "1", "archive": "x" * (i % 7 * 900), "offset": i} for i, n in enumerate(names)]
+    entries.sort(key=warc.sort_key)
+    url, n, keys = warc.write_run(folder, iter(entries))
+    key = warc.url_key(f"http://h/{low}")
+    assert n == len(entries) and list(warc.read_run(url)) == entries and len(keys) <= warc.TOLD
+    assert list(warc.read_run(url, key, None, chunk=50)) == [e for e in entries if e["url_key"] >= key]
+    assert list(warc.read_run(url, None, key)) == [e for e in entries if e["url_key"] < key]
+
+
 def test_records_round_trip(tmp_path):
     data = warc.record(5, "http://a\r\nb/é", b"\r\n\r\nbody", None, warc.EPOCH)
     headers, http, payload = warc.parse(data)
