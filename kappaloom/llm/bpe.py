@@ -288,6 +288,6 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_column:
             rows = [[make[c](*row) for c in outputs] for row in encoder.batches(part.tolist())]
             yield pd.DataFrame(rows, columns=list(outputs))
 
-    encoded = F.pandas_udf(encode, ", ".join(f"{c} {types[c]}" for c in outputs), F.PandasUDFType.SCALAR_ITER)
+    encoded = F.pandas_udf(encode, ", ".join(f"{c} {types[c]}" for c in outputs))
     rows = docs.select(F.col(id_column), encoded(F.col(text_column).cast("string")).alias("encoded"))
     return rows.select(id_column, "encoded.*")

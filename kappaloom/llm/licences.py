@@ -174,5 +174,5 @@ def scan_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
             out = pd.DataFrame([describe(words_of(t), index) for t in part], columns=[c.split()[0] for c in SCHEMA.split(", ")])
             yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    scanned = F.pandas_udf(scan, SCHEMA, F.PandasUDFType.SCALAR_ITER)
+    scanned = F.pandas_udf(scan, SCHEMA)
     return docs.select(F.col(id_column).alias("doc_id"), scanned(F.col(text_column).cast("string")).alias("_found")).select("doc_id", "_found.*")

@@ -335,7 +335,7 @@ def inspect(stored: DataFrame, media_column: str = "media") -> DataFrame:
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             yield out.astype({c: "Int64" for c in ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes", "samples", "sample_rate")})
 
-    looked = F.pandas_udf(look, SCHEMA, F.PandasUDFType.SCALAR_ITER)
+    looked = F.pandas_udf(look, SCHEMA)
     return stored.withColumn("_seen", looked(media_column)).drop(media_column).select("*", "_seen.*").drop("_seen")
 
 

@@ -305,7 +305,7 @@ def tokenised(docs: DataFrame, id_column: str, text_column: str, vocabulary: str
         for part in texts:
             yield pd.Series(list(units.encode(part.tolist(), end)), dtype=object)
 
-    packed = F.pandas_udf(encode, "binary", F.PandasUDFType.SCALAR_ITER)
+    packed = F.pandas_udf(encode, "binary")
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), packed(F.col(text_column).cast("string")).alias("ids"))
 
 
