@@ -89,3 +89,34 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
     whole = simhash.fingerprint(text)
     monkeypatch.setattr(simhash, "CHUNK", 7)
     assert simhash.fingerprint(text) == whole
+
+
+def test_wide_links_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(60):
+        a, b = rng.getrandbits(64), rng.getrandbits(64)
+        for _ in range(3):
+            flip = lambda x, n: x ^ sum(1 << i for i in rng.sample(range(64), n))
+            rows.append((len(rows), flip(a, rng.randrange(6)), flip(b, rng.randrange(8))))
+    rows += [(len(rows) + i, rows[0][1], rows[0][2]) for i in range(3)]
+    signed = [(i, *(x - (1 << 64) if x >> 63 else x for x in p)) for i, *p in rows]
+    found = {tuple(sorted((r.a, r.b))) for r in simhash.wide_links(spark.createDataFrame(signed, "node long, a long, b long")).collect()}
+    expected = {(i, j) for j, a2, b2 in rows for i, a1, b1 in rows if i < j and (a1 ^ a2).bit_count() <= 7 and (b1 ^ b2).bit_count() <= 9}
+    assert found == expected
+
+
+def test_edited_copies_go_and_others_stay(spark):
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(3000)]
+    rows = []
+    for k in range(40):
+        base = [rng.choice(words) for _ in range(250)]
+        rows.append((k, " ".join(base), "x", "y"))
+        if k < 20:
+            copy = list(base)
+            for i in rng.sample(range(250), 2):
+                copy[i] = rng.choice(words)
+            rows.append((100 + k, " ".join(copy), "x", "y"))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()}
+    assert set(range(40)) <= kept and len(kept) <= 42
