@@ -8,7 +8,8 @@ decodes without the others.
 A file holds, one after the other: the magic bytes, the blocks, and a footer with
 the checkpoints (for each block: first token, tokens, offset, bytes, CRC-32), the
 documents in order (id and number of ids), and the frequencies; then the footer's
-length and CRC-32. Files are written under a temporary name and renamed.
+length and CRC-32. Every attempt of a task writes files of its own names, and only
+those of the attempt that succeeded are in the table of files.
 """
 
 from __future__ import annotations
@@ -118,8 +119,7 @@ class TokenFileWriter:
 
     def __init__(self, url: str, coder: Coder, block: int = BLOCK) -> None:
         self.fs, self.path = fs.FileSystem.from_uri(url)
-        self.temporary = f"{self.path}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.out = self.fs.open_output_stream(self.path)
         self.out.write(MAGIC)
         self.coder, self.block, self.offset, self.tokens = coder, block, len(MAGIC), 0
         self.waiting, self.held = [], 0
@@ -161,7 +161,6 @@ class TokenFileWriter:
         footer = zlib.compress(footer, 1)
         self.out.write(footer + struct.pack("<QI", len(footer), zlib.crc32(footer)))
         self.out.close()
-        self.fs.move(self.temporary, self.path)
 
 
 class TokenFile:
@@ -353,7 +352,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
                     found.append((file.url, file.first, file.tokens, len(file.docs)))
                     file = None
                 if not file:
-                    url = f"{folder}/{at:020d}.tok"
+                    url = f"{folder}/{at:020d}-{uuid.uuid4().hex}.tok"
                     file = TokenFileWriter(url, coder)
                     file.url, file.first = url, at
                 file.add(doc, np.frombuffer(x.as_buffer(), width))

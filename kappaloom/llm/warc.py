@@ -384,4 +384,5 @@ def capture_table(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     folder = fresh_path(pages.sparkSession, "warc")
     archives = write_archives(pages, folder, least_bytes)
     history = merge_runs(archives, folder)
-    return read_archives(archives).join(read_history(history), ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "url_key", "captured", "position", "archive", "offset")
+    # both sides grow out of short tables of files; Spark would take them for small ones and broadcast one
+    return read_archives(archives).hint("merge").join(read_history(history), ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "url_key", "captured", "position", "archive", "offset")
