@@ -98,11 +98,11 @@ def test_wide_links_equal_brute_force(spark):
         a, b = rng.getrandbits(64), rng.getrandbits(64)
         for _ in range(3):
             flip = lambda x, n: x ^ sum(1 << i for i in rng.sample(range(64), n))
-            rows.append((len(rows), flip(a, rng.randrange(6)), flip(b, rng.randrange(8))))
+            rows.append((len(rows), flip(a, rng.randrange(6)), flip(b, rng.randrange(9))))
     rows += [(len(rows) + i, rows[0][1], rows[0][2]) for i in range(3)]
     signed = [(i, *(x - (1 << 64) if x >> 63 else x for x in p)) for i, *p in rows]
     found = {tuple(sorted((r.a, r.b))) for r in simhash.wide_links(spark.createDataFrame(signed, "node long, a long, b long")).collect()}
-    expected = {(i, j) for j, a2, b2 in rows for i, a1, b1 in rows if i < j and (a1 ^ a2).bit_count() <= 7 and (b1 ^ b2).bit_count() <= 9}
+    expected = {(i, j) for j, a2, b2 in rows for i, a1, b1 in rows if i < j and (a1 ^ a2).bit_count() <= 7 and (b1 ^ b2).bit_count() <= 11}
     assert found == expected
 
 
@@ -120,3 +120,18 @@ def test_edited_copies_go_and_others_stay(spark):
             rows.append((100 + k, " ".join(copy), "x", "y"))
     kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()}
     assert set(range(40)) <= kept and len(kept) <= 42
+
+
+def test_similarity(spark):
+    base = [f"w{i}" for i in range(100)]
+    edited = lambda n: " ".join("x" if i % 10 == 5 and i < 10 * n else w for i, w in enumerate(base))
+    texts = [(0, edited(0)), (1, edited(1)), (2, edited(2)), (3, edited(3)), (4, None), (5, " "), (6, "W0 w1"), (7, "w0  w1")]
+    pairs = [(i, j) for j in range(8) for i in range(j)] + [(0, 1)]
+    found = {(r.a, r.b) for r in simhash.similar(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "node long, text string")).collect()}
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    expected = {(i, j) for i, j in pairs if len(grams(texts[i][1]) & grams(texts[j][1])) >= 0.8 * len(grams(texts[i][1]) | grams(texts[j][1]))}
+    assert found == expected and (0, 1) in found and (0, 3) not in found

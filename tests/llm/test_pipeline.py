@@ -23,8 +23,13 @@ def corpus():
     return [(*r, len(r[1] or "")) for r in rows]
 
 
+def alike(a, b):
+    one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(one & two) >= 0.8 * len(one | two)
+
+
 def first_of_groups(rows):
-    """Ids that stay: groups by three bits, their first documents joined by words and shingles, the smallest id of each."""
+    """Ids that stay: groups by three bits, their first documents joined by words, shingles and similarity, the smallest id of each."""
     least = {i: c for i, _, c in brute([(r[0], r[1]) for r in rows])}
     text = {r[0]: r[1] for r in rows}
     heads = sorted(set(least.values()))
@@ -32,7 +37,7 @@ def first_of_groups(rows):
     group = {i: i for i in heads}
     for i in heads:
         for j in heads:
-            if j < i and (prints[i][0] ^ prints[j][0]).bit_count() <= 7 and (prints[i][1] ^ prints[j][1]).bit_count() <= 9:
+            if j < i and (prints[i][0] ^ prints[j][0]).bit_count() <= 7 and (prints[i][1] ^ prints[j][1]).bit_count() <= 11 and alike(text[i], text[j]):
                 a, b = group[i], group[j]
                 group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
     return set(group.values())
