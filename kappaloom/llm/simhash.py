@@ -11,20 +11,22 @@ linked without any pair. Of two keys that differ in one bit, the one that has 0
 there reaches the other by setting it; so a probe sets bits and never clears any,
 which halves the probes and finds each such pair once.
 
-Few edits move a fingerprint of shingles by more than three bits. To catch near
-copies of a five-word similarity of 0.8 or more, `one_of_each` links what is left by
-two fingerprints: that of the distinct words within seven bits, which four 16-bit
-segments with balls of radius 1 find, and that of the shingles within eleven. Such pairs are
-then held to their similarity itself. Of copies with up to a fiftieth of their words edited and that
-similarity, these bits find 98 in 100; the three bits alone one in three.
+Few edits move a fingerprint of shingles by more than three bits. So `one_of_each` also links
+texts of a five-word similarity of 0.8 or more, found by an exact prefix-filtered join of their shingles,
+whatever their fingerprints are. In one order of all shingles, two such texts share one of the first fifth of theirs; the order
+decides only how many candidates there are, so common shingles are put last as a sample of texts shows them.
+Texts next to each other in size under a shingle are compared first, and then all pairs whose groups still differ.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
@@ -164,24 +166,120 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int = 5, least: float = 0.
     return met.where(f"i >= {least} * (size(sa) + size(sb) - i)").select("a", "b")
 
 
+#: Least similarity of texts that are linked; shingles put last in the order at most; one text in so many is read for them.
+LEAST, COMMON, SAMPLE = 0.8, 1 << 16, 8
+
+
+def _common(texts: DataFrame) -> np.ndarray:
+    """The most frequent shingles of a sample of texts (node, text), the rarer first. They change the order, not the pairs that are found."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(part: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t) for t in part])
+
+    few = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).dropDuplicates(["node"])
+    counts = staged(few.select(F.explode(shingles("text")).alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    steps = sorted(counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("k")).collect(), reverse=True)
+    held, cut = 0, 1001
+    for n, k in steps:
+        if held + k > COMMON:
+            break
+        held, cut = held + k, n
+    return np.array([s for _, s in sorted((r.n, r.s) for r in counts.where(F.col("n") >= cut).collect())], np.int64)
+
+
+def prefix(shingles: list[int], ranks: dict[int, int], least: float = LEAST) -> list[int]:
+    """The first of a text's shingles, of which a text as similar has one among its own first: by number, the ranked ones last.
+
+    >>> prefix([1, 2, 3, 4, 5], {1: 0})
+    [2, 3]
+    """
+    n = len(shingles)
+    k = n - math.ceil(least * n - 1e-9) + 1 if n else 0
+    out = [s for s in shingles if s not in ranks] if ranks else shingles
+    return out[:k] if len(out) >= k else out + sorted(set(shingles).difference(out), key=ranks.__getitem__)[: k - len(out)]
+
+
+def shared_prefixes(texts: DataFrame) -> DataFrame:
+    """(s, node, n, before, before_n): the prefix shingles that two nodes of texts (node, text) share, each node's number of shingles, and the node before it by size."""
+    common = _common(texts)
+
+    def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = {s: i for i, s in enumerate(common.tolist())}
+        for part in parts:
+            sets = [shingle_set(t) for t in part["text"]]
+            yield pd.DataFrame({"node": part["node"], "n": list(map(len, sets)), "prefix": [prefix(s, ranks) for s in sets]})
+
+    arrays = texts.select("node", "text").mapInPandas(first, "node long, n int, prefix array<long>")
+    single = arrays.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    by_size = Window.partitionBy("s").orderBy("n", "node")
+    rows = single.select(F.explode("prefix").alias("s"), "node", "n")
+    rows = rows.withColumn("before", F.lag("node").over(by_size)).withColumn("before_n", F.lag("n").over(by_size)).withColumn("after", F.lead("node").over(by_size))
+    return staged(rows.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "prefixes")
+
+
+def _possible(met: DataFrame, least: float = LEAST) -> DataFrame:
+    """Of met (a, na, b, nb), a row for each shared prefix shingle, the pairs (a, b) that can be similar.
+
+    What two texts share lies in both prefixes up to where the first of them ends, or in the rest of that text.
+    """
+    ends = f"greatest(ceil({least}D * na - 1e-9D), ceil({least}D * nb - 1e-9D)) - 1"
+    return met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(f"c + {ends} >= {least / (1 + least)}D * (na + nb) - 1e-6D").select("a", "b")
+
+
+def _near_size(least: float = LEAST) -> str:
+    return f"least(na, nb) >= {least}D * greatest(na, nb) - 1e-6D"
+
+
+def neighbours(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) next to each other by size under a shingle, as many as rows of shared_prefixes() at most."""
+    return _possible(shared.where("before IS NOT NULL").selectExpr("before AS a", "before_n AS na", "node AS b", "n AS nb").where(_near_size()))
+
+
+def across(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes in different groups (node, whole) that can be similar; under a shingle, its largest group is not met with itself."""
+    rows = staged(shared.select("s", "node", "n").join(groups, "node"), "prefix-groups")
+    sizes = rows.groupBy("s", "whole").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("whole", F.struct("k", "whole")).alias("big"), F.count("*").alias("groups"))
+    mixed = rows.join(sizes.where("groups > 1").select("s", "big"), "s")
+    left = mixed.where("whole <> big").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("whole").alias("wa"))
+    right = mixed.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("whole").alias("wb"), "big")
+    met = left.join(right, "s").where(f"wa <> wb AND (wb = big OR a < b) AND {_near_size()}")
+    swap = "a < b"
+    return _possible(met.selectExpr("least(a, b) AS a", f"if({swap}, na, nb) AS na", "greatest(a, b) AS b", f"if({swap}, nb, na) AS nb"))
+
+
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, hot: int = 1024) -> DataFrame:
     """The rows of docs that stay when one document of each group of near copies does: that with the smallest id.
 
-    Groups are those of near_duplicates(), joined where wide_links() finds their first
-    documents and similar() confirms it. Repeated rows of a document that stays are one. Where all ids of a group
+    Groups are those of near_duplicates(), joined where any two of their first documents have a five-word
+    similarity of LEAST or more. Repeated rows of a document that stays are one. Where all ids of a group
     are null, its first text by hash stays.
     """
     named = staged(_named(docs, id_column, text_column, size, hot), "near-groups")
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "print")).alias("f")).selectExpr("root AS node", "f.doc_id AS doc_id", "f.print AS print")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "print")).alias("f")
+    first = staged(named.groupBy("root").agg(best).selectExpr("root", "f.doc_id AS doc_id", "f.print AS print"), "near-first")
     keys = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # the words' fingerprints of first documents alone; their texts are met where they lie
-    words = staged(keys.select("doc_id", "print", fingerprint_column(F.col("text"), 1, True).alias("a")), "word-prints").distinct()
-    met = first.alias("f").join(words.alias("w"), F.expr("f.doc_id <=> w.doc_id AND f.print = w.print")).selectExpr("f.node", "f.doc_id", "f.print", "w.a")
-    nodes = staged(met.join(named.selectExpr("root AS node", "print", "fp AS b").distinct(), ["node", "print"]), "near-nodes")
-    texts = keys.join(nodes.select("node", "doc_id", "print").withColumnsRenamed({"doc_id": "_id", "print": "_print"}), F.expr("doc_id <=> _id AND print = _print")).select("node", "text").dropDuplicates(["node"])
-    groups = connected(similar(wide_links(nodes.select("node", "a", "b")), texts))
-    joined = nodes.join(groups.withColumnRenamed("component", "whole"), "node", "left").withColumn("whole", F.coalesce("whole", "node"))
-    stay = joined.groupBy("whole").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "print")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.print").alias("_stays"))
+    nodes = first.withColumn("node", F.col("print"))
+    shared = shared_prefixes(keys.withColumn("node", F.col("print")).join(nodes.select("node"), "node", "left_semi"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "near-candidates")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        chosen = nodes.join(asked, "node").select("node", F.col("doc_id").alias("_id"))
+        # one row of each text, by both columns, so that the copies of a text do not meet in one task
+        texts = keys.join(chosen, F.expr("doc_id <=> _id AND print = node")).select("node", "text").dropDuplicates(["node"])
+        found = similar(pairs, texts, least=LEAST)
+        roots = [nodes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+        return staged(found.join(roots[0], "a").join(roots[1], "b").where("root_a <> root_b").select("root_a", "root_b").distinct(), "near-links")
+
+    def wholes(links: DataFrame) -> DataFrame:
+        groups = connected(links).withColumnRenamed("component", "whole")
+        return staged(first.join(groups, first.root == groups.node, "left").select("root", "doc_id", "print", F.coalesce("whole", "root").alias("whole")), "near-wholes")
+
+    some = confirmed(neighbours(shared))
+    rest = confirmed(across(shared, nodes.join(wholes(some).select("root", "whole"), "root").select("node", "whole")))
+    joined = wholes(some.unionByName(rest))
+    stay = joined.groupBy("whole").agg(best).select(F.col("f.doc_id").alias("_id"), F.col("f.print").alias("_stays"))
     printed = docs.withColumn("_print", F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))))
-    kept = printed.join(staged(stay, "near-first"), F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_stays")), "left_semi")
+    kept = printed.join(staged(stay, "near-stay"), F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_stays")), "left_semi")
     return kept.dropDuplicates([id_column, "_print"]).drop("_print")

@@ -135,3 +135,32 @@ def test_similarity(spark):
 
     expected = {(i, j) for i, j in pairs if len(grams(texts[i][1]) & grams(texts[j][1])) >= 0.8 * len(grams(texts[i][1]) | grams(texts[j][1]))}
     assert found == expected and (0, 1) in found and (0, 3) not in found
+
+
+def joined_by_similarity(rows):
+    """Ids that stay when texts in any order are joined by three bits or by a five-word similarity of 0.8, and by nothing else."""
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows for w in [t.lower().split()]}
+    prints = {i: simhash.fingerprint(t) for i, t in rows}
+    group = {i: i for i, _ in rows}
+    for i, _ in rows:
+        for j, _ in rows:
+            if j < i and ((prints[i] ^ prints[j]).bit_count() <= 3 or len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])):
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return set(group.values())
+
+
+def test_cut_and_lengthened_copies_go(spark):
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(3000)]
+    common = [rng.choice(words) for _ in range(40)]
+    rows = []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(rng.randrange(100, 300))]
+        base = common + base if k % 3 == 0 else base
+        n = len(base)
+        rows.append((k, " ".join(base)))
+        rows += [(100 + k, " ".join(base[: n - n * (k % 3 + 1) // 20])), (200 + k, " ".join([rng.choice(words) for _ in range(n * (k % 6) // 20)] + base)), (300 + k, " ".join(base[: n * 7 // 10]))]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS)).collect()}
+    assert kept == joined_by_similarity(rows)
+    assert {i for i in kept if i < 200} == set(range(60))
