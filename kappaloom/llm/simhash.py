@@ -251,7 +251,7 @@ def across(shared: DataFrame, groups: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, hot: int = 1024) -> DataFrame:
     """The rows of docs that stay when one document of each group of near copies does: that with the smallest id.
 
-    Groups are those of near_duplicates(), joined where any two of their first documents have a five-word
+    Groups are those of near_duplicates(), joined where any two of their texts have a five-word
     similarity of LEAST or more. Repeated rows of a document that stays are one. Where all ids of a group
     are null, its first text by hash stays.
     """
@@ -259,8 +259,8 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "print")).alias("f")
     first = staged(named.groupBy("root").agg(best).selectExpr("root", "f.doc_id AS doc_id", "f.print AS print"), "near-first")
     keys = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
-    nodes = first.withColumn("node", F.col("print"))
-    shared = shared_prefixes(keys.withColumn("node", F.col("print")).join(nodes.select("node"), "node", "left_semi"))
+    nodes = staged(named.groupBy("root", "print").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.col("print")), "near-nodes")
+    shared = shared_prefixes(keys.select(F.col("print").alias("node"), "text"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "near-candidates")

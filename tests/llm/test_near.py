@@ -164,3 +164,29 @@ def test_cut_and_lengthened_copies_go(spark):
     kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS)).collect()}
     assert kept == joined_by_similarity(rows)
     assert {i for i in kept if i < 200} == set(range(60))
+
+
+def chain_of_three_bits():
+    """Texts whose fingerprints are linked in a chain, and a cut copy that only the last of them is similar to."""
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(3000)]
+    chain, prints = [[rng.choice(words) for _ in range(200)]], []
+    while len(chain) < 30:
+        now = simhash.fingerprint(" ".join(chain[-1]))
+        for _ in range(2000):
+            edited = list(chain[-1])
+            edited[rng.randrange(200)] = rng.choice(words)
+            if (simhash.fingerprint(" ".join(edited)) ^ now).bit_count() <= 3:
+                chain.append(edited)
+                break
+        else:
+            raise AssertionError("no chain")
+    rows = [(i, " ".join(w)) for i, w in enumerate(chain)]
+    return [*rows, (50, " ".join(chain[-1][:170]))]
+
+
+def test_links_of_later_members_join_a_group(spark):
+    rows = chain_of_three_bits()
+    assert joined_by_similarity(rows) == {0} and joined_by_similarity([rows[0], rows[-1]]) == {0, 50}
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS)).collect()}
+    assert kept == {0}
