@@ -100,7 +100,10 @@ def out_of_fold(df: DataFrame, terms: Column, label: str, fold: str, folds: int,
 
 def top_terms(df: DataFrame, terms: Column, label: str, n: int, least: int = 2) -> DataFrame:
     """(rank, term, coefficient): the terms that speak most for class 1."""
-    counted = CountVectorizer(inputCol="_terms", outputCol="_x", minDF=float(least)).fit(rows := df.withColumn("_terms", terms))
+    rows = df.withColumn("_terms", terms)
+    # as many as there are: the default would drop the rarer ones beyond 2^18
+    size = rows.select(F.explode(F.array_distinct("_terms")).alias("t")).groupBy("t").count().where(F.col("count") >= least).count()
+    counted = CountVectorizer(inputCol="_terms", outputCol="_x", minDF=float(least), vocabSize=max(1, size)).fit(rows)
     fitted = LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.1, maxIter=20).fit(counted.transform(rows))
     named = sorted(zip(fitted.coefficients.toArray().tolist(), counted.vocabulary, strict=True), key=lambda x: (-x[0], x[1]))[:n]
     return df.sparkSession.createDataFrame([(i + 1, t, c) for i, (c, t) in enumerate(named)], "rank long, term string, coefficient double")

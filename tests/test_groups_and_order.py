@@ -168,3 +168,11 @@ def test_report_and_manifest(spark):
     assert {r.side: (r.n, r.first_key) for r in align.report(left, right, "id").collect()} == {"both": (1, 3), "left_only": (2, 1), "right_only": (1, 4)}
     a, b = (spark.createDataFrame(x, "key string, value string") for x in ([("a", "1"), ("b", None)], [("a", "2"), ("b", None), ("c", "3")]))
     assert {r.key: r.differs for r in validate.manifest_difference(a, b).collect()} == {"a": True, "b": False, "c": True}
+
+
+def test_top_terms_leave_no_term_out(spark):
+    from kappaloom.operators import lexical
+
+    many = "transform(sequence(0, 270000), i -> concat('t', i))"
+    docs = spark.sql(f"SELECT 1 AS y, {many} AS w UNION ALL SELECT 0, {many} UNION ALL SELECT 1, array('strong') UNION ALL SELECT 1, array('strong') UNION ALL SELECT 0, array('t0')")
+    assert [r.term for r in lexical.top_terms(docs, docs.w, "y", 1).collect()] == ["strong"]
