@@ -79,8 +79,10 @@ class Lists:
             least = np.partition(lower, n - k, axis=0)[n - k]
             left[:, some] &= upper >= least
             going[some] = left[:, some].sum(axis=0) > 4 * k
-        scores = self.vectors @ q
-        return [(rows := np.flatnonzero(left[:, i]), scores[rows, i]) for i in range(q.shape[1])]
+        return [(rows := np.flatnonzero(left[:, i]), self._scores(rows, q[:, i])) for i in range(q.shape[1])]
+
+    def _scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return self.vectors[rows] @ query
 
 
 def best(scores: np.ndarray, ids: list, k: int) -> list[int]:

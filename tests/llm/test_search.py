@@ -51,3 +51,11 @@ def test_reading_stops_before_all_is_read():
     for (rows, scores), q in zip(left, queries, strict=True):
         assert sorted(scores)[-3:] == sorted(vectors @ q)[-3:]
         assert (scores == vectors[rows] @ q).all()
+
+
+def test_only_rows_left_are_scored(monkeypatch):
+    scored, whole = [], topk.Lists._scores
+    monkeypatch.setattr(topk.Lists, "_scores", lambda self, rows, query: scored.append(len(rows)) or whole(self, rows, query))
+    vectors = np.random.default_rng(3).integers(-300, 300, (2000, 8))
+    left = topk.Lists(vectors).top(vectors[:5], 3, np.zeros((2000, 5), bool))
+    assert scored == [len(rows) for rows, _ in left] and max(scored) < 1000
