@@ -22,13 +22,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, remove, staged, staged_at
+from .shared import fresh_path, opened, remove, staged, staged_at
 
 MAGIC = b"KLRANS1\n"
 #: Frequencies sum to 2**SCALE; states stay in [2**31, 2**63) and move 32 bits at a time.
@@ -38,9 +37,13 @@ LANES = 4096
 BLOCK = 1 << 20
 #: Tokens in a file, reached or passed by its last document.
 FILE_TOKENS = 1 << 24
-#: Units that a worker's cache holds, some 200 bytes each.
+#: Units that a worker's cache holds, some 200 bytes each; bytes of text encoded at once.
 CACHE_UNITS = 1_000_000
-BATCH_CHARS = 1_000_000
+BATCH_BYTES = 1 << 21
+# Unicode's white space and the four separators, in RE2's syntax.
+WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A space next to other white space.
+BESIDE_SPACE = f"{WHITE} | {WHITE}"
 
 
 def scaled(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -118,7 +121,7 @@ class TokenFileWriter:
     """Takes documents in order and writes one file."""
 
     def __init__(self, url: str, coder: Coder, block: int = BLOCK) -> None:
-        self.fs, self.path = fs.FileSystem.from_uri(url)
+        self.fs, self.path = opened(url)
         self.out = self.fs.open_output_stream(self.path)
         self.out.write(MAGIC)
         self.coder, self.block, self.offset, self.tokens = coder, block, len(MAGIC), 0
@@ -167,7 +170,7 @@ class TokenFile:
     """Reads a file of TokenFileWriter; every block can be read alone."""
 
     def __init__(self, url: str, coders: dict | None = None) -> None:
-        self.fs, self.path = fs.FileSystem.from_uri(url)
+        self.fs, self.path = opened(url)
         self.file = self.fs.open_input_file(self.path)
         if self.file.read_at(len(MAGIC), 0) != MAGIC:
             raise ValueError(f"{url}: not a token file")
@@ -219,70 +222,113 @@ class TokenFile:
 class UnitTokens:
     """Ids of whole texts by the tokenizers library, through a bounded cache.
 
-    The pre-tokenizer's pattern joins a single space to the word behind it, and no
-    merge crosses its pieces; so a text without a run of white space is divided
-    before every space, and each unit goes through the library once while the
-    cache holds it. Many units go as one text, whose ids are parted again at the
-    tokens that begin with a space. Other texts go through the library as a whole.
+    The pre-tokenizer's pattern joins a space to the word behind it, and no merge
+    crosses its pieces; so a text in which no space stands beside other white space is
+    divided before every space, and each unit goes through the library once while the
+    cache holds it. A batch's units are told apart and looked up as one Arrow dictionary, and all
+    ids of the batch are gathered at once from the flat array of the cached ones. Many new units go
+    through the library as one text, whose ids are parted again at the tokens that begin with a space.
+    Other texts go through it whole. The units that a full cache has no room for are forgotten after their batch.
     """
 
     def __init__(self, path: str, width: str, cache_units: int = CACHE_UNITS) -> None:
         import os
-        import re
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width, self.cache_units = Tokenizer.from_file(path), width, cache_units
+        self.tokenizer, self.width, self.cache_units = Tokenizer.from_file(path), np.dtype(width), cache_units
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads only hold memory
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.units: dict[str, bytes] = {}
-        self.runs = re.compile(r"[\s\x1c-\x1f]{2}")
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(1 + max(tokens.values()), bool)
         self.begins[[i for t, i in tokens.items() if t.startswith("Ġ")]] = True
-
-    def _has_runs(self, text: str) -> bool:
-        # most texts have only single spaces and line feeds, which is quick to see
-        if text.isascii() and not any(x in text for x in ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")):
-            return False
-        return bool(self.runs.search(text))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.units: dict[str, int] = {}
+        self.flat, self.bounds, self.known = np.zeros(1 << 16, self.width), np.zeros(1 << 14, np.int64), 0
+
+    def _put(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Add entries that follow each other in ids; the number of the first."""
+        first, used = self.known, int(self.bounds[self.known])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(sizes) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        self.flat[used : used + len(ids)] = ids
+        self.bounds[first + 1 : first + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.known += len(sizes)
+        return first
+
+    def _whole(self, texts: list[str]) -> np.ndarray:
+        """Numbers of new entries with the ids of the texts."""
+        if not texts:
+            return np.zeros(0, np.int64)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        first = self._put(np.concatenate([np.array(x, self.width) for x in found]), np.array([len(x) for x in found]))
+        return np.arange(first, first + len(texts))
 
     def _learn(self, units: list[str], at_once: int = 50) -> None:
         for i in range(0, len(units), at_once):
             group = units[i : i + at_once]
-            [packed] = self._whole(["".join([" " + u for u in group])])
-            starts = np.flatnonzero(self.begins[np.frombuffer(packed, self.width)])
+            ids = np.array(self.tokenizer.encode("".join([" " + u for u in group]), add_special_tokens=False).ids, self.width)
+            starts = np.flatnonzero(self.begins[ids])
             if len(starts) != len(group):
                 raise ValueError("the tokenizer merges across spaces; its texts can't be divided there")
-            bounds = [*(starts * np.dtype(self.width).itemsize).tolist(), len(packed)]
-            self.units.update(zip(group, (packed[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
+            first = self._put(ids, np.diff(np.r_[starts, len(ids)]))
+            self.units.update(zip(group, range(first, first + len(group)), strict=True))
 
-    def encode(self, texts: list[str | None], end: int) -> Iterator[bytes]:
-        """The ids of each text, then the id `end`, as little-endian numbers."""
-        tail, at = np.array([end], self.width).tobytes(), 0
+    def encode(self, texts: pa.Array, end: int) -> Iterator[pa.Array]:
+        """The ids of each text, then the id `end`, as little-endian numbers: binary arrays that follow each other."""
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
         while at < len(texts):
-            chars, stop = 0, at
-            while stop < len(texts) and (stop == at or chars + len(texts[stop] or "") <= BATCH_CHARS):
-                chars += len(texts[stop] or "")
-                stop += 1
-            batch = [t or "" for t in texts[at:stop]]
-            split = [None if not t or self._has_runs(t) else t.split(" ") for t in batch]
-            # a unit's key is the text behind its space; a text's first piece, which has none, goes alone
-            wanted = set().union(*(s[1:] for s in split if s))
-            missing = [u for u in wanted if u not in self.units]
-            if len(self.units) + len(missing) > self.cache_units:
-                self.units, missing = {}, list(wanted)
-            self._learn(missing)
-            heads = iter(self._whole([t if s is None else s[0] for t, s in zip(batch, split, strict=True)]))
-            get = self.units.__getitem__
-            for s, head in zip(split, heads, strict=True):
-                yield head + b"".join(map(get, s[1:] if s else ())) + tail
+            # as many texts as stay within the bound, one at least
+            stop = max(at + 1, int(np.searchsorted(upto, BATCH_BYTES + (upto[at - 1] if at else 0), "right")))
+            yield self._batch(texts.slice(at, stop - at), end)
             at = stop
 
+    def _batch(self, texts: pa.Array, end: int) -> pa.Array:
+        kept = self.known
+        texts = pc.fill_null(texts, "")
+        apart = pc.match_substring_regex(texts, BESIDE_SPACE).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(pa.array(apart), "", texts) if apart.any() else texts, " ")
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        stops = np.cumsum(counts)
+        heads, rows = stops - counts, np.arange(len(texts))
+        words = lists.flatten()
+        # a text's first piece has no space before it: heads are entries of their own
+        first_pieces = words.take(pa.array(heads)).to_pylist()
+        own = self._whole([t if a else f for t, a, f in zip(texts.to_pylist(), apart, first_pieces, strict=True)])
+        finish = self._put(np.array([end], self.width), np.array([1]))
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        missing = [w for w in distinct if w not in self.units]
+        self._learn(missing)
+        numbers = np.fromiter(map(self.units.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        numbers[heads] = own
+        chain = np.empty(len(numbers) + len(rows), np.int64)
+        chain[np.arange(len(numbers)) + np.repeat(rows, counts)] = numbers
+        chain[stops + rows] = finish
+        begins, sizes = self.bounds[chain], self.bounds[chain + 1] - self.bounds[chain]
+        upto = np.cumsum(sizes)
+        ids = self.flat[np.repeat(begins - upto + sizes, sizes) + np.arange(upto[-1])]
+        ends = np.r_[0, upto[stops + rows]] * self.width.itemsize
+        self._forget(kept, missing)
+        return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.tobytes())])
+
+    def _forget(self, kept: int, learnt: list[str]) -> None:
+        """Keep the newly learnt units that the cache has room for, next to those of before; drop everything else of the batch."""
+        room = max(0, self.cache_units - (len(self.units) - len(learnt)))
+        stay, go = learnt[:room], learnt[room:]
+        for unit in go:
+            del self.units[unit]
+        entries = np.array([self.units[u] for u in stay], np.int64)
+        sizes = self.bounds[entries + 1] - self.bounds[entries]
+        upto = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.bounds[entries] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+        self.known = kept
+        first = self._put(ids, sizes)
+        self.units.update(zip(stay, range(first, first + len(stay)), strict=True))
+
 
 @lru_cache(1)
 def unit_tokens(path: str, width: str) -> UnitTokens:
@@ -299,13 +345,15 @@ def default_vocabulary() -> str:
 def tokenised(docs: DataFrame, id_column: str, text_column: str, vocabulary: str, end: int, width: str) -> DataFrame:
     """(doc_id, ids): the packed ids of each whole text."""
 
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = unit_tokens(vocabulary, width)
-        for part in texts:
-            yield pd.Series(list(units.encode(part.tolist(), end)), dtype=object)
+        for batch in batches:
+            at = 0
+            for ids in units.encode(batch.column("text"), end):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(ids)), ids.cast(pa.binary())], ["doc_id", "ids"])
+                at += len(ids)
 
-    packed = F.pandas_udf(encode, "binary")
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), packed(F.col(text_column).cast("string")).alias("ids"))
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -313,8 +361,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
     The result has one row per file: url, first (an ordering key), tokens, documents.
     A null text is empty, so it has the end id only. Null ids come first; rows with
-    equal ids follow each other in any order. The shared frequencies are those of all
-    documents. Other columns are ignored; an empty table gives no file.
+    equal ids follow each other by a hash of their tokens. The shared frequencies are those of all
+    documents. Texts of any length are encoded whole. Other columns are ignored; an empty table gives no file.
+
+    Texts are encoded where they lie; only their ids are shuffled into order. Rows of one id, however many, are
+    divided among tasks by their content and place.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
@@ -322,11 +373,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
         data = json.load(f)
     size = 1 + max(end, *data["model"]["vocab"].values(), *(x["id"] for x in data["added_tokens"]))
     width = "<u2" if size <= 1 << 16 else "<u4"
-    ordered = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    packed = tokenised(ordered, "doc_id", "text", vocabulary, end, width).withColumn("at", F.monotonically_increasing_id())
+    packed = tokenised(docs, id_column, text_column, vocabulary, end, width).withColumns({"mark": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
     ids, ids_path = staged_at(packed, "token-ids")
-    del ordered, packed
-    spark._jvm.System.gc()  # lets the cleaner drop the shuffled texts before the files are written
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -362,9 +410,11 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
             found.append((file.url, file.first, file.tokens, len(file.docs)))
         yield pa.RecordBatch.from_pylist([dict(zip(("url", "first", "tokens", "documents"), x, strict=True)) for x in found], pa.schema([("url", pa.string()), ("first", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64())]))
 
-    made, path = fs.FileSystem.from_uri(folder)
+    made, path = opened(folder)
     made.create_dir(path, recursive=True)
-    files = staged(ids.mapInArrow(write, "url string, first long, tokens long, documents long"), "token-files")
+    ordered = ids.repartitionByRange("doc_id", "mark", "row").sortWithinPartitions("doc_id", "mark", "row")
+    numbered = ordered.select("doc_id", "ids", F.monotonically_increasing_id().alias("at"))
+    files = staged(numbered.mapInArrow(write, "url string, first long, tokens long, documents long"), "token-files")
     remove(spark, ids_path)
     return files
 

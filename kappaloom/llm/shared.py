@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import fresh_path, remove, shared_dir, staged, staged_at
@@ -11,4 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["fresh_path", "remove", "shared_dir", "staged", "staged_at", "table"]
+def opened(url: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URL as Spark writes it, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", url))
+
+
+__all__ = ["fresh_path", "opened", "remove", "shared_dir", "staged", "staged_at", "table"]

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,10 +33,23 @@ def word():
 @given(st.lists(TEXTS, max_size=4))
 def test_units_equal_the_library(byte, texts):
     library, units = byte
-    for text, packed in zip(texts, units.encode(texts, 2), strict=True):
+    found = [x.as_py() for part in units.encode(pa.array([*texts, None], pa.string()), 2) for x in part]
+    assert found.pop() == b"\2\0" and len(found) == len(texts)
+    for text, packed in zip(texts, found, strict=True):
         assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_a_full_cache_and_small_batches_change_nothing(monkeypatch):
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(50)]
+    whole = [x.as_py() for part in rans.UnitTokens(BYTE, "<u2").encode(pa.array(texts), 2) for x in part]
+    monkeypatch.setattr(rans, "BATCH_BYTES", 90)
+    units = rans.UnitTokens(BYTE, "<u2", cache_units=20)
+    assert [x.as_py() for part in units.encode(pa.array(texts), 2) for x in part] == whole
+    assert len(units.units) == units.known == 20
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(TEXTS, max_size=4))
 def test_merge_rounds_equal_the_library(word, texts):
