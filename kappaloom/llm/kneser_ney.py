@@ -1,136 +1,191 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
-
-Tokens are the shapes of words: case and coarse length, digits, marks, and a token
-of its own for a word that repeats the one before it. Shapes leave few unknowns, so
-that a document's perplexity tells how it is written rather than which rare words it has.
-
-The counts of trusted documents and everything that follows from them (continuation
-counts, discounts, weights of the lower orders) are tables sharded by their keys.
-Documents are kept as codes, a byte a token, in blocks of bounded size; a block asks
-for each n-gram in it once, the count tables are joined to these questions, and the
-answers meet the block's documents again. Thresholds are taken from the quantiles of
-trusted documents' perplexities in each language.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
+
+The symbols are characters (UTF-16 code units, so that four of them make one 64-bit key), with any
+number of white space characters as one space. A word that repeats the one before it is a
+single symbol: a text that repeats itself has a perplexity far too low, as one of foreign writing, of capitals or of marks has
+one too high. So a language has two thresholds, a low and a high quantile of trusted texts.
+
+The model is trained on the trusted texts, each once, but for a part that is held out by a hash of the text. The high quantile is
+that of the held-out ones, which the model has not seen; the low one that of all, as texts that it has seen have a lower perplexity. Its tables, one for each order, hold every n-gram of the
+training texts and grow with them; they are sharded by n-gram and joined.
+
+Texts are never shuffled. They are written once, in blocks of rows; a block asks for each of its n-grams once, the distinct ones are
+answered by joins with the count tables, and a block's answers are written to a folder of its own, where the
+task that scores the block's texts reads them.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import staged
+from .shared import fresh_path, opened, staged
 
-TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Shapes by number; 0 begins a text, 1 repeats the word before.
-SHAPES = ("begin", "again", ".", ",", "mark1", "mark2", "mark3", "digits", "mixed digits", "lower1", "lower2", "lower3", "upper1", "upper2", "upper3", "title1", "title2", "title3", "other")
-K = 32
-#: Tokens of a block; words kept in a worker's cache.
-BLOCK_TOKENS, CACHE_WORDS = 1 << 22, 300_000
-#: threshold = median + FENCE * (9th decile - median), of trusted documents' mean surprisals; a language needs LEAST of them, else all languages' hold.
-FENCE, LEAST = 5.0, 20
-#: Tokens of median surprisal that are added to every document, so that a few words alone reject none.
-PRIOR = 10
+#: Symbols of an n-gram: as many as a key has room for.
+ORDER = 4
+#: What stands for a repeated word, and before a text.
+REPEAT, BEGIN = "\x01", "\x02"
+#: The symbols there can be: the model's last resort is that all are alike.
+SYMBOLS = 1 << 16
+#: Rows of a block, symbols handled at once, and n-grams that a task holds before it passes them on.
+BLOCK_ROWS, CHUNK, HELD = 1 << 14, 1 << 22, 1 << 22
+#: One trusted text in so many is held out; the share of texts beyond each threshold.
+HOLD_OUT, BEYOND = 4, 0.001
+#: Texts of all languages that are added, as a weight, to each language's own; symbols of median surprisal that are added to each text.
+POOLED, PRIOR = 20, 500
 
 
-def shape(word: str) -> int:
-    """The number of a word's shape.
+def normal(text: str | None) -> tuple[str, int]:
+    """A text as the model reads it, and its length before repeated words were made one symbol.
 
-    >>> [SHAPES[shape(w)] for w in (".", "!!", "2024", "b2", "of", "Threshold", "HA")]
-    ['.', 'mark2', 'digits', 'mixed digits', 'lower1', 'title3', 'upper1']
+    >>> normal("no  no\\nno, yes"), normal(None)
+    (('no \\x01 no, yes', 13), ('', 0))
     """
-    if word in (".", ","):
-        return SHAPES.index(word)
-    length = 1 if len(word) < 3 else 2 if len(word) == 3 else 3
-    if not (word[0].isalnum() or word[0] == "_"):
-        return SHAPES.index(f"mark{min(3, len(word))}")
-    if word.isdigit():
-        return SHAPES.index("digits")
-    if any(c.isdigit() for c in word):
-        return SHAPES.index("mixed digits")
-    if word.islower():
-        return SHAPES.index(f"lower{length}")
-    if len(word) > 1 and word.isupper():
-        return SHAPES.index(f"upper{length}")
-    if word[0].isupper() and (len(word) == 1 or word[1:].islower()):
-        return SHAPES.index(f"title{length}")
-    return SHAPES.index("other")
-
-
-class Shaper:
-    """Texts to codes, with a bounded cache of words."""
-
-    def __init__(self, cache_words: int = CACHE_WORDS) -> None:
-        self.cache_words = cache_words
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.shapes = np.zeros(1024, np.uint8)
-
-    def codes(self, text: str | None) -> bytes:
-        words = TOKEN.findall(text or "")
-        if len(self.number) > self.cache_words:
-            self.clear()
-        number = self.number
-        for w in set(words).difference(number):
-            if len(number) == len(self.shapes):
-                self.shapes = np.r_[self.shapes, np.zeros(len(self.shapes), np.uint8)]
-            self.shapes[len(number)] = shape(w)
-            number[w] = len(number)
-        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        out = self.shapes[ids]
-        out[1:][ids[1:] == ids[:-1]] = 1
-        return out.tobytes()
-
-
-def keys(codes: np.ndarray) -> np.ndarray:
-    """The trigram that ends at each token, as a number; two begin tokens stand before the text."""
-    c = np.r_[np.zeros(2, np.int64), codes]
-    return (c[:-2] * K + c[1:-1]) * K + c[2:]
-
-
-def coded(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """(doc_id, lang, print, block, codes): print tells the rows of an id apart by their text."""
-    schema = "doc_id long, lang string, print long, block long, codes binary"
-
-    def code(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shaper, block, held = Shaper(), None, 0
-        for part in parts:
-            rows = []
-            for doc_id, lang, mark, text, at in part.itertuples(index=False):
-                if block is None or held >= BLOCK_TOKENS:
-                    block, held = at, 0  # the first row's number names the block
-                data = shaper.codes(text)
-                held += len(data)
-                rows.append((doc_id, lang, mark, block, data))
-            out = pd.DataFrame(rows, columns=["doc_id", "lang", "print", "block", "codes"])
-            yield out.astype({"doc_id": "Int64"})
-
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(lang_column).cast("string").alias("lang"), text_print(F.col(text_column)).alias("print"), F.col(text_column).cast("string").alias("text"))
-    return staged(rows.withColumn("at", F.monotonically_increasing_id()).mapInPandas(code, schema), "codes")
+    words = (text or "").split()
+    length = sum(map(len, words)) + max(0, len(words) - 1)
+    return " ".join([REPEAT if a == b else a for a, b in zip(words, ["", *words], strict=False)]), length
+
+
+def pieces(text: str, chunk: int = CHUNK) -> Iterator[bytes]:
+    """A text's symbols in parts of bounded size, each with the three symbols before it."""
+    data, margin = (BEGIN * (ORDER - 1) + text).encode("utf-16-le", "surrogatepass"), 2 * (ORDER - 1)
+    for at in range(0, len(data) - margin, 2 * chunk):
+        yield data[at : at + 2 * chunk + margin]
+
+
+def keys(parts: list[bytes]) -> np.ndarray:
+    """The n-grams that end at each symbol of the parts, one part after the other: the first symbol has the lowest bits."""
+    joined = b"".join(parts)
+    view = np.ndarray((len(joined) // 2 - ORDER + 1,), "<u8", joined, strides=(2,))
+    inside = np.ones(len(view), bool)
+    ends = np.cumsum([len(p) // 2 for p in parts[:-1]], dtype=np.int64)
+    for i in range(1, ORDER):
+        inside[ends - i] = False  # these would span two parts
+    return view[inside].view(np.int64)
+
+
+def chunks(texts: Iterator[str], chunk: int = CHUNK) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Parts of texts, some chunk symbols at a time, with the number of the text that each part belongs to."""
+    owners, parts, held = [], [], 0
+    for i, text in enumerate(texts):
+        for part in pieces(text, chunk):
+            owners.append(i)
+            parts.append(part)
+            held += len(part) // 2
+            if held >= chunk:
+                yield owners, parts
+                owners, parts, held = [], [], 0
+    if parts:
+        yield owners, parts
+
+
+class Tally:
+    """N-grams and their counts, merged whenever new ones outnumber them."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, found: np.ndarray, weight: int) -> None:
+        counted = pa.array(found).value_counts()
+        self.waiting.append((counted.field("values").to_numpy(), counted.field("counts").to_numpy() * weight))
+        if sum(len(k) for k, _ in self.waiting) > max(1 << 20, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> int:
+        joined = np.concatenate([self.keys, *(k for k, _ in self.waiting)])
+        counts = np.concatenate([self.counts, *(n for _, n in self.waiting)])
+        self.keys, of = np.unique(joined, return_inverse=True)
+        self.counts = np.bincount(of, counts, len(self.keys)).astype(np.int64)
+        self.waiting.clear()
+        return len(self.keys)
+
+
+class Beside:
+    """Rows that belong to blocks, written a folder for each block, for the tasks that read the block."""
+
+    def __init__(self, rows: DataFrame, label: str) -> None:
+        self.path = fresh_path(rows.sparkSession, label)
+        rows.repartition("block").write.partitionBy("block").parquet(self.path)
+
+    def of(self, block: int) -> pa.Table | None:
+        system, path = opened(f"{self.path}/block={block}")
+        found = [f.path for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+        return pa.concat_tables([pq.read_table(f, filesystem=system, partitioning=None) for f in sorted(found)]) if found else None
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Batches that hold rows of one block each."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        bounds = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if b > a:
+                yield int(blocks[a]), batch.slice(a, b - a)
 
 
 def text_print(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _counted(codes: DataFrame) -> DataFrame:
-    """(a, b, c, n): trigram counts, summed in each task before they are shuffled."""
+def written(docs: DataFrame, columns: list[str], id_column: str, text_column: str, lang_column: str) -> DataFrame:
+    """(at, block, doc_id, lang, print, row): the rows in blocks, with the named columns in one struct, whose names can't clash with ours."""
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("at"),
+        F.col(id_column).cast("long").alias("doc_id"),
+        F.col(lang_column).cast("string").alias("lang"),
+        text_print(F.col(text_column)).alias("print"),
+        F.struct(*columns).alias("row"),
+    )
+    return staged(rows.withColumn("block", F.expr(f"at DIV {BLOCK_ROWS}")), "texts")
+
+
+def roles(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(at, block, held): one row of each trusted text, held if it is held out.
+
+    Trusted is a document that labels (doc_id, quality, toxic) call good throughout and never toxic.
+    """
+    good = labels.groupBy("doc_id").agg(F.expr("min(quality) = 1 AND max(toxic) = 0 AND count(*) = count(quality) AND count(*) = count(toxic)").alias("trusted")).where("trusted AND doc_id IS NOT NULL")
+    single = rows.select("doc_id", "print", "at", "block").join(good.select("doc_id"), "doc_id").groupBy("print").agg(F.min(F.struct("at", "block")).alias("first"))
+    return staged(single.select("first.at", "first.block", F.expr(f"pmod(xxhash64(print, 1), {HOLD_OUT}) = 0").alias("held")), "roles")
+
+
+def gathered(rows: DataFrame, trained: Beside, text_column: str) -> DataFrame:
+    """(block, g, n): the n-grams of every block, and how often they stand in its training texts."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ours, tally = None, np.zeros(0, np.int64), Tally()
+
+        def told() -> pa.RecordBatch:
+            n = tally.merge()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, now)), pa.array(tally.keys), pa.array(tally.counts)], ["block", "g", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(K**3, np.int64)
-        for batch in batches:
-            for x in batch.column("codes"):
-                np.add.at(total, keys(np.frombuffer(x.as_buffer(), np.uint8)), 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen // K**2), pa.array(seen // K % K), pa.array(seen % K), pa.array(total[seen])], ["a", "b", "c", "n"])
+        for block, batch in _by_block(batches):
+            if block != now:
+                if now is not None:
+                    yield told()
+                beside = trained.of(block)
+                now, ours, tally = block, np.sort(beside.column("at").to_numpy()) if beside else np.zeros(0, np.int64), Tally()
+            train = np.isin(batch.column("at").to_numpy(), ours)
+            texts = [normal(t)[0] for t in batch.column("text").to_pylist()]
+            for weight in (0, 1):
+                for _, parts in chunks(t for t, x in zip(texts, train, strict=True) if x == weight):
+                    tally.add(keys(parts), weight)
+            if len(tally.keys) > HELD:
+                yield told()
+                tally = Tally()
+        if now is not None:
+            yield told()
 
-    return codes.select("codes").mapInArrow(count, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    found = rows.select("at", "block", F.col(f"row.`{text_column}`").cast("string").alias("text")).mapInArrow(gather, "block long, g long, n long")
+    return staged(found, "n-grams")
 
 
 def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
@@ -145,109 +200,149 @@ def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(float(i), max(0.05, d)) for i, d in zip((1, 2, 3), found, strict=True))
 
 
-class Model:
-    """The sharded tables: tri (a, b, c, n), ctx3 (a, b, t3, g3), bi (b, c, n2), ctx2 (b, t2, g2), uni (c, p1), and the probability of an unknown."""
-
-    def __init__(self, trusted: DataFrame) -> None:
-        self.tri = staged(_counted(trusted), "trigrams")
-        self.bi = staged(self.tri.groupBy("b", "c").agg(F.count("*").alias("n2")), "bigrams")
-        uni = self.bi.groupBy("c").agg(F.count("*").alias("n1"))
-        d3, d2, d1 = (self._discounts(t, n) for t, n in ((self.tri, "n"), (self.bi, "n2"), (uni, "n1")))
-        cut = lambda n, d: F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
-        self.cut3, self.cut2 = cut("n", d3), cut("n2", d2)
-        self.ctx3 = staged(self.tri.groupBy("a", "b").agg(F.sum("n").alias("t3"), F.sum(self.cut3).alias("g3")), "contexts")
-        self.ctx2 = staged(self.bi.groupBy("b").agg(F.sum("n2").alias("t2"), F.sum(self.cut2).alias("g2")), "contexts")
-        whole = uni.agg(F.sum("n1"), F.sum(cut("n1", d1))).first()
-        total, left = (whole[0] or 0), (whole[1] or 0.0)
-        self.unknown = left / K / total if total else 1.0 / K
-        self.uni = staged(uni.select("c", ((F.col("n1") - cut("n1", d1)) / F.lit(float(total or 1)) + self.unknown).alias("p1")), "unigrams")
-
-    @staticmethod
-    def _discounts(table: DataFrame, n: str) -> tuple[float, float, float]:
-        return discounts({r[0]: r[1] for r in table.where(F.col(n) <= 4).groupBy(n).count().collect()})
-
-    def answer(self, asked: DataFrame) -> DataFrame:
-        """asked (..., a, b, c), with logp: each n-gram's interpolated log probability."""
-        joined = asked.join(self.tri, ["a", "b", "c"], "left").join(self.ctx3, ["a", "b"], "left").join(self.bi, ["b", "c"], "left").join(self.ctx2, "b", "left").join(self.uni, "c", "left")
-        p1 = F.coalesce("p1", F.lit(self.unknown))
-        p2 = F.when(F.col("t2").isNull(), p1).otherwise((F.coalesce(F.col("n2") - self.cut2, F.lit(0.0)) + F.col("g2") * p1) / F.col("t2"))
-        p3 = F.when(F.col("t3").isNull(), p2).otherwise((F.coalesce(F.col("n") - self.cut3, F.lit(0.0)) + F.col("g3") * p2) / F.col("t3"))
-        return joined.select(*asked.columns, F.log(p3).alias("logp"))
-
-
-def surprisals(codes: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, print, n_tokens, nll): each document's tokens and the sum of their surprisals in nats."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, x in zip(batch.column("block").to_pylist(), batch.column("codes"), strict=True):
-                seen.setdefault(block, np.zeros(K**3, bool))[keys(np.frombuffer(x.as_buffer(), np.uint8))] = True
-        for block, mask in seen.items():
-            found = np.flatnonzero(mask)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found // K**2), pa.array(found // K % K), pa.array(found % K)], ["block", "a", "b", "c"])
+def shorter(key: str = "g") -> str:
+    """An n-gram without its first symbol."""
+    return f"shiftrightunsigned({key}, 16)"
 
-    asked = codes.select("block", "codes").mapInArrow(ask, "block long, a long, b long, c long").distinct()
-    answers = model.answer(asked)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("print", pa.int64()), ("n_tokens", pa.int64()), ("nll", pa.float64())])
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = np.zeros(K**3)
-        a, b, c = (right.column(x).to_numpy() for x in "abc")
-        table[(a * K + b) * K + c] = right.column("logp").to_numpy()
-        found = [np.frombuffer(x.as_buffer(), np.uint8) for x in left.column("codes")]
-        nll = [-float(table[keys(x)].sum()) if len(x) else 0.0 for x in found]
-        return pa.Table.from_arrays([*(left.column(x).cast(schema.field(x).type) for x in ("doc_id", "lang", "print")), pa.array([len(x) for x in found], pa.int64()), pa.array(nll, pa.float64())], schema=schema)
+def context(order: int, key: str = "g") -> str:
+    """An n-gram without its last symbol."""
+    return f"{key} & {(1 << 16 * (order - 1)) - 1}L"
 
-    return codes.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, print long, n_tokens long, nll double")
 
+class Model:
+    """By order: a table of n-grams (g, n), n being continuation counts below the highest order, and one of contexts (c, total, left)."""
+
+    def __init__(self, counts: DataFrame) -> None:
+        """counts (g, n): how often each n-gram of the highest order occurs."""
+        self.grams: dict[int, DataFrame] = {ORDER: staged(counts, "counts")}
+        self.contexts: dict[int, DataFrame] = {}
+        self.cuts: dict[int, tuple[float, float, float]] = {}
+        for order in range(ORDER, 0, -1):
+            table = self.grams[order]
+            # at most four rows come to the driver
+            d = self.cuts[order] = discounts({r.n: r["count"] for r in table.where("n <= 4").groupBy("n").count().collect()})
+            spared = " + ".join(f"{x!r}D * count_if(n {how})" for x, how in zip(d, ("= 1", "= 2", "> 2"), strict=True))
+            self.contexts[order] = staged(table.groupBy(F.expr(context(order)).alias("c")).agg(F.sum("n").alias("total"), F.expr(spared).alias("left")), "contexts")
+            if order > 1:
+                self.grams[order - 1] = staged(table.groupBy(F.expr(shorter()).alias("g")).agg(F.count("*").alias("n")), "counts")
 
-def fences(scored: DataFrame) -> DataFrame:
-    """(tongue, middle, fence) from trusted documents' mean surprisals, on a grid of 1/1000; the tongue '' stands for all languages.
-
-    The counts on the grid are bounded for each language, whatever the number of documents.
+    def answer(self, asked: DataFrame) -> DataFrame:
+        """(g, logp) for each of the distinct n-grams asked (g): the interpolated log probability of its last symbol."""
+        wanted = {ORDER: asked}
+        for order in range(ORDER, 1, -1):
+            wanted[order - 1] = wanted[order].select(F.expr(shorter()).alias("g")).distinct()
+        known = None
+        for order in range(1, ORDER + 1):
+            one, two, more = self.cuts[order]
+            rows = wanted[order].selectExpr("g", f"{context(order)} AS c", f"{shorter()} AS s").join(self.grams[order], "g", "left").join(self.contexts[order], "c", "left")
+            if known is None:
+                rows = rows.withColumn("p", F.lit(1.0 / SYMBOLS))
+            else:
+                rows = rows.join(known.withColumnRenamed("g", "s"), "s")
+            own = f"coalesce(n - CASE n WHEN 1 THEN {one!r}D WHEN 2 THEN {two!r}D ELSE {more!r}D END, 0D)"
+            known = rows.selectExpr("g", f"CASE WHEN total IS NULL THEN p ELSE ({own} + left * p) / total END AS p")
+        return known.select("g", F.log("p").alias("logp"))
+
+
+def surprisals(rows: DataFrame, answers: Beside, text_column: str, carry: bool) -> DataFrame:
+    """rows, without the column row unless carry says so, with nll, the sum of each text's surprisals in nats, and n_chars, its length."""
+    schema = T.StructType([f for f in rows.schema.fields if carry or f.name != "row"] + [T.StructField("nll", T.DoubleType()), T.StructField("n_chars", T.LongType())])
+    names = schema.names
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, logp = None, np.zeros(0, np.int64), np.zeros(0)
+        for block, batch in _by_block(batches):
+            if block != now:
+                beside = answers.of(block)
+                if beside is not None:
+                    order = np.argsort(beside.column("g").to_numpy())
+                    asked, logp = beside.column("g").to_numpy()[order], beside.column("logp").to_numpy()[order]
+                now = block
+            texts, lengths = zip(*map(normal, batch.column("row").field(text_column).cast(pa.string()).to_pylist()), strict=True)
+            nll = np.zeros(len(texts))
+            for owners, parts in chunks(iter(texts)):
+                coded = pa.array(keys(parts)).dictionary_encode()
+                distinct = coded.dictionary.to_numpy()
+                at = np.searchsorted(asked, distinct)
+                if not (asked[np.minimum(at, len(asked) - 1)] == distinct).all():
+                    raise ValueError(f"block {block} has n-grams that were not asked for")
+                begins = np.cumsum([0, *(len(p) // 2 - ORDER + 1 for p in parts[:-1])])
+                np.add.at(nll, owners, -np.add.reduceat(logp[at][coded.indices.to_numpy()], begins))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names[:-2]), pa.array(nll), pa.array(lengths, pa.int64())], names)
+
+    return rows.mapInArrow(score, schema)
+
+
+def _quantiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(tongue, one column for each share, in thousandths) of values (lang, x): nearest ranks among a language's own, and POOLED of all languages as a weight.
+
+    The tongue '' stands for the null language and any without values: these have all languages' alone. All weights are whole numbers: own counts times
+    the number of all, and POOLED times the counts of all.
     """
-    grid = scored.where("trusted AND n_tokens > 0").selectExpr("coalesce(lang, '') AS lang", "CAST(round(1000 * nll / n_tokens) AS bigint) AS x")
-    grid = grid.select(F.explode(F.array_distinct(F.array("lang", F.lit("")))).alias("tongue"), "x").groupBy("tongue", "x").agg(F.count("*").alias("n"))
-    ranked = grid.selectExpr("tongue", "x", "sum(n) OVER (PARTITION BY tongue ORDER BY x) AS upto", "sum(n) OVER (PARTITION BY tongue) AS total")
-    cut = ranked.groupBy("tongue").agg(F.min(F.when(F.expr("upto >= 0.5 * total"), F.col("x"))).alias("m"), F.min(F.when(F.expr("upto >= 0.9 * total"), F.col("x"))).alias("d"), F.max("total").alias("total"))
-    return cut.where(f"total >= {LEAST} OR tongue = ''").selectExpr("tongue", "m / 1000 AS middle", f"(m + {FENCE} * (d - m)) / 1000 AS fence")
+    counts = values.groupBy(F.coalesce("lang", F.lit("")).alias("tongue"), "x").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    every = staged(counts, "values")  # on a grid: bounded for each language
+    pooled = every.groupBy("x").agg(F.sum("n").alias("k")).agg(F.sum("k").alias("all"), F.collect_list(F.struct("x", "k")).alias("points"))
+    tongues = every.where("tongue <> ''").groupBy("tongue").agg(F.collect_list(F.struct("x", "n")).alias("own"))
+    tongues = tongues.unionByName(pooled.where("`all` > 0").select(F.lit("").alias("tongue"), F.expr("CAST(array() AS array<struct<x:bigint,n:decimal(38,0)>>)").alias("own"))).join(F.broadcast(pooled))  # one row
+    weights = f"explode(concat(transform(own, p -> (p.x AS x, CAST(p.n * `all` AS decimal(38,0)) AS w)), transform(points, p -> (p.x AS x, CAST(p.k * {POOLED} AS decimal(38,0)) AS w)))) AS p"
+    weighted = tongues.selectExpr("tongue", weights).select("tongue", "p.*")
+    ranked = weighted.groupBy("tongue", "x").agg(F.sum("w").alias("w")).selectExpr("tongue", "x", "sum(w) OVER (PARTITION BY tongue ORDER BY x) AS upto", "sum(w) OVER (PARTITION BY tongue) AS total")
+    return ranked.groupBy("tongue").agg(*[F.min(F.expr(f"CASE WHEN upto >= {share!r}BD * total THEN x END")).alias(name) for name, share in shares.items()])
+
+
+def _with(rows: DataFrame, table: DataFrame, *names: str) -> DataFrame:
+    """rows with the columns of their language in table (tongue, names), or of the tongue '' where it has none."""
+    table = staged(table, "by-language")  # a row a language: its size is known once it is written
+    own = table.where("tongue <> ''")
+    rest = table.where("tongue = ''").select(F.lit(True).alias("_other"), *[F.col(x).alias(f"_{x}") for x in names])
+    joined = rows.withColumn("tongue", F.coalesce("lang", F.lit(""))).join(own, "tongue", "left")
+    joined = joined.withColumn("_other", F.col(names[0]).isNull()).join(rest, "_other", "left")
+    return joined.select(*rows.columns, *[F.coalesce(x, f"_{x}").alias(x) for x in names])
+
+
+def _judged(docs: DataFrame, labels: DataFrame, columns: list[str], carry: bool, id_column: str, text_column: str, lang_column: str) -> DataFrame:
+    rows = written(docs, columns, id_column, text_column, lang_column)
+    trusted = roles(rows, labels)
+    grams = gathered(rows, Beside(trusted.where("NOT held").select("block", "at"), "training"), text_column)
+    model = Model(grams.where("n > 0").groupBy("g").agg(F.sum("n").alias("n")))
+    answers = model.answer(grams.select("g").distinct())
+    scored = staged(surprisals(rows, Beside(grams.select("block", "g").join(answers, "g"), "answers"), text_column, carry), "surprisals")
+    known = scored.select("at", "lang", "nll", "n_chars").where("n_chars > 0").join(trusted.select("at", "held"), "at")
+    grid = "CAST(round(1000 * {}) AS bigint) AS x"
+    middle = _quantiles(known.selectExpr("lang", grid.format("nll / n_chars")), {"middle": 0.5})
+    level = f"(nll + {PRIOR} * middle / 1000) / (n_chars + {PRIOR})"
+    scored = _with(scored, middle, "middle").withColumn("level", F.expr(level))
+    known = staged(_with(known, middle, "middle").selectExpr("lang", "held", grid.format(level)), "levels")
+    scored = _with(scored, _quantiles(known.select("lang", "x"), {"low": BEYOND}), "low")
+    return _with(scored, _quantiles(known.where("held").select("lang", "x"), {"high": 1 - BEYOND}), "high")
+
+
+#: A text is kept if its level, on the thresholds' grid, lies between them.
+KEEP = "n_chars > 0 AND (low IS NULL OR round(1000 * level) >= low) AND (high IS NULL OR round(1000 * level) <= high)"
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """(doc_id, lang, print, n_tokens, perplexity, threshold, keep) for every row of docs.
+    """(doc_id, lang, n_chars, perplexity, level, low, high, keep) for every row of docs.
+
+    perplexity is that of the text's own symbols, by its length in characters. level is the perplexity
+    with PRIOR symbols of the language's median surprisal added, so that a few characters alone reject none; keep is
+    whether it lies between low, the language's quantile BEYOND of the levels of trusted texts, and high, the quantile 1 - BEYOND of held-out ones.
+    Levels and thresholds are rounded to a thousandth of a nat before they are compared.
 
     Trusted are the documents that labels (doc_id, quality, toxic) call good throughout
-    and never toxic. keep: the document's surprisal, with PRIOR tokens of its language's
-    median added, does not exceed the threshold; perplexity is that of its own
-    tokens alone. A text without tokens, as a null one, has no perplexity and is not
-    kept. Without a trusted document there is no threshold and the others are kept.
-    Null ids are never trusted; repeated rows come out as such; an empty table gives an
-    empty result; other columns are left out.
+    and never toxic; of rows with equal texts one counts. A text without words, as a null one, has no perplexity and is not
+    kept. Without a trusted text there are no thresholds, without a held-out one no high one, and all others are kept. A language without one,
+    and the null language, have the thresholds of all.
+    Null ids are never trusted; repeated rows come out as such and ties do not matter; texts of any length are read whole, in
+    parts; an empty table gives an empty result; other columns are left out, whatever their names.
     """
-    codes = coded(docs, id_column, text_column, lang_column)
-    good = labels.groupBy("doc_id").agg(F.expr("min(quality) = 1 AND max(toxic) = 0 AND count(*) = count(quality) AND count(*) = count(toxic)").alias("trusted")).where("trusted AND doc_id IS NOT NULL")
-    model = Model(codes.join(good.select("doc_id"), "doc_id", "left_semi"))
-    scored = staged(surprisals(codes, model).join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "surprisals")
-    cuts = staged(fences(scored), "fences")  # a row a language: its size is known once it is written
-    own, pooled = cuts.where("tongue <> ''"), cuts.where("tongue = ''").select(F.col("tongue").alias("any"), F.col("middle").alias("all_middle"), F.col("fence").alias("all_fence"))
-    # languages without a threshold of their own ask for that of all
-    joined = scored.withColumn("tongue", F.coalesce("lang", F.lit(""))).join(own, "tongue", "left")
-    joined = joined.withColumn("any", F.when(F.col("fence").isNull(), "")).join(pooled, "any", "left")
-    middle, fence = F.coalesce("middle", "all_middle"), F.coalesce("fence", "all_fence")
-    level = (F.col("nll") + PRIOR * middle) / (F.col("n_tokens") + PRIOR)
-    return joined.select(
-        "doc_id",
-        "lang",
-        "print",
-        "n_tokens",
-        F.round(F.exp(F.expr("nll / nullif(n_tokens, 0)")), 6).alias("perplexity"),
-        F.round(F.exp(fence), 6).alias("threshold"),
-        ((F.col("n_tokens") > 0) & (fence.isNull() | (level <= fence))).alias("keep"),
-    )
+    columns = list(dict.fromkeys([id_column, text_column, lang_column]))
+    out = _judged(docs, labels, columns, False, id_column, text_column, lang_column)
+    exp = lambda x: F.round(F.exp(F.expr(x)), 6)
+    return out.select("doc_id", "lang", "n_chars", exp("nll / nullif(n_chars, 0)").alias("perplexity"), exp("round(level, 3)").alias("level"), exp("low / 1000").alias("low"), exp("high / 1000").alias("high"), F.expr(KEEP).alias("keep"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
-    verdicts = judge(docs, labels, id_column, text_column, lang_column).where("keep").selectExpr("doc_id AS _id", "print AS _print").distinct()
-    return docs.join(verdicts, F.col(id_column).eqNullSafe(F.col("_id")) & (text_print(F.col(text_column)) == F.col("_print")), "left_semi")
+    """The rows of docs that judge() keeps, with all their columns, whatever their names."""
+    return _judged(docs, labels, docs.columns, True, id_column, text_column, lang_column).where(KEEP).select("row.*")
