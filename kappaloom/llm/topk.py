@@ -1,11 +1,11 @@
 """Exact top-k search by aggregating sorted lists without random access.
 
 Every component of the vectors is one list, sorted by its share of the score:
-a query reads it from the end that its sign prefers. After each step of reading,
-a candidate's score is bounded from below by what was read of it and the last entry of
+a query reads it from the end that its sign prefers, step by step. What a step adds is
+taken for the candidates that are left alone: a candidate's score is bounded from below by what was read of it and the last entry of
 each list that has not shown it, and from above by the lists' present fronts.
-Reading stops when every candidate outside, seen or not, has an upper bound below
-the k-th best lower bound. Only the candidates left are read to the end.
+A candidate whose upper bound is below the k-th best lower bound is dropped; a query stops when few are
+left, and only the scores of those are resolved.
 
 Candidates are divided into blocks, each with its own lists, and queries too; every
 pair of blocks is one task's work of bounded size, and a query's best of all blocks
@@ -33,56 +33,79 @@ class Lists:
     """The sorted lists of a block of integer vectors.
 
     What is read of a list depends on the query's sign alone. So a step's entries, from
-    either end, are kept as matrices, and the bounds of many queries are their products.
+    either end, are kept as matrices, and the bounds of many queries are their products. `entries` counts
+    what was read of all lists by all queries.
     """
 
     def __init__(self, vectors: np.ndarray) -> None:
-        small = vectors.size == 0 or np.abs(vectors).max() < 1 << 24
-        self.vectors = vectors.astype(np.float64) if small else vectors
+        self.vectors, self.largest, self.entries = vectors, _largest(vectors), 0
         order = np.argsort(vectors, axis=0, kind="stable")
         self.rank = np.empty(vectors.shape, np.int32)
         np.put_along_axis(self.rank, order, np.arange(len(vectors), dtype=np.int32)[:, None], axis=0)
-        self.sorted = np.take_along_axis(self.vectors, order, axis=0)
-        self.read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _step(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """What the first `depth` entries from the upper and from the lower ends show, and their values."""
-        if depth not in self.read:
-            seen = np.concatenate([self.rank >= len(self.vectors) - depth, self.rank < depth], axis=1)
-            self.read[depth] = seen.astype(self.vectors.dtype), np.where(seen, np.tile(self.vectors, 2), 0)
-        return self.read[depth]
+        self.sorted = np.take_along_axis(vectors, order, axis=0)
 
     def top(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the rows, without those in own (rows x queries), among which the k best are, and their exact scores."""
+        kind = exact_type(self.largest * _largest(queries) * max(1, queries.shape[1]))
+        vectors, ends = self.vectors.astype(kind), self.sorted.astype(kind)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(queries), AT_ONCE):
-            out += self._some(queries[at : at + AT_ONCE].astype(self.vectors.dtype), k, own[:, at : at + AT_ONCE])
+            some = queries[at : at + AT_ONCE].astype(kind)
+            left = self._left(vectors, ends, some.T, k, ~own[:, at : at + AT_ONCE])
+            out += [(rows := np.flatnonzero(left[:, i]), self._scores(vectors, rows, query)) for i, query in enumerate(some)]
         return out
 
-    def _some(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        n, q = len(self.vectors), queries.T
-        left = ~own
+    def _left(self, vectors: np.ndarray, ends: np.ndarray, q: np.ndarray, k: int, left: np.ndarray) -> np.ndarray:
+        """Which rows may be among a query's k best (rows x queries), by reading the lists down."""
+        (n, dim), read = vectors.shape, 0
         going = left.sum(axis=0) > 4 * k
         signs = np.concatenate([q > 0, q <= 0])
-        bottom = signs * np.concatenate([q * self.sorted[:1].T, q * self.sorted[-1:].T])
+        weights = signs * np.concatenate([q, q])
+        bottom = weights * np.concatenate([ends[0], ends[-1]])[:, None] if n else weights
+        # of every row and query: what was read, and what the rest adds at least
+        known, rest = np.zeros(left.shape, vectors.dtype), np.broadcast_to(bottom.sum(axis=0), left.shape).copy()
         for share in STEPS if n > k and q.size else ():
-            if not going.any():
+            some = np.flatnonzero(going)
+            if not len(some):
                 break
-            depth, some = max(1, int(n * share)), np.flatnonzero(going)
-            seen, values = self._step(depth)
-            front = signs[:, some] * np.concatenate([q[:, some] * self.sorted[n - depth][:, None], q[:, some] * self.sorted[depth - 1][:, None]])
-            known = values @ (signs[:, some] * np.tile(q[:, some], (2, 1)))
-            lowest = self.vectors.dtype.type(-(1 << 62))
-            lower = np.where(left[:, some], known + bottom[:, some].sum(axis=0) - seen @ bottom[:, some], lowest)
-            upper = known + front.sum(axis=0) - seen @ front
+            rows = np.flatnonzero(left[:, some].any(axis=1))
+            depth, at = max(read + 1, int(n * share)), np.ix_(rows, some)
+            rank, here = self.rank[rows], vectors[rows]
+            seen = np.concatenate([rank >= n - depth, rank < depth], axis=1)
+            fresh = seen & ~np.concatenate([rank >= n - read, rank < read], axis=1)
+            known[at] += np.where(fresh, np.concatenate([here, here], axis=1), 0) @ weights[:, some]
+            rest[at] -= fresh.astype(vectors.dtype) @ bottom[:, some]
+            front = weights[:, some] * np.concatenate([ends[n - depth], ends[depth - 1]])[:, None]
+            ahead = front.sum(axis=0) - seen.astype(vectors.dtype) @ front
+            open_ = left[at]
             # a row outside had an upper bound below a k-th best lower bound, which only rises
-            least = np.partition(lower, n - k, axis=0)[n - k]
-            left[:, some] &= upper >= least
+            lower = np.where(open_, known[at] + rest[at], vectors.dtype.type(-(1 << 62)))
+            least = np.partition(lower, len(rows) - k, axis=0)[len(rows) - k]
+            left[at] = open_ & (known[at] + ahead >= least)
+            self.entries += (depth - read) * dim * len(some)
             going[some] = left[:, some].sum(axis=0) > 4 * k
-        return [(rows := np.flatnonzero(left[:, i]), self._scores(rows, q[:, i])) for i in range(q.shape[1])]
+            read = depth
+        return left
+
+    def _scores(self, vectors: np.ndarray, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return vectors[rows] @ query
+
+
+def _largest(vectors: np.ndarray) -> int:
+    return max(abs(int(vectors.min())), abs(int(vectors.max()))) if vectors.size else 0
 
-    def _scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        return self.vectors[rows] @ query
+
+def exact_type(most: int) -> type:
+    """A type in which sums of whole numbers of up to `most` in all have no rounding; all types give the same scores.
+
+    >>> exact_type(1 << 40), exact_type(1 << 53)
+    (<class 'numpy.float64'>, <class 'numpy.int64'>)
+    """
+    if most < 1 << 52:
+        return np.float64
+    if most < 1 << 61:
+        return np.int64
+    raise OverflowError("inner products of these vectors do not fit in 64 bits")
 
 
 def best(scores: np.ndarray, ids: list, k: int) -> list[int]:
@@ -113,7 +136,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_
     row is compared with rows of as many components and of another id; repeated ids are
     repeated candidates, and a repeated query id is one query for each of its distinct
     vectors, of which the best rows count once. A null id is no query; as a candidate it
-    comes last among ties. An empty table gives an empty result.
+    comes last among ties; ties of a score go to smaller ids. Empty vectors are compared with each other, with a score of 0. Vectors whose
+    products might not fit in 64 bits are an error. Other columns, whatever their names, are left out; an empty table gives an empty result.
     """
     # the block is fixed by writing it: a retried task would number its rows anew
     valid = staged(whole_vectors(rows.where(f"{vector_column} IS NOT NULL"), id_column, vector_column).withColumn("at", F.monotonically_increasing_id()).withColumn("is_query", F.lit(False)), "vectors")

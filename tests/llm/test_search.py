@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kappaloom.llm import topk
@@ -41,21 +43,29 @@ def test_large_values_and_no_rows(spark):
     assert topk.top_k(spark.createDataFrame([], ROWS), F.expr("vec_id % 5 = 0")).count() == 0
 
 
-def test_reading_stops_before_all_is_read():
+def test_only_candidates_left_are_read_and_scored(monkeypatch):
+    scored, whole = [], topk.Lists._scores
+    monkeypatch.setattr(topk.Lists, "_scores", lambda self, vectors, rows, query: scored.append(len(rows)) or whole(self, vectors, rows, query))
     rng = np.random.default_rng(3)
-    vectors = rng.integers(-300, 300, (2000, 8))
+    vectors = rng.integers(0, 300, (2000, 8))
+    vectors[:40] *= 20  # a few long vectors, of which the lists' tops consist
     lists = topk.Lists(vectors)
-    queries = vectors[:5]
+    queries = vectors[100:105]
     left = lists.top(queries, 3, np.zeros((2000, 5), bool))
-    assert max(len(rows) for rows, _ in left) < 1000
+    assert scored == [len(rows) for rows, _ in left] and max(scored) <= 40
+    # the lists are not read to the end: a full scan reads every entry for every query
+    assert lists.entries <= 0.3 * vectors.size * len(queries)
     for (rows, scores), q in zip(left, queries, strict=True):
         assert sorted(scores)[-3:] == sorted(vectors @ q)[-3:]
         assert (scores == vectors[rows] @ q).all()
 
 
-def test_only_rows_left_are_scored(monkeypatch):
-    scored, whole = [], topk.Lists._scores
-    monkeypatch.setattr(topk.Lists, "_scores", lambda self, rows, query: scored.append(len(rows)) or whole(self, rows, query))
-    vectors = np.random.default_rng(3).integers(-300, 300, (2000, 8))
-    left = topk.Lists(vectors).top(vectors[:5], 3, np.zeros((2000, 5), bool))
-    assert scored == [len(rows) for rows, _ in left] and max(scored) < 1000
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 60), st.integers(1, 5), st.sampled_from([3, 1 << 20, 1 << 25, 1 << 28]), st.integers(1, 4), st.integers(0, 99))
+def test_scores_are_whole_numbers_at_any_size(n, dim, size, k, seed):
+    rng = np.random.default_rng(seed)
+    vectors, queries = rng.integers(-size, size, (n, dim)), rng.integers(-size, size, (3, dim))
+    exact = vectors.astype(object) @ queries.T.astype(object)
+    for i, (rows, scores) in enumerate(topk.Lists(vectors).top(queries, k, np.zeros((n, 3), bool))):
+        assert [int(x) for x in scores] == [exact[r, i] for r in rows]
+        assert sorted(map(int, scores))[-k:] == sorted(exact[:, i])[-k:]
