@@ -15,7 +15,8 @@ Few edits move a fingerprint of shingles by more than three bits. So `one_of_eac
 texts of a five-word similarity of 0.8 or more, found by an exact prefix-filtered join of their shingles,
 whatever their fingerprints are. In one order of all shingles, two such texts share one of the first fifth of theirs; the order
 decides only how many candidates there are, so common shingles are put last as a sample of texts shows them.
-Texts next to each other in size under a shingle are compared first, and then all pairs whose groups still differ.
+Under each shingle, the text with the fewest shingles of its own is compared with the others first, and texts next to each other in size; then all pairs
+whose groups still differ, of which a large group of copies has few.
 """
 
 from __future__ import annotations
@@ -79,7 +80,10 @@ def links(prints: DataFrame, hot: int = 1024) -> DataFrame:
     other half, since at most three of its four bytes can differ.
     """
     sides = prints.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).withColumn("key", F.expr("shiftrightunsigned(fp, 32 * half) & 4294967295"))
-    keyed = sides.withColumn("n", F.expr("count(*) over (partition by half, key)"))
+    spark = prints.sparkSession
+    # counted by partial sums; few keys are hot, and their size is known once they are written
+    hot_keys, path = staged_at(sides.groupBy("half", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("half", "key"), "simhash-hot")
+    crowded = not hot_keys.isEmpty()
     balls = sides.select(
         F.col("fp").alias("other"),
         "half",
@@ -91,19 +95,18 @@ def links(prints: DataFrame, hot: int = 1024) -> DataFrame:
         ).alias("key"),
     )
     near = "bit_count(fp ^ other) <= 3 AND (fp < other OR (shiftrightunsigned(fp, 32 * half) & 4294967295) <> (shiftrightunsigned(other, 32 * half) & 4294967295))"
-    pairs = keyed.where(F.col("n") <= hot).join(balls, ["half", "key"]).where(near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    crowded = keyed.where(F.col("n") > hot)
-    spark = prints.sparkSession
-    thick, path = staged_at(crowded.select("fp", "half", "key"), "simhash-hot")
-    if thick.isEmpty():
+    as_pair = (F.col("fp").alias("a"), F.col("other").alias("b"))
+    if not crowded:
         remove(spark, path)
-        return pairs
+        return sides.join(balls, ["half", "key"]).where(near).select(*as_pair)
+    pairs = sides.join(hot_keys, ["half", "key"], "left_anti").join(balls, ["half", "key"]).where(near).select(*as_pair)
+    thick = sides.join(hot_keys, ["half", "key"], "left_semi")
     fine = "explode(array(0, 1, 2, 3)) AS byte"
     value = "shiftrightunsigned({0}, 32 * (1 - half) + 8 * byte) & 255 AS value"
     left = thick.selectExpr("fp", "half", "key", fine).selectExpr("*", value.format("fp"))
-    probes = balls.join(thick.select("half", "key").distinct(), ["half", "key"], "left_semi")
+    probes = balls.join(hot_keys, ["half", "key"], "left_semi")
     right = probes.selectExpr("other", "half", "key", fine).selectExpr("*", value.format("other"))
-    return pairs.unionByName(left.join(right, ["half", "key", "byte", "value"]).where(near).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct())
+    return pairs.unionByName(left.join(right, ["half", "key", "byte", "value"]).where(near).select(*as_pair).distinct())
 
 
 def _named(docs: DataFrame, id_column: str, text_column: str, size: int, hot: int) -> DataFrame:
@@ -123,27 +126,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     component_id is the smallest id that is reachable over links, the row's own
     included. Texts that are null, empty or blank have fingerprint zero and link like any
     other. Rows with a null id keep their fingerprint and get the least id of
-    their component, null if it has none; repeated rows come out as often as they
-    went in; an empty table gives an empty result. Other columns are ignored.
+    their component, null if it has none; repeated rows and ties come out as often as they
+    went in; texts of any length are hashed whole; an empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     return _named(docs, id_column, text_column, size, hot).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Bits by which fingerprints of distinct words, and of shingles, may differ in wide_links.
-WORD_BITS, SHINGLE_BITS = 7, 11
-
-
-def wide_links(nodes: DataFrame, word_bits: int = WORD_BITS, shingle_bits: int = SHINGLE_BITS) -> DataFrame:
-    """Pairs of nodes (node, a, b) whose a differ by at most word_bits (7 at most) and b by shingle_bits, as (a, b), some of them several times."""
-    if word_bits > 7:
-        raise ValueError("four segments with balls of radius 1 find differences of up to 7 bits")
-    sides = nodes.selectExpr("node", "a", "b", "explode(array(0, 1, 2, 3)) AS part").selectExpr("*", "shiftrightunsigned(a, 16 * part) & 65535 AS key")
-    ball = "explode(concat(array(key), transform(filter(sequence(0, 15), i -> shiftright(key, i) & 1 = 0), i -> key | shiftleft(1L, i))))"
-    balls = sides.selectExpr("node AS other", "a AS other_a", "b AS other_b", "part", "key AS own", f"{ball} AS key")
-    near = f"bit_count(a ^ other_a) <= {word_bits} AND bit_count(b ^ other_b) <= {shingle_bits} AND (node < other OR key <> own)"
-    return sides.join(balls, ["part", "key"]).where(near).select(F.col("node").alias("a"), F.col("other").alias("b"))
-
-
 def shingle_set(text: str | None, size: int = 5) -> list[int]:
     """The XXH64 values (signed) of a text's distinct shingles of lower-cased words; of all its words if they are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -201,21 +189,26 @@ def prefix(shingles: list[int], ranks: dict[int, int], least: float = LEAST) ->
 
 
 def shared_prefixes(texts: DataFrame) -> DataFrame:
-    """(s, node, n, before, before_n): the prefix shingles that two nodes of texts (node, text) share, each node's number of shingles, and the node before it by size."""
+    """(s, node, n, hub, hub_n): the prefix shingles that two nodes of texts (node, text) share, and each node's number of shingles.
+
+    hub is the shingle's node with the least share of shingles that are not common: of a text and its edited copies, that is the text, since every edit
+    makes shingles of its own.
+    """
     common = _common(texts)
 
     def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks = {s: i for i, s in enumerate(common.tolist())}
         for part in parts:
             sets = [shingle_set(t) for t in part["text"]]
-            yield pd.DataFrame({"node": part["node"], "n": list(map(len, sets)), "prefix": [prefix(s, ranks) for s in sets]})
+            own = [sum(x not in ranks for x in s) / len(s) if s else 1.0 for s in sets]
+            yield pd.DataFrame({"node": part["node"], "n": list(map(len, sets)), "own": own, "prefix": [prefix(s, ranks) for s in sets]})
 
-    arrays = texts.select("node", "text").mapInPandas(first, "node long, n int, prefix array<long>")
-    single = arrays.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    by_size = Window.partitionBy("s").orderBy("n", "node")
-    rows = single.select(F.explode("prefix").alias("s"), "node", "n")
-    rows = rows.withColumn("before", F.lag("node").over(by_size)).withColumn("before_n", F.lag("n").over(by_size)).withColumn("after", F.lead("node").over(by_size))
-    return staged(rows.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "prefixes")
+    arrays = texts.select("node", "text").mapInPandas(first, "node long, n int, own double, prefix array<long>")
+    single = arrays.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "own", "prefix")])
+    rows = staged(single.select(F.explode("prefix").alias("s"), "node", "n", "own"), "prefixes")
+    # by partial sums, and joined back: a shingle of very many texts is no task's work
+    met = rows.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("own", "node", "n")).alias("hub")).where("k > 1")
+    return staged(rows.join(met, "s").select("s", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shared-prefixes")
 
 
 def _possible(met: DataFrame, least: float = LEAST) -> DataFrame:
@@ -231,9 +224,20 @@ def _near_size(least: float = LEAST) -> str:
     return f"least(na, nb) >= {least}D * greatest(na, nb) - 1e-6D"
 
 
+#: Parts into which the texts of a shingle are dealt before those next to each other are compared.
+DEALT = 64
+
+
 def neighbours(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) next to each other by size under a shingle, as many as rows of shared_prefixes() at most."""
-    return _possible(shared.where("before IS NOT NULL").selectExpr("before AS a", "before_n AS na", "node AS b", "n AS nb").where(_near_size()))
+    """Pairs (a, b) of a shingle's hub and its other nodes, and of nodes next to each other by size, twice as many as rows of shared_prefixes() at most."""
+    hubs = shared.where("node <> hub").selectExpr("hub AS a", "hub_n AS na", "node AS b", "n AS nb")
+    by_size = Window.partitionBy("s", "part").orderBy("n", "node")
+    dealt = shared.select("s", "node", "n", F.expr(f"pmod(xxhash64(node), {DEALT})").alias("part"))
+    beside = dealt.select(F.lag("node").over(by_size).alias("a"), F.lag("n").over(by_size).alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).where("a IS NOT NULL")
+    swap = "a < b"
+    pairs = hubs.unionByName(beside).selectExpr("least(a, b) AS a", f"if({swap}, na, nb) AS na", "greatest(a, b) AS b", f"if({swap}, nb, na) AS nb").where(_near_size())
+    # a pair may be told for fewer shingles than it shares; one that falls out for that is met by across()
+    return _possible(pairs)
 
 
 def across(shared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -252,8 +256,9 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """The rows of docs that stay when one document of each group of near copies does: that with the smallest id.
 
     Groups are those of near_duplicates(), joined where any two of their texts have a five-word
-    similarity of LEAST or more. Repeated rows of a document that stays are one. Where all ids of a group
-    are null, its first text by hash stays.
+    similarity of LEAST or more. Repeated rows of a document that stays are one; where they differ in other columns,
+    that of the least hash. Where all ids of a group are null, its first text by hash stays. Null and blank texts are one group;
+    texts of any length are compared whole; other columns stay, whatever their names; an empty table gives an empty one.
     """
     named = staged(_named(docs, id_column, text_column, size, hot), "near-groups")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "print")).alias("f")
@@ -279,7 +284,8 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     some = confirmed(neighbours(shared))
     rest = confirmed(across(shared, nodes.join(wholes(some).select("root", "whole"), "root").select("node", "whole")))
     joined = wholes(some.unionByName(rest))
-    stay = joined.groupBy("whole").agg(best).select(F.col("f.doc_id").alias("_id"), F.col("f.print").alias("_stays"))
-    printed = docs.withColumn("_print", F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))))
-    kept = printed.join(staged(stay, "near-stay"), F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_stays")), "left_semi")
-    return kept.dropDuplicates([id_column, "_print"]).drop("_print")
+    stay = staged(joined.groupBy("whole").agg(best).select("f.doc_id", F.col("f.print").alias("print")), "near-stay")
+    # all columns of a row in one struct, so that none can clash with ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("print"))
+    kept = rows.join(stay.withColumnRenamed("print", "stays"), F.expr("id <=> doc_id AND print = stays"), "left_semi")
+    return kept.groupBy("id", "print").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")

@@ -84,6 +84,14 @@ def test_empty_and_one_of_each(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == [(1, "a b c d"), (3, "other words stand here"), (None, "only without id")]
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "id", "print", "row", "stays", "_id", "_print", "_stays", "node", "root"]
+    rows = [(i, t, *"abcdefghi") for i, t in ((1, "one two three four"), (2, "one two three four"), (3, None), (4, " "))]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names)))
+    assert kept.columns == names and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+    assert simhash.one_of_each(kept.limit(0)).columns == names
+
+
 def test_long_texts_are_hashed_in_parts(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(1000))
     whole = simhash.fingerprint(text)
@@ -91,21 +99,6 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
     assert simhash.fingerprint(text) == whole
 
 
-def test_wide_links_equal_brute_force(spark):
-    rng = random.Random(9)
-    rows = []
-    for _ in range(60):
-        a, b = rng.getrandbits(64), rng.getrandbits(64)
-        for _ in range(3):
-            flip = lambda x, n: x ^ sum(1 << i for i in rng.sample(range(64), n))
-            rows.append((len(rows), flip(a, rng.randrange(6)), flip(b, rng.randrange(9))))
-    rows += [(len(rows) + i, rows[0][1], rows[0][2]) for i in range(3)]
-    signed = [(i, *(x - (1 << 64) if x >> 63 else x for x in p)) for i, *p in rows]
-    found = {tuple(sorted((r.a, r.b))) for r in simhash.wide_links(spark.createDataFrame(signed, "node long, a long, b long")).collect()}
-    expected = {(i, j) for j, a2, b2 in rows for i, a1, b1 in rows if i < j and (a1 ^ a2).bit_count() <= 7 and (b1 ^ b2).bit_count() <= 11}
-    assert found == expected
-
-
 def test_edited_copies_go_and_others_stay(spark):
     rng = random.Random(12)
     words = [f"word{i}" for i in range(3000)]

@@ -4,9 +4,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kappaloom.llm import kneser_ney, mixing, simhash
+from kappaloom.llm import kneser_ney, mixing
 
-from .test_near import brute
+from .test_near import joined_by_similarity
 
 
 def corpus():
@@ -23,26 +23,6 @@ def corpus():
     return [(*r, len(r[1] or "")) for r in rows]
 
 
-def alike(a, b):
-    one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
-    return len(one & two) >= 0.8 * len(one | two)
-
-
-def first_of_groups(rows):
-    """Ids that stay: groups by three bits, their first documents joined by words, shingles and similarity, the smallest id of each."""
-    least = {i: c for i, _, c in brute([(r[0], r[1]) for r in rows])}
-    text = {r[0]: r[1] for r in rows}
-    heads = sorted(set(least.values()))
-    prints = {i: (simhash.fingerprint(text[i], 1, True), simhash.fingerprint(text[i])) for i in heads}
-    group = {i: i for i in heads}
-    for i in heads:
-        for j in heads:
-            if j < i and (prints[i][0] ^ prints[j][0]).bit_count() <= 7 and (prints[i][1] ^ prints[j][1]).bit_count() <= 11 and alike(text[i], text[j]):
-                a, b = group[i], group[j]
-                group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
-    return set(group.values())
-
-
 def test_pipeline_equals_its_parts_by_brute_force(spark, tmp_path):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -55,8 +35,8 @@ def test_pipeline_equals_its_parts_by_brute_force(spark, tmp_path):
     assert sorted(good) == sorted(r for r in rows if verdicts[r[0]])
     assert not verdicts[300] and not verdicts[301] and not verdicts[302]
 
-    first = {r[2] for r in brute([(r[0], r[1]) for r in good])}
-    single = sorted(r for r in good if r[0] in first_of_groups(good))
+    first = joined_by_similarity([(r[0], r[1]) for r in good])
+    single = sorted(r for r in good if r[0] in first)
     frame = spark.createDataFrame(good, docs.schema)
     found = corpus_pipeline.near_dedup(spark, frame, str(tmp_path))
     assert found.columns == docs.columns and sorted(map(tuple, found.collect())) == single
