@@ -2,8 +2,9 @@
 
 Reading resynchronises on frame headers, parses ID3v1, ID3v2 and APE tags and the
 Xing, Info and VBRI tables of variable-bitrate streams, verifies the CRC-16 of
-protected Layer I and III frames, and yields the exact number of samples and the
-offset of every frame.
+protected frames of all layers, and yields the exact number of samples, less the encoder's delay and padding where the
+table tells them, and the offset of every frame. The frame size of free-format streams is that to the next
+frame of the same kind.
 
 A payload is carried in the frames' ancillary bytes: Layer III frames of 48 kHz
 with empty granules have, behind header, checksum and side information, only
@@ -15,8 +16,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import pandas as pd
@@ -70,24 +71,27 @@ class Header:
     size: int
     samples: int
     side: int
+    mode: int
+    extension: int
 
 
 @lru_cache(1 << 12)
 def header(word: bytes) -> Header | None:
-    """What the four bytes of a frame header say; None if they are none. Free-format streams are not read."""
+    """What the four bytes of a frame header say; None if they are none. A free-format frame has no bitrate, and padding as its size."""
     if len(word) < 4 or word[0] != 0xFF or word[1] & 0xE0 != 0xE0:
         return None
     version, layer = word[1] >> 3 & 3, 4 - (word[1] >> 1 & 3)
     index, rate_index = word[2] >> 4, word[2] >> 2 & 3
-    if version == 1 or layer == 4 or index in (0, 15) or rate_index == 3 or word[3] & 3 == 2:
+    if version == 1 or layer == 4 or index == 15 or rate_index == 3 or word[3] & 3 == 2:
         return None
     first = version == 3
-    kbps, rate = BITRATES[1 if first else 2, layer][index - 1], RATES[version][rate_index]
-    padding, mono = word[2] >> 1 & 1, word[3] >> 6 == 3
+    kbps, rate = BITRATES[1 if first else 2, layer][index - 1] if index else 0, RATES[version][rate_index]
+    padding, mode = word[2] >> 1 & 1, word[3] >> 6
+    mono = mode == 3
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
     size = (12000 * kbps // rate + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + padding
     side = 0 if layer < 3 else (17 if mono else 32) if first else 9 if mono else 17
-    return Header(version, layer, not word[1] & 1, kbps, rate, 1 if mono else 2, size, samples, side)
+    return Header(version, layer, not word[1] & 1, kbps, rate, 1 if mono else 2, size, samples, side, mode, word[3] >> 4 & 3)
 
 
 @dataclass
@@ -99,6 +103,7 @@ class Stream:
     offsets: list[int] = field(default_factory=list)
     headers: list[Header] = field(default_factory=list)
     samples: int = 0
+    trimmed: int = 0
     rate: int = 0
     channels: int = 0
     crc_good: int = 0
@@ -107,7 +112,8 @@ class Stream:
 
     @property
     def seconds(self) -> float:
-        return self.samples / self.rate if self.rate else 0.0
+        """The exact duration: without the encoder's delay and padding."""
+        return max(0, self.samples - self.trimmed) / self.rate if self.rate else 0.0
 
 
 def _syncsafe(b: bytes) -> int:
@@ -184,17 +190,96 @@ def _table(data: bytes, at: int, h: Header) -> dict[str, object]:
                 i += 100
             if flags & 8:
                 out["quality"] = int.from_bytes(data[i : i + 4], "big")
+                i += 4
+            # the encoder's name, and behind it, twelve bits each, the samples that it put before and behind the sound
+            if i + 24 <= at + h.size and data[i : i + 4].isalnum():
+                out["encoder"] = data[i : i + 9].decode("latin-1").rstrip("\0 ")
+                both = int.from_bytes(data[i + 21 : i + 24], "big")
+                out["delay"], out["padding"] = both >> 12, both & 0xFFF
             return out
-    if data[at + 36 : at + 40] == b"VBRI" and h.layer == 3:
-        _, _, quality, size, frames, entries, scale, width, step = struct.unpack_from(">HHHIIHHHH", data, at + 40)
-        i = at + 62
-        toc = [scale * int.from_bytes(data[i + width * k : i + width * (k + 1)], "big") for k in range(entries)]
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "quality": quality, "toc": toc, "frames_a_step": step}
+    if data[at + 36 : at + 40] == b"VBRI" and h.layer == 3 and at + 62 <= at + h.size <= len(data):
+        _, delay, quality, size, frames, entries, scale, width, step = struct.unpack_from(">HHHIIHHHH", data, at + 40)
+        # no more entries than the frame has bytes for
+        part = data[at + 62 : at + h.size]
+        toc = [scale * int.from_bytes(part[width * k : width * (k + 1)], "big") for k in range(min(entries, len(part) // width if width else 0))]
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "quality": quality, "toc": toc, "frames_a_step": step, "delay": delay}
     return {}
 
 
 def _same(a: Header, b: Header | None) -> bool:
-    return b is not None and (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
+    return b is not None and (a.version, a.layer, a.rate, a.kbps == 0) == (b.version, b.layer, b.rate, b.kbps == 0)
+
+
+#: Bytes within which the next free-format frame must begin.
+FREE = 1 << 13
+
+
+def _free_size(data: bytes, at: int, end: int, h: Header) -> int:
+    """The bytes of a free-format stream's frames without padding: as far as the next frame of its kind, if a third, or the end, is as far again; else 0."""
+    padding = h.size
+    follow = at + 4
+    while 0 <= (follow := data.find(b"\xff", follow, min(end, at + FREE))):
+        other = header(data[follow : follow + 4])
+        if _same(h, other):
+            size = follow - at - padding
+            third = follow + size + other.size
+            if third == end or third + 4 <= end and _same(h, header(data[third : third + 4])):
+                return size
+        follow += 1
+    return 0
+
+
+def _bits(data: bytes, at: int) -> Callable[[int], int]:
+    """A reader of bits, zeros behind the end."""
+    place = 8 * at
+
+    def take(n: int) -> int:
+        nonlocal place
+        part = data[place // 8 : (place + n + 7) // 8].ljust((place + n + 7) // 8 - place // 8, b"\0")
+        out = int.from_bytes(part, "big") >> (-(place + n) % 8) & (1 << n) - 1
+        place += n
+        return out
+
+    return take
+
+
+def _allocation_bits(h: Header) -> list[int]:
+    """Layer II: how many bits each subband's allocation has."""
+    each = h.kbps // h.channels
+    if h.version != 3:
+        widths = ((4, 4), (7, 3), (19, 2))
+    elif each >= 56 or not each:
+        widths = ((11, 4), (12, 3), (4 if h.rate == 48000 or 56 <= each <= 80 else 7, 2))
+    else:
+        widths = ((2, 4), (10 if h.rate == 32000 else 6, 3))
+    return [w for n, w in widths for _ in range(n)]
+
+
+def covered_bits(data: bytes, at: int, h: Header) -> int:
+    """How many bits behind a frame's checksum it covers."""
+    bound = 4 * (h.extension + 1) if h.mode == 1 else 32
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (h.channels * bound + 32 - bound if h.channels == 2 else 32)
+    take, bits, filled = _bits(data, at + 6), 0, 0
+    for band, width in enumerate(_allocation_bits(h)):
+        # subbands of joint stereo share one allocation; each channel of a filled one has two bits of choice
+        for _ in range(h.channels if band < bound else 1):
+            bits += width
+            if take(width):
+                filled += 1 if band < bound else h.channels
+    return bits + 2 * filled
+
+
+def checksum(data: bytes, at: int, h: Header) -> int:
+    """The CRC-16 of a frame's header and of the bits behind the checksum that it covers."""
+    whole, rest = divmod(covered_bits(data, at, h), 8)
+    crc = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + whole])
+    last = data[at + 6 + whole] if rest and at + 6 + whole < len(data) else 0
+    for i in range(rest):
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ last >> 7 - i) & 1 else 0)) & 0xFFFF
+    return crc
 
 
 def read(data: bytes | None) -> Stream:
@@ -205,31 +290,33 @@ def read(data: bytes | None) -> Stream:
     """
     out, data = Stream(), data or b""
     end = _trailing_tags(data, out.tags)
-    at, locked = 0, None
+    at, locked, free = 0, None, 0
     while (after := _id3v2(data, at, out.tags)) > at:
         at = after
     while at < end:
         h = header(data[at : at + 4])
+        if h is not None and not h.kbps:
+            free = free or _free_size(data, at, end, h)
+            h = replace(h, size=h.size + free) if free else None
         fits = h is not None and at + h.size <= end
         if fits and not (locked and _same(locked, h)):
             # a first frame, or one behind a gap, needs a second frame behind it, or the end
-            fits = at + h.size == end or _same(h, header(data[at + h.size : at + h.size + 4]))
+            fits = at + h.size >= end or _same(h, header(data[at + h.size : at + h.size + 4]))
         if not fits:
             follow = data.find(b"\xff", at + 1, end)
             step = (follow if follow >= 0 else end) - at
             out.skipped += step
             at += step
-            locked = None
+            locked, free = None, 0
             continue
         assert h is not None
-        if h.protected and h.layer != 2:
-            covered = h.side if h.layer == 3 else 16 * h.channels
-            good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + covered]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.protected:
+            good = checksum(data, at, h) == int.from_bytes(data[at + 4 : at + 6], "big")
             out.crc_good += good
             out.crc_bad += not good
         table = {} if out.offsets or out.table else _table(data, at, h)
         if table:
-            out.table = table
+            out.table, out.trimmed = table, int(table.get("delay", 0)) + int(table.get("padding", 0))
         else:
             out.offsets.append(at)
             out.headers.append(h)
@@ -259,7 +346,8 @@ def write(payload: bytes, note: str = "") -> bytes:
     for f in frames:
         bounds.append(bounds[-1] + len(f))
     toc = bytes(min(255, 256 * bounds[len(frames) * i // 100] // max(1, total)) for i in range(100))
-    xing = b"Xing" + struct.pack(">III", 7, len(frames), total) + toc
+    # without delay and padding, as every frame is whole
+    xing = b"Xing" + struct.pack(">III", 7, len(frames), total) + toc + b"kappaloom" + bytes(15)
     notes = {"payload": f"{len(payload)} {zlib.crc32(payload)}", "note": note}
     tag = b""
     for key, value in notes.items():
@@ -282,10 +370,10 @@ def carried(data: bytes, stream: Stream) -> bytes:
 
 
 def feature(stream: Stream) -> str:
-    """One line: layer, rate, channels, samples, seconds, frames, mean kbit/s, checksums, skipped bytes, table."""
+    """One line: layer, rate, channels, samples, seconds, frames, mean kbit/s (by size and duration), checksums, skipped bytes, table."""
     if not stream.headers:
         return f"none;skipped={stream.skipped}"
-    h, kbps = stream.headers[0], sum(x.kbps for x in stream.headers) / len(stream.headers)
+    h, kbps = stream.headers[0], sum(x.size for x in stream.headers) * 8 * stream.rate / stream.samples / 1000
     version = {3: "1", 2: "2", 0: "2.5"}[h.version]
     return (
         f"mpeg{version}-layer{h.layer};rate={stream.rate};channels={stream.channels};samples={stream.samples};seconds={stream.seconds:.6f};frames={len(stream.headers)}"
@@ -336,12 +424,14 @@ def inspect(stored: DataFrame, media_column: str = "media") -> DataFrame:
             yield out.astype({c: "Int64" for c in ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes", "samples", "sample_rate")})
 
     looked = F.pandas_udf(look, SCHEMA)
-    return stored.withColumn("_seen", looked(media_column)).drop(media_column).select("*", "_seen.*").drop("_seen")
+    kept = [c for c in stored.columns if c != media_column]
+    return stored.select(F.struct(*kept).alias("row"), looked(media_column).alias("seen")).select("row.*", "seen.*")
 
 
 def media_features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Store every text as a stream in the shared folder, read the stored bytes back, and describe them.
+    """(doc_id, SCHEMA): store every text as a stream in the shared folder, read the stored bytes back, and describe them.
 
-    Repeated rows and null ids come out as they went in; an empty table gives none.
+    A null or empty text is UNIT spaces. Texts of any length are one stream. Repeated rows, ties and null ids come out as they went in; other
+    columns, whatever their names, are left out; an empty table gives none.
     """
     return inspect(staged(store(docs, id_column, text_column), "media"))
