@@ -2,7 +2,7 @@
 
 Every writing task makes an archive of gzip members, one for each record, and a
 run: the archive's index lines sorted by URL key and timestamp. Runs are divided
-at common splitter keys; a task takes one key range of all runs, which it reads
+at common splitter keys, within a URL's captures too; a task takes one key range of all runs, which it reads
 sequentially, and merges them with a loser tree. Beyond FAN_IN runs, groups of
 runs are first merged to longer ones. The ranges, in order, are the capture history.
 
@@ -24,13 +24,12 @@ from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, staged
+from .shared import fresh_path, opened, staged
 
-#: Bytes after which a task begins another archive; runs that a merge reads at once; URL keys that are told of a run, at most.
+#: Bytes after which a task begins another archive; runs that a merge reads at once; lines whose keys are told of a run, at most.
 ARCHIVE_BYTES, FAN_IN, TOLD = 256 << 20, 256, 64
 #: Lines of a range of the history that are aimed at, and splitter keys that are looked at, at most.
 RANGE_LINES, SAMPLE = 1 << 20, 100_000
@@ -96,7 +95,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 def members(url: str, chunk: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
     """Offset, length and content of every gzip member of an archive, read sequentially."""
-    system, path = fs.FileSystem.from_uri(url)
+    system, path = opened(url)
     with system.open_input_stream(path) as file:
         held, begin = file.read(chunk), 0
         while held:
@@ -170,20 +169,23 @@ def line_of(entry: dict) -> bytes:
     return f"{entry['url_key']} {entry['captured']} {json.dumps(entry, ensure_ascii=True, separators=(',', ':'))}\n".encode("utf-8", "surrogatepass")
 
 
+#: What lines are sorted by: URL key and timestamp, then what makes the order total, so that a URL's captures, however many, can be divided.
+KEY = {"url_key": pa.string(), "captured": pa.string(), "archive": pa.string(), "offset": pa.int64()}
+
+
 def sort_key(entry: dict) -> tuple:
-    """URL key, timestamp, then what makes the order total."""
-    return entry["url_key"], entry["captured"], entry["archive"], entry["offset"]
+    return tuple(entry[name] for name in KEY)
 
 
-def write_run(folder: str, entries: Iterator[dict]) -> tuple[str, int, list[str]]:
-    """Write sorted entries as a run: its url, the number of lines, and at most TOLD evenly spaced URL keys."""
-    system, path = fs.FileSystem.from_uri(folder)
+def write_run(folder: str, entries: Iterator[dict]) -> tuple[str, int, list[dict]]:
+    """Write sorted entries as a run: its url, the number of lines, and the keys of at most TOLD evenly spaced lines."""
+    system, path = opened(folder)
     name = f"{uuid.uuid4().hex}.cdxj"
     n, step, keys = 0, 1, []
     with system.open_output_stream(f"{path}/{name}") as out:
         for entry in entries:
             if n % step == 0:
-                keys.append(entry["url_key"])
+                keys.append({name: entry[name] for name in KEY})
                 if len(keys) > TOLD:
                     keys, step = keys[::2], 2 * step
             out.write(line_of(entry))
@@ -214,22 +216,22 @@ def _next_line(file, at: int, chunk: int = 4096) -> tuple[int, bytes]:  # noqa:
     return begin, line.partition(b"\n")[0]
 
 
-def first_line(file, low: str) -> int:  # noqa: ANN001
-    """The offset of a run's first line whose URL key is not below low, by halving the file."""
+def first_line(file, low: tuple) -> int:  # noqa: ANN001
+    """The offset of a run's first line whose key is not below low, by halving the file."""
     left, right = 0, file.size()
     while left < right:
         middle = (left + right) // 2
         begin, line = _next_line(file, middle)
-        if line and _entry(line)["url_key"] < low:
+        if line and sort_key(_entry(line)) < low:
             left = begin + 1
         else:
             right = middle
     return _next_line(file, left)[0]
 
 
-def read_run(url: str, low: str | None = None, high: str | None = None, chunk: int = 1 << 20) -> Iterator[dict]:
-    """The entries with low <= URL key < high, read sequentially."""
-    system, path = fs.FileSystem.from_uri(url)
+def read_run(url: str, low: tuple | None = None, high: tuple | None = None, chunk: int = 1 << 20) -> Iterator[dict]:
+    """The entries with low <= key < high, read sequentially."""
+    system, path = opened(url)
     with system.open_input_file(path) as file:
         file.seek(first_line(file, low) if low is not None else 0)
         rest = b""
@@ -237,13 +239,14 @@ def read_run(url: str, low: str | None = None, high: str | None = None, chunk: i
             *lines, rest = (rest + data).split(b"\n")
             for line in lines:
                 entry = _entry(line)
-                if high is not None and entry["url_key"] >= high:
+                if high is not None and sort_key(entry) >= high:
                     return
                 yield entry
 
 
-RUN = "url string, lines long, keys array<string>"
-_RUN = pa.schema([("url", pa.string()), ("lines", pa.int64()), ("keys", pa.list_(pa.string()))])
+_STRUCT = "struct<url_key:string,captured:string,archive:string,offset:bigint>"
+RUN = f"url string, lines long, keys array<{_STRUCT}>"
+_RUN = pa.schema([("url", pa.string()), ("lines", pa.int64()), ("keys", pa.list_(pa.struct(list(KEY.items()))))])
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -265,7 +268,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     paired = full.alias("p").join(again.alias("r"), F.expr("p.page_id <=> r.page_id AND p.sha = r.sha"), "left").select("p.page_id", "p.url", "p.html", "r.refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = fs.FileSystem.from_uri(folder)
+        system, path = opened(folder)
         made, entries, out, name, at = [], [], None, "", 0
 
         def close() -> None:
@@ -291,7 +294,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
         columns = [list(c) for c in zip(*made, strict=True)] or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *(f.type for f in _RUN)], strict=True)], ["archive", *_RUN.names])
 
-    system, path = fs.FileSystem.from_uri(folder)
+    system, path = opened(folder)
     system.create_dir(path, recursive=True)
     return staged(paired.mapInArrow(write, f"archive string, {RUN}"), "archives")
 
@@ -331,7 +334,8 @@ def _merged(runs: DataFrame, jobs: DataFrame, folder: str) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                parts = [read_run(url, row["low"], row["high"]) for url in sorted(row["runs"])]
+                low, high = (row[x] and sort_key(row[x]) for x in ("low", "high"))
+                parts = [read_run(url, low, high) for url in sorted(row["runs"])]
                 url, n, keys = write_run(folder, (entry for entry, _ in LoserTree(parts, sort_key)))
                 yield pa.RecordBatch.from_arrays([pa.array([row["job"]], pa.int64()), *(pa.array([v], t.type) for v, t in zip((url, n, keys), _RUN, strict=True))], ["job", *_RUN.names])
 
@@ -346,16 +350,16 @@ def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN, range_lines:
     """
     spark = runs.sparkSession
     runs = runs.select("url", "lines", "keys")
-    none = "CAST(NULL AS string)"
+    none = f"CAST(NULL AS {_STRUCT})"
     while (n := runs.count()) > fan_in:
         grouped = runs.selectExpr("*", f"pmod(xxhash64(url), {-(-n // (fan_in // 2 or 1))}) AS part")
         runs = _merged(grouped, grouped.selectExpr("part").distinct().selectExpr("part", "part AS job", f"{none} AS low", f"{none} AS high"), folder).drop("job")
     lines = runs.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
-    wanted = max(1, min(4096, max(-(-lines // range_lines), int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    sample = sorted(r[0] for r in runs.select(F.explode("keys").alias("key")).orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect())
+    wanted = max(1, -(-lines // range_lines), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sample = sorted(tuple(r[0]) for r in runs.select(F.explode("keys").alias("key")).orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect())
     cuts = sorted({sample[len(sample) * i // wanted] for i in range(1, wanted)}) if sample else []
     bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
-    jobs = spark.createDataFrame([(0, i, low, high) for i, (low, high) in enumerate(bounds)], "part int, job long, low string, high string")
+    jobs = spark.createDataFrame([(0, i, low, high) for i, (low, high) in enumerate(bounds)], f"part int, job long, low {_STRUCT}, high {_STRUCT}")
     return _merged(runs.withColumn("part", F.lit(0)), jobs, folder).withColumnRenamed("job", "range")
 
 
@@ -379,7 +383,9 @@ def read_history(history: DataFrame) -> DataFrame:
 def capture_table(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write the pages as archives in the shared folder and read them back, with each record's place in the capture history.
 
-    Repeated rows give repeated records; an empty table gives none; other columns are left out.
+    A null html is an empty payload; null ids and urls are records too. Repeated rows give repeated records, and ties of key and time
+    are ordered by archive and offset; payloads of any length are one record; an empty table gives none; other columns, whatever
+    their names, are left out.
     """
     folder = fresh_path(pages.sparkSession, "warc")
     archives = write_archives(pages, folder, least_bytes)

@@ -25,10 +25,10 @@ def test_a_run_is_entered_by_halving(tmp_path_factory, names, low):
     entries = [{"url_key": warc.url_key(f"http://h/{n}"), "captured": "1", "archive": "x" * (i % 7 * 900), "offset": i} for i, n in enumerate(names)]
     entries.sort(key=warc.sort_key)
     url, n, keys = warc.write_run(folder, iter(entries))
-    key = warc.url_key(f"http://h/{low}")
+    key = (warc.url_key(f"http://h/{low}"), "1", "x" * len(low), len(low))
     assert n == len(entries) and list(warc.read_run(url)) == entries and len(keys) <= warc.TOLD
-    assert list(warc.read_run(url, key, None, chunk=50)) == [e for e in entries if e["url_key"] >= key]
-    assert list(warc.read_run(url, None, key)) == [e for e in entries if e["url_key"] < key]
+    assert list(warc.read_run(url, key, None, chunk=50)) == [e for e in entries if warc.sort_key(e) >= key]
+    assert list(warc.read_run(url, None, key)) == [e for e in entries if warc.sort_key(e) < key]
 
 
 def test_records_round_trip(tmp_path):
@@ -87,3 +87,14 @@ def test_damage_is_found(spark, tmp_path):
         raise AssertionError("damage went unseen")
     except Exception as e:
         assert "Error" in str(e)
+
+
+def test_the_captures_of_one_url_are_divided(spark):
+    folder = warc.fresh_path(spark, "runs")
+    rows = spark.range(300).selectExpr("id % 2 AS page_id", "IF(id % 3 > 0, 'http://hot.org/', concat('http://h.org/', id)) AS url", "CAST(id AS string) AS html").repartition(3)
+    archives = warc.write_archives(rows, folder)
+    history = warc.merge_runs(archives, folder, range_lines=20)
+    assert max(r.lines for r in history.collect()) <= 60
+    found = sorted(warc.read_history(history).collect(), key=lambda r: r.position)
+    keys = [(r.url_key, r.captured, r.archive, r.offset) for r in found]
+    assert len(set(keys)) == 300 and keys == sorted(keys)
