@@ -5,42 +5,61 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Python's white space in Java's syntax; the four separators are no white space to Java.
 SPACE = r"\s\x1c-\x1f"
-#: Runs of white space or of anything else, in turn.
-RUNS = rf"(?U)[{SPACE}]+|[^{SPACE}]+"
-#: Letters, digits and underscores of the languages at hand, for the borders of whole words.
-WORD = r"\wÀ-ÖØ-öø-ÿ"
-
-
-_TOKEN = re.compile(r"\S+")
+#: What a whole word has none of beside it: letters, digits and underscores of any script, in Java's syntax.
+WORD = r"\p{L}\p{N}_"
+#: Every code point that is white space lies below this one.
+BEYOND_SPACE = 0x3001
+_IS_SPACE = np.array([chr(i).isspace() for i in range(BEYOND_SPACE)])
 
 
 #: Types are spelled out, since a type's name is read by a session, which there may not be yet.
 TOKENS = T.ArrayType(T.StructType([T.StructField("token_id", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())]))
 
 
-@F.pandas_udf(TOKENS)
-def tokens(texts: pd.Series) -> pd.Series:
-    """Maximal runs of other than white space: ids from 1, half-open offsets in code points.
+def token_lists(texts: pa.Array) -> pa.Array:
+    """The tokens of a column of texts as one flat array of structs and its offsets.
 
-    Offsets are running sums, which higher-order functions build in quadratic time only.
+    All texts are laid out as one row of code points, a space behind each. Where white space ends or begins, a token
+    begins or ends; what is left without the white space is the tokens' bytes.
     """
-    return texts.map(lambda t: [{"token_id": i, "text": m[0], "char_start": m.start(), "char_end": m.end()} for i, m in enumerate(_TOKEN.finditer(t or ""), 1)])
+    texts = pc.fill_null(texts, "")
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = np.frombuffer(" ".join([*texts.to_pylist(), ""]).encode("utf-32-le"), np.uint32)
+    space = _IS_SPACE[np.minimum(points, BEYOND_SPACE - 1)] & (points < BEYOND_SPACE)
+    turns = np.flatnonzero(np.diff(np.r_[True, space, True]))
+    starts, ends = turns[::2], turns[1::2]
+    rows = np.cumsum(sizes + 1) - sizes - 1
+    owner = np.searchsorted(rows, starts, "right") - 1
+    first = np.searchsorted(starts, np.r_[rows, len(points)])
+    left = points[~space]
+    bytes_of = 1 + (left > 0x7F) + (left > 0x7FF) + (left > 0xFFFF)
+    upto = np.r_[0, np.cumsum(bytes_of)][np.r_[0, np.cumsum(ends - starts)]]
+    data = left.tobytes().decode("utf-32-le").encode()
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data)])
+    numbers = np.arange(len(starts)) - first[owner] + 1
+    fields = [pa.array(numbers, pa.int32()), words, pa.array(starts - rows[owner], pa.int32()), pa.array(ends - rows[owner], pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays(fields, TOKENS.elementType.names))
+
+
+@F.arrow_udf(TOKENS)
+def tokens(texts: pa.Array) -> pa.Array:
+    """Maximal runs of other than white space: ids from 1, half-open offsets in code points."""
+    return token_lists(texts)
 
 
 def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token_id, text, char_start, char_end), a row a token, from a frame whose key is unique."""
-    runs = df.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(RUNS), F.lit(0))).alias("_i", "_run"))
-    upto = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    placed = runs.withColumn("char_end", F.sum(F.length("_run")).over(upto).cast("int")).where(~F.col("_run").rlike(rf"(?U)^[{SPACE}]"))
-    numbered_rows = placed.withColumn("token_id", F.row_number().over(Window.partitionBy(key).orderBy("_i")))
-    return numbered_rows.select(key, "token_id", F.col("_run").alias("text"), (F.col("char_end") - F.length("_run")).alias("char_start"), "char_end")
+    """(key, token_id, text, char_start, char_end), a row a token. A text's tokens come out of one batch: nothing is shuffled or sorted."""
+    return df.select(key, F.explode(tokens(F.col(text))).alias("t")).select(key, "t.*")
 
 
 def token_span(text: Column, start: Column, end: Column) -> Column:

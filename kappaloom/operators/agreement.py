@@ -7,6 +7,7 @@ conditional aggregate, so any number of them is one pass with partial sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ class Policy:
 
     eligible: "both" scores spans where both sides are not neutral, "same" where
     they also agree. chance_one: kappa where the expected agreement is 1: "one" gives 1, "zero" 0, "nan" NaN,
-    "exact" 1 if the agreement is 1 and else NaN.
+    "exact" 1 if the agreement is 1 and else NaN, "raise" 1 if the agreement is 1 and else an error.
     """
 
     eligible: str = "both"
@@ -45,16 +46,40 @@ def accuracy() -> Column:
     return F.try_divide(F.count_if(F.col("gold") == F.col("pred")).cast("double"), F.count("*"))
 
 
-def kappa(policy: Policy = Policy()) -> Column:
+def _counted(weight: Column | None) -> tuple[Column, Callable[[Column], Column]]:
+    """The number of rows, and of those for which something holds; each row counts as often as its weight says."""
+    if weight is None:
+        return F.count("*"), F.count_if
+    return F.sum(weight), lambda c: F.coalesce(F.sum(F.when(c, weight)), F.lit(0))
+
+
+def kappa(policy: Policy = Policy(), weight: Column | None = None) -> Column:
     """Cohen's kappa over the fixed labels."""
-    n = F.nullif(F.count("*"), F.lit(0)).cast("double")
-    observed = F.count_if(F.col("gold") == F.col("pred")) / n
-    chance = sum((F.count_if(F.col("gold") == x) / n * (F.count_if(F.col("pred") == x) / n) for x in LABELS), F.lit(0.0))
+    all_, number = _counted(weight)
+    n = F.nullif(all_, F.lit(0)).cast("double")
+    observed = number(F.col("gold") == F.col("pred")) / n
+    chance = sum((number(F.col("gold") == x) / n * (number(F.col("pred") == x) / n) for x in LABELS), F.lit(0.0))
     nan, one = F.lit(float("nan")), F.lit(1.0)
-    at_one = {"one": one, "zero": F.lit(0.0), "nan": nan, "exact": F.when(observed == 1.0, one).otherwise(nan)}[policy.chance_one]
+    undefined = F.raise_error(F.lit("kappa is undefined: the expected agreement is 1")).cast("double")
+    at_one = {"one": one, "zero": F.lit(0.0), "nan": nan, "exact": F.when(observed == 1.0, one).otherwise(nan), "raise": F.when(observed == 1.0, one).otherwise(undefined)}[policy.chance_one]
     return F.when(chance == 1.0, at_one).otherwise(F.try_divide(observed - chance, 1 - chance))
 
 
+def weighted_accuracy(pred: str, weight: Column) -> Column:
+    all_, number = _counted(weight)
+    return number(F.col("gold") == F.col(pred)) / all_
+
+
+def weighted_macro_f1(pred: str, weight: Column) -> Column:
+    """The mean of the labels' F1, each 0 where it has no denominator, of rows with weights."""
+    _, number = _counted(weight)
+    f1 = []
+    for x in LABELS:
+        both, either = number((F.col("gold") == x) & (F.col(pred) == x)), number(F.col("gold") == x) + number(F.col(pred) == x)
+        f1.append(F.coalesce(F.try_divide(2.0 * both, either), F.lit(0.0)))
+    return sum(f1, F.lit(0.0)) / len(LABELS)
+
+
 def rationale(policy: Policy, suffix: str = "") -> list[Column]:
     """Number of eligible spans, and the means of their scores (null without any)."""
     ok = eligible(policy)
@@ -111,6 +136,26 @@ def averaged(classes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return classes.groupBy(*keys).agg(*[F.avg(x).alias(f"macro_{x}") for x in names], *weighted, F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"))
 
 
+def eligible_ids(df: DataFrame, id_column: str = "id", policy: Policy = Policy()) -> DataFrame:
+    """(id, token_f1, iou, exact) of the rows whose spans count."""
+    return scored(df).where(eligible(policy)).select(id_column, "token_f1", "iou", "exact")
+
+
+def neutral_disagreements(df: DataFrame) -> DataFrame:
+    """One row: neutral on one side alone, by side, and neutral on both with a span on the predicted side."""
+    gold, pred = F.col("gold") == NEUTRAL, F.col("pred") == NEUTRAL
+    span = F.col("pred_start").isNotNull() | F.col("pred_end").isNotNull()
+    return df.agg(F.count_if(gold & ~pred).alias("gold_neutral_only"), F.count_if(~gold & pred).alias("pred_neutral_only"), F.count_if(gold & pred & span).alias("neutral_with_span"))
+
+
+def written_confusion(df: DataFrame, path: str) -> None:
+    """confusion() as one CSV file in the labels' order, with a header whose first cell is empty of a label."""
+    from ..sources.files import write_csv
+
+    at = F.array_position(F.array(*map(F.lit, LABELS)), F.col("gold"))
+    write_csv([confusion(df).orderBy(at).coalesce(1)], path)
+
+
 def disagreements(df: DataFrame) -> DataFrame:
     """The rows whose label differs or whose span is not the same, with both verdicts."""
     return scored(df).withColumn("label_agreement", F.col("gold") == F.col("pred")).where(~F.col("label_agreement") | ~F.col("exact"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import order_key
+from .order import hash_numbered
+
 
 def report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(side, n, first_key): how many keys are on both sides, or on one only."""
@@ -13,12 +16,35 @@ def report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return joined.groupBy(side.alias("side")).agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
 
 
+class Misaligned(ValueError):
+    """Two sets that should have the same keys: names some of those that are missing on either side."""
+
+
+def strict(left: DataFrame, right: DataFrame, key: str, told: int = 20) -> DataFrame:
+    """Both sides' columns, the right ones with the suffix _2, one row a key in key order; different or repeated keys are an error that names up to `told` of each side."""
+    sides = [df.groupBy(key).agg(F.count("*").alias(f"_n{i}")) for i, df in enumerate((left, right))]
+    counted = sides[0].join(sides[1], key, "full_outer").na.fill(0, ["_n0", "_n1"]).where("_n0 <> 1 OR _n1 <> 1")
+    kind = F.when(F.col("_n1") == 0, "missing on the right").when(F.col("_n0") == 0, "missing on the left").otherwise("repeated")
+    first = F.row_number().over(Window.partitionBy("kind").orderBy(key))
+    wrong = counted.withColumn("kind", kind).withColumn("_r", first).where(F.col("_r") <= told).orderBy("kind", key).collect()
+    if wrong:
+        kinds = sorted({r.kind for r in wrong})
+        raise Misaligned("; ".join(f"{k}: {', '.join(str(r[key]) for r in wrong if r.kind == k)}" for k in kinds))
+    renamed = right.select(key, *[F.col(c).alias(f"{c}_2") for c in right.columns if c != key])
+    return left.join(renamed, key).orderBy(key)
+
+
+def in_order(gold: DataFrame, other: DataFrame, key: str, position: str) -> DataFrame:
+    """As strict(), in the order of gold's position."""
+    return strict(gold, other, key).orderBy(position)
+
+
 def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done, key, "left_anti")
 
 
 def by_content(df: DataFrame, key: Column, id_column: str) -> DataFrame:
-    """(key, n, ids): rows of equal content, with all their ids in order."""
+    """(key, n, ids): rows of equal content, with all their ids in order; an array is as large as its group, whose members can also be had by join on the key."""
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(id_column)).alias("ids"))
 
 
@@ -26,13 +52,14 @@ def shifted_partners(df: DataFrame, id_column: str, group: str) -> DataFrame:
     """(id, group, partner, partner_group): everyone is given a partner of another group, each row once.
 
     Rows are numbered in group order and shifted by the size of the largest group,
-    which leads out of every group if no group holds more than half of the rows.
-    The numbers are built from the groups' sizes, so no task sees all rows.
+    which leads out of every group if no group holds more than half of the rows; where one does,
+    there is no such pairing, and that is an error. The numbers are built from the groups' sizes, so no task sees all rows.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     starts = sizes.select(group, (F.sum("_n").over(Window.orderBy(group)) - F.col("_n")).alias("_start"))  # one row a group
     whole = sizes.agg(F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
-    inside = F.row_number().over(Window.partitionBy(group).orderBy(id_column)) - 1
-    placed = df.select(id_column, group, inside.alias("_i")).join(starts, group).join(F.broadcast(whole)).withColumn("_at", F.col("_start") + F.col("_i"))
+    whole = whole.withColumn("_most", F.when(F.col("_most") * 2 <= F.col("_all"), F.col("_most")).otherwise(F.raise_error(F.lit("a group holds more than half of the rows"))))
+    inside = hash_numbered(df.select(id_column, group), [group], order_key("pairs", F.col(id_column)), id_column, "_i")
+    placed = inside.join(starts, group).join(F.broadcast(whole)).withColumn("_at", F.col("_start") + F.col("_i"))
     partners = placed.select(F.col(id_column).alias("partner"), F.col(group).alias("partner_group"), F.col("_at").alias("_to"))
     return placed.withColumn("_to", F.pmod(F.col("_at") + F.col("_most"), F.col("_all"))).join(partners, "_to").select(id_column, group, "partner", "partner_group")

@@ -69,3 +69,17 @@ def over_windows(df: DataFrame, instance: str, window: str, probabilities: str,
     rows = df.withColumn("_m", means).withColumn("label_index", F.array_position("_m", F.array_max("_m")).cast("int"))
     best = F.struct((-F.round(F.element_at(probabilities, F.col("label_index")), 9)).alias("p"), F.col(window).alias("w"))
     return rows.groupBy(instance, "label_index").agg(F.min(best)["w"].cast("long").alias("span_window"))
+
+
+def over_scored_windows(df: DataFrame, instance: str, window: str, probabilities: str, score: str, first: str, last: str, neutral: int, classes: int = 3) -> DataFrame:
+    """(instance, label_index from 1, span_window, first, last): the class of the first window's highest probability, and the span of the window whose span scores highest.
+
+    The label is an instance's, so each of its windows has the same probabilities. The index `neutral` has no span. Scores are compared at nine
+    places; ties go to the first window.
+    """
+    p = F.array(*[F.round(F.element_at(probabilities, i + 1), 9) for i in range(classes)])
+    label = F.array_position(p, F.array_max(p)).cast("int")
+    best = F.min(F.struct((-F.round(score, 9)).alias("s"), F.col(window).alias("w"), F.col(first).alias("a"), F.col(last).alias("b")))
+    rows = df.groupBy(instance).agg(F.min(F.struct(F.col(window).alias("w"), label.alias("l")))["l"].alias("label_index"), best.alias("best"))
+    span = lambda c: F.when(F.col("label_index") != neutral, F.col(f"best.{c}")).cast("long")
+    return rows.select(instance, "label_index", span("w").alias("span_window"), span("a").alias(first), span("b").alias(last))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
 from ..functions.numeric import largest_remainder
+from ..sources.shared import staged
 from .components import connected
+from .order import hash_numbered
 
 
 def grouped(df: DataFrame, id_column: str, keys: dict[str, Column]) -> DataFrame:
@@ -114,22 +116,40 @@ def assign_splits(members: DataFrame, targets: DataFrame, label: str, restarts:
             bounds.append((kind, names[s], at, at + n))
             at += n
     plan = spark.createDataFrame(bounds or [("", "", 0, 0)], "kind string, split string, low long, high long")
-    ranked = shape.select("group", "kind", (F.row_number().over(Window.partitionBy("kind").orderBy(order_key(seed, F.col("group")), "group")) - 1).alias("i"))
+    ranked = hash_numbered(shape.select("group", "kind"), ["kind"], order_key(seed, F.col("group")), "group", "i")
     return ranked.join(plan, "kind").where("i >= low AND i < high").select("group", "split")
 
 
-def folds(members: DataFrame, n: int, seed: int | str) -> DataFrame:
-    """(group, fold): groups to folds of nearly equal rows: largest first, dealt forth and back."""
-    sizes = members.groupBy("group").agg(F.count("*").alias("n"))
-    # sizes repeat, so numbers are built from the few sizes there are, and inside a size by hash
-    of_size = sizes.groupBy("n").agg(F.count("*").alias("c"))
-    starts = of_size.select("n", (F.sum("c").over(Window.orderBy(F.desc("n"))) - F.col("c")).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("n").orderBy(order_key(seed, F.col("group")), "group")) - 1
-    at = sizes.withColumn("i", inside).join(starts, "n").withColumn("at", F.col("start") + F.col("i"))
+def folds(members: DataFrame, n: int, seed: int | str, label: str | None = None) -> DataFrame:
+    """(group, fold): whole groups to folds of nearly equal rows and, with a label column, of nearly equal labels.
+
+    Groups are laid out largest first and, among equals, by their counts of labels, and dealt forth and back: those that are alike
+    stand together and so spread over all folds. Their numbers are built from the kinds' sizes, and inside a kind by hash.
+    """
+    if label is None:
+        shape = members.groupBy("group").agg(F.count("*").alias("size"), F.lit("").alias("kind"))
+    else:
+        per = members.groupBy("group", label).agg(F.count("*").alias("c")).withColumn("c", F.concat_ws(":", F.col(label).cast("string"), F.col("c").cast("string")))
+        shape = members.groupBy("group").agg(F.count("*").alias("size")).join(per.groupBy("group").agg(F.array_join(F.array_sort(F.collect_list("c")), ",").alias("kind")), "group")
+    of_kind = shape.groupBy("size", "kind").agg(F.count("*").alias("c"))
+    starts = of_kind.select("size", "kind", (F.sum("c").over(Window.orderBy(F.desc("size"), "kind")) - F.col("c")).alias("start"))  # one row a kind
+    inside = hash_numbered(shape, ["size", "kind"], order_key(seed, F.col("group")), "group", "i")
+    at = inside.join(starts, ["size", "kind"]).withColumn("at", F.col("start") + F.col("i"))
     there = F.pmod("at", F.lit(n))
     return at.select("group", F.when(F.pmod(F.floor(F.col("at") / n), F.lit(2)) == 0, there).otherwise(n - 1 - there).cast("long").alias("fold"))
 
 
+def nested_folds(members: DataFrame, outer: int, inner: int, seed: int | str, label: str) -> DataFrame:
+    """(group, fold, held, inner_fold): for every outer fold that is held out, the inner fold of each other group."""
+    outside = staged(folds(members, outer, seed, label), "outer-folds")
+    out = None
+    for k in range(outer):
+        rest = members.join(outside.where(F.col("fold") != k).select("group"), "group")
+        part = folds(rest, inner, f"{seed}|{k}", label).withColumnRenamed("fold", "inner_fold").withColumn("held", F.lit(k).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return outside.join(out, "group").select("group", "fold", "held", "inner_fold")
+
+
 def one_row_a_key(df: DataFrame, id_column: str, key: str, label: str, target: int, seed: int | str) -> DataFrame:
     """Up to `target` rows of each label, no key twice: (id, key, label).
 
@@ -149,10 +169,10 @@ def one_row_a_key(df: DataFrame, id_column: str, key: str, label: str, target: i
                 bounds.append((o, x, at, at + n))
                 at += n
     plan = df.sparkSession.createDataFrame(bounds or [("", "", 0, 0)], f"offer string, {label} string, low long, high long")
-    ranked = offers.withColumn("i", F.row_number().over(Window.partitionBy("offer").orderBy(order_key(seed, F.col(key)), key)) - 1)
+    ranked = hash_numbered(offers, ["offer"], order_key(seed, F.col(key)), key, "i")
     chosen = ranked.join(plan, "offer").where("i >= low AND i < high").select(key, label)
-    first = F.row_number().over(Window.partitionBy(key, label).orderBy(order_key(seed, F.col(id_column)), id_column))
-    return df.join(chosen, [key, label]).withColumn("_r", first).where("_r = 1").select(id_column, key, label)
+    # the least by hash, by partial aggregates: a key may have very many rows
+    return df.join(chosen, [key, label]).groupBy(key, label).agg(F.min(F.struct(order_key(seed, F.col(id_column)).alias("h"), F.col(id_column).alias("id")))["id"].alias(id_column)).select(id_column, key, label)
 
 
 def _max_flow(labels: list[str], sets: list[str], counts: dict[str, int], target: int) -> dict[tuple[str, str], int]:

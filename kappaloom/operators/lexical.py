@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+from .order import hash_numbered, indexed
+
 #: What counts as a term: letters and digits, the accented ones of western languages included.
 TERM = "[a-z0-9à-öø-ÿ]+"
+_TERM = re.compile(TERM)
 
 
 def term_counts(df: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -19,6 +28,43 @@ def term_counts(df: DataFrame, id_column: str, text: str) -> DataFrame:
     return terms.groupBy(id_column, "term").agg(F.count("*").alias("tf"))
 
 
+def word_grams(text: str, most: int = 2) -> Iterator[str]:
+    """The runs of 1 to `most` terms of a lower-cased text, joined by a space, w before them."""
+    words = _TERM.findall(text)
+    for n in range(1, most + 1):
+        yield from ("w " + " ".join(run) for run in zip(*(words[i:] for i in range(n)), strict=False))
+
+
+def bordered_grams(text: str, least: int = 3, most: int = 5) -> Iterator[str]:
+    """The runs of `least` to `most` characters inside a lower-cased text's words, of which each has a space on both sides; c before them.
+
+    A word that is no longer than a run, spaces included, gives it once and none that is longer.
+    """
+    for word, times in Counter(text.split()).items():
+        padded = f" {word} "
+        for n in range(least, min(most, max(least, len(padded))) + 1):
+            for i in range(max(1, len(padded) - n + 1)):
+                run = "c" + padded[i : i + n]
+                for _ in range(times):
+                    yield run
+
+
+def gram_counts(df: DataFrame, id_column: str, text: Column) -> DataFrame:
+    """(id, term, tf) of a text's word runs and bordered character runs. Counted text by text: arrays of all runs in expressions take thirty times as long."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, value in enumerate(batch.column("t").to_pylist()):
+                low = (value or "").lower()
+                found = Counter(word_grams(low))
+                found.update(bordered_grams(low))
+                if found:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(found))), pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], [id_column, "term", "tf"])
+
+    schema = f"`{id_column}` {dict(df.dtypes)[id_column]}, term string, tf long"
+    return df.select(id_column, text.cast("string").alias("t")).mapInArrow(count, schema)
+
+
 def inverse_frequencies(counts: DataFrame, documents: DataFrame, least: int = 2) -> DataFrame:
     """(term, idf): ln((1 + n) / (1 + df)) + 1 of the terms in at least so many of the n documents."""
     n = documents.agg(F.count("*").alias("n"))
@@ -50,62 +96,150 @@ def token_windows(df: DataFrame, id_column: str, words: Column, size: int, strid
     return starts.select(id_column, "window", (F.col("at") + 1).alias("first"), last.alias("last"), F.slice("_w", F.col("at") + 1, last - F.col("at")).alias("words"))
 
 
-def window_batches(sizes: DataFrame, id_column: str, windows: str, shard: str, most_items: int, budget: int) -> DataFrame:
-    """(id, shard, batch): items in id order fill a batch until the next would exceed its number of items or of windows.
+def supervised_windows(windows: DataFrame, gold: DataFrame, id_column: str) -> DataFrame:
+    """windows with start and end: where the gold span stands in a window that holds all of it, from 1 inside the window; null in other windows.
 
-    The filling is sequential inside a shard, which should be of bounded size.
+    gold (id, gold_first, gold_last): token numbers from 1 in the whole text, null for a neutral. Adds positive, the number of the text's windows with the
+    span: a span with none is longer than a window, or fell between two, which a caller may refuse.
     """
+    met = windows.join(gold, id_column, "left")
+    inside = (F.col("gold_first") >= F.col("first")) & (F.col("gold_last") <= F.col("last"))
+    place = lambda c: F.when(inside, F.col(c) - F.col("first") + 1)
+    marked = met.withColumns({"start": place("gold_first"), "end": place("gold_last")})
+    positive = marked.groupBy(id_column).agg(F.count("start").alias("positive"))
+    return marked.join(positive, id_column).drop("gold_first", "gold_last")
 
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        out, batch, items, used = [], 0, 0, 0
-        for n in part.sort_values(id_column)[windows]:
-            if items and (items == most_items or used + n > budget):
-                batch, items, used = batch + 1, 0, 0
-            items, used = items + 1, used + n
-            out.append(batch)
-        done = part.sort_values(id_column)[[id_column, shard]].copy()
-        done["batch"] = out
-        return done
-
-    return sizes.select(id_column, windows, shard).groupBy(shard).applyInPandas(fill, f"{id_column} long, {shard} long, batch long")
 
+def window_batches(sizes: DataFrame, id_column: str, windows: str, most_items: int, budget: int, block: int = 100_000) -> DataFrame:
+    """(id, batch): items in id order fill a batch until the next would exceed its number of items or of windows; one of more windows than the budget fills one alone.
 
-def out_of_fold(df: DataFrame, terms: Column, label: str, fold: str, folds: int, grid: tuple[float, ...] = (0.01, 0.1), features: int = 1 << 14) -> DataFrame:
-    """Adds probability of class 1, by a logistic model that has not seen the row's fold; the penalty is chosen on another fold.
-
-    The models are trained on all other rows; the loop is over folds and penalties, not rows.
+    Filling is sequential, but a batch holds most_items items at most: so the first batch that begins in a block of
+    items begins at one of its first most_items places. For each of these, every block tells, in parallel, where its last batch ends in the next
+    block and how many batches it has; these few numbers are followed from block to block, and every block is filled from its own first place.
     """
-    hashed = HashingTF(inputCol="_terms", outputCol="_x", numFeatures=features).transform(df.withColumn("_terms", terms)).drop("_terms").cache()
-    balance = hashed.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.5
-    hashed = hashed.withColumn("_weight", F.when(F.col(label) == 1, 0.5 / max(balance, 1e-9)).otherwise(0.5 / max(1 - balance, 1e-9)))
-    out = []
-    for k in range(folds):
-        rest, held = hashed.where(F.col(fold) != k), hashed.where(F.col(fold) == k)
-        inner = (k + 1) % folds
-
-        def model(rows: DataFrame, penalty: float):
-            return LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_weight", regParam=penalty, maxIter=20).fit(rows)
+    numbered = indexed(sizes.select(id_column, F.col(windows).alias("n")), [id_column], "at")
+    placed = staged(numbered.withColumn("block", F.expr(f"at DIV {block}")), "window-sizes")
+    # a block sees the next one's first places too, where its last batch may end
+    seen = placed.unionByName(placed.where((F.col("at") % block < most_items) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1))
+
+    def ends(counts: list[int], begin: int) -> int:
+        """Where a batch that begins at a place ends."""
+        used, at = 0, begin
+        while at < len(counts) and at - begin < most_items and (at == begin or used + counts[at] <= budget):
+            used += counts[at]
+            at += 1
+        return at
+
+    def own(part: pd.DataFrame) -> tuple[list[int], int]:
+        part = part.sort_values("at")
+        return part["n"].tolist(), int((part["at"] < (part["block"].iloc[0] + 1) * block).sum())
+
+    def follow(part: pd.DataFrame) -> pd.DataFrame:
+        counts, size = own(part)
+        to = {i: ends(counts, i) for i in range(size)}
+        # from the last place back: where the batches from each place leave the block, and how many they are
+        leaves: dict[int, tuple[int, int]] = {}
+        for i in range(size - 1, -1, -1):
+            at, k = leaves[to[i]] if to[i] < size else (to[i] - size, 0)
+            leaves[i] = (at, k + 1)
+        rows = [(int(part["block"].iloc[0]), i, *(leaves[i] if i < size else (i - size, 0))) for i in range(most_items)]
+        return pd.DataFrame(rows, columns=["block", "enter", "leave", "batches"])
+
+    hops = seen.groupBy("block").applyInPandas(follow, "block long, enter long, leave long, batches long")
+
+    def chain(part: pd.DataFrame) -> pd.DataFrame:
+        table = {(b, e): (leave, k) for b, e, leave, k in part.itertuples(index=False)}
+        enter, before, rows = 0, 0, []
+        for b in sorted(part["block"].unique().tolist()):
+            rows.append((b, enter, before))
+            enter, k = table[b, enter]
+            before += k
+        return pd.DataFrame(rows, columns=["block", "enter", "before"])
+
+    entered = hops.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda p: chain(p.drop(columns="_all")), "block long, enter long, before long")  # most_items rows a block
 
-        def right(penalty: float, rest: DataFrame = rest, inner: int = inner) -> float:
-            tried = model(rest.where(F.col(fold) != inner), penalty).transform(rest.where(F.col(fold) == inner))
-            return tried.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0] or 0.0
-
-        best = max(grid, key=right) if len(grid) > 1 and folds > 2 else grid[0]
-        out.append(model(rest, best).transform(held).withColumn("probability", F.element_at(vector_to_array("probability"), 2)).drop("_x", "_weight", "rawPrediction", "prediction"))
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        counts, size = own(part)
+        enter, before = int(part["enter"].iloc[0]), int(part["before"].iloc[0])
+        batch = [before - 1] * size  # what stands before the first place belongs to the batch that came in
+        at, k = enter, before
+        while at < size:
+            stop = ends(counts, at)
+            batch[at : min(stop, size)] = [k] * (min(stop, size) - at)
+            at, k = stop, k + 1
+        done = part.sort_values("at").head(size)[[id_column]].copy()
+        done["batch"] = batch
+        return done
 
+    kind = dict(sizes.dtypes)[id_column]
+    return seen.join(entered, "block").groupBy("block").applyInPandas(fill, f"{id_column} {kind}, batch long")
 
-def top_terms(df: DataFrame, terms: Column, label: str, n: int, least: int = 2) -> DataFrame:
-    """(rank, term, coefficient): the terms that speak most for class 1."""
-    rows = df.withColumn("_terms", terms)
-    # as many as there are: the default would drop the rarer ones beyond 2^18
-    size = rows.select(F.explode(F.array_distinct("_terms")).alias("t")).groupBy("t").count().where(F.col("count") >= least).count()
-    counted = CountVectorizer(inputCol="_terms", outputCol="_x", minDF=float(least), vocabSize=max(1, size)).fit(rows)
-    fitted = LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.1, maxIter=20).fit(counted.transform(rows))
-    named = sorted(zip(fitted.coefficients.toArray().tolist(), counted.vocabulary, strict=True), key=lambda x: (-x[0], x[1]))[:n]
-    return df.sparkSession.createDataFrame([(i + 1, t, c) for i, (c, t) in enumerate(named)], "rank long, term string, coefficient double")
 
+def vectors(df: DataFrame, id_column: str, text: Column, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(id, x), the unit vectors of (1 + ln tf) * idf over the runs of words and characters, and (term, at), their places: every term that `least` texts have.
 
+    Terms are numbered by a join, so that none is hashed into another's place or dropped; a text without terms has an empty vector.
+    """
+    counts = staged(gram_counts(df, id_column, text), "grams")
+    idf = inverse_frequencies(counts, df, least)
+    places = staged(hash_numbered(idf.withColumn("_one", F.lit(0)), ["_one"], F.sha2("term", 256), "term", "at").select("term", "idf", "at"), "terms")
+    weighed = weights(counts, places.select("term", "idf"), id_column).join(places.select("term", "at"), "term")
+    rows = weighed.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), "w"))).alias("v"))
+    size = max(1, places.count())
+    dense = lambda v: Vectors.sparse(size, [p["at"] for p in v or ()], [p["w"] for p in v or ()])
+    vector = F.udf(dense, VectorUDT())
+    return df.select(id_column).join(rows, id_column, "left").select(id_column, vector("v").alias("x")), places.select("term", "at")
+
+
+def _fitted(rows: DataFrame, label: str, penalty: float, balanced: bool):  # noqa: ANN202
+    """A logistic model; balanced: classes weigh the same in sum."""
+    share = rows.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    share = 0.5 if share is None or not balanced else min(max(share, 1e-9), 1 - 1e-9)
+    weight = F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share))
+    return LogisticRegression(featuresCol="x", labelCol=label, weightCol="_weight", regParam=penalty, maxIter=20).fit(rows.withColumn("_weight", weight))
+
+
+def out_of_fold(rows: DataFrame, label: str, fold: str, folds: int, grid: tuple[tuple[float, bool], ...] = ((0.01, False), (0.01, True), (0.1, True)), inner: dict[int, DataFrame] | None = None, id_column: str = "id") -> DataFrame:
+    """rows (id, x, label, fold) with probability, that of class 1 by a model that has not seen the row's fold.
+
+    grid: penalties, and whether classes are balanced. For each fold the choice is made on the others: by the mean balanced accuracy over inner folds (id,
+    inner_fold) if they are given, else by the next fold. The loop is over folds and the grid, not rows.
+    """
+    rows = staged(rows, "vectors")
+    out = None
+    for k in range(folds):
+        rest, held = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
+        if inner is None:
+            parted = rest.withColumn("inner_fold", F.when(F.col(fold) == (k + 1) % folds, 0).otherwise(1))
+            tried = [0]
+        else:
+            parted = rest.join(inner[k], id_column)
+            tried = [r[0] for r in parted.select("inner_fold").distinct().orderBy("inner_fold").collect()]
+
+        def score(choice: tuple[float, bool], parted: DataFrame = parted, tried: list[int] = tried) -> float:
+            recalls = []
+            for i in tried:
+                known, asked = parted.where(F.col("inner_fold") != i), parted.where(F.col("inner_fold") == i)
+                if known.select(label).distinct().count() > 1:
+                    told = _fitted(known, label, *choice).transform(asked).groupBy(label).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("r"))
+                    recalls += [r.r for r in told.collect()]
+            return sum(recalls) / len(recalls) if recalls else 0.0
+
+        best = max(grid, key=score) if len(grid) > 1 and folds > 2 else grid[0]
+        scored = _fitted(rest, label, *best).transform(held).withColumn("probability", F.element_at(vector_to_array("probability"), 2)).drop("x", "_weight", "rawPrediction", "prediction")
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def refitted(rows: DataFrame, places: DataFrame, label: str, n: int, penalty: float = 0.1, balanced: bool = True) -> tuple[object, DataFrame]:
+    """The model of all rows (x, label), to predict others by, and (class, rank, term, coefficient): the n terms that speak most for each class."""
+    model = _fitted(rows, label, penalty, balanced)
+    coefficients = pd.Series(model.coefficients.toArray(), name="coefficient")
+    named = rows.sparkSession.createDataFrame(pa.Table.from_pandas(coefficients[coefficients != 0].rename_axis("at").reset_index(), preserve_index=False)).join(places, "at")
+    out = None
+    for name, sign in ((1, 1), (0, -1)):
+        # a term can speak for a class only with a coefficient of its sign
+        best = named.where(F.col("coefficient") * sign > 0).orderBy(F.desc(F.col("coefficient") * sign), "term").limit(n)
+        best = best.select(F.lit(name).alias("class"), F.row_number().over(Window.orderBy(F.desc(F.col("coefficient") * sign), "term")).cast("long").alias("rank"), "term", "coefficient")
+        out = best if out is None else out.unionByName(best)
+    return model, out

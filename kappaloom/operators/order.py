@@ -2,10 +2,51 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
+from ..sources.shared import staged
+
+
+def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str], to: str) -> DataFrame:
+    """Adds `to`: the rows' numbers from 0 in each key's order.
+
+    bucket must not fall along the order. Rows are numbered inside a key's buckets, and buckets by running totals of
+    their sizes, so that a key that has very many rows is no task's work.
+    """
+    df = df.withColumn("_part", bucket)
+    sizes = df.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")  # one row a bucket
+    starts = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), ahead.alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    same = F.col("_part").eqNullSafe(F.col("_p"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    placed = df.withColumn("_inside", inside).join(starts, same)
+    return placed.withColumn(to, F.col("_ahead") + F.col("_inside")).drop("_part", "_p", "_ahead", "_inside", *[f"_k{i}" for i in range(len(keys))])
+
+
+def hash_numbered(df: DataFrame, keys: list[str], hash_: Column, tie: str, to: str) -> DataFrame:
+    """numbered() in the order of a hexadecimal hash, whose first digits are the buckets."""
+    out = df.withColumn("_hash", hash_)
+    return numbered(out, keys, F.substring("_hash", 1, 3), ["_hash", tie], to).drop("_hash")
+
+
+def indexed(df: DataFrame, order: list[str], to: str) -> DataFrame:
+    """Adds `to`: every row's number from 0 in the whole order, without a task that sorts all rows.
+
+    The ranges of a sorted table are written with their own numbers; the sizes of ranges put before each other make the whole ones.
+    """
+    at = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    at = at.withColumn("_range", F.shiftright("_at", 33))
+    sizes = at.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))  # one row a range
+    return at.join(starts, "_range").withColumn(to, F.col("_start") + F.col("_at") - F.shiftleft("_range", 33)).drop("_range", "_at", "_start")
 
 
 def gaps(df: DataFrame, key: str, position: str) -> DataFrame:
@@ -30,8 +71,8 @@ def shares_beyond(df: DataFrame, value: str, thresholds: list[int]) -> DataFrame
 def balanced_choice(df: DataFrame, label: str, id_column: str, target: int, seed: int | str) -> DataFrame:
     """As many rows of each label, first in hash order: the target, or what the rarest label has."""
     few = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.least(F.min("_n"), F.lit(target)).alias("_few"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order_key(seed, F.col(id_column)), id_column))
-    return df.withColumn("rank", rank.cast("long")).where(F.col("rank") <= target).join(F.broadcast(few)).where("rank <= _few").drop("_few")
+    ranked = hash_numbered(df, [label], order_key(seed, F.col(id_column)), id_column, "rank").withColumn("rank", F.col("rank") + 1)
+    return ranked.join(F.broadcast(few)).where("rank <= _few").drop("_few")
 
 
 def replacements(items: DataFrame, pool: DataFrame, category: str, name: str, id_column: str, n: int, seed: int | str) -> DataFrame:
@@ -72,17 +113,21 @@ def best_span(starts: Column, ends: Column, most: int | None = None) -> Column:
     return F.struct(least["first"].alias("first"), least["last"].alias("last"), (-least["score"]).alias("score"))
 
 
-def lots(df: DataFrame, key: str, id_column: str, size: int, seed: int | str) -> DataFrame:
-    """Adds lot: rows of a key go to different lots as far as lots reach, lots differ by one row at most.
+def lots(df: DataFrame, key: str, id_column: str, size: int, seed: int | str, strict: bool = False) -> DataFrame:
+    """Adds lot: no key twice in a lot, and lots of `size` rows, or one less where the rows do not fill all.
 
-    Keys are laid out one after the other, largest first, and dealt round robin.
+    Keys are laid out one after the other, largest first, and dealt round robin. A key of more rows than there are
+    lots would have to repeat: then there are as many lots as it has rows, and lots are smaller; if strict, that is an error.
     """
-    n = df.count()
-    count = max(1, -(-n // size))
     sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
-    starts = sizes.select(key, (F.sum("_n").over(Window.orderBy(F.desc("_n"), key)) - F.col("_n")).alias("_start"))  # one row a key
-    inside = F.row_number().over(Window.partitionBy(key).orderBy(order_key(seed, F.col(id_column)), id_column)) - 1
-    return df.withColumn("_i", inside).join(starts, key).withColumn("lot", F.pmod(F.col("_start") + F.col("_i"), F.lit(count)).cast("long")).drop("_i", "_start")
+    whole = sizes.agg(F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
+    count = F.greatest(F.lit(1), F.ceil(F.col("_all") / size))
+    if strict:
+        count = F.when(F.col("_most") <= count, count).otherwise(F.raise_error(F.lit("a key has more rows than there are lots")))
+    whole = whole.select(F.greatest(count, F.col("_most")).alias("_lots"))
+    starts = sizes.select(key, (F.sum("_n").over(Window.orderBy(F.desc("_n"), key)) - F.col("_n")).alias("_first"))  # one row a key
+    inside = hash_numbered(df, [key], order_key(seed, F.col(id_column)), id_column, "_in")
+    return inside.join(starts, key).join(F.broadcast(whole)).withColumn("lot", F.pmod(F.col("_first") + F.col("_in"), F.col("_lots")).cast("long")).drop("_in", "_first", "_lots")
 
 
 def positions(df: DataFrame, bucket: str, order: list[str], key: str | None = None) -> DataFrame:
@@ -94,10 +139,12 @@ def positions(df: DataFrame, bucket: str, order: list[str], key: str | None = No
     totals = df.groupBy(bucket).agg(F.count("*").alias("_n"))
     starts = totals.select(bucket, (F.sum("_n").over(Window.orderBy(bucket)) - F.col("_n")).alias("_start"))  # one row a bucket
     out = df.withColumn("_i", F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).join(starts, bucket)
-    out = out.withColumn("pos", F.col("_start") + F.col("_i")).drop("_start", "_i")
+    out = out.withColumn("pos", F.col("_start") + F.col("_i"))
     if key is None:
-        return out
-    return out.withColumn(f"pos_in_{key.split('_')[-1]}", F.row_number().over(Window.partitionBy(key).orderBy("pos")).cast("long"))
+        return out.drop("_start", "_i")
+    # a key's rows fall into the same buckets, which its own numbers go by
+    to = f"pos_in_{key.split('_')[-1]}"
+    return numbered(out.drop("_start", "_i"), [key], F.col(bucket), ["pos"], to).withColumn(to, F.col(to) + 1)
 
 
 def hash_positions(df: DataFrame, id_column: str, seed: int | str) -> DataFrame:
@@ -108,15 +155,120 @@ def hash_positions(df: DataFrame, id_column: str, seed: int | str) -> DataFrame:
 
 def spread(df: DataFrame, key: str, id_column: str, seed: int | str, buckets: int = 1024) -> DataFrame:
     """Adds pos, an order in which a key's rows are about evenly apart: the i-th of n stands near (i + u) / n of the whole, u by the key's hash."""
-    inside = F.row_number().over(Window.partitionBy(key).orderBy(order_key(seed, F.col(id_column)), id_column)) - 1
-    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
+    inside = hash_numbered(df, [key], order_key(seed, F.col(id_column)), id_column, "_in")
+    sizes = df.groupBy(key).agg(F.count("*").alias("_of"))
     shift = F.conv(F.substring(order_key(seed, F.col(key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    placed = df.withColumn("_i", inside).join(sizes, key).withColumn("_f", (F.col("_i") + shift) / F.col("_n")).withColumn("_b", F.floor(F.col("_f") * buckets))
-    return positions(placed, "_b", ["_f", key, id_column]).drop("_i", "_n", "_f", "_b")
+    placed = inside.join(sizes, key).withColumn("_f", (F.col("_in") + shift) / F.col("_of")).withColumn("_b", F.floor(F.col("_f") * buckets))
+    return positions(placed, "_b", ["_f", key, id_column]).drop("_in", "_of", "_f", "_b")
+
+
+def widest_gap(counts: dict[str, int]) -> int:
+    """The largest distance that every key's rows can keep in a sequence of all: with the m most frequent keys of n rows each, (all - m) // (n - 1); all if no key repeats."""
+    total, most = sum(counts.values()), max(counts.values(), default=0)
+    return total if most < 2 else (total - sum(n == most for n in counts.values())) // (most - 1)
+
+
+def gapped_sequence(counts: dict[str, int], gap: int, rng: random.Random) -> list[str] | None:
+    """A sequence of keys, each as often as counted, in which equal ones are at least `gap` apart; None if the choice runs dry.
+
+    At every place goes a key with the most rows left among those whose last place is far enough; ties at random.
+    """
+    left, out, ready = dict(counts), [], {k: 0 for k in counts}
+    by_left: dict[int, set[str]] = {}
+    for k, n in left.items():
+        by_left.setdefault(n, set()).add(k)
+    waiting: dict[int, list[str]] = {}
+    for at in range(sum(counts.values())):
+        for k in waiting.pop(at, ()):
+            by_left.setdefault(left[k], set()).add(k)
+        if not by_left:
+            return None
+        most = max(by_left)
+        k = rng.choice(sorted(by_left[most]))
+        by_left[most].discard(k)
+        if not by_left[most]:
+            del by_left[most]
+        out.append(k)
+        left[k] -= 1
+        ready[k] = at + gap
+        if left[k]:
+            waiting.setdefault(max(at + 1, at + gap), []).append(k)
+    return out
+
+
+def gap_schedule(df: DataFrame, key: str, id_column: str, seed: int, attempts: int = 16) -> DataFrame:
+    """Adds pos from 1: an order in which the least distance between rows of a key is the largest that is found.
+
+    Keys are reduced to their counts. For each attempt, in parallel, the largest gap whose sequence can be built is searched by halving;
+    the best is that of the largest least gap, then of the largest sum of gaps' logarithms, then the first. A key's rows take its places
+    in hash order. The counts, one for each key, are one task's work for each attempt.
+    """
+    spark = df.sparkSession
+    counts = staged(df.groupBy(key).agg(F.count("*").alias("n")), "gap-counts")
+    one = counts.agg(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), "n"))).alias("s"))
+    tries = spark.range(attempts).repartition(attempts).join(F.broadcast(one))
+
+    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import math
+
+        for part in parts:
+            for run, pairs in zip(part["id"], part["s"], strict=True):
+                sizes, best, low = {p["k"]: int(p["n"]) for p in pairs}, None, 1
+                high = widest_gap(sizes)
+                while low <= high:
+                    middle = (low + high) // 2
+                    found = gapped_sequence(sizes, middle, random.Random(seed * 1009 + int(run)))
+                    if found is None:
+                        high = middle - 1
+                    else:
+                        best, low = found, middle + 1
+                last, gaps = {}, []
+                for at, k in enumerate(best or ()):
+                    if k in last:
+                        gaps.append(at - last[k])
+                    last[k] = at
+                yield pd.DataFrame({"run": [run], "least": [min(gaps, default=0)], "evenness": [sum(map(math.log, gaps))], "keys": [best or []]})
+
+    found = staged(tries.mapInPandas(search, "run long, least long, evenness double, keys array<string>"), "gap-attempts")
+    best = found.agg(F.max_by("keys", F.struct("least", "evenness", -F.col("run"))).alias("keys"))
+    places = best.select(F.posexplode("keys").alias("_place", "_key"))
+    turn = numbered(places, ["_key"], F.floor(F.col("_place") / 4096), ["_place"], "_to")
+    rows = hash_numbered(df, [key], order_key(seed, F.col(id_column)), id_column, "_turn")
+    named = turn.select("_key", "_to", (F.col("_place") + 1).cast("long").alias("pos"))
+    return rows.join(named, (F.col(key).cast("string") == F.col("_key")) & (F.col("_turn") == F.col("_to"))).drop("_key", "_to", "_turn")
 
 
 def distinct_demos(df: DataFrame, label: str, reference: str, id_column: str, n: int, seed: int | str) -> DataFrame:
     """n rows of each label, first in hash order, no reference twice in a label."""
     h = order_key(seed, F.col(id_column))
-    first = df.withColumn("_h", h).withColumn("_r", F.row_number().over(Window.partitionBy(label, reference).orderBy("_h", id_column))).where("_r = 1")
+    first = df.withColumn("_h", h).groupBy(label, reference).agg(F.min_by(F.struct(*df.columns, "_h"), F.struct("_h", id_column)).alias("r")).select("r.*")
     return first.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", id_column))).where(F.col("_r") <= n).drop("_h", "_r")
+
+
+def demo_round(df: DataFrame, label: str, reference: str, id_column: str, words: Column, n: int, seed: int | str, targets: DataFrame | None = None, most_words: int = 160) -> DataFrame:
+    """(id, label, reference, rank): n rows of each label taken in turns, label by label, no reference twice at all.
+
+    Rows of more than most_words words, and those whose id or reference targets (id, reference) has, are left out. In its turn a label takes its first row
+    in hash order whose reference is free. A reference can be taken by one row of each label at most before it is gone, so a label's
+    n-th row is among its first n * labels references: only these come to one task.
+    """
+    few = df.where(words <= most_words)
+    if targets is not None:
+        few = few.join(targets.select(id_column), id_column, "left_anti").join(targets.select(reference), reference, "left_anti")
+    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
+    ranked = distinct_demos(few.select(id_column, label, reference), label, reference, id_column, n * max(1, len(labels)), seed)
+    ranked = ranked.select(id_column, label, reference, order_key(seed, F.col(id_column)).alias("h"))
+
+    def take(part: pd.DataFrame) -> pd.DataFrame:
+        queues = {x: rows.sort_values(["h", id_column]).to_dict("records") for x, rows in part.groupby(label)}
+        used, out = set(), []
+        for turn in range(n):
+            for x in labels:
+                row = next((r for r in queues.get(x, ()) if r[reference] not in used), None)
+                if row is not None:
+                    used.add(row[reference])
+                    out.append((row[id_column], x, row[reference], turn + 1))
+        return pd.DataFrame(out, columns=[id_column, label, reference, "rank"])
+
+    kinds = dict(df.select(id_column, label, reference).dtypes)
+    return ranked.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(take, f"{id_column} {kinds[id_column]}, {label} {kinds[label]}, {reference} {kinds[reference]}, rank long")

@@ -11,16 +11,26 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, order_key
-from ..operators.agreement import kappa
+from ..operators import agreement
+from .order import hash_numbered, indexed
 
 
 def _numbered(df: DataFrame, order: list[str], strata: list[str]) -> DataFrame:
-    w = Window.partitionBy(*strata).orderBy(*order)
-    return df.withColumn("_k", F.row_number().over(w) - 1)
+    """Adds _k, from 0 in each stratum's order: by the numbers of all rows, strata one after the other."""
+    whole = indexed(df, [*strata, *order], "_k")
+    if not strata:
+        return whole
+    firsts = whole.groupBy(*strata).agg(F.min("_k").alias("_least"))
+    return whole.join(firsts, strata).withColumn("_k", F.col("_k") - F.col("_least")).drop("_least")
+
+
+def _slots(sizes: DataFrame, reps: int) -> DataFrame:
+    """sizes (strata, _n), with a row for every replicate and draw."""
+    return sizes.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_d"))
 
 
 def drawn(df: DataFrame, order: list[str], reps: int, seed: int | str, strata: list[str] | None = None) -> DataFrame:
@@ -29,14 +39,26 @@ def drawn(df: DataFrame, order: list[str], reps: int, seed: int | str, strata: l
     Only the sizes of strata are multiplied by replicates; each draw then finds its row by number.
     """
     strata = strata or []
-    if not strata:
-        df, strata = df.withColumn("_all", F.lit(0)), ["_all"]
     numbered = _numbered(df, order, strata)
     sizes = numbered.groupBy(*strata).agg(F.count("*").alias("_n"))
-    slots = sizes.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_d"))
-    parts = [] if strata == ["_all"] else [F.col(s) for s in strata]
-    wanted = slots.withColumn("_k", draw(F.col("_n"), seed, *parts, F.col("rep"), F.col("_d")).cast("int"))
-    return wanted.join(numbered, [*strata, "_k"]).drop("_all", "_k", "_n", "_d")
+    wanted = _slots(sizes, reps).withColumn("_k", draw(F.col("_n"), seed, *[F.col(x) for x in strata], F.col("rep"), F.col("_d")))
+    return wanted.join(numbered, [*strata, "_k"]).drop("_k", "_n", "_d")
+
+
+def drawn_cells(df: DataFrame, cells: list[str], reps: int, seed: int | str, strata: list[str] | None = None) -> DataFrame:
+    """As drawn(), for rows of a few kinds: (rep, strata, cells, c), how often each replicate draws each kind.
+
+    Rows stand in the order of their cells, so a draw's number tells its kind by the kinds' running totals, one array for a stratum. Nothing
+    is joined by row, and draws are counted where they are made.
+    """
+    strata = strata or []
+    counts = df.groupBy(*strata, *cells).agg(F.count("*").alias("_c"))
+    kinds = counts.groupBy(*strata).agg(F.sum("_c").alias("_n"), F.array_sort(F.collect_list(F.struct(*cells, "_c"))).alias("_kinds"))
+    upto = F.expr("transform(sequence(1, size(_kinds)), i -> aggregate(slice(_kinds, 1, i), 0L, (t, x) -> t + x._c))")
+    slots = _slots(kinds.withColumn("_upto", upto), reps)
+    k = draw(F.col("_n"), seed, *[F.col(x) for x in strata], F.col("rep"), F.col("_d"))
+    met = slots.withColumn("_k", k).withColumn("_kind", F.expr("element_at(_kinds, CAST(size(filter(_upto, u -> u <= _k)) + 1 AS int))"))
+    return met.groupBy("rep", *strata, *[F.col(f"_kind.{x}").alias(x) for x in cells if x not in strata]).agg(F.count("*").alias("c"))
 
 
 def interval(replicates: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -50,15 +72,36 @@ def bootstrap(df: DataFrame, measure: Column, order: list[str], reps: int, seed:
     return interval(drawn(df, order, reps, seed, strata).groupBy("rep").agg(measure.alias("_v")), "_v")
 
 
-def bootstrap_kappa(df: DataFrame, order: list[str], reps: int, seed: int | str, strata: list[str] | None = None) -> DataFrame:
-    return bootstrap(df, kappa(), order, reps, seed, strata)
+def bootstrap_kappa(df: DataFrame, reps: int, seed: int | str, strata: list[str] | None = None) -> DataFrame:
+    """(low, high) of kappa; rows are reduced to the cells of the table of labels."""
+    replicates = drawn_cells(df, ["gold", "pred"], reps, seed, strata)
+    return interval(replicates.groupBy("rep").agg(agreement.kappa(weight=F.col("c")).alias("_v")), "_v")
 
 
-def paired_deltas(df: DataFrame, first: Column, second: Column, order: list[str], reps: int, seed: int | str) -> DataFrame:
-    """(low, high, above, below): the second measure less the first over shared draws, and the shares of replicates on each side of 0."""
-    replicates = drawn(df, order, reps, seed).groupBy("rep").agg((second - first).alias("d"))
+def bootstrap_mean(df: DataFrame, value: str, reps: int, seed: int | str) -> DataFrame:
+    """(low, high) of the mean of a column with few different values."""
+    return interval(drawn_cells(df, [value], reps, seed).groupBy("rep").agg((F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("_v")), "_v")
+
+
+def _signs(replicates: DataFrame, names: list[str]) -> DataFrame:
+    """(measure, low, high, above, below) of differences, one column a measure: linear percentiles, and the shares of replicates on each side of 0."""
+    rows = replicates.select(F.explode(F.array(*[F.struct(F.lit(x).alias("measure"), F.col(x).alias("d")) for x in names])).alias("r")).select("r.*")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return replicates.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), share(F.col("d") > 0).alias("above"), share(F.col("d") < 0).alias("below"))
+    return rows.groupBy("measure").agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), share(F.col("d") > 0).alias("above"), share(F.col("d") < 0).alias("below"))
+
+
+def paired_deltas(df: DataFrame, reps: int, seed: int | str) -> DataFrame:
+    """(measure, low, high, above, below): accuracy, macro F1 and joint success of the second system less the first's, over shared draws.
+
+    df: gold, pred, pred2, and joint and joint2, which tell by 0 and 1 whether a system is right in label and span.
+    """
+    c = F.col("c")
+    cells = drawn_cells(df, ["gold", "pred", "pred2", "joint", "joint2"], reps, seed)
+    mean = lambda x: F.sum(F.col(x) * c) / F.sum(c)
+    accuracy = agreement.weighted_accuracy("pred2", c) - agreement.weighted_accuracy("pred", c)
+    f1 = agreement.weighted_macro_f1("pred2", c) - agreement.weighted_macro_f1("pred", c)
+    replicates = cells.groupBy("rep").agg(accuracy.alias("accuracy"), f1.alias("macro_f1"), (mean("joint2") - mean("joint")).alias("joint"))
+    return _signs(replicates, ["accuracy", "macro_f1", "joint"])
 
 
 def cluster_bootstrap(df: DataFrame, clusters: list[str], value: Column, reps: int, seed: int | str) -> DataFrame:
@@ -67,6 +110,14 @@ def cluster_bootstrap(df: DataFrame, clusters: list[str], value: Column, reps: i
     return bootstrap(summed, F.sum("_s") / F.sum("_c"), clusters, reps, seed)
 
 
+def paired_cluster_deltas(df: DataFrame, clusters: list[str], reps: int, seed: int | str) -> DataFrame:
+    """(measure, low, high, above, below) of the accuracy of pred2 less that of pred, over clusters drawn whole: the sum of their differences by that of their sizes."""
+    right = lambda x: F.count_if(F.col(x) == F.col("gold"))
+    summed = df.groupBy(*clusters).agg((right("pred2") - right("pred")).alias("_s"), F.count("*").alias("_c"))
+    replicates = drawn(summed, clusters, reps, seed).groupBy("rep").agg((F.sum("_s") / F.sum("_c")).alias("accuracy"))
+    return _signs(replicates, ["accuracy"])
+
+
 def chi_square(df: DataFrame, group: str, label: str) -> DataFrame:
     """(n, groups, labels, chi2, cramers_v) of a contingency table; cells that expect nothing are left out."""
     cells = df.groupBy(group, label).agg(F.count("*").alias("o"))
@@ -81,18 +132,20 @@ def chi_square(df: DataFrame, group: str, label: str) -> DataFrame:
 def permutation_p(df: DataFrame, group: str, label: str, order: str, reps: int, seed: int | str) -> DataFrame:
     """(chi2, exceed, p): how often shuffled labels reach the table's chi-square; p counts the table itself.
 
-    In every replicate rows are ranked by a hash, and take the label of that rank in the original order.
+    In every replicate rows are ranked by a hash, and take the label of that rank where rows stand in the order of their labels: the labels'
+    running totals tell it. A replicate's rows are numbered in parts.
     """
-    numbered = df.select(group, label, order, F.row_number().over(Window.orderBy(order)).alias("_k"))
-    names = numbered.select(F.col("_k"), F.col(label).alias("_label"))
-    shuffled = numbered.select(group, order, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    ranked = shuffled.withColumn("_k", F.row_number().over(Window.partitionBy("rep").orderBy(order_key(seed, F.col("rep"), F.col(order)), order)))
-    cells = ranked.join(names, "_k").groupBy("rep", group, "_label").agg(F.count("*").alias("o"))
-    margin_r, margin_c = df.groupBy(group).agg(F.count("*").alias("r")), df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("c"))
-    n = df.agg(F.count("*").alias("n"))
-    sums = cells.join(margin_r, group).join(margin_c, "_label").groupBy("rep").agg(F.sum(F.col("o").cast("double") * F.col("o") / F.col("r") / F.col("c")).alias("s"))
+    cells = df.groupBy(group, label).agg(F.count("*").alias("o"))
+    margin_r, margin_c = cells.groupBy(group).agg(F.sum("o").alias("r")), cells.groupBy(F.col(label).alias("_label")).agg(F.sum("o").alias("c"))
+    names = margin_c.agg(F.array_sort(F.collect_list(F.struct("_label", "c"))).alias("_names"), F.sum("c").alias("n"))  # one row
+    names = names.withColumn("_upto", F.expr("transform(sequence(1, size(_names)), i -> aggregate(slice(_names, 1, i), 0L, (t, x) -> t + x.c))"))
+    shuffled = df.select(group, order, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    ranked = hash_numbered(shuffled, ["rep"], order_key(seed, F.col("rep"), F.col(order)), order, "_k").join(F.broadcast(names))
+    named = ranked.select("rep", group, F.expr("element_at(_names, CAST(size(filter(_upto, u -> u <= _k)) + 1 AS int))._label").alias("_label"))
+    met = named.groupBy("rep", group, "_label").agg(F.count("*").alias("o"))
+    sums = met.join(margin_r, group).join(margin_c, "_label").groupBy("rep").agg(F.sum(F.col("o").cast("double") * F.col("o") / F.col("r") / F.col("c")).alias("s"))
     seen = chi_square(df, group, label).select("chi2")
-    exceed = sums.join(n).select((F.col("n") * (F.col("s") - 1)).alias("x")).join(seen).agg(F.max("chi2").alias("chi2"), F.count_if(F.round("x", 9) >= F.round("chi2", 9)).alias("exceed"))
+    exceed = sums.join(F.broadcast(names.select("n"))).select((F.col("n") * (F.col("s") - 1)).alias("x")).join(seen).agg(F.max("chi2").alias("chi2"), F.count_if(F.round("x", 9) >= F.round("chi2", 9)).alias("exceed"))
     return exceed.select("chi2", "exceed", ((F.col("exceed") + 1) / (reps + 1)).alias("p"))
 
 

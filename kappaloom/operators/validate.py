@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import LABELS, NEUTRAL
@@ -25,9 +25,9 @@ def annotation_faults(label: Column, start: Column, end: Column, id_: Column, le
 
 
 def with_repeats(df: DataFrame, id_column: str, faults: str = "faults") -> DataFrame:
-    """Adds the code repeated to rows whose id another row has too."""
-    n = F.count("*").over(Window.partitionBy(id_column))
-    return df.withColumn(faults, F.when(F.col(id_column).isNotNull() & (n > 1), F.array_append(faults, F.lit("repeated"))).otherwise(F.col(faults)))
+    """Adds the code repeated to rows whose id another row has too. Ids are counted by partial sums and joined back, so that a very frequent one is no task's work."""
+    many = df.groupBy(id_column).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id_column).alias("_many"))
+    return df.join(many, F.col(id_column) == F.col("_many"), "left").withColumn(faults, F.when(F.col("_many").isNotNull(), F.array_append(faults, F.lit("repeated"))).otherwise(F.col(faults))).drop("_many")
 
 
 def strict_integer_object(raw: Column, key: str, most: int) -> Column:
@@ -39,6 +39,50 @@ def strict_integer_object(raw: Column, key: str, most: int) -> Column:
     return F.when(F.json_object_keys(raw) == F.array(F.lit(key)), F.when(parsed.between(1, most), parsed))
 
 
+def lax_integer(raw: Column, mode: str = "whole") -> Column:
+    """The integer that a JSON scalar in text form stands for, null if none.
+
+    mode "json": a JSON integer alone. "whole": 8.0 and "8" as well, 8.5 not. "truncate": as int() of the value, so 8.5 is 8.
+    Booleans and nulls are none in any mode.
+    """
+    text = F.trim(raw)
+    quoted = F.regexp_extract(text, r'^"\s*([+-]?\d+)\s*"$', 1)
+    integer = F.when(text.rlike(r"^-?(0|[1-9]\d*)$"), text.try_cast("long"))
+    if mode == "json":
+        return integer
+    number = F.when(text.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$"), text.try_cast("double"))
+    whole = F.when(F.lit(mode == "truncate") | (number == F.floor(number)), F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).try_cast("long"))
+    return F.coalesce(integer, whole, F.nullif(quoted, F.lit("")).try_cast("long"))
+
+
+def prediction_faults(raw: Column, id_: Column, most: Column) -> Column:
+    """Codes of what is wrong with a predicted JSON object of the keys id, label, start and end: json, keys, id, label, integers, bounds, neutral_span.
+
+    The keys are these and no others; the id is echoed; the label is one of the fixed set after trimming and lower case; bounds are
+    JSON integers with 1 <= start <= end <= most, or both null for a neutral.
+    """
+    keys = ("end", "id", "label", "start")
+    names = F.json_object_keys(raw)
+    known = F.when(names.isNotNull(), F.array_sort(names) == F.array(*map(F.lit, keys)))
+    part = {k: F.get_json_object(raw, f"$.{k}") for k in keys}
+    label = F.lower(F.trim(part["label"]))
+    # a string's quotes are gone in its value, so the raw object is asked for them
+    number = {k: F.when(~raw.rlike(rf'"{k}"\s*:\s*"'), lax_integer(part[k], "json")) for k in ("start", "end")}
+    neutral, none = label == NEUTRAL, part["start"].isNull() & part["end"].isNull()
+    whole = number["start"].isNotNull() & number["end"].isNotNull()
+    sound = (number["start"] >= 1) & (number["start"] <= number["end"]) & (number["end"] <= most)
+    rules = {
+        "json": names.isNull(),
+        "keys": ~known,
+        "id": known & ~part["id"].eqNullSafe(id_.cast("string")),
+        "label": known & ~F.coalesce(label.isin(*LABELS), F.lit(False)),
+        "integers": known & ~neutral & ~whole,
+        "bounds": known & ~neutral & whole & ~sound,
+        "neutral_span": known & neutral & ~none,
+    }
+    return F.array_compact(F.array(*[F.when(broken, F.lit(code)) for code, broken in rules.items()]))
+
+
 def forbidden_keys(raw: Column, forbidden: list[str]) -> Column:
     """Those keys of a JSON object that an input must not have."""
     return F.coalesce(F.array_intersect(F.json_object_keys(raw), F.array(*map(F.lit, forbidden))), F.array().cast("array<string>"))
@@ -49,6 +93,24 @@ def corpus_counts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_distinct(id_column).alias("ids"), F.count_if(F.col(text_column).isNull() | (F.trim(text_column) == "")).alias("blank"))
 
 
+def count_differences(df: DataFrame, label: str, expected: DataFrame, n: str = "n") -> DataFrame:
+    """(label, n, expected, off): how many rows each label has against expected (label, n); the null label is the sum of all."""
+    have = df.rollup(label).agg(F.count("*").alias("_have"), F.grouping(label).alias("_all")).where(F.col(label).isNotNull() | (F.col("_all") == 1))
+    want = expected.rollup(label).agg(F.sum(n).alias("_want"), F.grouping(label).alias("_all")).where(F.col(label).isNotNull() | (F.col("_all") == 1))
+    joined = have.alias("h").join(want.alias("w"), F.col(f"h.{label}").eqNullSafe(F.col(f"w.{label}")), "full_outer")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return joined.select(F.coalesce(f"h.{label}", f"w.{label}").alias(label), count("_have").alias("n"), count("_want").alias("expected"), (count("_have") - count("_want")).alias("off"))
+
+
+def membership_faults(members: DataFrame, listed: DataFrame, id_column: str, split: str) -> DataFrame:
+    """(fault, id, split): ids that are in a split and not listed for it, listed and not in it, or in several splits."""
+    pair = lambda df: df.select(F.col(id_column).alias("id"), F.col(split).alias("split"))
+    have, want = pair(members), pair(listed)
+    several = have.distinct().groupBy("id").agg(F.count("*").alias("n"), F.min("split").alias("split")).where("n > 1")
+    named = lambda name, df: df.select(F.lit(name).alias("fault"), "id", "split")
+    return named("unlisted", have.exceptAll(want)).unionByName(named("absent", want.exceptAll(have))).unionByName(named("several", several))
+
+
 def leaking(df: DataFrame, key: Column, split: str) -> DataFrame:
     """(key, splits, n): keys that stand in more than one split."""
     return df.groupBy(key.alias("key")).agg(F.count_distinct(split).alias("splits"), F.count("*").alias("n")).where("splits > 1")

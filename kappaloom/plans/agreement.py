@@ -276,3 +276,33 @@ def window_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.over_windows(probabilities(spark, sf_dir), "l_orderkey", "l_linenumber", "p").withColumnRenamed("l_orderkey", "instance")
 
 
+@registered("probability_maps", PROBABILITIES_SQL + " SELECT l_orderkey, l_linenumber, label, round(CASE label WHEN 'entailment' THEN p1 WHEN 'contradiction' THEN p2 ELSE p3 END, 6) AS p FROM probs, " + LABEL_ROWS)
+def probability_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every label of each line's map from labels to probabilities."""
+    maps = probabilities(spark, sf_dir).select("l_orderkey", "l_linenumber", labels.probability_map(F.col("p")).alias("m"))
+    return rounded(maps.select("l_orderkey", "l_linenumber", F.explode("m").alias("label", "p")), "p")
+
+
+@registered("eligible_spans", SCORED_SQL + " SELECT id, round(token_f1, 6) AS token_f1, round(iou, 6) AS iou, exact FROM scored WHERE both_spans")
+def eligible_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ag.eligible_ids(paired(spark, sf_dir)), "token_f1", "iou")
+
+
+@registered("neutral_disagreements", PAIRED_SQL + " SELECT count(*) FILTER (gold = 'neutral' AND pred <> 'neutral') AS gold_neutral_only, count(*) FILTER (gold <> 'neutral' AND pred = 'neutral') AS pred_neutral_only, count(*) FILTER (gold = 'neutral' AND pred = 'neutral' AND pred_start IS NOT NULL) AS neutral_with_span FROM paired")
+def neutral_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ag.neutral_disagreements(paired(spark, sf_dir))
+
+
+@registered(
+    "scored_window_aggregate",
+    PROBABILITIES_SQL
+    + """, w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p1, p2, p3, 1 + l_partkey % 40 AS first, 1 + l_partkey % 40 + l_suppkey % 9 AS last, round(-ln(1 + l_extendedprice), 9) AS score FROM probs JOIN lineitem USING (l_orderkey, l_linenumber)),
+firsts AS (SELECT l_orderkey, (list(CASE WHEN round(p1, 9) >= round(p2, 9) AND round(p1, 9) >= round(p3, 9) THEN 1 WHEN round(p2, 9) >= round(p3, 9) THEN 2 ELSE 3 END ORDER BY l_linenumber, CASE WHEN round(p1, 9) >= round(p2, 9) AND round(p1, 9) >= round(p3, 9) THEN 1 WHEN round(p2, 9) >= round(p3, 9) THEN 2 ELSE 3 END))[1] AS k FROM w GROUP BY 1),
+best AS (SELECT l_orderkey, (list({'w': l_linenumber, 'a': first, 'b': last} ORDER BY score DESC, l_linenumber, first, last))[1] AS b FROM w GROUP BY 1)
+SELECT l_orderkey AS instance, k AS label_index, CASE WHEN k <> 3 THEN b.w END::BIGINT AS span_window, CASE WHEN k <> 3 THEN b.a END::BIGINT AS first, CASE WHEN k <> 3 THEN b.b END::BIGINT AS last FROM firsts JOIN best USING (l_orderkey)""",
+)
+def scored_window_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with a span and its score each: the label is the first window's, the span that of the highest score."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "1 + l_partkey % 40 AS first", "1 + l_partkey % 40 + l_suppkey % 9 AS last", "-ln(1 + l_extendedprice) AS score")
+    rows = probabilities(spark, sf_dir).join(lines, ["l_orderkey", "l_linenumber"])
+    return audit.over_scored_windows(rows, "l_orderkey", "l_linenumber", "p", "score", "first", "last", 3).withColumnRenamed("l_orderkey", "instance")

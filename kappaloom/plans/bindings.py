@@ -72,6 +72,10 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
 PASSAGES_SQL = "WITH met AS (SELECT doc_id, item_id, d.text, b.text AS passage, instr(d.text, b.text) - 1 AS start, instr(d.text, b.text) - 1 + length(b.text) AS stop FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
 
 
+#: Passages with the ids of their first and last token.
+TOKENS_SQL = PASSAGES_SQL + ", spanned AS (SELECT *, len(regexp_extract_all(substring(text, 1, start::INT), '\\S+')) + CASE WHEN start > 0 AND regexp_matches(substring(text, start::INT, 2), '^\\S\\S') THEN 0 ELSE 1 END AS first, len(regexp_extract_all(substring(text, 1, stop::INT), '\\S+')) AS last FROM met)"
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B4: counterfactual variants (order lines) of base cases (orders), with the base's and the variant's prediction."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")

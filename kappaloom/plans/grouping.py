@@ -53,11 +53,24 @@ def group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("group").agg(F.count("*").alias("size"), ids.alias("member_ids"), F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("lang") != "en").alias("other"))
 
 
-@registered("group_constraints", "SELECT * FROM (VALUES ('exclusive', 0::BIGINT), ('covered', 0::BIGINT), ('one_group_a_key', 0::BIGINT)) AS v(\"check\", faults)")
+_FAULTY = "faulty AS (SELECT doc_id, CASE WHEN doc_id % 40 = 3 THEN -doc_id ELSE grp END AS grp FROM members WHERE doc_id % 60 <> 5 UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id % 70 = 9)"
+
+
+@registered(
+    "group_constraints",
+    GROUPS_SQL
+    + f""", {_FAULTY} SELECT 'exclusive' AS "check", (SELECT count(*) FROM (SELECT doc_id FROM faulty GROUP BY doc_id HAVING count(DISTINCT grp) > 1))::BIGINT AS faults
+UNION ALL SELECT 'covered', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM faulty))::BIGINT
+UNION ALL SELECT 'one_group_a_key', (SELECT count(*) FROM (SELECT k FROM keyed JOIN faulty USING (doc_id) GROUP BY k HAVING count(DISTINCT grp) > 1))::BIGINT""",
+)
 def group_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups with faults put into them: ids that left theirs, ids in none, ids in two."""
     rows = keyed(spark, sf_dir)
-    keys = rows.select("doc_id", F.explode(F.concat(F.array("whole", F.concat(F.lit("h"), "head"), F.concat(F.lit("t"), "tail")), F.coalesce(F.transform("items", lambda x: F.concat(F.lit("i"), x)), F.array().cast("array<string>")))).alias("key"))
-    return graph.constraint_faults(staged(members(spark, sf_dir), "members"), keys, "doc_id")
+    kinds = [F.concat(F.lit("w"), "whole"), F.concat(F.lit("h"), "head"), F.concat(F.lit("t"), "tail")]
+    keys = rows.select("doc_id", F.explode(F.concat(F.array(*kinds), F.coalesce(F.transform("items", lambda x: F.concat(F.lit("i"), x)), F.array().cast("array<string>")))).alias("key"))
+    kept = members(spark, sf_dir).where("doc_id % 60 <> 5").withColumn("group", F.expr("CASE WHEN doc_id % 40 = 3 THEN -doc_id ELSE `group` END"))
+    twice = table(spark, sf_dir, "documents").where("doc_id % 70 = 9").select("doc_id", F.lit(-1).cast("long").alias("group"))
+    return graph.constraint_faults(staged(kept.unionByName(twice), "members"), keys, "doc_id")
 
 
 _TARGETS = "c AS (SELECT lang, count(*) AS total FROM documents GROUP BY lang), p AS (SELECT lang, total, split, num, i, total * num // 100 AS f, total * num % 100 AS r FROM c, (VALUES (0, 'train', 70), (1, 'validation', 15), (2, 'test', 15)) AS v(i, split, num)), targets AS (SELECT lang, split, f + (row_number() OVER (PARTITION BY lang ORDER BY r DESC, i) <= total - sum(f) OVER (PARTITION BY lang))::BIGINT AS target FROM p)"
@@ -78,40 +91,59 @@ def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numeric.largest_remainder(rows, ["o_orderpriority"], "total", "part", ("num", "den"), "part").select("o_orderpriority", "part", "share")
 
 
-@registered("group_split_check", "SELECT count(*) AS docs, 0::BIGINT AS split_groups, 0::BIGINT AS without_split, true AS near_targets FROM documents")
+@registered("group_split_check", f"WITH {_TARGETS}, sums AS (SELECT split, sum(target)::BIGINT AS want FROM targets GROUP BY split) SELECT split, want, true AS whole, true AS near FROM sums")
 def group_split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole groups are divided: every document is in one split, no group in two, and splits are near their targets as far as the largest group lets them be."""
+    """Whole groups are divided: a row a split with its target, whether no group of it is in another, and whether its size is as near as the largest group lets it be."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     rows = staged(members(spark, sf_dir).join(docs, "doc_id"), "members")
     targets = staged(graph.split_targets(docs, "lang"), "targets")
     split = staged(graph.assign_splits(rows, targets, "lang"), "splits")
     met = rows.join(split, "group", "left")
-    faults = met.agg(F.count("*").alias("docs"), F.count_if(F.col("split").isNull()).alias("without_split"))
-    twice = split.groupBy("group").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("split_groups"))
+    twice = split.groupBy("group").agg(F.count("*").alias("n"), F.min("split").alias("split")).groupBy("split").agg(F.max("n").alias("most"))
     largest = rows.groupBy("group").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"))
-    sizes = met.groupBy("split").agg(F.count("*").alias("have")).join(targets.groupBy("split").agg(F.sum("target").alias("want")), "split")
-    near = sizes.join(F.broadcast(largest)).agg(F.every(F.abs(F.col("have") - F.col("want")) <= F.col("largest") + 5).alias("near_targets"))
-    return faults.join(twice).join(near).select("docs", "split_groups", "without_split", "near_targets")
+    sizes = met.groupBy("split").agg(F.count("*").alias("have")).join(targets.groupBy("split").agg(F.sum("target").alias("want")), "split").join(twice, "split")
+    return sizes.join(F.broadcast(largest)).select("split", "want", (F.col("most") == 1).alias("whole"), (F.abs(F.col("have") - F.col("want")) <= F.col("largest") + 5).alias("near"))
 
 
-@registered("group_folds", "SELECT 5::BIGINT AS folds, count(*) AS docs, 0::BIGINT AS groups_in_two FROM documents")
+_FOLDS = GROUPS_SQL + """, per AS (SELECT grp, lang, count(*) AS c FROM members JOIN documents USING (doc_id) GROUP BY ALL), shape AS (SELECT grp, sum(c)::BIGINT AS size, array_to_string(list_sort(list(lang || ':' || c)), ',') AS kind FROM per GROUP BY grp),
+placed AS (SELECT *, row_number() OVER (ORDER BY size DESC, kind, sha256('2026|' || grp), grp) - 1 AS place FROM shape), folds AS (SELECT grp, (CASE WHEN (place // 5) % 2 = 0 THEN place % 5 ELSE 4 - place % 5 END)::BIGINT AS fold FROM placed)"""
+
+
+@registered("group_folds", _FOLDS + ' SELECT grp AS "group", fold FROM folds')
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = staged(members(spark, sf_dir), "members")
-    fold = graph.folds(rows, 5, "2026")
-    twice = fold.groupBy("group").agg(F.count_distinct("fold").alias("n")).agg(F.count_if(F.col("n") > 1).alias("groups_in_two"))
-    return rows.join(fold, "group").agg(F.count_distinct("fold").alias("folds"), F.count("*").alias("docs")).join(twice)
+    """The fold of every group; groups of a size and the same languages stand together and are dealt to all folds."""
+    rows = members(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return graph.folds(staged(rows, "members"), 5, "2026", "lang")
+
+
+@registered("fold_labels", _FOLDS + " SELECT fold, lang, count(*) AS n FROM members JOIN folds USING (grp) JOIN documents USING (doc_id) GROUP BY ALL")
+def fold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(members(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"), "members")
+    return rows.join(graph.folds(rows, 5, "2026", "lang"), "group").groupBy("fold", "lang").agg(F.count("*").alias("n"))
+
+
+@registered("inner_folds", _FOLDS + " SELECT o.k AS held, (SELECT count(*) FROM folds f WHERE f.fold <> o.k) AS groups, 4::BIGINT AS inner_folds, 0::BIGINT AS leaks FROM (SELECT unnest(range(5)) AS k) o")
+def inner_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every fold that is held out: the groups of the others, how many inner folds they have, and how many groups are in two or in the held fold."""
+    rows = staged(members(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"), "members")
+    found = staged(graph.nested_folds(rows, 5, 4, "2026", "lang"), "inner-folds")
+    each = found.groupBy("held", "group").agg(F.count("*").alias("n"), F.max(F.col("fold") == F.col("held")).alias("leak"))
+    leaks = each.groupBy("held").agg(F.count("*").alias("groups"), F.count_if((F.col("n") > 1) | F.col("leak")).alias("leaks"))
+    return leaks.join(found.groupBy("held").agg(F.count_distinct("inner_fold").alias("inner_folds")), "held").select("held", "groups", "inner_folds", "leaks")
 
 
 @registered(
     "selection_by_flow",
-    """WITH offers AS (SELECT source, list_sort(list(DISTINCT lang)) AS l FROM documents GROUP BY source) SELECT count(*) AS selected, count(*) AS keys, max(len(l))::BIGINT AS labels_offered FROM offers""",
+    """WITH k AS (SELECT DISTINCT user_id, event_type FROM events), types AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT event_type FROM events)), m AS (SELECT count(*) AS types FROM types),
+subsets AS (SELECT unnest(range((1 << types)::BIGINT)) AS mask, types FROM m), masks AS (SELECT user_id, sum(1 << i)::BIGINT AS offer FROM k JOIN types USING (event_type) GROUP BY user_id)
+SELECT min(15 * (types - bit_count(mask)) + (SELECT count(*) FROM masks WHERE offer & mask > 0))::BIGINT AS selected, min(15 * (types - bit_count(mask)) + (SELECT count(*) FROM masks WHERE offer & mask > 0))::BIGINT AS keys, true AS within FROM subsets""",
 )
 def selection_by_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five sources of each language, no source twice: with as many sources as that, all are used."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    chosen = graph.one_row_a_key(docs, "doc_id", "source", "lang", 5, "9")
-    most = docs.groupBy("source").agg(F.count_distinct("lang").alias("n")).agg(F.max("n").alias("labels_offered"))
-    return chosen.agg(F.count("*").alias("selected"), F.count_distinct("source").alias("keys")).join(most)
+    """Up to fifteen events of each type, no user twice: as many as any choice has, by Hall's condition over all sets of types; and no type has more."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    chosen = staged(graph.one_row_a_key(events, "event_id", "user_id", "event_type", 15, "9"), "chosen")
+    most = chosen.groupBy("event_type").agg(F.count("*").alias("n")).agg((F.max("n") <= 15).alias("within"))
+    return chosen.agg(F.count("*").alias("selected"), F.count_distinct("user_id").alias("keys")).join(most)
 
 
 _COUNTS = "SELECT {id} AS id, term, count(*) AS tf FROM (SELECT {id}, unnest(regexp_extract_all(lower(text), '[a-z0-9à-öø-ÿ]+')) AS term FROM {t}) GROUP BY ALL"
@@ -132,12 +164,24 @@ def pair_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     counts = lexical.term_counts(docs, "doc_id", "text")
     idf = lexical.inverse_frequencies(counts, docs)
-    left = lexical.weights(counts, idf, "doc_id")
+    pairs = staged(passages(spark, sf_dir).select("doc_id", "item_id"), "pairs")
+    # frequencies are those of all documents, but only the paired ones are weighed
+    left = lexical.weights(lexical.term_counts(docs.join(pairs.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text"), idf, "doc_id")
     right = lexical.weights(lexical.term_counts(items, "item_id", "text"), idf, "item_id")
-    cells = lexical.pair_features(passages(spark, sf_dir).select("doc_id", "item_id"), left, right, "doc_id", "item_id")
+    cells = lexical.pair_features(pairs, left, right, "doc_id", "item_id")
     return rounded(cells.groupBy("doc_id", "item_id").agg(F.count("*").alias("terms"), F.sum("difference").alias("difference"), F.sum("product").alias("product")), "difference", "product")
 
 
+_WORDS = "SELECT item_id, unnest(list_concat(list_transform(w, lambda x: 'w ' || x), list_transform(range(1, len(w)), lambda i: 'w ' || w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9à-öø-ÿ]+') AS w FROM benchmark)"
+_CHARS = " UNION ALL ".join(f"SELECT item_id, 'c' || substring(p, i, {n}) FROM (SELECT item_id, p, unnest(range(1, greatest(1, length(p) - {n - 1}) + 1)) AS i FROM padded WHERE length(p) >= {n}{' OR true' if n == 3 else ''})" for n in (3, 4, 5))
+
+
+@registered("gram_features", f"WITH padded AS (SELECT item_id, ' ' || unnest(regexp_extract_all(lower(text), '\\S+')) || ' ' AS p FROM benchmark), terms AS ({_WORDS} UNION ALL {_CHARS}) SELECT item_id, term, count(*) AS tf FROM terms GROUP BY ALL")
+def gram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one and two words, and of three to five characters inside words with their borders, of the benchmark's texts."""
+    return lexical.gram_counts(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+
+
 @registered(
     "token_windows",
     """WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(greatest(1, ceil((len(w) - 64) / 48.0) + 1)::BIGINT)) AS win FROM w)
@@ -148,24 +192,58 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("window").cast("long").alias("window"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.sha2(F.array_join("words", " "), 256).alias("content"))
 
 
-@registered("window_batches")
+@registered(
+    "supervised_windows",
+    PASSAGES_SQL
+    + """, spanned AS (SELECT doc_id, item_id, len(regexp_extract_all(substring(text, 1, start::INT), '\\S+')) + CASE WHEN start > 0 AND regexp_matches(substring(text, start::INT, 2), '^\\S\\S') THEN 0 ELSE 1 END AS gold_first, len(regexp_extract_all(substring(text, 1, stop::INT), '\\S+')) AS gold_last FROM met),
+gold AS (SELECT doc_id, min({'a': gold_first, 'b': gold_last}) AS g FROM spanned GROUP BY doc_id), w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents), s AS (SELECT doc_id, len(w) AS n, unnest(range(greatest(1, ceil((len(w) - 64) / 48.0) + 1)::BIGINT)) AS win FROM w),
+bounds AS (SELECT doc_id, win, win * 48 + 1 AS first, least(win * 48 + 64, n) AS last FROM s), marked AS (SELECT b.*, CASE WHEN g.a >= first AND g.b <= last THEN g.a - first + 1 END AS s1, CASE WHEN g.a >= first AND g.b <= last THEN g.b - first + 1 END AS e1 FROM bounds b LEFT JOIN gold USING (doc_id))
+SELECT doc_id, win AS "window", s1 AS "start", e1 AS "end", count(s1) OVER (PARTITION BY doc_id) AS positive FROM marked""",
+)
+def supervised_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 64 words with the place of the document's first contained passage, where a window holds all of it."""
+    docs = table(spark, sf_dir, "documents")
+    met = passages(spark, sf_dir).withColumn("s", text.token_span(F.col("text"), F.col("start"), F.col("end")))
+    gold = met.groupBy("doc_id").agg(F.min(F.struct(F.col("s.first").alias("a"), F.col("s.last").alias("b"))).alias("g")).select("doc_id", F.col("g.a").alias("gold_first"), F.col("g.b").alias("gold_last"))
+    windows = lexical.token_windows(docs, "doc_id", text.words(F.col("text")), 64, 48).drop("words")
+    marked = lexical.supervised_windows(windows, gold, "doc_id")
+    return marked.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("window", "start", "end", "positive")])
+
+
+@registered(
+    "window_batches",
+    """WITH RECURSIVE sized AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, greatest(1, ceil((len(regexp_extract_all(text, '\\S+')) - 64) / 48.0) + 1)::BIGINT AS n FROM documents),
+fill(i, batch, items, used) AS (SELECT 1::BIGINT, 0::BIGINT, 1, (SELECT n FROM sized WHERE i = 1) UNION ALL SELECT s.i, CASE WHEN f.items = 16 OR f.used + s.n > 64 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.items = 16 OR f.used + s.n > 64 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items = 16 OR f.used + s.n > 64 THEN s.n ELSE f.used + s.n END FROM fill f JOIN sized s ON s.i = f.i + 1)
+SELECT doc_id, batch FROM fill JOIN sized USING (i)""",
+)
 def window_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = lexical.token_windows(table(spark, sf_dir, "documents"), "doc_id", text.words(F.col("text")), 64, 48)
-    sizes = windows.groupBy("doc_id").agg(F.count("*").alias("windows")).withColumn("shard", F.floor(F.col("doc_id") / 1000).cast("long"))
-    return lexical.window_batches(sizes, "doc_id", "windows", "shard", 16, 64)
+    sizes = windows.groupBy("doc_id").agg(F.count("*").alias("windows"))
+    return lexical.window_batches(sizes, "doc_id", "windows", 16, 64)
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "text", "quality")
 
 
 @registered("lexical_baseline")
 def lexical_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold probability of a document's being good, by its marks and words."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "text", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold"))
-    terms = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-zà-öø-ÿ]+|[^\sa-zà-öø-ÿ]+"), F.lit(0))
-    return rounded(lexical.out_of_fold(docs, terms, "quality", "fold", 3).select("doc_id", "quality", "fold", "probability"), "probability", places=4)
-
-
-@registered("top_terms")
-def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The terms that speak most for quality."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    terms = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-zà-öø-ÿ]+|[^\sa-zà-öø-ÿ]+"), F.lit(0))
-    return rounded(lexical.top_terms(docs, terms, "quality", 60), "coefficient", places=4)
+    """Out-of-fold probability of a document's being good, by its runs of words and characters; copies and linked documents are in one fold, inner ones too."""
+    rows = _rated(spark, sf_dir)
+    groups = staged(members(spark, sf_dir).join(rows.select("doc_id", "quality"), "doc_id"), "rated-groups")
+    nested = staged(graph.nested_folds(groups, 3, 2, "2026", "quality"), "nested")
+    of = lambda df: df.join(groups.select("doc_id", "group"), "group").drop("group")
+    inner = {k: of(nested.where(F.col("held") == k).select("group", "inner_fold")) for k in range(3)}
+    vectors, _ = lexical.vectors(rows.select("doc_id", "text"), "doc_id", F.col("text"))
+    known = vectors.join(rows.select("doc_id", "quality"), "doc_id").join(of(nested.select("group", "fold").distinct()), "doc_id")
+    scored = lexical.out_of_fold(known, "quality", "fold", 3, grid=((0.01, True), (0.1, False)), inner=inner, id_column="doc_id")
+    return rounded(scored.select("doc_id", "quality", "fold", "probability"), "probability", places=4)
+
+
+@registered("refitted_terms")
+def refitted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that speak most for either class, of the model of all labelled documents."""
+    rows = _rated(spark, sf_dir)
+    vectors, places = lexical.vectors(rows.select("doc_id", "text"), "doc_id", F.col("text"))
+    _, terms = lexical.refitted(staged(vectors.join(rows.select("doc_id", "quality"), "doc_id"), "rated-vectors"), places, "quality", 60)
+    return rounded(terms, "coefficient", places=4)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..functions.hashing import order_key
 from ..operators import order
+from ..sources import files
 from .agreement import rounded
 from .bindings import table
 from .registry import registered
@@ -100,23 +103,66 @@ def best_span_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(spark, sf_dir, 8)
 
 
-@registered("lot_assignment", "SELECT source, count(*) AS n, greatest(1, ceil((SELECT count(*) FROM documents) / 60.0))::BIGINT AS lots, least(count(*), greatest(1, ceil((SELECT count(*) FROM documents) / 60.0)))::BIGINT AS distinct_lots FROM documents GROUP BY source")
+_LOTS = "sizes AS (SELECT user_id, count(*) AS n, sum(count(*)) OVER (ORDER BY count(*) DESC, user_id) - count(*) AS first FROM events GROUP BY user_id), whole AS (SELECT greatest(1, ceil(sum(n) / 500.0), max(n))::BIGINT AS lots FROM sizes), lots AS (SELECT event_id, user_id, ((first + row_number() OVER (PARTITION BY user_id ORDER BY sha256('5|' || event_id), event_id) - 1) % lots)::BIGINT AS lot FROM events JOIN sizes USING (user_id), whole)"
+
+
+@registered("lot_assignment", f"WITH {_LOTS} SELECT event_id, user_id, lot FROM lots")
 def lot_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source fills as many lots as it has rows, or all of them."""
-    dealt = order.lots(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 60, 5)
-    whole = dealt.agg((F.max("lot") + 1).alias("lots"))
-    return dealt.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lot").alias("distinct_lots")).join(F.broadcast(whole)).select("source", "n", "lots", "distinct_lots")
+    """Events to lots of 500 or fewer, no user twice in a lot."""
+    return order.lots(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", 500, 5)
+
 
+@registered("master_rows", f"WITH {_LOTS}, placed AS (SELECT event_id, user_id, lot, row_number() OVER (PARTITION BY lot ORDER BY event_id) AS position_in_lot, row_number() OVER (ORDER BY lot, event_id) AS global_position FROM lots) SELECT event_id AS id, user_id, lot, position_in_lot, global_position FROM placed")
+def master_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lots one after the other, with every row's place in its lot and in all."""
+    rows = lot_assignment(spark, sf_dir).select(F.col("event_id").alias("id"), "user_id", "lot", F.col("event_id").alias("place"), F.lit("hidden").alias("_helper"))
+    return files.master_view(rows, "lot", "place")
 
-@registered("spread_schedule")
+
+@registered("spread_schedule", "WITH placed AS (SELECT doc_id, source, (i + ('0x' || substr(sha256('3|' || source), 1, 8))::BIGINT / 4294967296::DOUBLE) / n AS f FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('3|' || doc_id), doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)), seq AS (SELECT doc_id, source, row_number() OVER (ORDER BY f, source, doc_id) AS pos FROM placed) SELECT doc_id, source, pos, pos - lag(pos) OVER (PARTITION BY source ORDER BY pos) AS gap FROM seq")
 def spread_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in an order that keeps those of a source apart: position, and the gap to the source's previous one."""
     spread = order.spread(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 3)
     return order.gaps(spread, "source", "pos").select("doc_id", "source", "pos", F.col("before").alias("gap"))
 
 
-@registered("demo_choice", "SELECT lang, count(*) AS n FROM (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS r FROM (SELECT lang, source, doc_id, h FROM (SELECT d.lang, d.source, d.doc_id, sha256('demo|' || d.doc_id) AS h, row_number() OVER (PARTITION BY d.lang, d.source ORDER BY sha256('demo|' || d.doc_id), d.doc_id) AS first FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id WHERE d.n_chars <= 2000) WHERE first = 1)) WHERE r <= 2 GROUP BY lang")
+@registered("gap_schedule", "WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), m AS (SELECT max(n) AS most, sum(n) AS total FROM c) SELECT total::BIGINT AS n, total::BIGINT AS places, ((total - (SELECT count(*) FROM c WHERE n = most)) // (most - 1))::BIGINT AS least_gap FROM m")
+def gap_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in an order that keeps a user's apart as far as can be: every place is taken once, and the least gap is the widest that the counts allow."""
+    placed = order.gap_schedule(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", 3, attempts=4)
+    return order.gaps(placed, "user_id", "pos").agg(F.count("*").alias("n"), F.count_distinct("pos").alias("places"), F.min("before").alias("least_gap"))
+
+
+@registered(
+    "demo_choice",
+    """WITH free AS (SELECT doc_id, lang, source, sha256('demo|' || doc_id) AS h FROM documents d WHERE len(regexp_extract_all(text, '\\S+')) <= 160 AND doc_id NOT IN (SELECT doc_id FROM labels) AND source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 1)),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY h, doc_id) AS r FROM free) WHERE r = 1)
+SELECT lang, rank, doc_id, source FROM (SELECT lang, doc_id, source, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS rank FROM firsts) WHERE rank <= 2""",
+)
 def demo_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two short unlabelled documents of each language, of different sources, first in hash order."""
-    free = table(spark, sf_dir, "documents").where("n_chars <= 2000").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-    return order.distinct_demos(free, "lang", "source", "doc_id", 2, "demo").groupBy("lang").agg(F.count("*").alias("n"))
+    """Two short unlabelled documents of each language, of different sources, none of a target's source, first in hash order."""
+    docs = table(spark, sf_dir, "documents")
+    free = docs.where(F.size(text.words(F.col("text"))) <= 160).join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").join(docs.where("doc_id % 97 = 1").select("source"), "source", "left_anti")
+    chosen = order.distinct_demos(free.select("doc_id", "lang", "source"), "lang", "source", "doc_id", 2, "demo")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order_key("demo", F.col("doc_id")), "doc_id")).cast("long")  # two rows a language
+    return chosen.withColumn("rank", rank)
+
+
+@registered(
+    "demo_round",
+    """WITH RECURSIVE free AS (SELECT conv_id, turn, conv_id * 100 + turn AS id, role, (conv_id % 50)::BIGINT AS ref, sha256('demo|' || (conv_id * 100 + turn)) AS h FROM conversations WHERE len(regexp_extract_all(text, '\\S+')) <= 160 AND conv_id % 50 <> 7),
+roles AS (SELECT role, row_number() OVER (ORDER BY role) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT role FROM conversations)),
+firsts AS (SELECT role, ref, min({'h': h, 'id': id}) AS f FROM free GROUP BY ALL),
+ranked AS MATERIALIZED (SELECT k, n, f.id AS id, f.h AS h, ref FROM firsts JOIN roles USING (role)),
+steps(step, used, id, ref, k) AS (
+  SELECT -1, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT
+  UNION ALL
+  SELECT step + 1, CASE WHEN c IS NULL THEN used ELSE list_append(used, c.ref) END, c.id, c.ref, (step + 1) % n
+  FROM (SELECT s.step, s.used, (SELECT max(n) FROM ranked) AS n, (SELECT min({'h': r.h, 'id': r.id, 'ref': r.ref}) FROM ranked r WHERE r.k = (s.step + 1) % r.n AND NOT list_contains(s.used, r.ref)) AS c FROM steps s WHERE s.step + 1 < 3 * (SELECT max(n) FROM ranked)) x)
+SELECT id, role, ref, (step // n + 1)::BIGINT AS rank FROM steps JOIN roles USING (k) WHERE id IS NOT NULL""",
+)
+def demo_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three short turns of each role in turns, no reference twice and none that a target has."""
+    talks = table(spark, sf_dir, "conversations").selectExpr("conv_id * 100 + turn AS id", "role", "conv_id % 50 AS ref", "text")
+    targets = talks.where("ref = 7").select(F.lit(-1).cast("long").alias("id"), "ref")
+    return order.demo_round(talks, "role", "ref", "id", F.size(text.words(F.col("text"))), 3, "demo", targets)

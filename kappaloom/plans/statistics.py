@@ -42,7 +42,7 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HASHED = f"('0x' || substr(sha256('{SEED}|' || {{}}), 1, 8))::BIGINT"
-_RATED = "rated AS MATERIALIZED (SELECT doc_id, lang, source, quality, toxic, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS ks, count(*) OVER (PARTITION BY quality) AS ns FROM labels JOIN documents USING (doc_id))"
+_RATED = "rated AS MATERIALIZED (SELECT doc_id, lang, source, quality, toxic, row_number() OVER (ORDER BY quality, toxic, doc_id) - 1 AS k, count(*) OVER () AS n, row_number() OVER (PARTITION BY quality ORDER BY toxic, doc_id) - 1 AS ks, count(*) OVER (PARTITION BY quality) AS ns FROM labels JOIN documents USING (doc_id))"
 
 
 @registered(
@@ -77,7 +77,7 @@ _INTERVAL = " SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_co
 
 @registered("bootstrap_kappa", f"WITH {_RATED}{_DRAWN}, reps AS (SELECT rep, {_KAPPA} AS v FROM draws JOIN rated USING (k) GROUP BY rep)" + _INTERVAL)
 def bootstrap_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(resample.bootstrap_kappa(rated(spark, sf_dir), ["doc_id"], REPS, SEED), "low", "high")
+    return rounded(resample.bootstrap_kappa(rated(spark, sf_dir), REPS, SEED), "low", "high")
 
 
 @registered(
@@ -87,12 +87,12 @@ reps AS (SELECT rep, {_KAPPA} AS v FROM draws JOIN rated ON rated.ks = draws.ks
     + _INTERVAL,
 )
 def bootstrap_kappa_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(resample.bootstrap_kappa(rated(spark, sf_dir), ["doc_id"], REPS, SEED, ["gold"]), "low", "high")
+    return rounded(resample.bootstrap_kappa(rated(spark, sf_dir), REPS, SEED, ["gold"]), "low", "high")
 
 
 @registered("bootstrap_mean", f"WITH {_RATED}{_DRAWN}, reps AS (SELECT rep, avg(quality) AS v FROM draws JOIN rated USING (k) GROUP BY rep)" + _INTERVAL)
 def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(resample.bootstrap(rated(spark, sf_dir), F.avg("quality"), ["doc_id"], REPS, SEED), "low", "high")
+    return rounded(resample.bootstrap_mean(rated(spark, sf_dir), "quality", REPS, SEED), "low", "high")
 
 
 @registered(
@@ -108,13 +108,42 @@ def bootstrap_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resample.bootstrap(cases, F.avg("f"), ["base_id"], REPS, SEED), "low", "high")
 
 
+_SYSTEMS = """SELECT *, CASE WHEN toxic = 1 THEN 'entailment' ELSE gold END AS pred, CASE WHEN doc_id % 7 = 0 THEN 'neutral' WHEN doc_id % 11 = 0 THEN 'entailment' ELSE gold END AS pred2 FROM (SELECT doc_id, lang, source, toxic, CASE WHEN quality = 1 THEN 'entailment' ELSE 'contradiction' END AS gold FROM rated)"""
+_JOINT = ("CAST(gold = pred AND doc_id % 2 = 0 AS INT) AS joint", "CAST(gold = pred2 AND doc_id % 3 <> 0 AS INT) AS joint2")
+
+
+def systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two systems' predictions of the labelled documents' quality, and whether each is right in all."""
+    rows = spark.sql(_SYSTEMS.replace("FROM rated", "FROM {rated}"), rated=rated(spark, sf_dir).select("doc_id", "lang", "source", "quality", "toxic"))
+    return rows.selectExpr("doc_id", "lang", "source", "gold", "pred", "pred2", *_JOINT)
+
+
+def _macro(pred: str) -> str:
+    return "(" + " + ".join(f"coalesce(2.0::DOUBLE * count(*) FILTER (gold = '{x}' AND {pred} = '{x}') / nullif(count(*) FILTER (gold = '{x}') + count(*) FILTER ({pred} = '{x}'), 0), 0)" for x in ("entailment", "contradiction", "neutral")) + ") / 3"
+
+
+_SIGNS = "SELECT measure, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round(avg((v > 0)::INT), 6) AS above, round(avg((v < 0)::INT), 6) AS below FROM reps GROUP BY measure"
+
+
 @registered(
     "bootstrap_paired",
-    f"""WITH {_RATED}{_DRAWN}, reps AS (SELECT rep, avg((toxic = 1)::INT) - avg((quality = 1)::INT) AS v FROM draws JOIN rated USING (k) GROUP BY rep)
-SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round(avg((v > 0)::INT), 6) AS above, round(avg((v < 0)::INT), 6) AS below FROM reps""",
+    f"""WITH {_RATED}, systems AS (SELECT *, row_number() OVER (ORDER BY gold, pred, pred2, joint, joint2, doc_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT *, {', '.join(_JOINT)} FROM ({_SYSTEMS}))),
+draws AS (SELECT rep, d, {_HASHED.format("rep || '|' || d")} % n AS k FROM (SELECT max(n) AS n FROM systems), LATERAL (SELECT unnest(range(n)) AS d), (SELECT unnest(range(1, {REPS} + 1)) AS rep)),
+wide AS (SELECT rep, avg((gold = pred2)::INT) - avg((gold = pred)::INT) AS accuracy, {_macro('pred2')} - {_macro('pred')} AS macro_f1, avg(joint2) - avg(joint) AS joint FROM draws JOIN systems USING (k) GROUP BY rep),
+reps AS (SELECT 'accuracy' AS measure, accuracy AS v FROM wide UNION ALL SELECT 'macro_f1', macro_f1 FROM wide UNION ALL SELECT 'joint', joint FROM wide) {_SIGNS}""",
 )
 def bootstrap_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(resample.paired_deltas(rated(spark, sf_dir), F.avg("quality"), F.avg("toxic"), ["doc_id"], REPS, SEED), "low", "high", "above", "below")
+    return rounded(resample.paired_deltas(systems(spark, sf_dir), REPS, SEED), "low", "high", "above", "below")
+
+
+@registered(
+    "bootstrap_paired_clusters",
+    f"""WITH {_RATED}, clusters AS (SELECT lang, source, sum((gold = pred2)::INT - (gold = pred)::INT) AS s, count(*) AS c, row_number() OVER (ORDER BY lang, source) - 1 AS k, count(*) OVER () AS n FROM ({_SYSTEMS}) GROUP BY lang, source),
+draws AS (SELECT rep, {_HASHED.format("rep || '|' || d")} % n AS k FROM (SELECT max(n) AS n FROM clusters), LATERAL (SELECT unnest(range(n)) AS d), (SELECT unnest(range(1, {REPS} + 1)) AS rep)),
+reps AS (SELECT 'accuracy' AS measure, sum(s) / sum(c) AS v FROM draws JOIN clusters USING (k) GROUP BY rep) {_SIGNS}""",
+)
+def bootstrap_paired_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resample.paired_cluster_deltas(systems(spark, sf_dir), ["lang", "source"], REPS, SEED), "low", "high", "above", "below")
 
 
 @registered(

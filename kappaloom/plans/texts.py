@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import hashing, spans, text
+from ..functions import hashing, labels, spans, text
 from .agreement import rounded
-from .bindings import PASSAGES_SQL, passages, table
+from .bindings import PASSAGES_SQL, TOKENS_SQL, passages, table
 from .registry import registered
 
 _RUNS = "WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\s+|\\S+')) AS run, generate_subscripts(regexp_extract_all(text, '\\s+|\\S+'), 1) AS i FROM documents), placed AS (SELECT *, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM runs)"
@@ -39,17 +39,14 @@ def numbered_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.sha2("r", 256).alias("rendered"), F.size(text.numbers(F.col("r"))).cast("long").alias("numbers"))
 
 
-_TOKENS = PASSAGES_SQL + ", spanned AS (SELECT *, len(regexp_extract_all(substring(text, 1, start::INT), '\\S+')) + CASE WHEN start > 0 AND regexp_matches(substring(text, start::INT, 2), '^\\S\\S') THEN 0 ELSE 1 END AS first, len(regexp_extract_all(substring(text, 1, stop::INT), '\\S+')) AS last FROM met)"
-
-
-@registered("span_token_map", _TOKENS + " SELECT doc_id, item_id, first, last FROM spanned")
+@registered("span_token_map", TOKENS_SQL + " SELECT doc_id, item_id, first, last FROM spanned")
 def span_token_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.token_span(F.col("text"), F.col("start"), F.col("end")).alias("s")
     rows = passages(spark, sf_dir).select("doc_id", "item_id", found)
     return rows.select("doc_id", "item_id", F.col("s.first").cast("long").alias("first"), F.col("s.last").cast("long").alias("last"))
 
 
-@registered("token_span_text", _TOKENS + " SELECT doc_id, item_id, array_to_string(regexp_extract_all(text, '\\S+')[first:last], ' ') AS span FROM spanned")
+@registered("token_span_text", TOKENS_SQL + " SELECT doc_id, item_id, array_to_string(regexp_extract_all(text, '\\S+')[first:last], ' ') AS span FROM spanned")
 def token_span_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.token_span(F.col("text"), F.col("start"), F.col("end"))
     rows = passages(spark, sf_dir).select("doc_id", "item_id", text.words(F.col("text")).alias("w"), found.alias("s"))
@@ -100,7 +97,8 @@ def composed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.nfc("text"), 256).alias("key"))
 
 
-@registered("compatible_keys")
+# the tables' texts have no character but ß that folding changes more than lower() does, and none that compatibility does
+@registered("compatible_keys", "SELECT doc_id, sha256(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\\s+', ' ', 'g'))) AS key FROM documents")
 def compatible_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalised("text"), 256).alias("key"))
 
@@ -115,8 +113,17 @@ def premise_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("next_ids", "SELECT source, 'DOC-' || lpad((max(doc_id) + 1)::VARCHAR, 7, '0') AS next_id FROM documents GROUP BY source")
 def next_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "documents").select("source", F.concat(F.lit("DOC-"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("id"))
-    number = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
-    return named.groupBy("source").agg(F.concat(F.lit("DOC-"), F.lpad((F.max(number) + 1).cast("string"), 7, "0")).alias("next_id"))
+    return named.groupBy("source").agg(labels.next_id(F.col("id"), "DOC-", 7).alias("next_id"))
+
+
+_ENTRIES = "CASE doc_id % 4 WHEN 0 THEN concat(' ', doc_id, ' ') WHEN 1 THEN concat('doc-', lpad(CAST(doc_id AS VARCHAR(20)), 7, '0')) WHEN 2 THEN '  ' ELSE concat('x', doc_id) END"
+
+
+@registered("looked_up_ids", "SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN NULL WHEN 3 THEN 'x' || doc_id ELSE 'DOC-' || lpad(doc_id::VARCHAR, 7, '0') END AS id, CASE doc_id % 4 WHEN 2 THEN 'row-' || doc_id WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN 'doc-' || lpad(doc_id::VARCHAR, 7, '0') ELSE 'x' || doc_id END AS record FROM documents")
+def looked_up_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries as people type them, and the ids of records that may have none."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_ENTRIES).alias("e"))
+    return rows.select("doc_id", labels.looked_up_id(F.col("e"), "DOC-", 7).alias("id"), labels.record_id(F.col("e"), position=F.col("doc_id")).alias("record"))
 
 
 @registered(
@@ -149,7 +156,11 @@ def split_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("h").alias("texts"))
 
 
-@registered("boundary_replace")
+_BORDERED = "regexp_replace(regexp_replace(text, '(^|[^\\p{L}\\p{N}_])the([^\\p{L}\\p{N}_]|$)', '\\1this\\2', 'g'), '(^|[^\\p{L}\\p{N}_])the([^\\p{L}\\p{N}_]|$)', '\\1this\\2', 'g')"
+
+
+# matches use up their borders in the SQL, so that of two neighbours the second is met the second time
+@registered("boundary_replace", f"SELECT doc_id, CASE WHEN r <> text THEN sha256(r) END AS replaced, CASE WHEN r <> text THEN length(r) - length(text) END AS places FROM (SELECT doc_id, text, {_BORDERED} AS r FROM documents)")
 def boundary_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     replaced = text.replace_word(F.col("text"), "the", "this")
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(replaced, 256).alias("replaced"), (F.length(replaced) - F.length("text")).cast("long").alias("places"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import labels, spans, text
-from ..functions.hashing import request_id
-from ..operators import align, validate
-from .bindings import PASSAGES_SQL, passages, table
+from ..functions import spans, text
+from ..functions.hashing import order_key, request_id
+from ..operators import align, order, validate
+from .bindings import PASSAGES_SQL, TOKENS_SQL, passages, table
 from .registry import registered
 
 _RAW = """SELECT CASE WHEN l_partkey % 101 = 0 THEN ' ' WHEN l_partkey % 103 = 0 THEN concat(l_suppkey, '-x') ELSE concat(l_orderkey, '-', l_linenumber) END AS id,
@@ -81,35 +81,96 @@ def challenge_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.groupBy("variants").agg(F.count("*").alias("cases"), F.count_if("kept").alias("kept"))
 
 
+_STORED = "CASE WHEN (doc_id + item_id) % 4 = 0 THEN first + 1 ELSE first END"
+
+
 @registered(
     "target_consistency",
-    "SELECT lang, count(*) AS n, count(*) FILTER (length(text) <> n_chars) AS moved, count(*) FILTER (l.doc_id IS NULL) AS missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY lang",
+    TOKENS_SQL + f" SELECT s.doc_id, s.item_id, {_STORED.replace('first', 's.first').replace('doc_id', 's.doc_id').replace('item_id', 's.item_id')} AS stored, s.first AS found, (s.doc_id + s.item_id) % 4 = 0 AS moved, l.doc_id IS NULL AS missing FROM spanned s LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)",
 )
 def target_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored token bounds of passages against those that the tokens of the text give, and whether gold lacks the document."""
+    met = passages(spark, sf_dir).withColumn("t", text.tokens("text")).withColumn("s", spans.covering_tokens(F.col("t"), F.col("start"), F.col("end")))
+    rows = met.select("doc_id", "item_id", F.col("s.first").cast("long").alias("first")).selectExpr("doc_id", "item_id", f"{_STORED} AS stored", "first AS found")
     known = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
-    met = table(spark, sf_dir, "documents").join(known, "doc_id", "left")
-    return met.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("text") != F.col("n_chars")).alias("moved"), F.count_if(F.col("known").isNull()).alias("missing"))
+    return rows.join(known, "doc_id", "left").select("doc_id", "item_id", "stored", "found", (~F.col("stored").eqNullSafe(F.col("found"))).alias("moved"), F.col("known").isNull().alias("missing"))
+
+
+@registered(
+    "corpus_totals",
+    "WITH have AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), want AS (SELECT lang, count(*) AS n FROM documents SEMI JOIN labels USING (doc_id) GROUP BY lang) SELECT lang, coalesce(h.n, 0)::BIGINT AS n, coalesce(w.n, 0)::BIGINT AS expected, (coalesce(h.n, 0) - coalesce(w.n, 0))::BIGINT AS off FROM have h FULL JOIN want w USING (lang) UNION ALL SELECT NULL, (SELECT sum(n) FROM have)::BIGINT, (SELECT sum(n) FROM want)::BIGINT, ((SELECT sum(n) FROM have) - (SELECT sum(n) FROM want))::BIGINT",
+)
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each language, and in all, against those that the labelled ones would have."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    expected = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("n"))
+    return validate.count_differences(docs, "lang", expected)
+
+
+@registered(
+    "split_membership",
+    f"WITH have AS (SELECT doc_id AS id, {SPLIT} AS split FROM documents UNION ALL SELECT doc_id, 'test' FROM documents WHERE doc_id % 50 = 0), want AS (SELECT doc_id AS id, CASE WHEN doc_id % 33 = 0 THEN 'test' ELSE {SPLIT} END AS split FROM documents WHERE doc_id % 41 <> 0) SELECT 'unlisted' AS fault, * FROM (SELECT * FROM have EXCEPT ALL SELECT * FROM want) UNION ALL SELECT 'absent', * FROM (SELECT * FROM want EXCEPT ALL SELECT * FROM have) UNION ALL SELECT 'several', id, min(split) FROM (SELECT DISTINCT * FROM have) GROUP BY id HAVING count(*) > 1",
+)
+def split_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits with some ids in two of them, against a list that has other splits for some ids and lacks some."""
+    docs = table(spark, sf_dir, "documents")
+    have = docs.selectExpr("doc_id", f"{SPLIT} AS split").unionByName(docs.where("doc_id % 50 = 0").selectExpr("doc_id", "'test' AS split"))
+    want = docs.where("doc_id % 41 <> 0").selectExpr("doc_id", f"CASE WHEN doc_id % 33 = 0 THEN 'test' ELSE {SPLIT} END AS split")
+    return validate.membership_faults(have, want, "doc_id", "split")
+
+
+_PREDICTIONS = """CASE event_id % 9 WHEN 0 THEN concat('{"id": "', event_id, '", "label": " Neutral ", "start": null, "end": null}')
+  WHEN 1 THEN concat('{"id": "', event_id + 1, '", "label": "entailment", "start": 1, "end": 2}')
+  WHEN 2 THEN concat('{"id": "', event_id, '", "label": "maybe", "start": 1, "end": 2}')
+  WHEN 3 THEN concat('{"id": "', event_id, '", "label": "entailment", "start": 1.0, "end": 2}')
+  WHEN 4 THEN concat('{"id": "', event_id, '", "label": "entailment", "start": "1", "end": 2}')
+  WHEN 5 THEN concat('{"id": "', event_id, '", "label": "contradiction", "start": ', 1 + user_id % 30, ', "end": 20}')
+  WHEN 6 THEN concat('{"id": "', event_id, '", "label": "neutral", "start": 1, "end": 2}')
+  WHEN 7 THEN concat('{"id": "', event_id, '", "label": "entailment", "start": 1, "end": 2, "why": 3}')
+  ELSE 'no object' END"""
+
+
+@registered(
+    "prediction_faults",
+    "SELECT event_id, CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'id' WHEN 2 THEN 'label' WHEN 3 THEN 'integers' WHEN 4 THEN 'integers' WHEN 5 THEN CASE WHEN 1 + user_id % 30 > 20 THEN 'bounds' ELSE '' END WHEN 6 THEN 'neutral_span' WHEN 7 THEN 'keys' ELSE 'json' END AS faults FROM events",
+)
+def prediction_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of every kind of fault, against what was put into them."""
+    raw = F.expr(_PREDICTIONS)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(validate.prediction_faults(raw, F.col("event_id"), F.lit(25)), ",").alias("faults"))
+
+
+_NUMBERS = "CASE event_id % 5 WHEN 0 THEN concat(user_id, '.0') WHEN 1 THEN concat('\"', user_id, '\"') WHEN 2 THEN concat(user_id, '.5') WHEN 3 THEN 'true' ELSE concat(user_id, '') END"
+
+
+@registered("lax_integers", "SELECT event_id, CASE WHEN event_id % 5 = 4 THEN user_id END AS json, CASE WHEN event_id % 5 IN (0, 1, 4) THEN user_id END AS whole, CASE WHEN event_id % 5 <> 3 THEN user_id END AS truncated FROM events")
+def lax_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr(_NUMBERS)
+    modes = {"json": "json", "whole": "whole", "truncated": "truncate"}
+    return table(spark, sf_dir, "events").select("event_id", *[validate.lax_integer(raw, m).alias(name) for name, m in modes.items()])
 
 
 NAMES = ("the", "les", "der", "los")
-_NAME = "(^|[^\\wÀ-ÖØ-öø-ÿ]){}([^\\wÀ-ÖØ-öø-ÿ]|$)"
+_NAME = "(^|[^\\p{{L}}\\p{{N}}_]){}([^\\p{{L}}\\p{{N}}_]|$)"
 
 
 @registered(
     "eligibility",
-    "SELECT lang, class, count(*) AS n FROM (SELECT lang, CASE WHEN k = 0 THEN 'no_name' WHEN k > 1 THEN 'many_names' WHEN contains(lower(text), 'license') OR contains(lower(text), 'rights') THEN 'excluded' ELSE 'eligible' END AS class FROM (SELECT lang, text, "
+    "SELECT lang, class, count(*) AS n FROM (SELECT lang, CASE WHEN k = 0 THEN 'no_name' WHEN ambiguous THEN 'ambiguous' WHEN k > 1 THEN 'many_names' WHEN contains(lower(text), 'license') OR contains(lower(text), 'rights') THEN 'excluded' ELSE 'eligible' END AS class FROM (SELECT lang, text, "
     + " + ".join(f"regexp_matches(text, '{_NAME.format(x)}')::INT" for x in NAMES)
-    + " AS k FROM documents)) GROUP BY ALL",
+    + f" AS k, regexp_matches(text, '{_NAME.format(NAMES[0])}') AND lang <> 'en' AS ambiguous FROM documents)) GROUP BY ALL",
 )
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first that holds: no name; one that stands in several inventories, as the first does outside English; several names; an excluded context; eligible."""
     found = F.size(F.array_compact(F.array(*[F.when(text.has_word(F.col("text"), x), 1) for x in NAMES])))
-    kind = F.when(F.col("k") == 0, "no_name").when(F.col("k") > 1, "many_names").when(text.mentions(F.col("text"), ["license", "rights"]), "excluded").otherwise("eligible")
+    ambiguous = text.has_word(F.col("text"), NAMES[0]) & (F.col("lang") != "en")
+    kind = F.when(F.col("k") == 0, "no_name").when(ambiguous, "ambiguous").when(F.col("k") > 1, "many_names").when(text.mentions(F.col("text"), ["license", "rights"]), "excluded").otherwise("eligible")
     return table(spark, sf_dir, "documents").withColumn("k", found).groupBy("lang", kind.alias("class")).agg(F.count("*").alias("n"))
 
 
 @registered(
     "name_mentions",
-    "SELECT name, lang, count(*) AS docs FROM documents, (VALUES ('the'), ('les'), ('der'), ('los')) AS v(name) WHERE regexp_matches(text, '(^|[^\\wÀ-ÖØ-öø-ÿ])' || name || '([^\\wÀ-ÖØ-öø-ÿ]|$)') GROUP BY ALL",
+    "SELECT name, lang, count(*) AS docs FROM documents, (VALUES ('the'), ('les'), ('der'), ('los')) AS v(name) WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}_])' || name || '([^\\p{L}\\p{N}_]|$)') GROUP BY ALL",
 )
 def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names are single words: texts are cut into words once and joined by equality, not tried name by name."""
@@ -154,6 +215,21 @@ def align_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.report(talks, table(spark, sf_dir, "labels"), "doc_id")
 
 
+@registered("strict_alignment", "SELECT doc_id, lang, source AS lang_2 FROM documents")
+def strict_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sets of the same ids, one row an id; other ids on a side would be an error that names them."""
+    docs = table(spark, sf_dir, "documents")
+    return align.strict(docs.select("doc_id", "lang"), docs.select("doc_id", F.col("source").alias("lang")), "doc_id")
+
+
+@registered("ordered_alignment", "SELECT doc_id, row_number() OVER (ORDER BY sha256('gold|' || doc_id), doc_id) - 1 AS pos, lang AS lang_2 FROM documents")
+def ordered_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold stands in an order of its own, which the aligned rows keep."""
+    docs = table(spark, sf_dir, "documents")
+    gold = order.indexed(docs.select("doc_id", order_key("gold", F.col("doc_id")).alias("h")), ["h", "doc_id"], "pos").drop("h")
+    return align.in_order(gold, docs.select("doc_id", "lang"), "doc_id", "pos")
+
+
 @registered("three_way_alignment", "SELECT lang, quality, toxic, count(*) AS n, sum(turns)::BIGINT AS turns FROM documents JOIN labels USING (doc_id) JOIN (SELECT conv_id AS doc_id, count(*) AS turns FROM conversations GROUP BY conv_id) USING (doc_id) GROUP BY ALL")
 def three_way_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("turns"))
@@ -177,7 +253,7 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "derangement",
-    """WITH placed AS (SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS at FROM documents), whole AS (SELECT count(*) AS n, (SELECT max(c) FROM (SELECT count(*) AS c FROM documents GROUP BY source)) AS most FROM documents)
+    """WITH placed AS (SELECT doc_id, source, row_number() OVER (ORDER BY source, sha256('pairs|' || doc_id), doc_id) - 1 AS at FROM documents), whole AS (SELECT count(*) AS n, (SELECT max(c) FROM (SELECT count(*) AS c FROM documents GROUP BY source)) AS most FROM documents)
 SELECT a.doc_id, a.source, b.doc_id AS partner, b.source AS partner_group FROM placed a CROSS JOIN whole JOIN placed b ON b.at = (a.at + most) % n""",
 )
 def derangement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,10 +271,3 @@ def paired_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = counts.withColumn("id", F.regexp_replace("name", "__(orig|cf)$", ""))
     side = lambda end, to: keyed.where(F.col("name").endswith(end)).select("id", F.col("n").alias(to))
     return side("__orig", "original").join(side("__cf", "counterfactual"), "id")
-
-
-@registered("label_names", "SELECT r_regionkey, r_name FROM region")
-def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unknown labels pass through normalisation: in the region's names nothing changes but case, which is put back."""
-    named = table(spark, sf_dir, "region").select("r_regionkey", labels.normalised(F.col("r_name")).alias("r_name"))
-    return named.withColumn("r_name", F.upper("r_name"))

@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir.
 
@@ -25,8 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, which clear() deletes."""
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this process has made. Frames that still read them are void then: write their results first."""
+    remove(spark, *_made)
+    _made.clear()
 
 
 def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:

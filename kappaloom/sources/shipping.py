@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     package = Path(__file__).resolve().parent.parent
-    target = os.path.join(tempfile.mkdtemp(prefix="kappaloom-"), f"{package.name}.zip")
+    folder = tempfile.mkdtemp(prefix="kappaloom-")  # the driver serves the file from here as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, f"{package.name}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(package.rglob("*.py")):
             out.write(path, path.relative_to(package.parent))

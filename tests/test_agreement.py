@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kappaloom.functions.labels import LABELS
+from kappaloom.operators import agreement, audit, resample
 from kappaloom.operators import agreement as ag
-from kappaloom.operators import audit, resample
 
 SCHEMA = "id string, gold string, pred string, gold_start int, gold_end int, pred_start int, pred_end int"
 
@@ -124,3 +124,66 @@ def test_bootstrap_draws_stay_in_strata(spark):
         means.append(sum(float(rng.randrange(40)) for _ in range(40)) / 40)
     means.sort()
     assert sequential.low == pytest.approx(means[7] + (means[8] - means[7]) * 0.475)
+
+
+def test_cells_are_drawn_as_rows_are(spark):
+    """Rows in the order of their cells, drawn one by one, give the counts of drawn_cells()."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice([E, C]), rng.choice([E, C, N]), rng.choice("st")) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id int, gold string, pred string, s string")
+    for strata in ([], ["s"]):
+        found = Counter({(r.rep, r.gold, r.pred): r.c for r in resample.drawn_cells(frame, ["gold", "pred"], 7, "x", strata).groupBy("rep", "gold", "pred").agg(F.sum("c").alias("c")).collect()})
+        by_row = resample.drawn(frame, ["gold", "pred", "id"], 7, "x", strata).groupBy("rep", "gold", "pred").count().collect()
+        assert found == Counter({(r.rep, r.gold, r.pred): r["count"] for r in by_row})
+    low, high = resample.bootstrap_kappa(frame, 50, "x").first()
+    values = sorted(r.v for r in resample.drawn(frame, ["gold", "pred", "id"], 50, "x").groupBy("rep").agg(agreement.kappa().alias("v")).collect())
+    assert low == pytest.approx(values[1] + (values[2] - values[1]) * 0.225) and high == pytest.approx(values[47] + (values[48] - values[47]) * 0.775)
+
+
+def test_paired_deltas_share_draws(spark):
+    rng = random.Random(5)
+    rows = [(i, *(rng.choice([E, C, N]) for _ in range(3)), rng.randrange(2), rng.randrange(2)) for i in range(80)]
+    frame = spark.createDataFrame(rows, "id int, gold string, pred string, pred2 string, joint int, joint2 int")
+    found = {r.measure: r for r in resample.paired_deltas(frame, 40, "x").collect()}
+    reps = {}
+    for r in resample.drawn(frame, ["gold", "pred", "pred2", "joint", "joint2", "id"], 40, "x").collect():
+        reps.setdefault(r.rep, []).append(r)
+
+    def f1(rows, name):
+        out = 0
+        for x in (E, C, N):
+            both, either = sum(r.gold == x == r[name] for r in rows), sum((r.gold == x) + (r[name] == x) for r in rows)
+            out += 2 * both / either if either else 0
+        return out / 3
+
+    deltas = {
+        "accuracy": [sum((r.gold == r.pred2) - (r.gold == r.pred) for r in x) / 80 for x in reps.values()],
+        "macro_f1": [f1(x, "pred2") - f1(x, "pred") for x in reps.values()],
+        "joint": [sum(r.joint2 - r.joint for r in x) / 80 for x in reps.values()],
+    }
+    for name, values in deltas.items():
+        values.sort()
+        assert found[name].low == pytest.approx(values[0] + (values[1] - values[0]) * 0.975)
+        assert found[name].above == pytest.approx(sum(v > 1e-12 for v in values) / 40) and found[name].below == pytest.approx(sum(v < -1e-12 for v in values) / 40)
+    same = resample.paired_cluster_deltas(frame.withColumn("pred2", F.col("pred")).withColumn("k", F.col("id") % 9), ["k"], 20, "x").first()
+    assert (same.low, same.high, same.above, same.below) == (0, 0, 0, 0)
+
+
+def test_kappa_may_refuse(spark):
+    one = spark.createDataFrame([(E, E)], "gold string, pred string")
+    assert one.agg(agreement.kappa(agreement.Policy(chance_one="raise")).alias("k")).first().k == 1.0
+    assert one.agg(agreement.kappa(agreement.Policy(chance_one="zero"), F.lit(3)).alias("k")).first().k == 0.0
+
+
+def test_spans_that_count(spark):
+    rows = [("a", E, E, 1, 2, 1, 2), ("b", E, C, 1, 2, 2, 3), ("c", N, E, None, None, 1, 1), ("d", N, N, None, None, 4, 5), ("e", E, N, 1, 1, None, None)]
+    frame = spark.createDataFrame(rows, "id string, gold string, pred string, gold_start int, gold_end int, pred_start int, pred_end int")
+    assert sorted(r.id for r in agreement.eligible_ids(frame).collect()) == ["a", "b"]
+    assert [r.id for r in agreement.eligible_ids(frame, policy=agreement.Policy("same")).collect()] == ["a"]
+    assert tuple(agreement.neutral_disagreements(frame).first()) == (1, 1, 1)
+
+
+def test_windows_with_scored_spans(spark):
+    rows = [(1, 0, [0.2, 0.5, 0.3], -3.0, 4, 6), (1, 1, [0.2, 0.5, 0.3], -1.0, 7, 7), (1, 2, [0.2, 0.5, 0.3], -1.0, 9, 9), (2, 0, [0.1, 0.1, 0.8], -0.5, 1, 1)]
+    found = audit.over_scored_windows(spark.createDataFrame(rows, "i int, w int, p array<double>, s double, a int, b int"), "i", "w", "p", "s", "a", "b", 3).orderBy("i").collect()
+    assert [tuple(r) for r in found] == [(1, 2, 1, 7, 7), (2, 3, None, None, None)]

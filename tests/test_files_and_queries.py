@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,13 +45,49 @@ def test_written_files(spark, tmp_path):
     files.append_jsonl(frame, f"{tmp_path}/out")
     assert files.read_jsonl(spark, f"{tmp_path}/out", SCHEMA).count() == 4
     files.write_csv([frame, frame.select("id", F.lit(1).alias("z"))], f"{tmp_path}/csv")
-    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").columns == ["id", "n", "z"]
+    first = [p.read_bytes() for p in (tmp_path / "csv").glob("*.csv")]
+    assert all(x.startswith(b"\xef\xbb\xbfid,n,z") for x in first if x)
+    assert sorted(map(tuple, files.read_csv(spark, f"{tmp_path}/csv", "id string, n long, z int").collect()), key=repr) == sorted([("b", 2, None), ("a", None, None), ("b", None, 1), ("a", None, 1)], key=repr)
     assert files.report(frame.where("id = 'b'")) == '{"id": "b", "n": 2}'
     with pytest.raises(ValueError):
         files.report(spark.range(1).select(F.lit(float("nan")).alias("x")))
     assert files.latest(spark, f"{tmp_path}/csv/*.csv").endswith(".csv")
 
 
+def test_folders_of_lines_and_arrays(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{"id": "a", "n": 1}\n')
+    (tmp_path / "two.json").write_text('\ufeff\n\t[ {"id": "b", "n": 2},\n {"id": "c", "n": 3} ]')
+    (tmp_path / "three.json").write_text("\n")
+    assert sorted(map(tuple, files.read_json(spark, str(tmp_path), SCHEMA).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_reports_views_and_values(spark, tmp_path):
+    rows = spark.createDataFrame([("x", 2, 0.5), ("a", None, None)], "t string, n long, f double")
+    files.write_report(rows, f"{tmp_path}/report", {"t": "", "n": "rows", "f": "share"}, ["t"])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("*.txt")))
+    assert text == "a\n  rows  : -\n  share : -\nx\n  rows  : 2\n  share : 0.5000\n"
+    raw = spark.createDataFrame([(i, x) for i, x in enumerate(['" a "', '{"k":[1,"é"]}', " no json ", None])], "i int, r string")
+    assert [r.s for r in raw.select("i", files.rendered("r").alias("s")).orderBy("i").collect()] == ["a", '{\n  "k": [\n    1,\n    "é"\n  ]\n}', "no json", None]
+    master = files.master_view(spark.createDataFrame([(f"i{i}", i % 2, 10 - i, "h") for i in range(5)], "id string, l long, p long, _helper string"), "l", "p").orderBy("global_position").collect()
+    assert [tuple(r) for r in master] == [("i4", 0, 1, 1), ("i2", 0, 2, 2), ("i0", 0, 3, 3), ("i3", 1, 1, 4), ("i1", 1, 2, 5)]
+
+
+def test_folders_and_runs(spark, tmp_path):
+    for name, inside in (("one", ["a"]), ("two", ["a", "b"]), ("three", ["a", "b"])):
+        for x in inside:
+            (tmp_path / name / x).mkdir(parents=True)
+    folders = [f"{tmp_path}/{x}" for x in ("one", "two", "three")]
+    assert files.folder_with(spark, folders, ["a", "b"]).endswith("two") and files.folder_with(spark, folders, ["c"]) is None
+    assert files.folder_with(spark, folders, ["a", "b"], newest=True).endswith(("two", "three"))
+    assert {"python", "spark"} <= set(files.environment(spark))
+    runs = spark.createDataFrame([(1, "a"), (2, "b")], "seed int, model string")
+    none = spark.createDataFrame([], "signature string, protocol string")
+    first = files.pending_runs(runs, none, F.struct("seed", "model"), "v1")
+    done = first.where("seed = 1").select("signature", F.lit("v1").alias("protocol"))
+    assert [r.seed for r in files.pending_runs(runs, done, F.struct("seed", "model"), "v1").collect()] == [2]
+    assert files.pending_runs(runs, done, F.struct("seed", "model"), "v2").count() == 2
+
+
 def test_manifests(spark, tmp_path):
     path = f"{tmp_path}/manifest"
     assert files.verify_or_create(spark, path, {"model": "m", "created": 1})
@@ -91,7 +128,7 @@ def test_entry_and_names(spark):
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["agreement_summary", "confusion_matrix", "violations", "span_token_map", "derangement", "chi_square", "key_gaps", "hash_topk_balanced", "set_overlap", "stratified_targets", "token_windows", "embedded_json"])
+@pytest.mark.parametrize("name", ["agreement_summary", "confusion_matrix", "violations", "span_token_map", "derangement", "chi_square", "key_gaps", "hash_topk_balanced", "set_overlap", "stratified_targets", "token_windows", "embedded_json", "demo_round", "selection_by_flow", "group_folds", "window_batches", "prediction_faults", "bootstrap_paired", "strict_alignment", "gram_features", "scored_window_aggregate", "json_or_lines"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -99,6 +136,6 @@ def test_queries_equal_their_sql(spark, name):
     expected = con.execute(catalogue.ORACLES[name]).df()
     found = catalogue.QUERIES[name](spark, DATA).toPandas()
     assert sorted(found.columns) == sorted(expected.columns)
-    clean = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+    clean = lambda v: None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
     rows = lambda df: sorted((tuple(map(clean, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
     assert rows(found) == rows(expected)

@@ -1,4 +1,7 @@
+import hashlib
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -121,12 +124,18 @@ def test_positions_gaps_and_spread(spark):
         assert max(b - a for a, b in zip(places, places[1:], strict=False)) <= 2 * 200 / len(members) + 4
 
 
-def test_lots(spark):
-    rows = [(i, "k%d" % min(i // 10, 3)) for i in range(95)]
+@pytest.mark.parametrize("most", [4, 30])
+def test_lots(spark, most):
+    rows = [(i, "k%d" % min(i // most, 20)) for i in range(95 if most == 4 else 60)]
+    rows = [(i, k) for i, k in rows if k != "k20"]
     dealt = order.lots(spark.createDataFrame(rows, "id long, k string"), "k", "id", 20, 1).collect()
     sizes = Counter(r.lot for r in dealt)
-    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 5
-    assert all(n <= 2 for (k, _), n in Counter((r.k, r.lot) for r in dealt).items() if k != "k3")
+    # no key twice in a lot, whatever that takes
+    assert max(Counter((r.k, r.lot) for r in dealt).values()) == 1 and len(dealt) == len(rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == max(-(-len(rows) // 20), most)
+    if most == 30:
+        with pytest.raises(Exception, match="more rows than"):
+            order.lots(spark.createDataFrame(rows, "id long, k string"), "k", "id", 20, 1, strict=True).collect()
 
 
 @settings(max_examples=10, deadline=None)
@@ -146,8 +155,22 @@ def test_windows_and_batches(spark):
         found[r.id].append((r.window, r.first, r.last, len(r.words)))
     assert sorted(found[4]) == [(0, 1, 4, 4), (1, 4, 7, 4), (2, 7, 10, 4), (3, 10, 11, 2)]
     assert found[2] == [(0, 1, 4, 4)] and sorted(found[3]) == [(0, 1, 4, 4), (1, 4, 5, 2)] and found[0] == [(0, 1, 0, 0)]
-    sizes = spark.createDataFrame([(i, n, 0) for i, n in enumerate([3, 3, 3, 9, 1, 1, 1])], "id long, n long, shard long")
-    assert [r.batch for r in lexical.window_batches(sizes, "id", "n", "shard", 2, 6).orderBy("id").collect()] == [0, 0, 1, 2, 3, 3, 4]
+    sizes = spark.createDataFrame(list(enumerate([3, 3, 3, 9, 1, 1, 1])), "id long, n long")
+    assert [r.batch for r in lexical.window_batches(sizes, "id", "n", 2, 6).orderBy("id").collect()] == [0, 0, 1, 2, 3, 3, 4]
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 5), (2, 7), (3, 1000)])
+def test_batches_do_not_depend_on_blocks(spark, seed, block):
+    rng = random.Random(seed)
+    sizes = [(i, rng.choice([1, 1, 2, 3, 8, 20])) for i in range(rng.randrange(30, 60))]
+    expected, batch, items, used = [], 0, 0, 0
+    for _, n in sizes:
+        if items and (items == 4 or used + n > 10):
+            batch, items, used = batch + 1, 0, 0
+        items, used = items + 1, used + n
+        expected.append(batch)
+    found = lexical.window_batches(spark.createDataFrame(rng.sample(sizes, len(sizes)), "id long, n long"), "id", "n", 4, 10, block=block).orderBy("id").collect()
+    assert [r.batch for r in found] == expected
 
 
 def test_faults(spark):
@@ -170,9 +193,171 @@ def test_report_and_manifest(spark):
     assert {r.key: r.differs for r in validate.manifest_difference(a, b).collect()} == {"a": True, "b": False, "c": True}
 
 
-def test_top_terms_leave_no_term_out(spark):
-    from kappaloom.operators import lexical
+def grams_by_hand(text):
+    words = re.findall("[a-z0-9à-öø-ÿ]+", text.lower())
+    out = [f"w {w}" for w in words] + [f"w {a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    for word in text.lower().split():
+        padded = f" {word} "
+        for n in (3, 4, 5):
+            if len(padded) <= n:
+                out.append("c" + padded)
+                break
+            out += ["c" + padded[i : i + n] for i in range(len(padded) - n + 1)]
+    return Counter(out)
+
+
+def test_grams(spark):
+    texts = [(0, "A bc  déf,\n ghijkl x"), (1, ""), (2, None), (3, "ab"), (4, "a")]
+    found = defaultdict(Counter)
+    for r in lexical.gram_counts(spark.createDataFrame(texts, "id long, t string"), "id", F.col("t")).collect():
+        found[r.id][r.term] = r.tf
+    assert dict(found) == {i: grams_by_hand(t) for i, t in texts if t}
+
+
+def test_vectors_and_models_leave_no_term_out(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + (" strong" if i % 2 else " weak"), i % 2, i // 4 % 3) for i in range(60)] + [(99, "", 0, 0)]
+    docs = spark.createDataFrame(rows, "id long, t string, y int, f long")
+    vectors, places = lexical.vectors(docs, "id", F.col("t"))
+    counts = {i: grams_by_hand(t) for i, t, *_ in rows}
+    df = Counter(x for c in counts.values() for x in c)
+    terms = {r.at: r.term for r in places.collect()}
+    assert sorted(terms) == list(range(len(terms))) and set(terms.values()) == {x for x, n in df.items() if n >= 2}
+    for r in vectors.collect():
+        raw = {x: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[x])) + 1) for x, n in counts[r.id].items() if df[x] >= 2}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        assert {terms[int(i)]: round(w, 9) for i, w in zip(r.x.indices, r.x.values, strict=True)} == {x: round(w / norm, 9) for x, w in raw.items()}
+    known = vectors.join(docs.select("id", "y", "f"), "id")
+    model, best = lexical.refitted(known, places, "y", 3)
+    assert all(r.term[1:].strip() in {1: "strong", 0: "weak"}[r["class"]] for r in best.where("rank = 1").collect())
+    assert model.numFeatures == len(terms)
+    scored = lexical.out_of_fold(known, "y", "f", 3, grid=((0.01, True), (0.1, False))).collect()
+    assert len(scored) == 61 and sum((r.probability > 0.5) == bool(r.y) for r in scored) >= 55
+
+
+def test_folds_spread_labels_and_nest(spark):
+    rng = random.Random(6)
+    rows, i = [], 0
+    for g in range(200):
+        for _ in range(rng.choice([1, 1, 1, 2, 4])):
+            rows.append((i, g, "E" if g % 4 else "C"))
+            i += 1
+    members = spark.createDataFrame(rows, "id long, group long, label string")
+    fold = {r.group: r.fold for r in graph.folds(members, 5, "s", "label").collect()}
+    per = Counter((fold[g], x) for _, g, x in rows)
+    for x in "EC":
+        sizes = [per[k, x] for k in range(5)]
+        assert max(sizes) - min(sizes) <= 8
+    nested = graph.nested_folds(members, 5, 4, "s", "label").collect()
+    assert all(r.fold == fold[r.group] and r.held != r.fold for r in nested)
+    assert len({(r.group, r.held) for r in nested}) == len(nested) == 200 * 4
+    for k in range(5):
+        assert {r.inner_fold for r in nested if r.held == k} == {0, 1, 2, 3}
+
+
+def test_numbers_by_parts(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(40)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, k string, t long")
+    found = {r.id: r.n for r in order.numbered(frame, ["k"], F.floor(F.col("t") / 7), ["t", "id"], "n").collect()}
+    whole = {r.id: r.n for r in order.indexed(frame, ["t", "id"], "n").collect()}
+    ranked = sorted(rows, key=lambda r: (r[2], r[0]))
+    assert whole == {r[0]: n for n, r in enumerate(ranked)}
+    for k in ("a", "b", None):
+        assert [found[i] for i, x, _ in ranked if x == k] == list(range(sum(x == k for _, x, _ in rows)))
+
 
-    many = "transform(sequence(0, 270000), i -> concat('t', i))"
-    docs = spark.sql(f"SELECT 1 AS y, {many} AS w UNION ALL SELECT 0, {many} UNION ALL SELECT 1, array('strong') UNION ALL SELECT 1, array('strong') UNION ALL SELECT 0, array('t0')")
-    assert [r.term for r in lexical.top_terms(docs, docs.w, "y", 1).collect()] == ["strong"]
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(1, 6), min_size=1), st.integers(0, 9))
+def test_gapped_sequences(counts, seed):
+    widest = order.widest_gap(counts)
+    best = None
+    for gap in range(1, widest + 2):
+        found = order.gapped_sequence(counts, gap, random.Random(seed))
+        if found is None:
+            break
+        best = gap
+        assert Counter(found) == counts
+        for k in counts:
+            at = [i for i, x in enumerate(found) if x == k]
+            assert all(b - a >= gap for a, b in zip(at, at[1:], strict=False))
+    # no sequence keeps a wider distance than the counts allow, and the widest is found
+    assert max(counts.values()) < 2 or best == widest
+
+
+def test_gap_schedule(spark):
+    rows = [(i, "abc"[min(i // 6, 2)] if i < 15 else f"k{i}") for i in range(30)]
+    placed = order.gap_schedule(spark.createDataFrame(rows, "id long, k string"), "k", "id", 2, attempts=3).collect()
+    assert sorted(r.pos for r in placed) == list(range(1, 31))
+    places = defaultdict(list)
+    for r in sorted(placed, key=lambda r: r.pos):
+        places[r.k].append(r.pos)
+    assert min(b - a for p in places.values() for a, b in zip(p, p[1:], strict=False)) == order.widest_gap(Counter(k for _, k in rows))
+
+
+def test_demos_take_turns(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("AB"), f"r{rng.randrange(5)}", "w " * rng.randrange(300)) for i in range(80)]
+    targets = spark.createDataFrame([(3, "r4")], "id long, ref string")
+    found = order.demo_round(spark.createDataFrame(rows, "id long, label string, ref string, t string"), "label", "ref", "id", F.size(F.split(F.trim("t"), " ")), 2, "s", targets).collect()
+    used, expected = set(), []
+    key = lambda i: hashlib.sha256(f"s|{i}".encode()).hexdigest()
+    for turn in (1, 2):
+        for x in "AB":
+            free = sorted((key(i), i, ref) for i, label, ref, t in rows if label == x and ref not in used | {"r4"} and i != 3 and len(t.split(" ")) - (t != "") <= 160)
+            if free:
+                used.add(free[0][2])
+                expected.append((free[0][1], x, free[0][2], turn))
+    assert sorted(map(tuple, found)) == sorted(expected) and len({r.ref for r in found}) == len(found)
+
+
+def test_strict_alignment(spark):
+    left = spark.createDataFrame([(2, "b"), (1, "a")], "id long, x string")
+    right = spark.createDataFrame([(1, "c"), (2, "d")], "id long, x string")
+    assert [tuple(r) for r in align.strict(left, right, "id").collect()] == [(1, "a", "c"), (2, "b", "d")]
+    placed = left.withColumn("pos", 3 - F.col("id"))
+    assert [r.id for r in align.in_order(placed, right, "id", "pos").collect()] == [2, 1]
+    for other, told in ([(1, "c")], "missing on the right: 2"), ([(1, "c"), (2, "d"), (3, "e")], "missing on the left: 3"), ([(1, "c"), (2, "d"), (2, "e")], "repeated: 2"):
+        with pytest.raises(align.Misaligned, match=told):
+            align.strict(left, spark.createDataFrame(other, "id long, x string"), "id")
+    with pytest.raises(Exception, match="more than half"):
+        align.shifted_partners(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, g string"), "id", "g").collect()
+
+
+def test_integers_of_any_form(spark):
+    raw = ["8", "8.0", '"8"', "8.5", "-8.5", "true", "null", '"x"', "08", "8e1", '" 9 "', None, "1" * 30]
+    rows = spark.createDataFrame(list(enumerate(raw)), "i int, r string")
+    got = lambda mode: [r.k for r in rows.select("i", validate.lax_integer(F.col("r"), mode).alias("k")).orderBy("i").collect()]
+    assert got("json") == [8] + [None] * 12
+    assert got("whole")[:12] == [8, 8, 8, None, None, None, None, None, None, 80, 9, None]
+    assert got("truncate")[:12] == [8, 8, 8, 8, -8, None, None, None, None, 80, 9, None]
+
+
+def test_faults_of_predictions(spark):
+    rows = [
+        ('{"id": "a", "label": " Neutral ", "start": null, "end": null}', []),
+        ('{"id": "a", "label": "entailment", "start": 1, "end": 4}', []),
+        ('{"id": "a", "label": "entailment", "start": 1, "end": 5}', ["bounds"]),
+        ('{"id": "a", "label": "entailment", "start": 3, "end": 2}', ["bounds"]),
+        ('{"id": "a", "label": "entailment", "start": 0, "end": 2}', ["bounds"]),
+        ('{"id": "a", "label": "entailment", "start": 1.0, "end": 2}', ["integers"]),
+        ('{"id": "a", "label": "entailment", "start": "1", "end": 2}', ["integers"]),
+        ('{"id": "a", "label": "entailment", "start": true, "end": 2}', ["integers"]),
+        ('{"id": "b", "label": "odd", "start": 1, "end": 2}', ["id", "label"]),
+        ('{"id": "a", "label": "neutral", "start": 1, "end": null}', ["neutral_span"]),
+        ('{"id": "a", "label": "neutral"}', ["keys"]),
+        ("[1]", ["json"]),
+        (None, ["json"]),
+    ]
+    found = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, r string").select("i", validate.prediction_faults(F.col("r"), F.lit("a"), F.lit(4)).alias("f")).orderBy("i").collect()
+    assert [r.f for r in found] == [f for _, f in rows]
+
+
+def test_counts_and_memberships(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id long, lang string")
+    expected = spark.createDataFrame([("a", 1), ("b", 2)], "lang string, n long")
+    assert sorted(map(tuple, validate.count_differences(docs, "lang", expected).collect()), key=repr) == sorted([("a", 2, 1, 1), ("b", 0, 2, -2), (None, 3, 3, 0)], key=repr)
+    have = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y")], "id long, split string")
+    want = spark.createDataFrame([(1, "y"), (2, "x"), (3, "x")], "id long, split string")
+    assert sorted(map(tuple, validate.membership_faults(have, want, "id", "split").collect())) == [("absent", 1, "y"), ("absent", 3, "x"), ("several", 2, "x"), ("unlisted", 1, "x"), ("unlisted", 2, "y")]

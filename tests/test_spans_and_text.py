@@ -1,11 +1,14 @@
+import random
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kappaloom.functions import hashing, labels, numeric, spans, text
+from kappaloom.plans.texts import word_changes
 
 SPAN = "s1 int, e1 int, s2 int, e2 int"
 
@@ -104,3 +107,46 @@ def test_fingerprint_ignores_order(spark):
     assert len(prints) == 1
     other = hashing.fingerprint(spark.createDataFrame(rows[1:], "i int, t string"), F.concat_ws("|", "i", "t")).first()
     assert other not in prints
+
+
+PIECES = st.lists(st.sampled_from(["a", "é", " ", "\xa0", "\x1c", "\u3000", "漢", "🙂", "\n", "word"]), max_size=14).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), PIECES), max_size=6))
+def test_tokens_of_any_texts(texts):
+    found = text.token_lists(pa.array(texts, pa.string())).to_pylist()
+    assert [[t["text"] for t in row] for row in found] == [(x or "").split() for x in texts]
+    for row, x in zip(found, texts, strict=True):
+        assert [t["token_id"] for t in row] == list(range(1, len(row) + 1))
+        assert all(x[t["char_start"] : t["char_end"]] == t["text"] for t in row)
+
+
+def test_token_rows(spark):
+    rows = [(1, " a bc "), (2, None), (3, "x" * 100000 + " y"), (1, "d")]
+    found = sorted(map(tuple, text.token_rows(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()))
+    assert found == [(1, 1, "a", 1, 2), (1, 1, "d", 0, 1), (1, 2, "bc", 3, 5), (3, 1, "x" * 100000, 0, 100000), (3, 2, "y", 100001, 100002)]
+
+
+def test_word_changes_rebuild_the_text(spark):
+    rng = random.Random(2)
+    pairs = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(12))), " ".join(rng.choice("abcde") for _ in range(rng.randrange(12)))) for i in range(30)] + [(99, None, "a")]
+    rows = spark.createDataFrame(pairs, "i int, a string, b string").select("i", word_changes("a", "b").alias("e")).collect()
+    edits = {r.i: r.e for r in rows}
+    for i, a, b in pairs:
+        x, y, out, at = (a or "").split(), (b or "").split(), [], 0
+        for e in edits[i]:
+            assert e.tag in ("replace", "insert", "delete") and x[e.a_from : e.a_to] != y[e.b_from : e.b_to]
+            out += x[at : e.a_from] + y[e.b_from : e.b_to]
+            at = e.a_to
+        assert out + x[at:] == y
+
+
+def test_ids_and_maps(spark):
+    rows = spark.createDataFrame([(1, " 12 "), (2, "doc-0003"), (3, " "), (4, "other"), (5, "123456")], "i long, t string")
+    found = rows.select("i", labels.looked_up_id(F.col("t"), "DOC-", 4).alias("id"), labels.record_id(F.col("t"), position=F.col("i")).alias("r")).orderBy("i").collect()
+    assert [(r.id, r.r) for r in found] == [("DOC-0012", "12"), ("DOC-0003", "doc-0003"), (None, "row-3"), ("other", "other"), ("DOC-123456", "123456")]
+    ids = spark.createDataFrame([("DOC-0009",), ("DOC-x",), ("OTHER-5000",), ("DOC-12345",)], "id string")
+    assert ids.agg(labels.next_id(F.col("id"), "DOC-", 4)).first()[0] == "DOC-12346"
+    assert ids.limit(0).agg(labels.next_id(F.col("id"), "DOC-", 4)).first()[0] == "DOC-0001"
+    assert spark.range(1).select(labels.probability_map(F.array(*map(F.lit, (0.2, 0.3, 0.5)))).alias("m")).first().m == {"entailment": 0.2, "contradiction": 0.3, "neutral": 0.5}
