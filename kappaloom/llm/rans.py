@@ -39,7 +39,7 @@ BLOCK = 1 << 20
 FILE_TOKENS = 1 << 24
 #: Units that a worker's cache holds, some 200 bytes each; bytes of text encoded at once.
 CACHE_UNITS = 1_000_000
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 23
 # Unicode's white space and the four separators, in RE2's syntax.
 WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space next to other white space.
@@ -243,7 +243,8 @@ class UnitTokens:
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(1 + max(tokens.values()), bool)
         self.begins[[i for t, i in tokens.items() if t.startswith("Ġ")]] = True
-        self.units: dict[str, int] = {}
+        #: The units of the cache, in the order of their entries.
+        self.units = pa.array([], pa.string())
         self.flat, self.bounds, self.known = np.zeros(1 << 16, self.width), np.zeros(1 << 14, np.int64), 0
 
     def _put(self, ids: np.ndarray, sizes: np.ndarray) -> int:
@@ -266,15 +267,17 @@ class UnitTokens:
         first = self._put(np.concatenate([np.array(x, self.width) for x in found]), np.array([len(x) for x in found]))
         return np.arange(first, first + len(texts))
 
-    def _learn(self, units: list[str], at_once: int = 50) -> None:
-        for i in range(0, len(units), at_once):
-            group = units[i : i + at_once]
-            ids = np.array(self.tokenizer.encode("".join([" " + u for u in group]), add_special_tokens=False).ids, self.width)
+    def _learn(self, units: list[str], at_once: int = 100) -> None:
+        """Add units as new entries, in order."""
+        for begin in range(0, len(units), 1000 * at_once):
+            some = units[begin : begin + 1000 * at_once]
+            groups = [some[i : i + at_once] for i in range(0, len(some), at_once)]
+            found = self.tokenizer.encode_batch_fast(["".join([" " + u for u in g]) for g in groups], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, self.width) for e in found])
             starts = np.flatnonzero(self.begins[ids])
-            if len(starts) != len(group):
+            if len(starts) != len(some):
                 raise ValueError("the tokenizer merges across spaces; its texts can't be divided there")
-            first = self._put(ids, np.diff(np.r_[starts, len(ids)]))
-            self.units.update(zip(group, range(first, first + len(group)), strict=True))
+            self._put(ids, np.diff(np.r_[starts, len(ids)]))
 
     def encode(self, texts: pa.Array, end: int) -> Iterator[pa.Array]:
         """The ids of each text, then the id `end`, as little-endian numbers: binary arrays that follow each other."""
@@ -300,34 +303,40 @@ class UnitTokens:
         own = self._whole([t if a else f for t, a, f in zip(texts.to_pylist(), apart, first_pieces, strict=True)])
         finish = self._put(np.array([end], self.width), np.array([1]))
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        missing = [w for w in distinct if w not in self.units]
-        self._learn(missing)
-        numbers = np.fromiter(map(self.units.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        numbers[heads] = own
-        chain = np.empty(len(numbers) + len(rows), np.int64)
-        chain[np.arange(len(numbers)) + np.repeat(rows, counts)] = numbers
+        distinct = coded.dictionary
+        number = pc.index_in(distinct, self.units).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        missing = distinct.take(pa.array(new))
+        number[new] = np.arange(self.known, self.known + len(new))
+        self._learn(missing.to_pylist())
+        chain = np.empty(len(words) + len(rows), np.int32)
+        places = np.arange(len(words), dtype=np.int32) + np.repeat(rows.astype(np.int32), counts)
+        chain[places] = number[coded.indices.to_numpy()]
+        chain[places[heads]] = own
         chain[stops + rows] = finish
-        begins, sizes = self.bounds[chain], self.bounds[chain + 1] - self.bounds[chain]
+        begins = self.bounds[chain]
+        sizes = self.bounds[chain + 1] - begins
         upto = np.cumsum(sizes)
-        ids = self.flat[np.repeat(begins - upto + sizes, sizes) + np.arange(upto[-1])]
+        begins -= upto
+        begins += sizes
+        at = np.repeat(begins, sizes)
+        at += np.arange(len(at))
+        ids = self.flat[at]
         ends = np.r_[0, upto[stops + rows]] * self.width.itemsize
-        self._forget(kept, missing)
+        self._forget(kept, missing, number[new])
         return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.tobytes())])
 
-    def _forget(self, kept: int, learnt: list[str]) -> None:
+    def _forget(self, kept: int, learnt: pa.Array, entries: np.ndarray) -> None:
         """Keep the newly learnt units that the cache has room for, next to those of before; drop everything else of the batch."""
-        room = max(0, self.cache_units - (len(self.units) - len(learnt)))
-        stay, go = learnt[:room], learnt[room:]
-        for unit in go:
-            del self.units[unit]
-        entries = np.array([self.units[u] for u in stay], np.int64)
+        stay = min(len(learnt), max(0, self.cache_units - len(self.units)))
+        entries = entries[:stay]
         sizes = self.bounds[entries + 1] - self.bounds[entries]
-        upto = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.bounds[entries] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+        first = int(self.bounds[entries[0]]) if stay else 0
+        ids = self.flat[first : first + int(sizes.sum())].copy()  # learnt in order, so they follow each other
         self.known = kept
-        first = self._put(ids, sizes)
-        self.units.update(zip(stay, range(first, first + len(stay)), strict=True))
+        self._put(ids, sizes)
+        if stay:
+            self.units = pa.concat_arrays([self.units, learnt.slice(0, stay)])
 
 
 @lru_cache(1)
