@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
+from ..functions.text import WORD
 from .order import hash_numbered
 
 
@@ -43,6 +44,21 @@ def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done, key, "left_anti")
 
 
+def mentions(docs: DataFrame, names: DataFrame, id_column: str, text: str, name: str) -> DataFrame:
+    """(id, name): the names, of one word or more, that stand in a text with no letter, digit or underscore beside them.
+
+    Texts are cut into words once and meet a name's longest word by equality; names of several words are then looked for as a whole.
+    """
+    cut = rf"[^{WORD}]+"
+    parts = F.filter(F.split(F.col(name), cut), lambda w: w != "")
+    longest = F.element_at(F.array_sort(F.transform(parts, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    keyed = names.select(F.col(name).alias("name"), longest.alias("_word"), (F.size(parts) > 1).alias("_several"))
+    pattern = F.concat(F.lit(rf"(?<![{WORD}])\Q"), F.col("name"), F.lit(rf"\E(?![{WORD}])"))
+    whole = docs.select(F.col(id_column), F.col(text).alias("_text")).withColumn("_word", F.explode(F.array_distinct(F.split("_text", cut))))
+    met = whole.join(keyed, "_word").where(~F.col("_several") | F.regexp_like("_text", pattern))
+    return met.select(id_column, "name")
+
+
 def by_content(df: DataFrame, key: Column, id_column: str) -> DataFrame:
     """(key, n, ids): rows of equal content, with all their ids in order; an array is as large as its group, whose members can also be had by join on the key."""
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(id_column)).alias("ids"))

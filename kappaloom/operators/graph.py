@@ -54,7 +54,7 @@ def assign_splits(members: DataFrame, targets: DataFrame, label: str, restarts:
     """(group, split): whole groups to splits, near the targets of each label.
 
     Groups are reduced to their label counts; alike ones are one kind with a number, so
-    that what a restart holds is bounded by the kinds, not the groups. Restarts run in
+    that what a restart holds, and its steps, are bounded by the kinds, not the groups. Restarts run in
     parallel and deal kinds, largest first, to the split that lacks most, with random ties and
     then random swaps; the least deviation wins, then the first restart. Groups
     of a kind are taken in hash order.
@@ -67,6 +67,7 @@ def assign_splits(members: DataFrame, targets: DataFrame, label: str, restarts:
     kinds = [(r.kind, r.n) for r in shape.groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind").collect()]
     aims = {(r[label], r["split"]): r["target"] for r in targets.collect()}
     want = [[aims.get((x, s), 0) for x in labels] for s in names]
+    shares, few = [sum(w) / max(1, sum(map(sum, want))) for w in want], 4 * len(names)
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = [tuple(map(int, k.split(","))) for k, _ in kinds]
@@ -79,20 +80,24 @@ def assign_splits(members: DataFrame, targets: DataFrame, label: str, restarts:
                 def lack(s: int, size: tuple[int, ...], have: list = have) -> float:
                     return sum((want[s][j] - have[s][j]) * size[j] / (want[s][j] + 1) for j in range(len(size)))
 
-                def move(k: int, a: int | None, b: int, have: list = have, dealt: list = dealt) -> None:
+                def move(k: int, a: int | None, b: int, times: int = 1, have: list = have, dealt: list = dealt) -> None:
                     for j, x in enumerate(sizes[k]):
-                        have[b][j] += x
+                        have[b][j] += x * times
                         if a is not None:
-                            have[a][j] -= x
-                    dealt[k][b] += 1
+                            have[a][j] -= x * times
+                    dealt[k][b] += times
                     if a is not None:
-                        dealt[k][a] -= 1
+                        dealt[k][a] -= times
 
                 def off(have: list = have) -> int:
                     return sum(abs(h - w) for hs, ws in zip(have, want, strict=True) for h, w in zip(hs, ws, strict=True))
 
                 for k in sorted(range(len(kinds)), key=lambda k: (-sum(sizes[k]), rng.random())):
-                    for _ in range(kinds[k][1]):
+                    # of many groups of a kind, each split takes its share at once; a few are dealt one by one
+                    at_once = [int(shares[s] * max(0, kinds[k][1] - few)) for s in range(len(names))]
+                    for s, times in enumerate(at_once):
+                        move(k, None, s, times)
+                    for _ in range(kinds[k][1] - sum(at_once)):
                         move(k, None, max(range(len(names)), key=lambda s: (lack(s, sizes[k]), rng.random())))
                 now = off()
                 for _ in range(swaps if len(names) > 1 else 0):

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -175,28 +175,36 @@ def window_batches(sizes: DataFrame, id_column: str, windows: str, most_items: i
     return seen.join(entered, "block").groupBy("block").applyInPandas(fill, f"{id_column} {kind}, batch long")
 
 
-def vectors(df: DataFrame, id_column: str, text: Column, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(id, x), the unit vectors of (1 + ln tf) * idf over the runs of words and characters, and (term, at), their places: every term that `least` texts have.
+def vocabulary(df: DataFrame, id_column: str, text: Column, least: int = 2) -> DataFrame:
+    """(term, idf, at): the runs of words and characters that `least` texts have, with their places in vectors.
 
-    Terms are numbered by a join, so that none is hashed into another's place or dropped; a text without terms has an empty vector.
+    Terms are numbered by a join, so that none is hashed into another's place or dropped.
     """
-    counts = staged(gram_counts(df, id_column, text), "grams")
-    idf = inverse_frequencies(counts, df, least)
-    places = staged(hash_numbered(idf.withColumn("_one", F.lit(0)), ["_one"], F.sha2("term", 256), "term", "at").select("term", "idf", "at"), "terms")
-    weighed = weights(counts, places.select("term", "idf"), id_column).join(places.select("term", "at"), "term")
+    idf = inverse_frequencies(staged(gram_counts(df, id_column, text), "grams"), df, least)
+    return staged(hash_numbered(idf.withColumn("_one", F.lit(0)), ["_one"], F.sha2("term", 256), "term", "at").select("term", "idf", "at"), "terms")
+
+
+def vectors(df: DataFrame, id_column: str, text: Column, places: DataFrame) -> DataFrame:
+    """(id, x): the unit vectors of (1 + ln tf) * idf over a vocabulary(), of these texts or of others; a text without its terms has an empty one."""
+    weighed = weights(gram_counts(df, id_column, text), places.select("term", "idf"), id_column).join(places.select("term", "at"), "term")
     rows = weighed.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), "w"))).alias("v"))
     size = max(1, places.count())
     dense = lambda v: Vectors.sparse(size, [p["at"] for p in v or ()], [p["w"] for p in v or ()])
     vector = F.udf(dense, VectorUDT())
-    return df.select(id_column).join(rows, id_column, "left").select(id_column, vector("v").alias("x")), places.select("term", "at")
+    return df.select(id_column).join(rows, id_column, "left").select(id_column, vector("v").alias("x"))
+
+
+def predicted(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
+    """rows (id, x, ...) with the probability of class 1 in place of x."""
+    return model.transform(rows).withColumn("probability", F.element_at(vector_to_array("probability"), 2)).drop("x", "rawPrediction", "prediction")
 
 
-def _fitted(rows: DataFrame, label: str, penalty: float, balanced: bool):  # noqa: ANN202
+def _fitted(rows: DataFrame, label: str, penalty: float, balanced: bool) -> LogisticRegressionModel:
     """A logistic model; balanced: classes weigh the same in sum."""
     share = rows.agg(F.avg(F.col(label).cast("double"))).first()[0]
     share = 0.5 if share is None or not balanced else min(max(share, 1e-9), 1 - 1e-9)
     weight = F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share))
-    return LogisticRegression(featuresCol="x", labelCol=label, weightCol="_weight", regParam=penalty, maxIter=20).fit(rows.withColumn("_weight", weight))
+    return LogisticRegression(featuresCol="x", labelCol=label, weightCol="_weight", regParam=penalty, maxIter=12, tol=1e-4).fit(rows.withColumn("_weight", weight))
 
 
 def out_of_fold(rows: DataFrame, label: str, fold: str, folds: int, grid: tuple[tuple[float, bool], ...] = ((0.01, False), (0.01, True), (0.1, True)), inner: dict[int, DataFrame] | None = None, id_column: str = "id") -> DataFrame:
@@ -226,16 +234,16 @@ def out_of_fold(rows: DataFrame, label: str, fold: str, folds: int, grid: tuple[
             return sum(recalls) / len(recalls) if recalls else 0.0
 
         best = max(grid, key=score) if len(grid) > 1 and folds > 2 else grid[0]
-        scored = _fitted(rest, label, *best).transform(held).withColumn("probability", F.element_at(vector_to_array("probability"), 2)).drop("x", "_weight", "rawPrediction", "prediction")
+        scored = predicted(_fitted(rest, label, *best), held)
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def refitted(rows: DataFrame, places: DataFrame, label: str, n: int, penalty: float = 0.1, balanced: bool = True) -> tuple[object, DataFrame]:
+def refitted(rows: DataFrame, places: DataFrame, label: str, n: int, penalty: float = 0.1, balanced: bool = True) -> tuple[LogisticRegressionModel, DataFrame]:
     """The model of all rows (x, label), to predict others by, and (class, rank, term, coefficient): the n terms that speak most for each class."""
     model = _fitted(rows, label, penalty, balanced)
     coefficients = pd.Series(model.coefficients.toArray(), name="coefficient")
-    named = rows.sparkSession.createDataFrame(pa.Table.from_pandas(coefficients[coefficients != 0].rename_axis("at").reset_index(), preserve_index=False)).join(places, "at")
+    named = rows.sparkSession.createDataFrame(pa.Table.from_pandas(coefficients[coefficients != 0].rename_axis("at").reset_index(), preserve_index=False)).join(places.select("term", "at"), "at")
     out = None
     for name, sign in ((1, 1), (0, -1)):
         # a term can speak for a class only with a coefficient of its sign

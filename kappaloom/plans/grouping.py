@@ -234,7 +234,8 @@ def lexical_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = staged(graph.nested_folds(groups, 3, 2, "2026", "quality"), "nested")
     of = lambda df: df.join(groups.select("doc_id", "group"), "group").drop("group")
     inner = {k: of(nested.where(F.col("held") == k).select("group", "inner_fold")) for k in range(3)}
-    vectors, _ = lexical.vectors(rows.select("doc_id", "text"), "doc_id", F.col("text"))
+    texts = rows.select("doc_id", "text")
+    vectors = lexical.vectors(texts, "doc_id", F.col("text"), lexical.vocabulary(texts, "doc_id", F.col("text")))
     known = vectors.join(rows.select("doc_id", "quality"), "doc_id").join(of(nested.select("group", "fold").distinct()), "doc_id")
     scored = lexical.out_of_fold(known, "quality", "fold", 3, grid=((0.01, True), (0.1, False)), inner=inner, id_column="doc_id")
     return rounded(scored.select("doc_id", "quality", "fold", "probability"), "probability", places=4)
@@ -244,6 +245,19 @@ def lexical_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refitted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms that speak most for either class, of the model of all labelled documents."""
     rows = _rated(spark, sf_dir)
-    vectors, places = lexical.vectors(rows.select("doc_id", "text"), "doc_id", F.col("text"))
+    texts = rows.select("doc_id", "text")
+    places = lexical.vocabulary(texts, "doc_id", F.col("text"))
+    vectors = lexical.vectors(texts, "doc_id", F.col("text"), places)
     _, terms = lexical.refitted(staged(vectors.join(rows.select("doc_id", "quality"), "doc_id"), "rated-vectors"), places, "quality", 60)
     return rounded(terms, "coefficient", places=4)
+
+
+@registered("unseen_predictions")
+def unseen_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that each unlabelled document is good, by the model of all labelled ones and their terms."""
+    rows, docs = _rated(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
+    places = lexical.vocabulary(rows.select("doc_id", "text"), "doc_id", F.col("text"))
+    known = staged(lexical.vectors(rows.select("doc_id", "text"), "doc_id", F.col("text"), places).join(rows.select("doc_id", "quality"), "doc_id"), "rated-vectors")
+    model, _ = lexical.refitted(known, places, "quality", 1)
+    others = docs.join(rows.select("doc_id"), "doc_id", "left_anti")
+    return rounded(lexical.predicted(model, lexical.vectors(others, "doc_id", F.col("text"), places)), "probability", places=4)

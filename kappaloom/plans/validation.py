@@ -168,16 +168,17 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("k", found).groupBy("lang", kind.alias("class")).agg(F.count("*").alias("n"))
 
 
+_MENTIONED = ", ".join(f"('{x}')" for x in (*NAMES, "of the", "in the", "de la"))
+
+
 @registered(
     "name_mentions",
-    "SELECT name, lang, count(*) AS docs FROM documents, (VALUES ('the'), ('les'), ('der'), ('los')) AS v(name) WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}_])' || name || '([^\\p{L}\\p{N}_]|$)') GROUP BY ALL",
+    f"SELECT name, lang, count(*) AS docs FROM documents, (VALUES {_MENTIONED}) AS v(name) WHERE regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_])' || name || '([^\\p{{L}}\\p{{N}}_]|$)') GROUP BY ALL",
 )
 def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names are single words: texts are cut into words once and joined by equality, not tried name by name."""
-    names = spark.createDataFrame([(x,) for x in NAMES], "name string")
-    cut = F.array_distinct(F.split("text", rf"[^{text.WORD}]+"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(cut).alias("name"))
-    return rows.join(names, "name").groupBy("name", "lang").agg(F.count("*").alias("docs"))
+    """In how many documents of each language names of one word and of two stand."""
+    names, docs = spark.createDataFrame([(x,) for x in (*NAMES, "of the", "in the", "de la")], "name string"), table(spark, sf_dir, "documents")
+    return align.mentions(docs, names, "doc_id", "text", "name").join(docs.select("doc_id", "lang"), "doc_id").groupBy("name", "lang").agg(F.count("*").alias("docs"))
 
 
 @registered("quality_warnings", "WITH c AS (SELECT source, lang, count(*) AS c FROM documents GROUP BY ALL) SELECT source, sum(c)::BIGINT AS n, min(c) AS least, max(c) AS most, sum(c) >= 20 AND min(c) / max(c) < 0.67 AS warned FROM c GROUP BY source")

@@ -219,7 +219,8 @@ def test_vectors_and_models_leave_no_term_out(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + (" strong" if i % 2 else " weak"), i % 2, i // 4 % 3) for i in range(60)] + [(99, "", 0, 0)]
     docs = spark.createDataFrame(rows, "id long, t string, y int, f long")
-    vectors, places = lexical.vectors(docs, "id", F.col("t"))
+    places = lexical.vocabulary(docs, "id", F.col("t"))
+    vectors = lexical.vectors(docs, "id", F.col("t"), places)
     counts = {i: grams_by_hand(t) for i, t, *_ in rows}
     df = Counter(x for c in counts.values() for x in c)
     terms = {r.at: r.term for r in places.collect()}
@@ -232,6 +233,9 @@ def test_vectors_and_models_leave_no_term_out(spark):
     model, best = lexical.refitted(known, places, "y", 3)
     assert all(r.term[1:].strip() in {1: "strong", 0: "weak"}[r["class"]] for r in best.where("rank = 1").collect())
     assert model.numFeatures == len(terms)
+    unseen = lexical.vectors(spark.createDataFrame([(1, "something strong"), (2, "weak"), (3, "zzz")], "id long, t string"), "id", F.col("t"), places)
+    told = {r.id: r.probability for r in lexical.predicted(model, unseen).collect()}
+    assert told[2] < 0.5 < told[1] and told[2] < told[3] < told[1]
     scored = lexical.out_of_fold(known, "y", "f", 3, grid=((0.01, True), (0.1, False))).collect()
     assert len(scored) == 61 and sum((r.probability > 0.5) == bool(r.y) for r in scored) >= 55
 
@@ -361,3 +365,9 @@ def test_counts_and_memberships(spark):
     have = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y")], "id long, split string")
     want = spark.createDataFrame([(1, "y"), (2, "x"), (3, "x")], "id long, split string")
     assert sorted(map(tuple, validate.membership_faults(have, want, "id", "split").collect())) == [("absent", 1, "y"), ("absent", 3, "x"), ("several", 2, "x"), ("unlisted", 1, "x"), ("unlisted", 2, "y")]
+
+
+def test_mentions_of_names(spark):
+    docs = spark.createDataFrame([(1, "Ann of the hill"), (2, "Anna, of  the"), (3, "(Ann)"), (4, None), (5, "of the_hill"), (6, "xAnn of the.")], "id long, t string")
+    names = spark.createDataFrame([("Ann",), ("of the",)], "name string")
+    assert sorted(map(tuple, align.mentions(docs, names, "id", "t", "name").collect())) == [(1, "Ann"), (1, "of the"), (3, "Ann"), (6, "of the")]
