@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh_path, opened, staged
+from .shared import fresh_path, opened, release, remove, staged, staged_at
 
 #: Symbols of an n-gram: as many as a key has room for.
 ORDER = 4
@@ -35,7 +35,7 @@ REPEAT, BEGIN = "\x01", "\x02"
 #: The symbols there can be: the model's last resort is that all are alike.
 SYMBOLS = 1 << 16
 #: Rows of a block, symbols handled at once, and n-grams that a task holds before it passes them on.
-BLOCK_ROWS, CHUNK, HELD = 1 << 14, 1 << 22, 1 << 22
+BLOCK_ROWS, CHUNK, HELD = 1 << 14, 1 << 20, 1 << 22
 #: One trusted text in so many is held out; the share of texts beyond each threshold.
 HOLD_OUT, BEYOND = 4, 0.001
 #: Texts of all languages that are added, as a weight, to each language's own; symbols of median surprisal that are added to each text.
@@ -135,7 +135,7 @@ def text_print(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def written(docs: DataFrame, columns: list[str], id_column: str, text_column: str, lang_column: str) -> DataFrame:
+def written(docs: DataFrame, columns: list[str], id_column: str, text_column: str, lang_column: str) -> tuple[DataFrame, str]:
     """(at, block, doc_id, lang, print, row): the rows in blocks, with the named columns in one struct, whose names can't clash with ours."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("at"),
@@ -144,7 +144,7 @@ def written(docs: DataFrame, columns: list[str], id_column: str, text_column: st
         text_print(F.col(text_column)).alias("print"),
         F.struct(*columns).alias("row"),
     )
-    return staged(rows.withColumn("block", F.expr(f"at DIV {BLOCK_ROWS}")), "texts")
+    return staged_at(rows.withColumn("block", F.expr(f"at DIV {BLOCK_ROWS}")), "texts")
 
 
 def roles(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def roles(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return staged(single.select("first.at", "first.block", F.expr(f"pmod(xxhash64(print, 1), {HOLD_OUT}) = 0").alias("held")), "roles")
 
 
-def gathered(rows: DataFrame, trained: Beside, text_column: str) -> DataFrame:
+def gathered(rows: DataFrame, trained: Beside, text_column: str) -> tuple[DataFrame, str]:
     """(block, g, n): the n-grams of every block, and how often they stand in its training texts."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,16 +183,18 @@ def gathered(rows: DataFrame, trained: Beside, text_column: str) -> DataFrame:
                 tally = Tally()
         if now is not None:
             yield told()
+        del tally
+        release()
 
     found = rows.select("at", "block", F.col(f"row.`{text_column}`").cast("string").alias("text")).mapInArrow(gather, "block long, g long, n long")
-    return staged(found, "n-grams")
+    return staged_at(found, "n-grams")
 
 
 def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
     """The three discounts for counts of 1, 2 and more, from how many n-grams occur 1 to 4 times; half a one is added to each.
 
     >>> [round(d, 3) for d in discounts({1: 100, 2: 40, 3: 20, 4: 10})]
-    [0.554, 1.16, 1.863]
+    [0.554, 1.159, 1.866]
     """
     n = [counts_of_counts.get(i, 0) + 0.5 for i in range(1, 5)]
     y = n[0] / (n[0] + 2 * n[1])
@@ -228,18 +230,21 @@ class Model:
                 self.grams[order - 1] = staged(table.groupBy(F.expr(shorter()).alias("g")).agg(F.count("*").alias("n")), "counts")
 
     def answer(self, asked: DataFrame) -> DataFrame:
-        """(g, logp) for each of the distinct n-grams asked (g): the interpolated log probability of its last symbol."""
+        """(g, logp) for each of the distinct n-grams asked (g): the interpolated log probability of its last symbol.
+
+        The tables grow with the text and are written small, so they are joined by sorting and not broadcast.
+        """
         wanted = {ORDER: asked}
         for order in range(ORDER, 1, -1):
             wanted[order - 1] = wanted[order].select(F.expr(shorter()).alias("g")).distinct()
         known = None
         for order in range(1, ORDER + 1):
             one, two, more = self.cuts[order]
-            rows = wanted[order].selectExpr("g", f"{context(order)} AS c", f"{shorter()} AS s").join(self.grams[order], "g", "left").join(self.contexts[order], "c", "left")
+            rows = wanted[order].selectExpr("g", f"{context(order)} AS c", f"{shorter()} AS s").join(self.grams[order].hint("merge"), "g", "left").join(self.contexts[order].hint("merge"), "c", "left")
             if known is None:
                 rows = rows.withColumn("p", F.lit(1.0 / SYMBOLS))
             else:
-                rows = rows.join(known.withColumnRenamed("g", "s"), "s")
+                rows = rows.join(known.withColumnRenamed("g", "s").hint("merge"), "s")
             own = f"coalesce(n - CASE n WHEN 1 THEN {one!r}D WHEN 2 THEN {two!r}D ELSE {more!r}D END, 0D)"
             known = rows.selectExpr("g", f"CASE WHEN total IS NULL THEN p ELSE ({own} + left * p) / total END AS p")
         return known.select("g", F.log("p").alias("logp"))
@@ -270,6 +275,7 @@ def surprisals(rows: DataFrame, answers: Beside, text_column: str, carry: bool)
                 begins = np.cumsum([0, *(len(p) // 2 - ORDER + 1 for p in parts[:-1])])
                 np.add.at(nll, owners, -np.add.reduceat(logp[at][coded.indices.to_numpy()], begins))
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names[:-2]), pa.array(nll), pa.array(lengths, pa.int64())], names)
+        release()
 
     return rows.mapInArrow(score, schema)
 
@@ -302,12 +308,14 @@ def _with(rows: DataFrame, table: DataFrame, *names: str) -> DataFrame:
 
 
 def _judged(docs: DataFrame, labels: DataFrame, columns: list[str], carry: bool, id_column: str, text_column: str, lang_column: str) -> DataFrame:
-    rows = written(docs, columns, id_column, text_column, lang_column)
+    rows, rows_path = written(docs, columns, id_column, text_column, lang_column)
     trusted = roles(rows, labels)
-    grams = gathered(rows, Beside(trusted.where("NOT held").select("block", "at"), "training"), text_column)
+    grams, grams_path = gathered(rows, Beside(trusted.where("NOT held").select("block", "at"), "training"), text_column)
     model = Model(grams.where("n > 0").groupBy("g").agg(F.sum("n").alias("n")))
     answers = model.answer(grams.select("g").distinct())
-    scored = staged(surprisals(rows, Beside(grams.select("block", "g").join(answers, "g"), "answers"), text_column, carry), "surprisals")
+    beside = Beside(grams.select("block", "g").join(answers.hint("merge"), "g"), "answers")
+    scored = staged(surprisals(rows, beside, text_column, carry), "surprisals")
+    remove(docs.sparkSession, rows_path, grams_path, beside.path)  # nothing reads them any more
     known = scored.select("at", "lang", "nll", "n_chars").where("n_chars > 0").join(trusted.select("at", "held"), "at")
     grid = "CAST(round(1000 * {}) AS bigint) AS x"
     middle = _quantiles(known.selectExpr("lang", grid.format("nll / n_chars")), {"middle": 0.5})

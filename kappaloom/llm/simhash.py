@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .shared import remove, staged, staged_at
+from .shared import release, remove, staged, staged_at
 
 #: Shingles hashed at once, so that a very long text needs little memory.
 CHUNK = 1 << 16
@@ -132,11 +132,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return _named(docs, id_column, text_column, size, hot).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None, size: int = 5) -> list[int]:
-    """The XXH64 values (signed) of a text's distinct shingles of lower-cased words; of all its words if they are fewer; none without words."""
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+    """In order, a 64-bit number (signed) for each distinct shingle of a text's lower-cased words, made of the words' XXH64; for all its words if they are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    shingles = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-    return np.array(sorted(map(xxhash.xxh64_intdigest, shingles)), np.uint64).view(np.int64).tolist()
+    if not words:
+        return np.zeros(0, np.int64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = np.zeros(max(1, len(words) - size + 1), np.uint64)
+    for i in range(min(size, len(words))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(out)]
+    return np.sort(np.unique(out ^ out >> np.uint64(32)).view(np.int64))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
@@ -176,48 +181,72 @@ def _common(texts: DataFrame) -> np.ndarray:
     return np.array([s for _, s in sorted((r.n, r.s) for r in counts.where(F.col("n") >= cut).collect())], np.int64)
 
 
-def prefix(shingles: list[int], ranks: dict[int, int], least: float = LEAST) -> list[int]:
-    """The first of a text's shingles, of which a text as similar has one among its own first: by number, the ranked ones last.
+class Ranks:
+    """The order of shingles: by number, and then the common ones, the rarer first."""
 
-    >>> prefix([1, 2, 3, 4, 5], {1: 0})
-    [2, 3]
-    """
-    n = len(shingles)
-    k = n - math.ceil(least * n - 1e-9) + 1 if n else 0
-    out = [s for s in shingles if s not in ranks] if ranks else shingles
-    return out[:k] if len(out) >= k else out + sorted(set(shingles).difference(out), key=ranks.__getitem__)[: k - len(out)]
+    def __init__(self, common: np.ndarray) -> None:
+        order = np.argsort(common)
+        self.common, self.rank = common[order], order
+
+    def prefix(self, shingles: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, float]:
+        """The first of a text's shingles, of which a text as similar has one among its own first: those that are not common, and the common ones; and the share of the former in all.
+
+        >>> [x.tolist() for x in Ranks(np.array([1])).prefix(np.array([1, 2, 3, 4, 5]))[:2]], Ranks(np.array([2, 1])).prefix(np.array([1, 2]), 0.5)[1].tolist()
+        ([[2, 3], []], [2, 1])
+        """
+        n = len(shingles)
+        if not n:
+            return shingles, shingles, 1.0
+        k = n - math.ceil(least * n - 1e-9) + 1
+        at = np.minimum(np.searchsorted(self.common, shingles), max(0, len(self.common) - 1))
+        ranked = self.common[at] == shingles if len(self.common) else np.zeros(n, bool)
+        rare, often = shingles[~ranked], shingles[ranked]
+        first = rare[:k].copy()  # not a view, which would hold the whole set
+        return first, often[np.argsort(self.rank[at[ranked]])][: k - len(first)], len(rare) / n
 
 
 def shared_prefixes(texts: DataFrame) -> DataFrame:
-    """(s, node, n, hub, hub_n): the prefix shingles that two nodes of texts (node, text) share, and each node's number of shingles.
+    """(s, node, n, hub, hub_n, q): the prefix shingles that two nodes of texts (node, text) share, each node's number of shingles, and q, how many of its prefix it shares.
 
     hub is the shingle's node with the least share of shingles that are not common: of a text and its edited copies, that is the text, since every edit
-    makes shingles of its own.
+    makes shingles of its own. Ranked shingles, which very many texts may have, are aggregated in part before they are shuffled, and joined back;
+    the others, nearly all of which are one text's alone, are shuffled once.
     """
     common = _common(texts)
 
     def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks = {s: i for i, s in enumerate(common.tolist())}
+        ranks = Ranks(common)
         for part in parts:
-            sets = [shingle_set(t) for t in part["text"]]
-            own = [sum(x not in ranks for x in s) / len(s) if s else 1.0 for s in sets]
-            yield pd.DataFrame({"node": part["node"], "n": list(map(len, sets)), "own": own, "prefix": [prefix(s, ranks) for s in sets]})
-
-    arrays = texts.select("node", "text").mapInPandas(first, "node long, n int, own double, prefix array<long>")
-    single = arrays.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "own", "prefix")])
-    rows = staged(single.select(F.explode("prefix").alias("s"), "node", "n", "own"), "prefixes")
-    # by partial sums, and joined back: a shingle of very many texts is no task's work
-    met = rows.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("own", "node", "n")).alias("hub")).where("k > 1")
-    return staged(rows.join(met, "s").select("s", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shared-prefixes")
-
-
-def _possible(met: DataFrame, least: float = LEAST) -> DataFrame:
-    """Of met (a, na, b, nb), a row for each shared prefix shingle, the pairs (a, b) that can be similar.
-
-    What two texts share lies in both prefixes up to where the first of them ends, or in the rest of that text.
-    """
-    ends = f"greatest(ceil({least}D * na - 1e-9D), ceil({least}D * nb - 1e-9D)) - 1"
-    return met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(f"c + {ends} >= {least / (1 + least)}D * (na + nb) - 1e-6D").select("a", "b")
+            rows = [(len(s := shingle_set(t)), *ranks.prefix(s)) for t in part["text"]]
+            yield pd.DataFrame({"node": part["node"]}).assign(**dict(zip(("n", "rare", "ranked", "own"), map(list, zip(*rows, strict=True)), strict=True)))[["node", "n", "own", "rare", "ranked"]]
+        release()
+
+    arrays = texts.select("node", "text").mapInPandas(first, "node long, n int, own double, rare array<long>, ranked array<long>")
+    single = arrays.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "own", "rare", "ranked")])
+    # one row a shingle for both kinds, so that the shuffle of the arrays is done once
+    both = "explode(concat(transform(rare, x -> (x AS s, false AS often)), transform(ranked, x -> (x AS s, true AS often)))) AS p"
+    rows = single.selectExpr("node", "n", "own", both).select("p.*", "node", "n", "own")
+    ahead = Window.partitionBy("s").orderBy("own", "node")
+    rare = rows.where("NOT often")
+    rare = rare.select("s", "node", "n", F.first("node").over(ahead).alias("hub"), F.first("n").over(ahead).alias("hub_n"), F.lead("node").over(ahead).alias("next")).where("node <> hub OR next IS NOT NULL").drop("next")
+    often = rows.where("often").drop("often")
+    met = often.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("own", "node", "n")).alias("hub")).where("k > 1")
+    often = often.join(met, "s").select("s", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    shared, path = staged_at(rare.unionByName(often), "shared")
+    # how many of its prefix shingles a node shares with any other
+    known = staged(shared.join(shared.groupBy("node").agg(F.count("*").alias("q")), "node"), "shared-prefixes")
+    remove(texts.sparkSession, path)
+    return known
+
+
+def _enough(c: str, least: float = LEAST) -> str:
+    """Whether two texts of na and nb shingles that share c in their prefixes can be similar: what else they share lies beyond where the first prefix of both ends."""
+    return f"{c} + greatest(ceil({least}D * na - 1e-9D), ceil({least}D * nb - 1e-9D)) - 1 >= {least / (1 + least)}D * (na + nb) - 1e-6D"
+
+
+def _possible(met: DataFrame) -> DataFrame:
+    """Of met (a, na, b, nb), a row for each shared prefix shingle, the pairs (a, b) that can be similar."""
+    return met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(_enough("c")).select("a", "b")
 
 
 def _near_size(least: float = LEAST) -> str:
@@ -241,13 +270,16 @@ def neighbours(shared: DataFrame) -> DataFrame:
 
 
 def across(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes in different groups (node, whole) that can be similar; under a shingle, its largest group is not met with itself."""
-    rows = staged(shared.select("s", "node", "n").join(groups, "node"), "prefix-groups")
+    """All pairs (a, b) of nodes in different groups (node, whole) that can be similar; under a shingle, its largest group is not met with itself.
+
+    A pair shares no more prefix shingles than either shares with any node: by that, most pairs fall out where they meet.
+    """
+    rows = staged(shared.select("s", "node", "n", "q").join(groups, "node"), "prefix-groups")
     sizes = rows.groupBy("s", "whole").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("whole", F.struct("k", "whole")).alias("big"), F.count("*").alias("groups"))
     mixed = rows.join(sizes.where("groups > 1").select("s", "big"), "s")
-    left = mixed.where("whole <> big").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("whole").alias("wa"))
-    right = mixed.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("whole").alias("wb"), "big")
-    met = left.join(right, "s").where(f"wa <> wb AND (wb = big OR a < b) AND {_near_size()}")
+    left = mixed.where("whole <> big").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("q").alias("qa"), F.col("whole").alias("wa"))
+    right = mixed.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("q").alias("qb"), F.col("whole").alias("wb"), "big")
+    met = left.join(right, "s").where(f"wa <> wb AND (wb = big OR a < b) AND {_near_size()} AND {_enough('least(qa, qb)')}")
     swap = "a < b"
     return _possible(met.selectExpr("least(a, b) AS a", f"if({swap}, na, nb) AS na", "greatest(a, b) AS b", f"if({swap}, nb, na) AS nb"))
 
