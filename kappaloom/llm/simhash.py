@@ -15,7 +15,7 @@ Few edits move a fingerprint of shingles by more than three bits. So `one_of_eac
 texts of a five-word similarity of 0.8 or more, found by an exact prefix-filtered join of their shingles,
 whatever their fingerprints are. In one order of all shingles, two such texts share one of the first fifth of theirs; the order
 decides only how many candidates there are, so common shingles are put last as a sample of texts shows them.
-Under each shingle, the text with the fewest shingles of its own is compared with the others first, and texts next to each other in size; then all pairs
+Under each shingle, the text with the fewest shingles of its own is compared with the others first, and texts near each other in size; then all pairs
 whose groups still differ, of which a large group of copies has few.
 """
 
@@ -253,20 +253,23 @@ def _near_size(least: float = LEAST) -> str:
     return f"least(na, nb) >= {least}D * greatest(na, nb) - 1e-6D"
 
 
-#: Parts into which the texts of a shingle are dealt before those next to each other are compared.
-DEALT = 64
+#: Parts into which the texts of a shingle are dealt, and the next ones by size there that each is compared with first.
+DEALT, NEXT = 64, 4
 
 
 def neighbours(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a shingle's hub and its other nodes, and of nodes next to each other by size, twice as many as rows of shared_prefixes() at most."""
-    hubs = shared.where("node <> hub").selectExpr("hub AS a", "hub_n AS na", "node AS b", "n AS nb")
+    """Pairs (a, b) of a shingle's hub and its other nodes, and of nodes near each other by size, 1 + NEXT times as many as rows of shared_prefixes() at most."""
+    hubs = shared.where("node <> hub").selectExpr("hub AS a", "hub_n AS na", "node AS b", "n AS nb", "q AS c")
     by_size = Window.partitionBy("s", "part").orderBy("n", "node")
-    dealt = shared.select("s", "node", "n", F.expr(f"pmod(xxhash64(node), {DEALT})").alias("part"))
-    beside = dealt.select(F.lag("node").over(by_size).alias("a"), F.lag("n").over(by_size).alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).where("a IS NOT NULL")
+    dealt = shared.select("s", "node", "n", "q", F.expr(f"pmod(xxhash64(node), {DEALT})").alias("part"))
+    before = [F.struct(*[F.lag(c, i).over(by_size).alias(c) for c in ("node", "n", "q")]) for i in range(1, NEXT + 1)]
+    beside = dealt.select("node", "n", "q", F.array(*before).alias("others")).select("node", "n", "q", F.explode("others").alias("p")).where("p.node IS NOT NULL")
+    beside = beside.selectExpr("p.node AS a", "p.n AS na", "node AS b", "n AS nb", "least(q, p.q) AS c")
     swap = "a < b"
-    pairs = hubs.unionByName(beside).selectExpr("least(a, b) AS a", f"if({swap}, na, nb) AS na", "greatest(a, b) AS b", f"if({swap}, nb, na) AS nb").where(_near_size())
+    # two nodes share no more of their prefixes than either shares with any
+    pairs = hubs.unionByName(beside).where(f"{_near_size()} AND {_enough('c')}")
     # a pair may be told for fewer shingles than it shares; one that falls out for that is met by across()
-    return _possible(pairs)
+    return _possible(pairs.selectExpr("least(a, b) AS a", f"if({swap}, na, nb) AS na", "greatest(a, b) AS b", f"if({swap}, nb, na) AS nb"))
 
 
 def across(shared: DataFrame, groups: DataFrame) -> DataFrame:
