@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import centroids, codebooks, mixing
 from .shared import table
 
 #: op7_topk in DuckDB's SQL.
@@ -83,6 +83,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings")).drop("n_exact")
+
+
+def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg": op1_mpeg,
     "op2_warc": op2_warc,
@@ -94,9 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_licences": op9_licences,
     "op10_mixing": op10_mixing,
+    "op11_centroids": op11_centroids,
+    "op13_codebooks": op13_codebooks,
 }
 
 ORACLES: dict[str, str] = {
     "op7_topk": TOP_K,
     "op10_mixing": mixing.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op13_codebooks": codebooks.ORACLE,
 }
