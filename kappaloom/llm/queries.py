@@ -87,6 +87,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings")).drop("n_exact")
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_trie import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.codes(table(spark, sf_dir, "embeddings"))
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licences": op9_licences,
     "op10_mixing": op10_mixing,
     "op11_centroids": op11_centroids,
+    "op12_trie": op12_trie,
     "op13_codebooks": op13_codebooks,
 }
 
