@@ -21,6 +21,11 @@ def draw(n: Column, seed: int | str, *parts: Column | str | int) -> Column:
     return F.pmod(F.conv(F.substring(order_key(seed, *parts), 1, 8), 16, 10).cast("long"), n)
 
 
+def uniform(seed: int | str, *parts: Column | str | int) -> Column:
+    """A number from 0 to below 1 with 52 bits, the same in every engine that has SHA-256."""
+    return F.conv(F.substring(order_key(seed, *parts), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
+
+
 def request_id(premise: Column, hypothesis: Column) -> Column:
     return F.sha2(F.concat_ws("\n", premise, hypothesis), 256)
 

@@ -1,10 +1,14 @@
+import hashlib
 import math
 import random
+import statistics
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from kappaloom.functions import numeric
 from kappaloom.functions.labels import LABELS
 from kappaloom.operators import agreement, audit, resample
 from kappaloom.operators import agreement as ag
@@ -108,16 +112,99 @@ def test_published_chi_square_and_permutation(spark):
     r, c = Counter(g for _, g, _ in rows), Counter(x for *_, x in rows)
     chi = sum((cells[g, x] - r[g] * c[x] / 50) ** 2 / (r[g] * c[x] / 50) for g in r for x in c)
     assert out.chi2 == pytest.approx(chi) and out.cramers_v == pytest.approx((chi / 50) ** 0.5)
-    p = resample.permutation_p(frame, "g", "l", "id", 50, "s").first()
+    p = resample.permutation_p(frame, "g", "l", 50, "s").first()
     assert p.p == pytest.approx((p.exceed + 1) / 51) and 0 < p.p <= 1
 
 
-def test_bootstrap_draws_stay_in_strata(spark):
+def uniform(*parts):
+    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def at(u, masses):
+    """How many of the exact distribution functions are at most u."""
+    total, out, upto = sum(masses), 0, 0
+    for m in masses:
+        upto += m
+        out += Fraction(upto, total) <= u
+    return min(out, len(masses) - 1)
+
+
+def binomial(n, part, whole, u):
+    return at(u, [math.comb(n, k) * part**k * (whole - part) ** (n - k) for k in range(n + 1)])
+
+
+def hypergeometric(whole, part, n, u):
+    least = max(0, n + part - whole)
+    return least + at(u, [math.comb(part, k) * math.comb(whole - part, n - k) for k in range(least, min(n, part) + 1)])
+
+
+def test_numbers_are_drawn_by_exact_inverses(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(300):
+        whole = rng.choice([1, 2, 7, 60, 500])
+        rows.append((rng.choice([1, 2, 30, 200]), rng.randint(0, whole), whole, rng.randint(0, whole), rng.choice([2**-40, rng.random(), rng.random(), 1 - 2**-40])))
+    frame = spark.createDataFrame(rows, "n long, part long, whole long, m long, u double")
+    c = F.col
+    for r in frame.select("*", numeric.binomial(c("n"), c("part"), c("whole"), c("u")).alias("b"), numeric.hypergeometric(c("whole"), c("part"), c("m"), c("u")).alias("h")).collect():
+        assert r.b == binomial(r.n, r.part, r.whole, r.u), r
+        assert r.h == hypergeometric(r.whole, r.part, r.m, r.u), r
+
+
+def test_numbers_of_many_trials(spark):
+    frame = spark.range(1, 400).select((F.col("id") / 400.0).alias("u"))
+    n, part, whole = (F.lit(x).cast("long") for x in (10**10, 1, 5))
+    found = frame.select("u", numeric.binomial(n, part, whole, F.col("u")).alias("b"), numeric.hypergeometric(n, n - 7, F.lit(3 * 10**9).cast("long"), F.col("u")).alias("h")).collect()
+    normal = statistics.NormalDist(2e9, 4e4)
+    assert all(abs(r.b - normal.inv_cdf(r.u)) < 3 for r in found)
+    # how many of seven things are drawn, of which each is with a chance of 0.3
+    seven = Counter(3 * 10**9 - r.h for r in found)
+    assert all(abs(seven[k] / 399 - math.comb(7, k) * 0.3**k * 0.7 ** (7 - k)) < 0.01 for k in range(8))
+
+
+def walk(kinds, reps, seed, key=()):
+    """The tree of halves written out: kinds are counts in order."""
+    bits = max(0, (len(kinds) - 1).bit_length())
+
+    def down(rep, bit, node, n):
+        if not n:
+            return {}
+        if bit < 0:
+            return {node: n}
+        inside = [c for i, c in enumerate(kinds) if i >> (bit + 1) == node]
+        left = [c for i, c in enumerate(kinds) if i >> bit == 2 * node]
+        x = binomial(n, sum(left), sum(inside), uniform(seed, *key, rep, bit, node))
+        return down(rep, bit - 1, 2 * node, x) | down(rep, bit - 1, 2 * node + 1, n - x)
+
+    return {rep: down(rep, bits - 1, 0, sum(kinds)) for rep in range(1, reps + 1)}
+
+
+def test_kinds_are_drawn_by_the_tree(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([E, C, None]), rng.choice([E, C, N]), rng.choice(["s", "t", None])) for i in range(80)]
+    frame = spark.createDataFrame(rows, "id int, gold string, pred string, s string")
+    for strata in ([], ["s"], ["gold"]):
+        found = {tuple(r[x] for x in ("rep", *dict.fromkeys([*strata, "gold", "pred"]))): r.c for r in resample.drawn(frame, ["gold", "pred"], 6, "x", strata).collect()}
+        expected = {}
+        of = {"s": 3, "gold": 1}
+        null_first = lambda t: tuple((x is not None, x) for x in t)
+        for stratum in {tuple(r[of[x]] for x in strata) for r in rows}:
+            counts = Counter((r[1], r[2]) for r in rows if tuple(r[of[x]] for x in strata) == stratum)
+            kinds = sorted(counts, key=null_first)
+            for rep, told in walk([counts[k] for k in kinds], 6, "x", [x for x in stratum if x is not None]).items():
+                expected |= {(rep, *(stratum if strata == ["s"] else ()), *kinds[i]): n for i, n in told.items()}
+        assert found == expected
+
+
+def test_bootstrap_of_a_mean(spark):
     frame = spark.createDataFrame([(i, "a" if i < 30 else "b", float(i)) for i in range(40)], "id int, s string, v double")
-    counts = resample.drawn(frame, ["id"], 5, "x", ["s"]).groupBy("rep", "s").count().collect()
-    assert {(r.s, r["count"]) for r in counts} == {("a", 30), ("b", 10)} and len(counts) == 10
-    low, high = resample.bootstrap(frame, F.avg("v"), ["id"], 200, "x").first()
-    assert low < 19.5 < high and resample.bootstrap(frame, F.avg("v"), ["id"], 200, "x").first() == (low, high)
+    counts = resample.drawn(frame, ["id"], 5, "x", ["s"]).groupBy("rep", "s").agg(F.sum("c").alias("n")).collect()
+    assert {(r.s, r.n) for r in counts} == {("a", 30), ("b", 10)} and len(counts) == 10
+    low, high = resample.bootstrap_mean(frame, "v", 200, "x").first()
+    assert low < 19.5 < high and resample.bootstrap_mean(frame, "v", 200, "x").first() == (low, high)
+    # the mean of 40 draws has a deviation of 11.54 / 40 ** 0.5
+    assert abs(low - (19.5 - 1.96 * 1.825)) < 1.2 and abs(high - (19.5 + 1.96 * 1.825)) < 1.2
+    assert resample.bootstrap_mean(frame.where("v < 0"), "v", 5, "x").first() == (None, None)
     sequential = resample.sequential_bootstrap(frame, "v", "id", 300, 2026).first()
     rng, means = random.Random(2026), []
     for _ in range(300):
@@ -126,18 +213,34 @@ def test_bootstrap_draws_stay_in_strata(spark):
     assert sequential.low == pytest.approx(means[7] + (means[8] - means[7]) * 0.475)
 
 
-def test_cells_are_drawn_as_rows_are(spark):
-    """Rows in the order of their cells, drawn one by one, give the counts of drawn_cells()."""
-    rng = random.Random(3)
-    rows = [(i, rng.choice([E, C]), rng.choice([E, C, N]), rng.choice("st")) for i in range(60)]
-    frame = spark.createDataFrame(rows, "id int, gold string, pred string, s string")
-    for strata in ([], ["s"]):
-        found = Counter({(r.rep, r.gold, r.pred): r.c for r in resample.drawn_cells(frame, ["gold", "pred"], 7, "x", strata).groupBy("rep", "gold", "pred").agg(F.sum("c").alias("c")).collect()})
-        by_row = resample.drawn(frame, ["gold", "pred", "id"], 7, "x", strata).groupBy("rep", "gold", "pred").count().collect()
-        assert found == Counter({(r.rep, r.gold, r.pred): r["count"] for r in by_row})
-    low, high = resample.bootstrap_kappa(frame, 50, "x").first()
-    values = sorted(r.v for r in resample.drawn(frame, ["gold", "pred", "id"], 50, "x").groupBy("rep").agg(agreement.kappa().alias("v")).collect())
-    assert low == pytest.approx(values[1] + (values[2] - values[1]) * 0.225) and high == pytest.approx(values[47] + (values[48] - values[47]) * 0.775)
+def test_shuffled_tables_keep_their_margins(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("abcde"), rng.choice([E, C, N])) for _ in range(120)] + [("f", N)]
+    counts = Counter(rows)
+    cells = spark.createDataFrame([(g, x, n) for (g, x), n in counts.items()], "g string, l string, o long")
+    groups, labels = sorted({g for g, _ in rows}), sorted({x for _, x in rows})
+    found = {}
+    for r in resample.shuffled_tables(cells, "g", "l", 300, "x").collect():
+        found.setdefault(r.rep, Counter())[r.g, r.l] = r.o
+
+    def down(rep, bit, node, vector):
+        members = [g for i, g in enumerate(groups) if i >> (bit + 1) == node]
+        if not members:
+            return {}
+        if bit < 0:
+            return {(groups[node], x): n for x, n in zip(labels, vector, strict=True) if n}
+        left, whole, first = sum(n for (g, _), n in counts.items() if g in [m for m in members if groups.index(m) >> bit == 2 * node]), sum(vector), []
+        for j, v in enumerate(vector):
+            first.append(hypergeometric(whole, v, left, uniform("x", rep, bit, node, j)) if j < len(vector) - 1 else left)
+            left, whole = left - first[-1], whole - v
+        return down(rep, bit - 1, 2 * node, first) | down(rep, bit - 1, 2 * node + 1, [v - x for v, x in zip(vector, first, strict=True)])
+
+    whole = [sum(n for (_, x), n in counts.items() if x == y) for y in labels]
+    assert len(found) == 300 and all(table == down(rep, 2, 0, whole) for rep, table in found.items())
+    # the statistic's mean over all shuffles is (groups - 1)(labels - 1) n / (n - 1)
+    r, c = Counter(g for g, _ in rows), Counter(x for _, x in rows)
+    chi = [121 * (sum(n * n / r[g] / c[x] for (g, x), n in table.items()) - 1) for table in found.values()]
+    assert abs(statistics.mean(chi) - 10 * 121 / 120) < 1.0
 
 
 def test_paired_deltas_share_draws(spark):
@@ -146,8 +249,8 @@ def test_paired_deltas_share_draws(spark):
     frame = spark.createDataFrame(rows, "id int, gold string, pred string, pred2 string, joint int, joint2 int")
     found = {r.measure: r for r in resample.paired_deltas(frame, 40, "x").collect()}
     reps = {}
-    for r in resample.drawn(frame, ["gold", "pred", "pred2", "joint", "joint2", "id"], 40, "x").collect():
-        reps.setdefault(r.rep, []).append(r)
+    for r in resample.drawn(frame, ["gold", "pred", "pred2", "joint", "joint2"], 40, "x").collect():
+        reps.setdefault(r.rep, []).extend([r] * r.c)
 
     def f1(rows, name):
         out = 0
