@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
 from ..functions.text import WORD
-from .order import hash_numbered
+from ..sources.shared import staged
+from .order import hash_numbered, indexed
 
 
 def report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -79,3 +80,45 @@ def shifted_partners(df: DataFrame, id_column: str, group: str) -> DataFrame:
     placed = inside.join(starts, group).join(F.broadcast(whole)).withColumn("_at", F.col("_start") + F.col("_i"))
     partners = placed.select(F.col(id_column).alias("partner"), F.col(group).alias("partner_group"), F.col("_at").alias("_to"))
     return placed.withColumn("_to", F.pmod(F.col("_at") + F.col("_most"), F.col("_all"))).join(partners, "_to").select(id_column, group, "partner", "partner_group")
+
+
+class Unpaired(ValueError):
+    """No pairing that differs in both keys was found."""
+
+
+def unlike_partners(df: DataFrame, id_column: str, group: str, content: str, seed: int | str = "pairs", rounds: int = 30, asks: int = 8) -> DataFrame:
+    """(id, partner): everyone is given a partner of another group and of other content, each row once.
+
+    Rows stand in the order of their groups, and of contents inside, and are shifted by the size of the largest group, so that groups differ. Where contents are equal, partners are
+    exchanged with a row at one of the places that hashes tell, if both pairs that arise are sound; a row takes part in one exchange a round. A group or a content of more than
+    half of the rows has no pairing, which is an error; so is a pairing that is not found in `rounds`. A null group or content is one of its own.
+    """
+    base = df.select(F.col(id_column).alias("_id"), F.sha2(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")), 256).alias("_g"), F.sha2(F.coalesce(F.concat(F.lit("="), F.col(content).cast("string")), F.lit("")), 256).alias("_c"))
+    rows = staged(indexed(base, ["_g", "_c", "_id"], "_place"), "placed")
+    largest = lambda c: rows.groupBy(c).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n, most, same = rows.count(), largest("_g"), largest("_c")
+    if 2 * most > n or 2 * same > n:
+        raise Unpaired("a group or a content holds more than half of the rows")
+    there = rows.select(F.col("_place").alias("_to"), F.col("_g").alias("_pg"), F.col("_c").alias("_pc"), F.col("_id").alias("_partner"))
+    pairs = staged(rows.withColumn("_to", F.pmod(F.col("_place") + most, F.lit(max(1, n)))).join(there, "_to"), "pairs")
+    alike = (F.col("_g") == F.col("_pg")) | (F.col("_c") == F.col("_pc"))
+    for turn in range(rounds + 1):
+        bad = staged(pairs.where(alike), "alike")
+        if bad.isEmpty():
+            return pairs.select(F.col("_id").alias(id_column), F.col("_partner").alias("partner"))
+        if turn == rounds:
+            break
+        # everyone asks at some places and takes the first sound one by hash; of those who take the same row the first by hash has it
+        places = F.explode(F.transform(F.sequence(F.lit(1), F.lit(asks)), lambda i: F.pmod(F.xxhash64("_place", i, F.lit(f"{seed}|{turn}")), F.lit(n))))
+        asked = bad.select(F.struct(*bad.columns).alias("_b"), places.alias("_ask")).join(bad.select(F.col("_place").alias("_ask")), "_ask", "left_anti")
+        met = asked.join(pairs.select(F.col("_place").alias("_ask"), F.struct(*pairs.columns).alias("_o")), "_ask")
+        sound = (F.col("_b._g") != F.col("_o._pg")) & (F.col("_b._c") != F.col("_o._pc")) & (F.col("_o._g") != F.col("_b._pg")) & (F.col("_o._c") != F.col("_b._pc"))
+        first = F.xxhash64("_b._place", "_ask")
+        taken = met.where(sound).groupBy("_b").agg(F.min_by("_o", first).alias("_o"))
+        won = taken.groupBy("_o").agg(F.min_by("_b", F.xxhash64("_b._place")).alias("_b"))
+        ends = ["_to", "_pg", "_pc", "_partner"]
+        swap = lambda a, b: F.struct(F.col(f"{a}._place").alias("_row"), *[F.col(f"{b}.{c}").alias(f"{c}_new") for c in ends])
+        moved = won.select(F.explode(F.array(swap("_b", "_o"), swap("_o", "_b"))).alias("_m")).select("_m.*")
+        kept = pairs.join(moved, F.col("_place") == F.col("_row"), "left").select(*[c for c in pairs.columns if c not in ends], *[F.when(F.col("_row").isNull(), F.col(c)).otherwise(F.col(f"{c}_new")).alias(c) for c in ends])
+        pairs = staged(kept.select(*pairs.columns), "pairs")
+    raise Unpaired(f"{bad.count()} rows have a partner like them after {rounds} rounds")

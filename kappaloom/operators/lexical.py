@@ -5,16 +5,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..sources.shared import staged
+from ..sources.shared import staged, staged_at
 from .order import hash_numbered, indexed
 
 #: What counts as a term: letters and digits, the accented ones of western languages included.
@@ -184,14 +186,24 @@ def vocabulary(df: DataFrame, id_column: str, text: Column, least: int = 2) -> D
     return staged(hash_numbered(idf.withColumn("_one", F.lit(0)), ["_one"], F.sha2("term", 256), "term", "at").select("term", "idf", "at"), "terms")
 
 
+def as_vectors(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, x) of rows (keys, v), v an array of (at, w) in the order of at: sparse vectors, written as what they consist of and read as vectors."""
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("v.at").alias("indices"), F.col("v.w").alias("values"))
+    flat = rows.select(*keys, parts.alias("x"))
+    path = staged_at(flat, "vectors")[1]
+    kinds = {f.name: f for f in flat.schema}
+    return rows.sparkSession.read.schema(StructType([*[kinds[k] for k in keys], StructField("x", VectorUDT())])).parquet(path)
+
+
+_PLACED = "array<struct<at:int,w:double>>"
+
+
 def vectors(df: DataFrame, id_column: str, text: Column, places: DataFrame) -> DataFrame:
     """(id, x): the unit vectors of (1 + ln tf) * idf over a vocabulary(), of these texts or of others; a text without its terms has an empty one."""
     weighed = weights(gram_counts(df, id_column, text), places.select("term", "idf"), id_column).join(places.select("term", "at"), "term")
     rows = weighed.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), "w"))).alias("v"))
-    size = max(1, places.count())
-    dense = lambda v: Vectors.sparse(size, [p["at"] for p in v or ()], [p["w"] for p in v or ()])
-    vector = F.udf(dense, VectorUDT())
-    return df.select(id_column).join(rows, id_column, "left").select(id_column, vector("v").alias("x"))
+    whole = df.select(id_column).join(rows, id_column, "left").select(id_column, F.coalesce("v", F.array().cast(_PLACED)).alias("v"))
+    return as_vectors(whole, [id_column], max(1, places.count()))
 
 
 def predicted(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
@@ -207,34 +219,90 @@ def _fitted(rows: DataFrame, label: str, penalty: float, balanced: bool) -> Logi
     return LogisticRegression(featuresCol="x", labelCol=label, weightCol="_weight", regParam=penalty, maxIter=12, tol=1e-4).fit(rows.withColumn("_weight", weight))
 
 
-def out_of_fold(rows: DataFrame, label: str, fold: str, folds: int, grid: tuple[tuple[float, bool], ...] = ((0.01, False), (0.01, True), (0.1, True)), inner: dict[int, DataFrame] | None = None, id_column: str = "id") -> DataFrame:
-    """rows (id, x, label, fold) with probability, that of class 1 by a model that has not seen the row's fold.
+@dataclass(frozen=True)
+class Limits:
+    """Which terms of the training texts are features: those in at least `least` texts and in a share of them at most; of words and of characters the `most` frequent ones each, ties by term."""
+
+    least: int = 2
+    share: float = 1.0
+    most: int | None = None
+
+
+def training_terms(counts: DataFrame, plan: DataFrame, id_column: str, limits: Limits = Limits()) -> DataFrame:
+    """(held, without, term, idf): the terms of every training set, with frequencies of its texts alone.
+
+    counts (id, term, tf); plan (id, held, inner_fold) has a row for each text and each outer fold that it is not in. A training set is
+    what is not held, without an inner fold or, where without is -1, all of it. Frequencies are counted once for each term and cell of the plan; a set's
+    are the sums of its held fold less those of the cell that is left out.
+    """
+    cells = staged(counts.join(plan, id_column).groupBy("held", "inner_fold", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), "term-cells")
+    sizes = staged(plan.groupBy("held", "inner_fold").agg(F.count("*").alias("n")), "fold-sizes")  # a row for each pair of folds
+    whole = cells.groupBy("held", "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    texts = sizes.groupBy("held").agg(F.sum("n").alias("n"))
+    without = sizes.select("held", F.col("inner_fold").alias("without"), F.col("n").alias("n_own")).unionByName(texts.select("held", F.lit(-1).cast("long").alias("without"), F.lit(0).cast("long").alias("n_own")))
+    sets = without.join(texts, "held").select("held", "without", (F.col("n") - F.col("n_own")).alias("n"))
+    own = cells.select("held", F.col("inner_fold").alias("without"), "term", F.col("df").alias("df_own"), F.col("tf").alias("tf_own"))
+    left = whole.join(sets, "held").join(own, ["held", "without", "term"], "left").na.fill(0, ["df_own", "tf_own"])
+    left = left.select("held", "without", "n", "term", (F.col("df") - F.col("df_own")).alias("df"), (F.col("tf") - F.col("tf_own")).alias("tf"))
+    kept = left.where((F.col("df") >= limits.least) & (F.col("df") <= F.col("n") * limits.share))
+    if limits.most is not None:
+        order = Window.partitionBy("held", "without", F.substring("term", 1, 1)).orderBy(F.desc("tf"), "term")
+        kept = kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limits.most)
+    return kept.select("held", "without", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def training_vectors(counts: DataFrame, terms: DataFrame, texts: DataFrame, id_column: str) -> DataFrame:
+    """(held, without, id, x): every text's unit vector of (1 + ln tf) * idf by the terms of each training set.
+
+    Places are numbers of all terms that any set has. A set's vectors have weights at its own terms alone, so a place says nothing of a text that the set does not know.
+    """
+    distinct = terms.select("term", F.lit(0).alias("_one")).distinct()
+    places = staged(hash_numbered(distinct, ["_one"], F.sha2("term", 256), "term", "at").select("term", F.col("at").cast("int").alias("at")), "places")
+    keys = ["held", "without", id_column]
+    raw = counts.join(terms, "term").join(places, "term").select(*keys, "at", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    rows = raw.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = F.transform("v", lambda p: F.struct(p["at"].alias("at"), (p["w"] / F.col("norm")).alias("w")))
+    sets = F.broadcast(staged(terms.select("held", "without").distinct(), "training-sets"))  # a row for each pair of folds
+    whole = texts.select(id_column).join(sets).join(rows.select(*keys, unit.alias("v")), keys, "left").select(*keys, F.coalesce("v", F.array().cast(_PLACED)).alias("v"))
+    return as_vectors(whole, keys, max(1, places.count()))
+
+
+def _balanced_accuracy(told: DataFrame, label: str) -> float:
+    recalls = [r.r for r in told.groupBy(label).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("r")).collect()]
+    return sum(recalls) / len(recalls) if recalls else 0.0
+
+
+def out_of_fold(rows: DataFrame, nested: DataFrame, label: str, id_column: str, text: Column, grid: tuple[tuple[float, bool], ...] = ((0.01, False), (0.01, True), (0.1, True)), limits: Limits = Limits()) -> DataFrame:
+    """(id, label, fold, probability): that of class 1 for each of rows (id, label, and what text needs), by a model and features that have not seen the row's fold.
 
-    grid: penalties, and whether classes are balanced. For each fold the choice is made on the others: by the mean balanced accuracy over inner folds (id,
-    inner_fold) if they are given, else by the next fold. The loop is over folds and the grid, not rows.
+    nested (id, fold, held, inner_fold): for every outer fold that is held out, the inner fold of each other row. grid: penalties, and whether classes
+    are balanced; for each held fold the choice is that of the best mean balanced accuracy over its inner folds, where features are fitted without the inner fold too. The loop is over folds and
+    the grid, not rows.
     """
-    rows = staged(rows, "vectors")
+    counts = staged(gram_counts(rows, id_column, text), "grams")
+    plan = staged(nested.select(id_column, F.col("held").cast("long").alias("held"), F.col("inner_fold").cast("long").alias("inner_fold")), "fold-plan")
+    folds = staged(nested.select(id_column, F.col("fold").cast("long").alias("fold")).distinct(), "folds")
+    terms = staged(training_terms(counts, plan, id_column, limits), "training-terms")
+    marked = training_vectors(counts, terms, rows, id_column).join(rows.select(id_column, label), id_column).join(folds, id_column)
+    # a join with the plan leaves no inner fold in the rows that are held
+    known = staged(marked.join(plan, [id_column, "held"], "left"), "training-vectors")
     out = None
-    for k in range(folds):
-        rest, held = rows.where(F.col(fold) != k), rows.where(F.col(fold) == k)
-        if inner is None:
-            parted = rest.withColumn("inner_fold", F.when(F.col(fold) == (k + 1) % folds, 0).otherwise(1))
-            tried = [0]
-        else:
-            parted = rest.join(inner[k], id_column)
-            tried = [r[0] for r in parted.select("inner_fold").distinct().orderBy("inner_fold").collect()]
-
-        def score(choice: tuple[float, bool], parted: DataFrame = parted, tried: list[int] = tried) -> float:
-            recalls = []
-            for i in tried:
-                known, asked = parted.where(F.col("inner_fold") != i), parted.where(F.col("inner_fold") == i)
-                if known.select(label).distinct().count() > 1:
-                    told = _fitted(known, label, *choice).transform(asked).groupBy(label).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("r"))
-                    recalls += [r.r for r in told.collect()]
-            return sum(recalls) / len(recalls) if recalls else 0.0
-
-        best = max(grid, key=score) if len(grid) > 1 and folds > 2 else grid[0]
-        scored = predicted(_fitted(rest, label, *best), held)
+    for k in [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
+        mine = known.where(F.col("held") == k)
+        inner = [r[0] for r in plan.where(F.col("held") == k).select("inner_fold").distinct().orderBy("inner_fold").collect()]
+
+        def score(choice: tuple[float, bool], mine: DataFrame = mine, inner: list[int] = inner) -> float:
+            found = []
+            for i in inner:
+                one = mine.where((F.col("without") == i) & F.col("inner_fold").isNotNull())
+                train = one.where(F.col("inner_fold") != i)
+                if train.select(label).distinct().count() > 1:
+                    found.append(_balanced_accuracy(_fitted(train, label, *choice).transform(one.where(F.col("inner_fold") == i)), label))
+            return sum(found) / len(found) if found else 0.0
+
+        best = max(grid, key=score) if len(grid) > 1 and len(inner) > 1 else grid[0]
+        whole = mine.where(F.col("without") == -1)
+        scored = predicted(_fitted(whole.where(F.col("inner_fold").isNotNull()), label, *best), whole.where(F.col("fold") == k).select(id_column, label, "fold", "x"))
         out = scored if out is None else out.unionByName(scored)
     return out
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,74 +165,27 @@ def widest_gap(counts: dict[str, int]) -> int:
     return total if most < 2 else (total - sum(n == most for n in counts.values())) // (most - 1)
 
 
-def gapped_sequence(counts: dict[str, int], gap: int, rng: random.Random) -> list[str] | None:
-    """A sequence of keys, each as often as counted, in which equal ones are at least `gap` apart; None if the choice runs dry.
+def gap_schedule(df: DataFrame, key: str, id_column: str, seed: int | str) -> DataFrame:
+    """Adds pos from 1: an order in which every two rows of a key are at least widest_gap() apart, as far as any order can keep all of them.
 
-    At every place goes a key with the most rows left among those whose last place is far enough; ties at random.
-    """
-    left, out, ready = dict(counts), [], {k: 0 for k in counts}
-    by_left: dict[int, set[str]] = {}
-    for k, n in left.items():
-        by_left.setdefault(n, set()).add(k)
-    waiting: dict[int, list[str]] = {}
-    for at in range(sum(counts.values())):
-        for k in waiting.pop(at, ()):
-            by_left.setdefault(left[k], set()).add(k)
-        if not by_left:
-            return None
-        most = max(by_left)
-        k = rng.choice(sorted(by_left[most]))
-        by_left[most].discard(k)
-        if not by_left[most]:
-            del by_left[most]
-        out.append(k)
-        left[k] -= 1
-        ready[k] = at + gap
-        if left[k]:
-            waiting.setdefault(max(at + 1, at + gap), []).append(k)
-    return out
-
-
-def gap_schedule(df: DataFrame, key: str, id_column: str, seed: int, attempts: int = 16) -> DataFrame:
-    """Adds pos from 1: an order in which the least distance between rows of a key is the largest that is found.
-
-    Keys are reduced to their counts. For each attempt, in parallel, the largest gap whose sequence can be built is searched by halving;
-    the best is that of the largest least gap, then of the largest sum of gaps' logarithms, then the first. A key's rows take its places
-    in hash order. The counts, one for each key, are one task's work for each attempt.
+    The m most frequent keys, of n rows each, begin n frames, all in the same order. The other rows fill the columns behind them, down the n - 1
+    frames before the last, one key after the other and the more frequent first. A key of n - 1 rows fills a column, and one of fewer that goes on in the next column has a whole
+    frame between its ends, so that no frame is too short for a gap. Places are sums over the sizes of keys and over the keys of a size, in hash order; a key's rows
+    take its places in hash order. Rows whose key is null are a key. Without a repeated key all orders do, and it is that of hashes.
     """
-    spark = df.sparkSession
-    counts = staged(df.groupBy(key).agg(F.count("*").alias("n")), "gap-counts")
-    one = counts.agg(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), "n"))).alias("s"))
-    tries = spark.range(attempts).repartition(attempts).join(F.broadcast(one))
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import math
-
-        for part in parts:
-            for run, pairs in zip(part["id"], part["s"], strict=True):
-                sizes, best, low = {p["k"]: int(p["n"]) for p in pairs}, None, 1
-                high = widest_gap(sizes)
-                while low <= high:
-                    middle = (low + high) // 2
-                    found = gapped_sequence(sizes, middle, random.Random(seed * 1009 + int(run)))
-                    if found is None:
-                        high = middle - 1
-                    else:
-                        best, low = found, middle + 1
-                last, gaps = {}, []
-                for at, k in enumerate(best or ()):
-                    if k in last:
-                        gaps.append(at - last[k])
-                    last[k] = at
-                yield pd.DataFrame({"run": [run], "least": [min(gaps, default=0)], "evenness": [sum(map(math.log, gaps))], "keys": [best or []]})
-
-    found = staged(tries.mapInPandas(search, "run long, least long, evenness double, keys array<string>"), "gap-attempts")
-    best = found.agg(F.max_by("keys", F.struct("least", "evenness", -F.col("run"))).alias("keys"))
-    places = best.select(F.posexplode("keys").alias("_place", "_key"))
-    turn = numbered(places, ["_key"], F.floor(F.col("_place") / 4096), ["_place"], "_to")
-    rows = hash_numbered(df, [key], order_key(seed, F.col(id_column)), id_column, "_turn")
-    named = turn.select("_key", "_to", (F.col("_place") + 1).cast("long").alias("pos"))
-    return rows.join(named, (F.col(key).cast("string") == F.col("_key")) & (F.col("_turn") == F.col("_to"))).drop("_key", "_to", "_turn")
+    counts = staged(df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows")), "gap-counts")
+    sizes = counts.groupBy("_rows").agg(F.count("*").alias("_keys"))
+    ahead = F.sum(F.col("_rows") * F.col("_keys")).over(Window.orderBy(F.desc("_rows"))) - F.col("_rows") * F.col("_keys")  # one row a size
+    whole = sizes.agg(F.sum(F.col("_rows") * F.col("_keys")).alias("_all"), F.max("_rows").alias("_most"), F.max_by("_keys", "_rows").alias("_firsts"))
+    ranked = hash_numbered(counts, ["_rows"], order_key(seed, F.col("_key")), "_key", "_rank").join(sizes.select("_rows", ahead.alias("_ahead")), "_rows")
+    inside = hash_numbered(df, [key], order_key(seed, F.col(id_column)), id_column, "_i")
+    rows = inside.join(ranked, F.col(key).eqNullSafe(F.col("_key"))).join(F.broadcast(whole))
+    rows = rows.withColumn("_frames", F.greatest(F.col("_most") - 1, F.lit(1))).withColumn("_t", F.expr("_ahead + _rank * _rows + _i - _firsts * _most"))
+    rows = rows.withColumn("_left", F.expr("_all - _firsts * _most"))
+    rows = rows.withColumns({"_frame": F.expr("if(_rows = _most, _i, pmod(_t, _frames))"), "_column": F.expr("if(_rows = _most, _rank, _firsts + _t DIV _frames)")})
+    begin = "if(_frame = _most - 1, _all - _firsts, _frame * (_firsts + _left DIV _frames) + least(_frame, _left % _frames))"
+    at = rows.withColumn("pos", F.expr(f"{begin} + _column + 1"))
+    return at.select(*df.columns, "pos")
 
 
 def distinct_demos(df: DataFrame, label: str, reference: str, id_column: str, n: int, seed: int | str) -> DataFrame:

@@ -133,3 +133,34 @@ def imbalance(df: DataFrame, group: str, label: str, least_rows: int = 20, least
     counts = df.groupBy(group, label).agg(F.count("*").alias("c"))
     out = counts.groupBy(group).agg(F.sum("c").alias("n"), F.min("c").alias("least"), F.max("c").alias("most"))
     return out.withColumn("warned", (F.col("n") >= least_rows) & (F.col("least") / F.col("most") < least_ratio))
+
+
+def challenge_faults(official: DataFrame, bases: DataFrame, variants: DataFrame, key: str, variant: str, same: list[str], text: str, per_base: int = 4, decision: str | None = None) -> DataFrame:
+    """(key, variant, fault): what is wrong with base cases and their counterfactuals, a row for each fault; variant is null for a base's.
+
+    Columns are key, those in same, and text, in all frames; variants have `variant` too. A base must be a row of official, once, and agree with it in same and text: else unknown, repeated, or the name
+    of the column. It must have per_base counterfactuals: else variants. A counterfactual must have a base, agree with it in same, and have a text, another one than the base:
+    else unknown, the column's name, empty, or unchanged; with a column `decision`, that must be KEEP. Nulls agree with each other.
+    """
+
+    def beside(df: DataFrame, names: list[str]) -> DataFrame:
+        # of a repeated case its least row counts
+        return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*names)).alias("_of"))
+
+    def told(df: DataFrame, rules: dict[str, Column], id_: Column) -> DataFrame:
+        codes = F.array_compact(F.array(*[F.when(broken, F.lit(code)) for code, broken in rules.items()]))
+        return df.select(key, id_.alias(variant), F.explode(codes).alias("fault"))
+
+    missing = F.col("_of").isNull()
+    differs = lambda c: ~missing & ~F.col(c).eqNullSafe(F.col(f"_of.{c}"))
+    none = F.lit(None).cast(dict(variants.dtypes)[variant])
+    of_bases = told(bases.join(beside(official, [*same, text]), F.col(key) == F.col("_key"), "left"), {"unknown": missing} | {c: differs(c) for c in [*same, text]}, none)
+    repeated = bases.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, none.alias(variant), F.lit("repeated").alias("fault"))
+    counts = variants.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    number = bases.select(key).distinct().join(counts, F.col(key) == F.col("_key"), "left").where(F.coalesce("_n", F.lit(0)) != per_base).select(key, none.alias(variant), F.lit("variants").alias("fault"))
+    empty = F.coalesce(F.trim(text) == "", F.lit(True))
+    rules = {"unknown": missing} | {c: differs(c) for c in same} | {"empty": empty, "unchanged": ~missing & ~empty & F.col(text).eqNullSafe(F.col(f"_of.{text}"))}
+    if decision is not None:
+        rules["decision"] = ~F.col(decision).eqNullSafe(F.lit("KEEP"))
+    of_variants = told(variants.join(beside(bases, [*same, text]), F.col(key) == F.col("_key"), "left"), rules, F.col(variant))
+    return of_bases.unionByName(repeated).unionByName(number).unionByName(of_variants)

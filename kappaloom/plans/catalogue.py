@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import agreement, grouping, io, ordering, statistics, texts, validation
+from . import agreement, grouping, io, ordering, statistics, temporal, texts, validation
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "agreement", "grouping", "io", "ordering", "statistics", "texts", "validation"]
+__all__ = ["ORACLES", "QUERIES", "agreement", "grouping", "io", "ordering", "statistics", "temporal", "texts", "validation"]

@@ -226,19 +226,45 @@ def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "text", "quality")
 
 
+#: Seeds of the repeats of outer folds.
+REPEATS = ("2026", "2027", "2028")
+
+
 @registered("lexical_baseline")
 def lexical_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold probability of a document's being good, by its runs of words and characters; copies and linked documents are in one fold, inner ones too."""
-    rows = _rated(spark, sf_dir)
+    """Probability of a document's being good, by its runs of words and characters: the mean over three divisions into folds of the models that have not seen its fold.
+
+    Linked documents are in one fold, inner ones too; terms, their frequencies, the choice of the penalty and the model come from the training texts alone.
+    """
+    rows = staged(_rated(spark, sf_dir), "rated-texts")
     groups = staged(members(spark, sf_dir).join(rows.select("doc_id", "quality"), "doc_id"), "rated-groups")
-    nested = staged(graph.nested_folds(groups, 3, 2, "2026", "quality"), "nested")
-    of = lambda df: df.join(groups.select("doc_id", "group"), "group").drop("group")
-    inner = {k: of(nested.where(F.col("held") == k).select("group", "inner_fold")) for k in range(3)}
-    texts = rows.select("doc_id", "text")
-    vectors = lexical.vectors(texts, "doc_id", F.col("text"), lexical.vocabulary(texts, "doc_id", F.col("text")))
-    known = vectors.join(rows.select("doc_id", "quality"), "doc_id").join(of(nested.select("group", "fold").distinct()), "doc_id")
-    scored = lexical.out_of_fold(known, "quality", "fold", 3, grid=((0.01, True), (0.1, False)), inner=inner, id_column="doc_id")
-    return rounded(scored.select("doc_id", "quality", "fold", "probability"), "probability", places=4)
+    out = None
+    for seed in REPEATS:
+        nested = graph.nested_folds(groups, 3, 2, seed, "quality").join(groups.select("doc_id", "group"), "group").select("doc_id", "fold", "held", "inner_fold")
+        scored = lexical.out_of_fold(rows, nested, "quality", "doc_id", F.col("text"), grid=((0.01, True), (0.1, False)), limits=lexical.Limits(2, 0.995))
+        out = scored if out is None else out.unionByName(scored)
+    averaged = out.groupBy("doc_id", "quality").agg(F.count("*").alias("models"), F.avg("probability").alias("probability"))
+    return rounded(averaged, "probability", places=4)
+
+
+_TEXTS = "rated AS MATERIALIZED (SELECT doc_id, quality, text FROM documents JOIN labels USING (doc_id))"
+_RATED_WORDS = "SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(list_transform(w, lambda x: 'w ' || x), list_transform(range(1, len(w)), lambda i: 'w ' || w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9à-öø-ÿ]+') AS w FROM rated)) GROUP BY ALL"
+
+
+@registered(
+    "training_terms",
+    f"""WITH {_TEXTS}, terms AS MATERIALIZED ({_RATED_WORDS}), plan AS (SELECT doc_id, held, ((doc_id // 3) % 2)::BIGINT AS inner_fold FROM rated, (SELECT unnest(range(3)) AS held) WHERE doc_id % 3 <> held),
+sets AS (SELECT held, without, (SELECT count(*) FROM plan p WHERE p.held = h.held AND p.inner_fold <> without) AS n FROM (SELECT unnest(range(3)) AS held) h, (SELECT unnest([-1, 0, 1])::BIGINT AS without)),
+counted AS (SELECT s.held, without, term, max(n) AS n, count(*) AS df, sum(tf) AS tf FROM sets s JOIN plan p ON p.held = s.held AND p.inner_fold <> without JOIN terms USING (doc_id) GROUP BY ALL),
+kept AS (SELECT *, row_number() OVER (PARTITION BY held, without ORDER BY tf DESC, term) AS r FROM counted WHERE df >= 2 AND df <= 0.5 * n)
+SELECT held, without, term, round(ln((1 + n) / (1 + df)::DOUBLE) + 1, 6) AS idf FROM kept WHERE r <= 2000""",
+)
+def training_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 most frequent runs of words of each training set of three outer and two inner folds, in half of its texts at most, and their weights."""
+    rows = _rated(spark, sf_dir)
+    counts = staged(lexical.gram_counts(rows, "doc_id", F.col("text")).where("term LIKE 'w%'"), "word-grams")
+    plan = rows.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("held")).where("doc_id % 3 <> held").withColumn("inner_fold", F.expr("(doc_id DIV 3) % 2"))
+    return rounded(lexical.training_terms(counts, staged(plan, "fold-plan"), "doc_id", lexical.Limits(2, 0.5, 2000)), "idf")
 
 
 @registered("refitted_terms")

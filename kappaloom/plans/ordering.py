@@ -126,10 +126,25 @@ def spread_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.gaps(spread, "source", "pos").select("doc_id", "source", "pos", F.col("before").alias("gap"))
 
 
-@registered("gap_schedule", "WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), m AS (SELECT max(n) AS most, sum(n) AS total FROM c) SELECT total::BIGINT AS n, total::BIGINT AS places, ((total - (SELECT count(*) FROM c WHERE n = most)) // (most - 1))::BIGINT AS least_gap FROM m")
+_FRAMES = """sizes AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), keys AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY sha256('3|' || user_id), user_id) - 1 AS rank, (SELECT max(n) FROM sizes) AS most FROM sizes),
+whole AS (SELECT max(most) AS most, count(*) FILTER (n = most) AS firsts, sum(n)::BIGINT AS total FROM keys), others AS (SELECT user_id, (sum(n) OVER (ORDER BY n DESC, rank) - n)::BIGINT AS first FROM keys WHERE n < most),
+cells AS (SELECT event_id, e.user_id, k.n, k.rank, row_number() OVER (PARTITION BY e.user_id ORDER BY sha256('3|' || event_id), event_id) - 1 AS i, first FROM events e JOIN keys k ON k.user_id = e.user_id LEFT JOIN others o ON o.user_id = e.user_id),
+framed AS (SELECT event_id, user_id, CASE WHEN n = most THEN i ELSE (first + i) % (most - 1) END AS frame, CASE WHEN n = most THEN rank ELSE firsts + (first + i) // (most - 1) END AS col FROM cells, whole),
+starts AS (SELECT frame, sum(count(*)) OVER (ORDER BY frame) - count(*) AS start FROM framed GROUP BY frame),
+seq AS (SELECT event_id, user_id, (start + row_number() OVER (PARTITION BY frame ORDER BY col))::BIGINT AS pos FROM framed JOIN starts USING (frame))"""
+
+
+@registered("gap_schedule", f"WITH {_FRAMES} SELECT event_id, user_id, pos, pos - lag(pos) OVER (PARTITION BY user_id ORDER BY pos) AS gap FROM seq")
 def gap_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in an order that keeps a user's apart as far as can be: every place is taken once, and the least gap is the widest that the counts allow."""
-    placed = order.gap_schedule(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", 3, attempts=4)
+    """Events in an order that keeps a user's apart as far as can be: place, and the gap to the user's one before."""
+    placed = order.gap_schedule(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", 3)
+    return order.gaps(placed, "user_id", "pos").select("event_id", "user_id", "pos", F.col("before").alias("gap"))
+
+
+@registered("least_gap", "WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), m AS (SELECT max(n) AS most, sum(n) AS total FROM c) SELECT total::BIGINT AS n, total::BIGINT AS places, ((total - (SELECT count(*) FROM c WHERE n = most)) // (most - 1))::BIGINT AS least_gap FROM m")
+def least_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of that order is taken once, and its least gap is the widest that the counts allow."""
+    placed = order.gap_schedule(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id", 3)
     return order.gaps(placed, "user_id", "pos").agg(F.count("*").alias("n"), F.count_distinct("pos").alias("places"), F.min("before").alias("least_gap"))
 
 

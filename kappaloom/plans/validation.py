@@ -81,6 +81,37 @@ def challenge_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.groupBy("variants").agg(F.count("*").alias("cases"), F.count_if("kept").alias("kept"))
 
 
+_OFFICIAL = "SELECT o_orderkey AS base_id, o_orderstatus AS label, o_orderpriority AS premise, concat('L', CAST(o_custkey % 90 AS VARCHAR(9))) AS law_ref, concat('h', CAST(o_custkey AS VARCHAR(19))) AS hypothesis FROM orders"
+_BASES = """SELECT CASE WHEN base_id % 53 = 0 THEN -base_id - 1 ELSE base_id END AS base_id, CASE WHEN base_id % 37 = 0 THEN 'X' ELSE label END AS label, CASE WHEN base_id % 41 = 0 THEN concat(premise, '!') ELSE premise END AS premise,
+  CASE WHEN base_id % 47 = 0 THEN NULL ELSE law_ref END AS law_ref, CASE WHEN base_id % 43 = 0 THEN 'other' ELSE hypothesis END AS hypothesis FROM official WHERE base_id % 3 = 0 UNION ALL SELECT * FROM official WHERE base_id % 177 = 0"""
+_VARIANTS = """SELECT l_orderkey AS base_id, l_orderkey * 8 + l_linenumber AS variant_id, CASE WHEN l_partkey % 61 = 0 THEN 'Y' ELSE label END AS label, premise, law_ref,
+  CASE WHEN l_partkey % 67 = 0 THEN hypothesis WHEN l_partkey % 71 = 0 THEN ' ' ELSE concat('v', CAST(l_linenumber AS VARCHAR(9))) END AS hypothesis, CASE WHEN l_suppkey % 73 = 0 THEN 'DROP' ELSE 'KEEP' END AS decision
+  FROM lineitem JOIN official ON l_orderkey = base_id WHERE l_orderkey % 3 = 0 OR l_partkey % 211 = 0"""
+
+def _faults(rows: str, of: str, id_: str, rules: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT x.base_id, {id_} AS variant_id, '{fault}' AS fault FROM {rows} x LEFT JOIN {of} o ON o.base_id = x.base_id WHERE {rule}" for fault, rule in rules.items())
+
+
+_DIFFERS = {c: f"o.base_id IS NOT NULL AND x.{c} IS DISTINCT FROM o.{c}" for c in ("label", "premise", "law_ref", "hypothesis")}
+
+
+@registered(
+    "challenge_faults",
+    f"""WITH official AS ({_OFFICIAL}), bases AS ({_BASES}), variants AS ({_VARIANTS}), one AS (SELECT * FROM bases QUALIFY row_number() OVER (PARTITION BY base_id ORDER BY label NULLS FIRST, premise NULLS FIRST, law_ref NULLS FIRST, hypothesis NULLS FIRST) = 1),
+counts AS (SELECT base_id, count(*) AS n FROM variants GROUP BY base_id)
+{_faults('bases', 'official', 'NULL::BIGINT', {'unknown': 'o.base_id IS NULL'} | _DIFFERS)}
+UNION ALL SELECT base_id, NULL, 'repeated' FROM bases GROUP BY base_id HAVING count(*) > 1
+UNION ALL SELECT b.base_id, NULL, 'variants' FROM (SELECT DISTINCT base_id FROM bases) b LEFT JOIN counts c ON c.base_id = b.base_id WHERE coalesce(n, 0) <> 4
+UNION ALL {_faults('variants', 'one', 'x.variant_id', {'unknown': 'o.base_id IS NULL'} | {c: _DIFFERS[c] for c in ('label', 'premise', 'law_ref')} | {'empty': "trim(x.hypothesis) = ''", 'unchanged': "o.base_id IS NOT NULL AND trim(x.hypothesis) <> '' AND x.hypothesis = o.hypothesis", 'decision': "x.decision <> 'KEEP'"})}""",
+)
+def challenge_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as official cases, copies of them with faults as base cases, and their lines as counterfactuals with faults of their own: every fault, with the case."""
+    official = spark.sql(_OFFICIAL.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    bases = spark.sql(_BASES.replace("FROM official", "FROM {official}"), official=official)
+    variants = spark.sql(_VARIANTS.replace("FROM lineitem", "FROM {lines}").replace("JOIN official", "JOIN {official}"), lines=table(spark, sf_dir, "lineitem"), official=official)
+    return validate.challenge_faults(official, bases, variants, "base_id", "variant_id", ["label", "premise", "law_ref"], "hypothesis", decision="decision")
+
+
 _STORED = "CASE WHEN (doc_id + item_id) % 4 = 0 THEN first + 1 ELSE first END"
 
 
@@ -252,6 +283,16 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
+@registered("unlike_partners")
+def unlike_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a partner of another group and of another text, where four in ten have one text, in all groups."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.expr("pmod(doc_id, 7)").alias("group"), F.sha2(F.when(F.expr("doc_id % 10 < 4"), F.lit("the same")).otherwise(F.lower("text")), 256).alias("content"))
+    found = align.unlike_partners(rows, "doc_id", "group", "content")
+    mine, other = rows.select("doc_id", "group", "content"), rows.select(F.col("doc_id").alias("partner"), F.col("group").alias("group2"), F.col("content").alias("content2"))
+    return found.join(mine, "doc_id").join(other, "partner").select("doc_id", "partner", (F.col("group") == F.col("group2")).alias("same_group"), (F.col("content") == F.col("content2")).alias("same_content"))
+
+
 @registered(
     "derangement",
     """WITH placed AS (SELECT doc_id, source, row_number() OVER (ORDER BY source, sha256('pairs|' || doc_id), doc_id) - 1 AS at FROM documents), whole AS (SELECT count(*) AS n, (SELECT max(c) FROM (SELECT count(*) AS c FROM documents GROUP BY source)) AS most FROM documents)

@@ -236,10 +236,46 @@ def test_vectors_and_models_leave_no_term_out(spark):
     unseen = lexical.vectors(spark.createDataFrame([(1, "something strong"), (2, "weak"), (3, "zzz")], "id long, t string"), "id", F.col("t"), places)
     told = {r.id: r.probability for r in lexical.predicted(model, unseen).collect()}
     assert told[2] < 0.5 < told[1] and told[2] < told[3] < told[1]
-    scored = lexical.out_of_fold(known, "y", "f", 3, grid=((0.01, True), (0.1, False))).collect()
+    nested = spark.createDataFrame([(i, f, k, i % 2) for i, _, _, f in rows for k in range(3) if k != f], "id long, fold long, held long, inner_fold long")
+    scored = lexical.out_of_fold(docs, nested, "y", "id", F.col("t"), grid=((0.01, True), (0.1, False))).collect()
     assert len(scored) == 61 and sum((r.probability > 0.5) == bool(r.y) for r in scored) >= 55
 
 
+def test_features_know_training_texts_alone(spark):
+    """Every set's terms, weights and vectors are those of its own texts; what only held texts have is in none of them."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(12)) + (" planted secret" if i % 3 == 1 else "") + (" inner" if i % 3 == 0 and i // 3 % 2 else ""), i % 2) for i in range(36)] + [(99, "", 1), (100, None, 0)]
+    docs = spark.createDataFrame(rows, "id long, t string, y int")
+    plan = [(i, k, i // 3 % 2) for i, *_ in rows for k in range(3) if i % 3 != k]
+    counts = lexical.gram_counts(docs, "id", F.col("t"))
+    limits = lexical.Limits(2, 0.9, 40)
+    terms = lexical.training_terms(counts, spark.createDataFrame(plan, "id long, held long, inner_fold long"), "id", limits)
+    found = defaultdict(dict)
+    for r in terms.collect():
+        found[r.held, r.without][r.term] = r.idf
+    grams = {i: grams_by_hand(t or "") for i, t, _ in rows}
+    expected = {}
+    for k in range(3):
+        for j in (-1, 0, 1):
+            ids = [i for i, held, inner in plan if held == k and inner != j]
+            df, tf = Counter(x for i in ids for x in grams[i]), sum((grams[i] for i in ids), Counter())
+            kept = [x for x, n in df.items() if 2 <= n <= 0.9 * len(ids)]
+            kept = [x for kind in "wc" for x in sorted((x for x in kept if x[0] == kind), key=lambda x: (-tf[x], x))[:40]]
+            expected[k, j] = {x: math.log((1 + len(ids)) / (1 + df[x])) + 1 for x in kept}
+    assert {s: {x: round(v, 9) for x, v in t.items()} for s, t in found.items()} == {s: {x: round(v, 9) for x, v in t.items()} for s, t in expected.items()}
+    planted = [x for t in found.values() for x in t if x in ("w planted", "w secret", "w planted secret")]
+    assert planted and not any("planted" in x or "secret" in x for s in ((1, -1), (1, 0), (1, 1)) for x in found[s])
+    assert any(x.startswith("w inner") for x in found[1, 0]) and not any("inner" in x for x in found[1, 1] if x[0] == "w")
+    sizes = Counter()
+    for r in lexical.training_vectors(counts, terms, docs, "id").collect():
+        raw = {x: (1 + math.log(n)) * expected[r.held, r.without][x] for x, n in grams[r.id].items() if x in expected[r.held, r.without]}
+        norm = math.sqrt(sum(w * w for w in raw.values())) or 1
+        assert sorted(round(w, 9) for w in r.x.values) == sorted(round(w / norm, 9) for w in raw.values())
+        sizes[r.held, r.without] += 1
+    assert set(sizes.values()) == {len(rows)} and len(sizes) == 9
+
+
 def test_folds_spread_labels_and_nest(spark):
     rng = random.Random(6)
     rows, i = [], 0
@@ -272,32 +308,17 @@ def test_numbers_by_parts(spark):
         assert [found[i] for i, x, _ in ranked if x == k] == list(range(sum(x == k for _, x, _ in rows)))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(1, 6), min_size=1), st.integers(0, 9))
-def test_gapped_sequences(counts, seed):
-    widest = order.widest_gap(counts)
-    best = None
-    for gap in range(1, widest + 2):
-        found = order.gapped_sequence(counts, gap, random.Random(seed))
-        if found is None:
-            break
-        best = gap
-        assert Counter(found) == counts
-        for k in counts:
-            at = [i for i, x in enumerate(found) if x == k]
-            assert all(b - a >= gap for a, b in zip(at, at[1:], strict=False))
-    # no sequence keeps a wider distance than the counts allow, and the widest is found
-    assert max(counts.values()) < 2 or best == widest
-
-
-def test_gap_schedule(spark):
-    rows = [(i, "abc"[min(i // 6, 2)] if i < 15 else f"k{i}") for i in range(30)]
-    placed = order.gap_schedule(spark.createDataFrame(rows, "id long, k string"), "k", "id", 2, attempts=3).collect()
-    assert sorted(r.pos for r in placed) == list(range(1, 31))
+@pytest.mark.parametrize("counts", [[6, 6, 3] + [1] * 15, [5, 5, 4, 4, 3, 2, 2], [7, 6, 6, 6, 1], [4, 3, 3, 3], [3], [1, 1, 1], [9, 1], [2, 2, 2, 1, 1], [8, 7, 5, 3, 3, 3, 1]])
+def test_gap_schedule(spark, counts):
+    rows = [(1000 * k + i, None if k == 1 else f"k{k}") for k, n in enumerate(counts) for i in range(n)]
+    placed = order.gap_schedule(spark.createDataFrame(rows, "id long, k string"), "k", "id", 2).collect()
+    total = sum(counts)
+    assert sorted(r.pos for r in placed) == list(range(1, total + 1)) and sorted(r.id for r in placed) == sorted(i for i, _ in rows)
     places = defaultdict(list)
     for r in sorted(placed, key=lambda r: r.pos):
         places[r.k].append(r.pos)
-    assert min(b - a for p in places.values() for a, b in zip(p, p[1:], strict=False)) == order.widest_gap(Counter(k for _, k in rows))
+    least = min((b - a for p in places.values() for a, b in zip(p, p[1:], strict=False)), default=total)
+    assert least == order.widest_gap({str(k): n for k, n in enumerate(counts)})
 
 
 def test_demos_take_turns(spark):
