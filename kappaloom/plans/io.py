@@ -105,14 +105,29 @@ def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("append_log", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type")
 def append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events arrive in two overlapping deliveries; the log has each once."""
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     source, target, checkpoint = (fresh_path(spark, x) for x in ("arrivals", "log", "log-state"))
     for delivery in (events.where("event_type IN ('view', 'click')"), events):
         files.append_jsonl(delivery, source)
-        logs.append_new(spark, source, "event_id long, event_type string, user_id long", target, checkpoint, "event_id")
+        logs.append_new(spark, source, "event_id long, event_type string, user_id long, ts timestamp", target, checkpoint, "event_id", "ts", "60 days")
     return spark.read.schema("event_id long, event_type string").json(target).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
+_DELIVERED = "CASE WHEN event_id % 10 = 9 OR ts >= TIMESTAMP '2024-01-20 00:00:00' THEN 1 ELSE 0 END"
+
+
+@registered("late_events", f"WITH d AS (SELECT *, {_DELIVERED} AS delivery FROM events), m AS (SELECT max(ts) - INTERVAL 2 DAY AS lim FROM d WHERE delivery = 0) SELECT event_type, count(*) FILTER (NOT (delivery = 1 AND ts < lim)) AS in_time, count(*) FILTER (delivery = 1 AND ts < lim) AS late FROM d, m GROUP BY event_type")
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in two deliveries, the second with one in ten of the first one's time: how many of each type come in time, two days being allowed, and how many do not."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    source, on_time, too_late, checkpoint = (fresh_path(spark, x) for x in ("deliveries", "in-time", "too-late", "late-state"))
+    for k in (0, 1):
+        events.where(f"{_DELIVERED} = {k}").write.mode("append").parquet(source)
+        logs.divide_late(spark.readStream.schema(events.schema).parquet(source), "ts", "2 days", on_time, too_late, checkpoint)
+    read = lambda path, n: spark.read.schema(events.schema).parquet(path).groupBy("event_type").agg(F.count("*").alias(n))
+    return read(on_time, "in_time").join(read(too_late, "late"), "event_type", "left").na.fill(0, ["late"])
+
+
 @registered("daily_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = logs.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__
+from kappaloom.operators import temporal
 from kappaloom.plans import catalogue
 from kappaloom.sources import files
 from kappaloom.streaming import logs
@@ -112,6 +113,37 @@ def test_log_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(r.id for r in spark.read.schema("id string").json(args[2]).collect()) == ["a", "b"]
 
 
+def test_log_forgets_old_keys(spark, tmp_path):
+    schema = "id long, t timestamp"
+    source, target, checkpoint = (f"{tmp_path}/{x}" for x in ("in", "log", "state"))
+    day = lambda d, ids: spark.createDataFrame([(i, f"2024-01-{d:02d} 12:00:00") for i in ids], "id long, t string").withColumn("t", F.to_timestamp("t"))
+    held = []
+    # the third delivery repeats keys of the day before, which are still known, and one of the first day, which is too late
+    for rows in (day(1, range(50)), day(10, range(50, 60)), day(11, range(60, 65)).unionByName(day(10, range(50, 60))).unionByName(day(1, [3]))):
+        files.append_jsonl(rows, source)
+        held.append(logs.append_new(spark, source, schema, target, checkpoint, "id", "t", "2 days"))
+    assert sorted(r.id for r in spark.read.schema(schema).json(target).collect()) == list(range(65))
+    assert held[0] == 50 and max(held[1:]) <= 25
+
+
+def test_late_rows_are_counted_and_sessions_closed(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([(u, f"2024-01-01 {t}") for u, t in x], "u string, t string").withColumn("t", F.to_timestamp("t"))
+    deliveries = [rows(("a", "10:00:00"), ("a", "10:20:00"), ("b", "10:05:00")), rows(("a", "09:59:00"), ("a", "10:35:00"), ("a", "08:00:00"), ("b", "12:00:00")), rows(("a", "10:40:00"), ("b", "12:10:00"), ("b", "15:00:00"), ("a", "11:59:00")), rows(("c", "19:00:00"), ("b", "13:59:00"))]
+    source, on_time, too_late, done = (f"{tmp_path}/{x}" for x in ("in", "on", "late", "sessions"))
+    for one in deliveries:
+        one.coalesce(1).write.mode("append").parquet(source)
+        logs.divide_late(spark.readStream.schema(one.schema).parquet(source), "t", "1 hour", on_time, too_late, f"{tmp_path}/divide")
+        logs.closed_sessions(spark.readStream.schema(one.schema).parquet(on_time), ["u"], "t", "30 minutes", "1 hour", done, f"{tmp_path}/close")
+    clock = lambda x: x.strftime("%H:%M")
+    late = sorted((r.u, clock(r.t)) for r in spark.read.schema(deliveries[0].schema).parquet(too_late).collect())
+    assert late == [("a", "08:00"), ("a", "10:40"), ("b", "13:59")]
+    closed = sorted((r.u, clock(r.first), clock(r.last), r.n) for r in spark.read.parquet(done).collect())
+    assert closed[:3] == [("a", "09:59", "10:35", 4), ("a", "11:59", "11:59", 1), ("b", "10:05", "10:05", 1)] and ("b", "12:00", "12:10", 2) in closed
+    kept = spark.read.schema(deliveries[0].schema).parquet(on_time)
+    whole = sorted((r.u, clock(r["first"]), clock(r["last"]), r.n) for r in temporal.sessions(kept, ["u"], "t", "30 minutes").collect())
+    assert set(closed) <= set(whole) and sum(r[3] for r in whole) == 13 - 3
+
+
 def test_windowed_counts_on_a_stream(spark, tmp_path):
     events = spark.createDataFrame([("2024-01-01 05:00:00", "v", 1.0), ("2024-01-01 06:00:00", "v", 2.0), ("2024-01-05 00:00:00", "v", 1.0)], "t string, k string, value double").withColumn("t", F.to_timestamp("t"))
     events.write.parquet(f"{tmp_path}/events")
