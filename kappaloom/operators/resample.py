@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import uniform
 from ..functions.numeric import binomial, hypergeometric
 from ..operators import agreement
-from ..sources.shared import staged
+from ..sources.shared import settled
 
 
 def _replicated(rows: DataFrame, reps: int) -> DataFrame:
@@ -36,7 +36,7 @@ def drawn(df: DataFrame, cells: list[str], reps: int, seed: int | str, strata: l
     order = Window.partitionBy(*strata).orderBy(*cells)  # a row a kind
     counts = df.groupBy(*dict.fromkeys([*strata, *cells])).agg(F.count("*").alias("_c"))
     ranked = counts.select(F.to_json(F.struct(*strata) if strata else F.struct(F.lit(0).alias("_"))).alias("_s"), F.struct(*dict.fromkeys([*strata, *cells])).alias("_kind"), "_c", (F.row_number().over(order) - 1).cast("long").alias("_rank"))
-    kinds = staged(ranked, "kinds")
+    kinds, small = settled(ranked, "kinds")
     most = kinds.agg(F.max("_rank")).first()[0]
     tables = kinds.groupBy("_s").agg(F.sum("_c").alias("_n"), F.first("_kind").alias("_kind"))
     rows = _replicated(tables.select("_s", "_n", F.lit(0).cast("long").alias("_node"), *[F.col(f"_kind.{x}").cast("string").alias(f"_s{i}") for i, x in enumerate(strata)]), reps)
@@ -44,12 +44,13 @@ def drawn(df: DataFrame, cells: list[str], reps: int, seed: int | str, strata: l
         # a node's weight, and that of its first half
         halves = kinds.groupBy("_s", F.shiftright("_rank", bit + 1).alias("_node")).agg(F.sum("_c").alias("_w"), F.sum(F.when(F.shiftright("_rank", bit) % 2 == 0, F.col("_c")).otherwise(F.lit(0).cast("long"))).alias("_l"))
         u = uniform(seed, *[F.col(f"_s{i}") for i in range(len(strata))], F.col("rep"), bit, F.col("_node"))
-        split = rows.join(halves, ["_s", "_node"]).withColumn("_first", binomial(F.col("_n"), F.col("_l"), F.col("_w"), u))
+        # a replicate's rows stay where they are if the tree is small; else they go to its nodes
+        split = rows.join(F.broadcast(halves) if small else halves, ["_s", "_node"]).withColumn("_first", binomial(F.col("_n"), F.col("_l"), F.col("_w"), u))
         sides = F.explode(F.array(*[F.struct((F.col("_node") * 2 + i).alias("node"), n.alias("n")) for i, n in enumerate((F.col("_first"), F.col("_n") - F.col("_first")))]))
         kept = [c for c in rows.columns if c not in ("_node", "_n")]
         rows = split.select(*kept, sides.alias("_side")).select(*kept, F.col("_side.node").alias("_node"), F.col("_side.n").alias("_n")).where("_n > 0")
     leaves = kinds.select("_s", F.col("_rank").alias("_node"), "_kind")
-    met = rows.join(leaves, ["_s", "_node"])
+    met = rows.join(F.broadcast(leaves) if small else leaves, ["_s", "_node"])
     return met.select("rep", *[F.col(f"_kind.{x}").alias(x) for x in dict.fromkeys([*strata, *cells])], F.col("_n").alias("c"))
 
 
@@ -130,14 +131,15 @@ def shuffled_tables(cells: DataFrame, group: str, label: str, reps: int, seed: i
     the rest is the second half's. A node is a row with a count for each label, of which there are few: they come to the driver.
     """
     names = [r[0] for r in cells.select(label).distinct().orderBy(label).collect()]
-    sizes = staged(cells.groupBy(group).agg(F.sum("o").alias("_r")).withColumn("_rank", (F.row_number().over(Window.orderBy(group)) - 1).cast("long")), "groups")  # a row a group
+    ranked = cells.groupBy(group).agg(F.sum("o").alias("_r")).withColumn("_rank", (F.row_number().over(Window.orderBy(group)) - 1).cast("long"))
+    sizes, small = settled(ranked, "groups")  # a row a group
     most = sizes.agg(F.max("_rank")).first()[0]
     of = [F.coalesce(F.sum(F.when(F.col(label).eqNullSafe(F.lit(x)), F.col("o"))), F.lit(0).cast("long")).alias(f"_v{j}") for j, x in enumerate(names)]
     rows = _replicated(cells.agg(F.lit(0).cast("long").alias("_node"), *of), reps)
     vector = [f"_v{j}" for j in range(len(names))]
     for bit in range((most or 0).bit_length() - 1, -1, -1):
         halves = sizes.groupBy(F.shiftright("_rank", bit + 1).alias("_node")).agg(F.sum(F.when(F.shiftright("_rank", bit) % 2 == 0, F.col("_r")).otherwise(F.lit(0).cast("long"))).alias("_left"))
-        split = rows.join(halves, "_node").withColumn("_whole", sum((F.col(v) for v in vector), F.lit(0).cast("long")))
+        split = rows.join(F.broadcast(halves) if small else halves, "_node").withColumn("_whole", sum((F.col(v) for v in vector), F.lit(0).cast("long")))
         for j, v in enumerate(vector):
             # the last label has what is left
             drawn_ = hypergeometric(F.col("_whole"), F.col(v), F.col("_left"), uniform(seed, F.col("rep"), bit, F.col("_node"), j)) if j < len(vector) - 1 else F.col("_left")
@@ -146,14 +148,15 @@ def shuffled_tables(cells: DataFrame, group: str, label: str, reps: int, seed: i
         second = F.struct((F.col("_node") * 2 + 1).alias("_node"), *[(F.col(v) - F.col(f"_x{j}")).alias(v) for j, v in enumerate(vector)])
         rows = split.select("rep", F.explode(F.array(first, second)).alias("_side")).select("rep", "_side.*")
         rows = rows.where(" + ".join(vector) + " > 0")
-    told = rows.join(sizes.select(F.col("_rank").alias("_node"), group), "_node")
+    leaves = sizes.select(F.col("_rank").alias("_node"), group)
+    told = rows.join(F.broadcast(leaves) if small else leaves, "_node")
     cell = F.explode(F.array(*[F.struct(F.lit(x).alias(label), F.col(v).alias("o")) for x, v in zip(names, vector, strict=True)]))
     return told.select("rep", group, cell.alias("_cell")).select("rep", group, "_cell.*").where("o > 0")
 
 
 def permutation_p(df: DataFrame, group: str, label: str, reps: int, seed: int | str) -> DataFrame:
     """(chi2, exceed, p): how often shuffled labels reach the table's chi-square; p counts the table itself."""
-    cells = staged(df.groupBy(group, label).agg(F.count("*").alias("o")), "cells")
+    cells, _ = settled(df.groupBy(group, label).agg(F.count("*").alias("o")), "cells")
     margin_r, margin_c = cells.groupBy(group).agg(F.sum("o").alias("r")), cells.groupBy(label).agg(F.sum("o").alias("c"))
     met = shuffled_tables(cells, group, label, reps, seed)
     sums = met.join(margin_r, group).join(margin_c, label).groupBy("rep").agg(F.sum(F.col("o").cast("double") * F.col("o") / F.col("r") / F.col("c")).alias("s"))

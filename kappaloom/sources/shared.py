@@ -44,6 +44,18 @@ def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return staged_at(df, label, compression)[0]
 
 
+#: Rows that a plan may carry with it.
+FEW = 4096
+
+
+def settled(df: DataFrame, label: str) -> tuple[DataFrame, bool]:
+    """df computed once, and whether it is small: up to FEW rows are carried by later plans, and then by broadcasts; more are written as by staged()."""
+    table = df.limit(FEW + 1).toArrow()
+    if table.num_rows > FEW:
+        return staged(df, label), False
+    return df.sparkSession.createDataFrame(table, df.schema).coalesce(1), True
+
+
 def staged_at(df: DataFrame, label: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
