@@ -15,8 +15,8 @@ Few edits move a fingerprint of shingles by more than three bits. So `one_of_eac
 texts of a five-word similarity of 0.8 or more, found by an exact prefix-filtered join of their shingles,
 whatever their fingerprints are. In one order of all shingles, two such texts share one of the first fifth of theirs; the order
 decides only how many candidates there are, so common shingles are put last as a sample of texts shows them.
-Under each shingle, the text with the fewest shingles of its own is compared with the others first, and texts near each other in size; then each text with a few members of
-the largest group that it is not in; then all pairs whose groups still differ, of which a large group of copies has few.
+Under each shingle, the text with the fewest shingles of its own is compared with the others first, and texts near each other in size; then all pairs
+whose groups still differ, of which a large group of copies has few.
 """
 
 from __future__ import annotations
@@ -159,8 +159,8 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int = 5, least: float = 0.
     return met.where(f"i >= {least} * (size(sa) + size(sb) - i)").select("a", "b")
 
 
-#: Least similarity of texts that are linked; shingles put last in the order at most; one text in so many is read for them.
-LEAST, COMMON, SAMPLE = 0.8, 1 << 16, 8
+#: Least similarity of texts that are linked; shingles put last in the order at most; one text in so many is read for them; words of 64 bits that tell which shingles a text shares.
+LEAST, COMMON, SAMPLE, MARKS = 0.8, 1 << 16, 8, 4
 
 
 def _common(texts: DataFrame) -> np.ndarray:
@@ -206,7 +206,7 @@ class Ranks:
 
 
 def shared_prefixes(texts: DataFrame) -> DataFrame:
-    """(s, node, n, hub, hub_n, q): the prefix shingles that two nodes of texts (node, text) share, each node's number of shingles, and q, how many of its prefix it shares.
+    """(s, node, n, hub, hub_n, q, marks, before): the prefix shingles that two nodes of texts (node, text) share, each node's number of shingles, and of those of its prefix that it shares their number q, a bit for each, and the one before by number.
 
     hub is the shingle's node with the least share of shingles that are not common: of a text and its edited copies, that is the text, since every edit
     makes shingles of its own. Ranked shingles, which very many texts may have, are aggregated in part before they are shuffled, and joined back;
@@ -233,8 +233,11 @@ def shared_prefixes(texts: DataFrame) -> DataFrame:
     met = often.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("own", "node", "n")).alias("hub")).where("k > 1")
     often = often.join(met, "s").select("s", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
     shared, path = staged_at(rare.unionByName(often), "shared")
-    # how many of its prefix shingles a node shares with any other
-    known = staged(shared.join(shared.groupBy("node").agg(F.count("*").alias("q")), "node"), "shared-prefixes")
+    # a node's rows are a part of its text's prefix
+    mine = Window.partitionBy("node")
+    bit = f"pmod(xxhash64(s), {64 * MARKS})"
+    marks = F.array(*[F.bit_or(F.expr(f"if({bit} DIV 64 = {i}, shiftleft(1L, CAST({bit} % 64 AS int)), 0L)")).over(mine) for i in range(MARKS)])
+    known = staged(shared.select("*", F.count("*").over(mine).alias("q"), marks.alias("marks"), F.lag("s").over(mine.orderBy("s")).alias("before")), "shared-prefixes")
     remove(texts.sparkSession, path)
     return known
 
@@ -272,48 +275,29 @@ def neighbours(shared: DataFrame) -> DataFrame:
     return _possible(pairs.selectExpr("least(a, b) AS a", f"if({swap}, na, nb) AS na", "greatest(a, b) AS b", f"if({swap}, nb, na) AS nb"))
 
 
-#: Members of larger groups that a node is compared with, and nodes of a shingle that are put in one order.
-TRIED, ORDERED = 8, 1024
+def _shared_most() -> str:
+    """How many of their prefix shingles two nodes can share: each one's, without those whose bit the other does not have."""
+    lacks = lambda x, y: " + ".join(f"bit_count(m{x}[{i}] & ~m{y}[{i}])" for i in range(MARKS))
+    return f"least(qa - ({lacks('a', 'b')}), qb - ({lacks('b', 'a')}))"
 
 
-def _mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """(s, node, n, q, whole, big, k): the rows of shingles that more than one of the groups (node, whole) share, with the shingle's largest group and its number of nodes."""
-    rows = staged(shared.select("s", "node", "n", "q").join(groups, "node"), "prefix-groups")
-    sizes = rows.groupBy("s", "whole").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("whole", F.struct("k", "whole")).alias("big"), F.count("*").alias("groups"), F.sum("k").alias("k"))
-    return rows.join(sizes.where("groups > 1").select("s", "big", "k"), "s")
+def mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(s, node, n, q, marks, before, whole, big): the rows of shingles that more than one of the groups (node, whole) share, with the shingle's largest group."""
+    rows = staged(shared.select("s", "node", "n", "q", "marks", "before").join(groups, "node"), "prefix-groups")
+    sizes = rows.groupBy("s", "whole").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("whole", F.struct("k", "whole")).alias("big"), F.count("*").alias("groups"))
+    return rows.join(sizes.where("groups > 1").select("s", "big"), "s")
 
 
-def attached(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a node with members of the largest group of its shingles, which it is not in: TRIED for a node at most.
+def across(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes in different groups of mixed() that can be similar; under a shingle, its largest group is not met with itself.
 
-    Under every shingle these are the members before and after it by size, and in an order by hash, which is another one for each shingle; those that are met most often are taken. A
-    node that is similar to many of a group's members is joined to the group by one of them, so that across() need not meet it with all.
+    A pair shares no more prefix shingles than either shares with any node, and none whose bit only one of them has: by that, most pairs fall out where they meet. Copies share long runs
+    of shingles. Where the shingle before is the same for both, they have met under that one already; so a pair meets once for each run and not for each shingle.
     """
-    mixed = _mixed(shared, groups).withColumn("part", F.expr(f"pmod(xxhash64(node), 1 + k DIV {ORDERED})"))
-    member = F.when(F.col("whole") == F.col("big"), F.struct("node", "n", "q"))
-    found = []
-    for order in (["n", "node"], [F.xxhash64("node", "s"), "node"]):
-        up = Window.partitionBy("s", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        down = Window.partitionBy("s", "part").orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-        found += [F.last(member, ignorenulls=True).over(w) for w in (up, down)]
-    met = mixed.select("node", "n", "q", "whole", "big", F.array(*found).alias("others")).where("whole <> big").select("node", "n", "q", F.explode("others").alias("p")).where("p IS NOT NULL")
-    met = met.selectExpr("node AS a", "n AS na", "q AS qa", "p.node AS b", "p.n AS nb", "p.q AS qb").where(f"{_near_size()} AND {_enough('least(qa, qb)')}")
-    often = met.groupBy("a", "b").agg(F.count("*").alias("c"))
-    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), F.xxhash64("b"), "b"))
-    return often.withColumn("r", best).where(F.col("r") <= TRIED).selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
-
-
-def across(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes in different groups (node, whole) that can be similar; under a shingle, its largest group is not met with itself.
-
-    A pair shares no more prefix shingles than either shares with any node: by that, most pairs fall out where they meet.
-    """
-    mixed = _mixed(shared, groups)
-    left = mixed.where("whole <> big").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("q").alias("qa"), F.col("whole").alias("wa"))
-    right = mixed.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("q").alias("qb"), F.col("whole").alias("wb"), "big")
-    met = left.join(right, "s").where(f"wa <> wb AND (wb = big OR a < b) AND {_near_size()} AND {_enough('least(qa, qb)')}")
-    swap = "a < b"
-    return _possible(met.selectExpr("least(a, b) AS a", f"if({swap}, na, nb) AS na", "greatest(a, b) AS b", f"if({swap}, nb, na) AS nb"))
+    side = lambda x: ("s", f"node AS {x}", f"n AS n{x}", f"q AS q{x}", f"marks AS m{x}", f"whole AS w{x}", f"before AS before_{x}")
+    left, right = rows.where("whole <> big").selectExpr(*side("a")), rows.selectExpr(*side("b"), "big")
+    met = left.join(right, "s").where(f"wa <> wb AND (wb = big OR a < b) AND NOT coalesce(before_a = before_b, false) AND {_near_size()} AND {_enough(_shared_most())}")
+    return met.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 3, hot: int = 1024) -> DataFrame:
@@ -345,13 +329,9 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         groups = connected(links).withColumnRenamed("component", "whole")
         return staged(first.join(groups, first.root == groups.node, "left").select("root", "doc_id", "print", F.coalesce("whole", "root").alias("whole")), "near-wholes")
 
-    def groups(links: DataFrame) -> DataFrame:
-        return nodes.join(wholes(links).select("root", "whole"), "root").select("node", "whole")
-
-    # near texts first: what they join need not be met by all its pairs
     some = confirmed(neighbours(shared))
-    some = some.unionByName(confirmed(attached(shared, groups(some))))
-    joined = wholes(some.unionByName(confirmed(across(shared, groups(some)))))
+    rest = confirmed(across(mixed(shared, nodes.join(wholes(some).select("root", "whole"), "root").select("node", "whole"))))
+    joined = wholes(some.unionByName(rest))
     stay = staged(joined.groupBy("whole").agg(best).select("f.doc_id", F.col("f.print").alias("print")), "near-stay")
     # all columns of a row in one struct, so that none can clash with ours
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("print"))
