@@ -211,9 +211,10 @@ def predicted(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("probability", F.element_at(vector_to_array("probability"), 2)).drop("x", "rawPrediction", "prediction")
 
 
-def _fitted(rows: DataFrame, label: str, penalty: float, balanced: bool) -> LogisticRegressionModel:
-    """A logistic model; balanced: classes weigh the same in sum."""
-    share = rows.agg(F.avg(F.col(label).cast("double"))).first()[0]
+def _fitted(rows: DataFrame, label: str, penalty: float, balanced: bool, share: float | None = None) -> LogisticRegressionModel:
+    """A logistic model; balanced: classes weigh the same in sum. share: that of class 1, if it is known."""
+    if share is None and balanced:
+        share = rows.agg(F.avg(F.col(label).cast("double"))).first()[0]
     share = 0.5 if share is None or not balanced else min(max(share, 1e-9), 1 - 1e-9)
     weight = F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share))
     return LogisticRegression(featuresCol="x", labelCol=label, weightCol="_weight", regParam=penalty, maxIter=12, tol=1e-4).fit(rows.withColumn("_weight", weight))
@@ -272,37 +273,47 @@ def _balanced_accuracy(told: DataFrame, label: str) -> float:
     return sum(recalls) / len(recalls) if recalls else 0.0
 
 
-def out_of_fold(rows: DataFrame, nested: DataFrame, label: str, id_column: str, text: Column, grid: tuple[tuple[float, bool], ...] = ((0.01, False), (0.01, True), (0.1, True)), limits: Limits = Limits()) -> DataFrame:
+def out_of_fold(rows: DataFrame, nested: DataFrame, label: str, id_column: str, text: Column, grid: tuple[tuple[float, bool], ...] = ((0.01, False), (0.01, True), (0.1, True)), limits: Limits = Limits(), counts: DataFrame | None = None) -> DataFrame:
     """(id, label, fold, probability): that of class 1 for each of rows (id, label, and what text needs), by a model and features that have not seen the row's fold.
 
     nested (id, fold, held, inner_fold): for every outer fold that is held out, the inner fold of each other row. grid: penalties, and whether classes
     are balanced; for each held fold the choice is that of the best mean balanced accuracy over its inner folds, where features are fitted without the inner fold too. The loop is over folds and
-    the grid, not rows.
+    the grid, not rows. counts: gram_counts() of the texts, if they are known.
     """
-    counts = staged(gram_counts(rows, id_column, text), "grams")
+    counts = staged(gram_counts(rows, id_column, text), "grams") if counts is None else counts
     plan = staged(nested.select(id_column, F.col("held").cast("long").alias("held"), F.col("inner_fold").cast("long").alias("inner_fold")), "fold-plan")
     folds = staged(nested.select(id_column, F.col("fold").cast("long").alias("fold")).distinct(), "folds")
-    terms = staged(training_terms(counts, plan, id_column, limits), "training-terms")
+    terms = training_terms(counts, plan, id_column, limits)
+    # without a choice there is nothing to try on inner folds
+    terms = staged(terms if len(grid) > 1 else terms.where("without = -1"), "training-terms")
     marked = training_vectors(counts, terms, rows, id_column).join(rows.select(id_column, label), id_column).join(folds, id_column)
     # a join with the plan leaves no inner fold in the rows that are held
     known = staged(marked.join(plan, [id_column, "held"], "left"), "training-vectors")
+    # a row for each pair of folds: texts, and those of class 1
+    sizes = known.where("without = -1").groupBy("held", "inner_fold").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("ones")).collect()
+
+    def share(k: int, without: int = -1) -> float | None:
+        cells = [r for r in sizes if r.held == k and r.inner_fold is not None and r.inner_fold != without]
+        return sum(r.ones for r in cells) / sum(r.n for r in cells) if cells else None
+
     out = None
-    for k in [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
+    for k in sorted({r.held for r in sizes}):
         mine = known.where(F.col("held") == k)
-        inner = [r[0] for r in plan.where(F.col("held") == k).select("inner_fold").distinct().orderBy("inner_fold").collect()]
+        inner = sorted({r.inner_fold for r in sizes if r.held == k and r.inner_fold is not None})
 
-        def score(choice: tuple[float, bool], mine: DataFrame = mine, inner: list[int] = inner) -> float:
+        def score(choice: tuple[float, bool], k: int = k, mine: DataFrame = mine, inner: list[int] = inner) -> float:
             found = []
             for i in inner:
                 one = mine.where((F.col("without") == i) & F.col("inner_fold").isNotNull())
-                train = one.where(F.col("inner_fold") != i)
-                if train.select(label).distinct().count() > 1:
-                    found.append(_balanced_accuracy(_fitted(train, label, *choice).transform(one.where(F.col("inner_fold") == i)), label))
+                # both classes must be there
+                if 0 < (share(k, i) or 0) < 1:
+                    model = _fitted(one.where(F.col("inner_fold") != i), label, *choice, share(k, i))
+                    found.append(_balanced_accuracy(model.transform(one.where(F.col("inner_fold") == i)), label))
             return sum(found) / len(found) if found else 0.0
 
         best = max(grid, key=score) if len(grid) > 1 and len(inner) > 1 else grid[0]
         whole = mine.where(F.col("without") == -1)
-        scored = predicted(_fitted(whole.where(F.col("inner_fold").isNotNull()), label, *best), whole.where(F.col("fold") == k).select(id_column, label, "fold", "x"))
+        scored = predicted(_fitted(whole.where(F.col("inner_fold").isNotNull()), label, *best, share(k)), whole.where(F.col("fold") == k).select(id_column, label, "fold", "x"))
         out = scored if out is None else out.unionByName(scored)
     return out
 
