@@ -144,16 +144,21 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     return np.sort(np.unique(out ^ out >> np.uint64(32)).view(np.int64))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) have a Jaccard similarity of shingles of at least `least`; two texts without words are alike."""
+def similar(pairs: DataFrame, texts: DataFrame, size: int = 5, least: float = 0.8, used: list[str] | None = None) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) have a Jaccard similarity of shingles of at least `least`; two texts without words are alike.
+
+    used: gets the paths of tables that the result reads, to be removed when it is written.
+    """
 
     @F.pandas_udf("array<long>")
     def shingles(part: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, size) for t in part])
 
-    distinct = staged(pairs.distinct(), "near-pairs")
+    distinct, pairs_path = staged_at(pairs.distinct(), "near-pairs")
     asked = distinct.select(F.col("a").alias("node")).unionByName(distinct.select(F.col("b").alias("node"))).distinct()
-    sets = staged(texts.join(asked, "node").select("node", shingles("text").alias("s")), "shingle-sets")
+    sets, sets_path = staged_at(texts.join(asked, "node").select("node", shingles("text").alias("s")), "shingle-sets")
+    if used is not None:
+        used += [pairs_path, sets_path]
     left, right = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     met = distinct.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return met.where(f"i >= {least} * (size(sa) + size(sb) - i)").select("a", "b")
@@ -316,14 +321,17 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     shared = shared_prefixes(keys.select(F.col("print").alias("node"), "text"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs, "near-candidates")
+        pairs, path = staged_at(pairs, "near-candidates")
+        used = [path]
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         chosen = nodes.join(asked, "node").select("node", F.col("doc_id").alias("_id"))
         # one row of each text, by both columns, so that the copies of a text do not meet in one task
         texts = keys.join(chosen, F.expr("doc_id <=> _id AND print = node")).select("node", "text").dropDuplicates(["node"])
-        found = similar(pairs, texts, least=LEAST)
+        found = similar(pairs, texts, least=LEAST, used=used)
         roots = [nodes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
-        return staged(found.join(roots[0], "a").join(roots[1], "b").where("root_a <> root_b").select("root_a", "root_b").distinct(), "near-links")
+        links = staged(found.join(roots[0], "a").join(roots[1], "b").where("root_a <> root_b").select("root_a", "root_b").distinct(), "near-links")
+        remove(docs.sparkSession, *used)
+        return links
 
     def wholes(links: DataFrame) -> DataFrame:
         groups = connected(links).withColumnRenamed("component", "whole")
