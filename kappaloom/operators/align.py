@@ -45,19 +45,20 @@ def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done, key, "left_anti")
 
 
-def mentions(docs: DataFrame, names: DataFrame, id_column: str, text: str, name: str) -> DataFrame:
-    """(id, name): the names, of one word or more, that stand in a text with no letter, digit or underscore beside them.
+def mentions(docs: DataFrame, names: DataFrame, id_column: str, text: str, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, name, and the columns to keep): the names, of one word or more, that stand in a text with no letter, digit or underscore beside them; a row for each row of docs and name.
 
-    Texts are cut into words once and meet a name's longest word by equality; names of several words are then looked for as a whole.
+    Texts are cut into words once and meet a name's longest word by equality; names of several words are then looked for as a whole. Names are
+    written first, so that a few are broadcast, and texts need not be shuffled with every word of theirs.
     """
     cut = rf"[^{WORD}]+"
     parts = F.filter(F.split(F.col(name), cut), lambda w: w != "")
     longest = F.element_at(F.array_sort(F.transform(parts, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    keyed = names.select(F.col(name).alias("name"), longest.alias("_word"), (F.size(parts) > 1).alias("_several"))
+    keyed = staged(names.select(F.col(name).alias("name"), longest.alias("_word"), (F.size(parts) > 1).alias("_several")), "names")
     pattern = F.concat(F.lit(rf"(?<![{WORD}])\Q"), F.col("name"), F.lit(rf"\E(?![{WORD}])"))
-    whole = docs.select(F.col(id_column), F.col(text).alias("_text")).withColumn("_word", F.explode(F.array_distinct(F.split("_text", cut))))
+    whole = docs.select(F.col(id_column), *keep, F.col(text).alias("_text")).withColumn("_word", F.explode(F.array_distinct(F.split("_text", cut))))
     met = whole.join(keyed, "_word").where(~F.col("_several") | F.regexp_like("_text", pattern))
-    return met.select(id_column, "name")
+    return met.select(id_column, "name", *keep)
 
 
 def by_content(df: DataFrame, key: Column, id_column: str) -> DataFrame:

@@ -209,7 +209,7 @@ _MENTIONED = ", ".join(f"('{x}')" for x in (*NAMES, "of the", "in the", "de la")
 def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents of each language names of one word and of two stand."""
     names, docs = spark.createDataFrame([(x,) for x in (*NAMES, "of the", "in the", "de la")], "name string"), table(spark, sf_dir, "documents")
-    return align.mentions(docs, names, "doc_id", "text", "name").join(docs.select("doc_id", "lang"), "doc_id").groupBy("name", "lang").agg(F.count("*").alias("docs"))
+    return align.mentions(docs, names, "doc_id", "text", "name", ("lang",)).groupBy("name", "lang").agg(F.count("*").alias("docs"))
 
 
 @registered("quality_warnings", "WITH c AS (SELECT source, lang, count(*) AS c FROM documents GROUP BY ALL) SELECT source, sum(c)::BIGINT AS n, min(c) AS least, max(c) AS most, sum(c) >= 20 AND min(c) / max(c) < 0.67 AS warned FROM c GROUP BY source")
