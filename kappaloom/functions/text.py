@@ -26,9 +26,27 @@ _IS_SPACE = np.array([chr(i).isspace() for i in range(BEYOND_SPACE)])
 TOKENS = T.ArrayType(T.StructType([T.StructField("token_id", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())]))
 
 
+#: Code points of texts that are laid out at once, about.
+LAID_OUT = 1 << 20
+
+
 def token_lists(texts: pa.Array) -> pa.Array:
     """The tokens of a column of texts as one flat array of structs and its offsets.
 
+    Texts are taken in runs of some LAID_OUT code points, or one longer text, so that a batch of many long ones needs little memory besides its tokens.
+    """
+    upto = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    parts, at = [], 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LAID_OUT, "right")))
+        parts.append(_token_lists(texts.slice(at, end - at)))
+        at = end
+    return pa.concat_arrays(parts) if parts else _token_lists(texts)
+
+
+def _token_lists(texts: pa.Array) -> pa.Array:
+    """token_lists() of few texts.
+
     All texts are laid out as one row of code points, a space behind each. Where white space ends or begins, a token
     begins or ends; what is left without the white space is the tokens' bytes.
     """

@@ -180,7 +180,7 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("name", ["set_overlap", "name_mentions"])
+@pytest.mark.parametrize("name", ["set_overlap", "token_arrays", "name_mentions"])
 def test_odd_documents_equal_their_sql(spark, tmp_path, name):
     spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()

@@ -150,3 +150,13 @@ def test_ids_and_maps(spark):
     assert ids.agg(labels.next_id(F.col("id"), "DOC-", 4)).first()[0] == "DOC-12346"
     assert ids.limit(0).agg(labels.next_id(F.col("id"), "DOC-", 4)).first()[0] == "DOC-0001"
     assert spark.range(1).select(labels.probability_map(F.array(*map(F.lit, (0.2, 0.3, 0.5)))).alias("m")).first().m == {"entailment": 0.2, "contradiction": 0.3, "neutral": 0.5}
+
+
+def test_tokens_do_not_depend_on_what_is_laid_out_at_once(monkeypatch):
+    texts = pa.array(["a b", None, "", " ", "éé  ü\n", "x" * 40 + " y", "z"])
+    whole = text.token_lists(texts)
+    laid, inner = [], text._token_lists
+    monkeypatch.setattr(text, "_token_lists", lambda part: laid.append(len(part)) or inner(part))
+    monkeypatch.setattr(text, "LAID_OUT", 6)
+    assert text.token_lists(texts).to_pylist() == whole.to_pylist() and laid == [4, 1, 1, 1]
+    assert [len(t) for t in whole.to_pylist()] == [2, 0, 0, 0, 2, 2, 1] and text.token_lists(texts.slice(0, 0)).to_pylist() == []
