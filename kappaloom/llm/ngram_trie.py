@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import Trie
-from .shared import fresh_path, opened, release, remove, staged_at
+from .shared import forget, fresh_path, opened, release, remove, staged_at
 
 #: Words of an n-gram; tokens of a block and n-grams of a shard, about; training occurrences from which a context is dealt by the last words too.
 ORDER, BLOCK_TOKENS, SHARD_ROWS, HOT = 2, 1 << 20, 1 << 21, 1 << 17
@@ -390,6 +390,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, id_column: str = "doc_id",
     model = {"lead": lead, "word_shards": shards, "shards": shards, "hot": hot, "total": found[0] or 0, "known": found[1] or 0}
     answers = [Answers(counted.where("block IS NOT NULL").select("block", "shard", "payload"), n_blocks, "word-answers")]
     remove(spark, counted_path)
+    forget(spark)
     tries = fresh_path(spark, "tries")
     for k in range(2, order + 1):
         views = _views(model, list(answers))
@@ -408,6 +409,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, id_column: str = "doc_id",
 
         asked = blocks.select("block", "crcs", "tokens", "pieces").mapInArrow(ask, "shard long, block long, payload binary")
         answers.append(Answers(asked.groupBy("shard").applyInArrow(learn, "block long, shard long, payload binary"), n_blocks, "answers"))
+        del asked
+        forget(spark)
     views = _views(model, list(answers))
     names = ["at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 

@@ -130,3 +130,13 @@ def test_no_rows_and_no_training_text(spark):
     assert nt.score_texts(frame([])).collect() == []
     out = next(i for i in range(100) if held(i))
     assert [tuple(r) for r in nt.score_texts(frame([(out, "some words")])).collect()] == [(out, True, 3, 0, 0, 0.0, 0.0)]
+
+
+def test_query_scores_by_trigrams(spark, tmp_path):
+    from kappaloom.llm.queries import op12_trie
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(12)))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in op12_trie(spark, str(tmp_path)).collect()), key=repr)
+    assert found == brute(rows, 3)[0] != brute(rows, 2)[0]
