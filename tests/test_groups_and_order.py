@@ -392,3 +392,16 @@ def test_mentions_of_names(spark):
     docs = spark.createDataFrame([(1, "Ann of the hill"), (2, "Anna, of  the"), (3, "(Ann)"), (4, None), (5, "of the_hill"), (6, "xAnn of the.")], "id long, t string")
     names = spark.createDataFrame([("Ann",), ("of the",)], "name string")
     assert sorted(map(tuple, align.mentions(docs, names, "id", "t", "name").collect())) == [(1, "Ann"), (1, "of the"), (3, "Ann"), (6, "of the")]
+
+
+def test_vocabulary_leaves_no_table_of_all_grams(spark):
+    import os
+
+    from kappaloom.sources.shared import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    texts = spark.createDataFrame([(1, "one two"), (2, "two one"), (3, "three")], "id long, t string")
+    places = lexical.vocabulary(texts, "id", F.col("t"))
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"terms"}
+    assert {r.term: round(r.idf, 9) for r in places.collect()}["w one"] == round(math.log(4 / 3) + 1, 9)
