@@ -94,6 +94,8 @@ def links(prints: DataFrame, hot: int = 1024) -> DataFrame:
             )
         ).alias("key"),
     )
+    # Spark takes a generated side for as small as the table it comes from, and would send all of it through the driver
+    balls = balls.hint("merge")
     near = "bit_count(fp ^ other) <= 3 AND (fp < other OR (shiftrightunsigned(fp, 32 * half) & 4294967295) <> (shiftrightunsigned(other, 32 * half) & 4294967295))"
     as_pair = (F.col("fp").alias("a"), F.col("other").alias("b"))
     if not crowded:
@@ -106,7 +108,7 @@ def links(prints: DataFrame, hot: int = 1024) -> DataFrame:
     left = thick.selectExpr("fp", "half", "key", fine).selectExpr("*", value.format("fp"))
     probes = balls.join(hot_keys, ["half", "key"], "left_semi")
     right = probes.selectExpr("other", "half", "key", fine).selectExpr("*", value.format("other"))
-    return pairs.unionByName(left.join(right, ["half", "key", "byte", "value"]).where(near).select(*as_pair).distinct())
+    return pairs.unionByName(left.join(right.hint("merge"), ["half", "key", "byte", "value"]).where(near).select(*as_pair).distinct())
 
 
 def _named(docs: DataFrame, id_column: str, text_column: str, size: int, hot: int) -> DataFrame:

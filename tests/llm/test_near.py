@@ -183,3 +183,23 @@ def test_links_of_later_members_join_a_group(spark):
     assert joined_by_similarity(rows) == {0} and joined_by_similarity([rows[0], rows[-1]]) == {0, 50}
     kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame([(*r, "x", "y") for r in rows], DOCS)).collect()}
     assert kept == {0}
+
+
+@pytest.mark.parametrize(("hot", "merges"), [(1024, 1), (0, 2)])
+def test_generated_sides_are_not_broadcast(spark, hot, merges):
+    from kappaloom.sources.shared import staged
+
+    prints = staged(spark.range(1000).selectExpr("xxhash64(id) AS fp"), "few-prints")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        plan = simhash.links(prints, hot)._jdf.queryExecution().executedPlan().toString()
+        # a broadcast of what explode() makes of the prints would pass the driver
+        tops = [i for i, line in enumerate(plan.splitlines()) if "BroadcastExchange" in line]
+        lines = plan.splitlines()
+        depth = lambda line: len(re.match(r"[\s:+\-]*", line)[0])
+        below = [next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(lines[i])), len(lines)) for i in tops]
+        assert not any("Generate" in line for i, end in zip(tops, below, strict=True) for line in lines[i:end])
+        assert plan.count("SortMergeJoin") >= merges
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
