@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import Trie
-from .shared import forget, fresh_path, opened, release, remove, staged_at
+from .shared import forget, fresh_path, opened, release, remove, staged_at, tidied
 
 #: Words of an n-gram; tokens of a block and n-grams of a shard, about; training occurrences from which a context is dealt by the last words too.
 ORDER, BLOCK_TOKENS, SHARD_ROWS, HOT = 2, 1 << 20, 1 << 21, 1 << 17
@@ -168,7 +168,8 @@ def _blocks(docs: DataFrame, lead: int, size: int) -> tuple[DataFrame, str]:
 
 def _scattered(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The rows of every shard, in their order."""
-    order = np.argsort(keys, kind="stable")
+    # short numbers are sorted by their digits
+    order = np.argsort(keys.astype(np.uint16) if keys.max(initial=0) < 1 << 16 else keys, kind="stable")
     bounds = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0])) if len(order) else np.zeros(0, np.int64)
     for a, b in zip(bounds, [*bounds[1:], len(order)], strict=False):
         yield int(keys[order[a]]), [c[order[a:b]] for c in columns]
@@ -179,7 +180,9 @@ class Answers:
 
     def __init__(self, rows: DataFrame, blocks: int, label: str) -> None:
         self.path, self.folders = fresh_path(rows.sparkSession, label), blocks // FOLD * 2 + 1
-        rows.withColumn("folder", F.pmod("block", F.lit(self.folders))).repartition("block").sortWithinPartitions("folder", "block").write.partitionBy("folder").option("parquet.block.size", 8 << 20).parquet(self.path)
+        dealt = rows.withColumn("folder", F.pmod("block", F.lit(self.folders))).repartition("block").sortWithinPartitions("folder", "block")
+        with tidied(rows.sparkSession):
+            dealt.write.partitionBy("folder").option("parquet.block.size", 8 << 20).parquet(self.path)
 
     def of(self, block: int) -> dict[int, bytes]:
         system, path = opened(f"{self.path}/folder={block % self.folders}")
@@ -255,12 +258,13 @@ class View:
             keys = np.zeros(len(at), np.int64)
             for i in range(order - 1, -1, -1):
                 keys = keys << bits | self.tokens[at - i]
-            coded = pa.array(keys).dictionary_encode()
             # in the order of the keys, which keeps what is sent small
-            rank = np.empty(len(coded.dictionary), np.int64)
-            rank[np.argsort(coded.dictionary.to_numpy())] = np.arange(len(rank))
-            which, first = rank[coded.indices.to_numpy()], np.empty(len(rank), np.int64)
-            first[which] = np.arange(len(at))
+            order_ = np.argsort(keys)
+            ordered = keys[order_]
+            fresh = np.ones(len(keys), bool)
+            np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+            which, first = np.empty(len(keys), np.int64), order_[fresh]
+            which[order_] = np.cumsum(fresh) - 1
         else:
             _, first, which = np.unique(np.stack([self.tokens[at - i] for i in range(order - 1, -1, -1)]), axis=1, return_index=True, return_inverse=True)
             which = which.ravel()
@@ -363,6 +367,9 @@ def _learnt(part: pa.Table, order: int, total: int, known: int, path: str) -> pa
     place[order_] = mapped.find(grams[order_])
     codes = np.where(place >= 0, mapped.codes[np.maximum(place, 0)] if len(mapped.codes) else ABSENT, ABSENT).astype(np.int64)
     counts = np.where(place >= 0, sums[np.maximum(place, 0)] if len(sums) else 0, 0)
+    # no later task reads the file, and the disk holds those of all shards that are under way and no more
+    del mapped
+    system.delete_file(at)
     ends = np.cumsum([len(c[0]) for c in asked]).tolist()
     told = [packed(codes[a:b], counts[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
     return pa.table([pa.array(blocks), pa.array([shard] * len(blocks)), pa.array(told, pa.binary())], ["block", "shard", "payload"])
@@ -385,7 +392,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, id_column: str = "doc_id",
     blocks, blocks_path = _blocks(rows, lead, block_tokens)
     n_blocks, size = blocks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     shards = math.ceil(size / shard_rows) or 1
-    counted, counted_path = staged_at(_counted_words(blocks, shards), "word-counts")
+    with tidied(spark):
+        counted, counted_path = staged_at(_counted_words(blocks, shards), "word-counts")
     found = counted.agg(F.sum("total"), F.sum("known")).first()
     model = {"lead": lead, "word_shards": shards, "shards": shards, "hot": hot, "total": found[0] or 0, "known": found[1] or 0}
     answers = [Answers(counted.where("block IS NOT NULL").select("block", "shard", "payload"), n_blocks, "word-answers")]

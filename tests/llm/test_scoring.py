@@ -140,3 +140,25 @@ def test_query_scores_by_trigrams(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in op12_trie(spark, str(tmp_path)).collect()), key=repr)
     assert found == brute(rows, 3)[0] != brute(rows, 2)[0]
+
+
+def test_a_shard_leaves_no_file_once_it_has_answered(tmp_path):
+    from kappaloom.llm.ngram_trie import _learnt, packed, unpacked
+
+    rows = [packed(np.array([1, 1, 2]), np.array([3, 4, 4]), np.array([2, 0, 1]), np.array([2, 2, 1]), np.array([2, 0, 1])), packed(np.array([1]), np.array([4]), np.array([0]), np.array([2]), np.array([0]))]
+    part = pa.table({"shard": [0, 0], "block": [7, 8], "payload": pa.array(rows, pa.binary())})
+    told = _learnt(part, 2, 9, 5, f"file://{tmp_path}/tries")
+    assert told.column("block").to_pylist() == [7, 8]
+    assert [unpacked(x)[1].tolist() for x in told.column("payload").to_pylist()] == [[2, 0, 1], [0]]
+    assert list((tmp_path / "tries").iterdir()) == []
+
+
+def test_shuffle_files_are_given_up_inside_and_the_setting_comes_back(spark):
+    from kappaloom.llm.shared import tidied
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with pytest.raises(ZeroDivisionError), tidied(spark):
+        assert spark.conf.get(key) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(key, None) == before
