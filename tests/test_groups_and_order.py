@@ -405,3 +405,17 @@ def test_vocabulary_leaves_no_table_of_all_grams(spark):
     places = lexical.vocabulary(texts, "id", F.col("t"))
     assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"terms"}
     assert {r.term: round(r.idf, 9) for r in places.collect()}["w one"] == round(math.log(4 / 3) + 1, 9)
+
+
+def test_terms_of_cells_equal_those_of_texts(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 5} word{i % 3} other{i % 7} all") for i in range(40)], "id long, t string")
+    plan = spark.createDataFrame([(i, held, (i // 3) % 2) for i in range(36) for held in range(3) if i % 3 != held], "id long, held long, inner_fold long")
+    marked = docs.join(lexical.plan_cells(plan, "id", "cell"), "id", "left")
+    counts = lexical.gram_counts(marked, "id", F.col("t"), ("cell",))
+    assert counts.select("cell").distinct().count() == 7  # six kinds of texts, and those without a plan
+    limits = lexical.Limits(2, 0.9, 25)
+    plain, by_cell = (sorted(map(tuple, lexical.training_terms(counts.select("id", "term", "tf"), plan, "id", limits).collect())), sorted(map(tuple, lexical.training_terms(counts, plan, "id", limits, "cell").collect())))
+    assert plain == by_cell and len(plain) > 100
+    terms = spark.createDataFrame(plain, "held long, without long, term string, idf double")
+    one, other = ({(r.held, r.without, r.id): r.x for r in lexical.training_vectors(counts, terms, docs, "id", bounded).collect()} for bounded in (False, True))
+    assert one.keys() == other.keys() and all(one[k].toArray() == pytest.approx(other[k].toArray()) for k in one)
