@@ -17,8 +17,8 @@ import numpy as np
 
 #: Words of 64 bits in a block of the directory.
 BLOCK = 4
-#: Queries handled at once.
-AT_ONCE = 1 << 17
+#: Queries handled at once; bits of a stretch for each query in it, up to which it is unpacked.
+AT_ONCE, UNPACKED = 1 << 17, 64
 
 
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -32,6 +32,27 @@ def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     return place.astype(np.int64)
 
 
+def numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, which are not negative, in their order, and the place among them of each. Ids are marked in a table, or sorted if most of it were empty.
+
+    >>> [x.tolist() for x in numbered(np.array([[9, 2], [2, 1 << 40]]))]
+    [[2, 9, 1099511627776], [[1, 0], [0, 2]]]
+    """
+    size = int(ids.max(initial=-1)) + 1
+    if size > 16 * ids.size:
+        names, places = np.unique(ids, return_inverse=True)
+        return names, places.reshape(ids.shape)
+    marks, places = np.zeros((size + 63) // 64 * 64, bool), np.empty(ids.shape, np.int64)
+    marks[ids] = True
+    words = np.packbits(marks, bitorder="little").view("<u8")
+    counts = np.bitwise_count(words)
+    before = np.cumsum(counts, dtype=np.int64) - counts
+    for some, out in zip(np.atleast_2d(ids), np.atleast_2d(places), strict=True):
+        word = some >> 6
+        out[:] = before[word] + np.bitwise_count(words[word] & ((np.uint64(1) << (some & 63).astype(np.uint64)) - np.uint64(1)))
+    return np.flatnonzero(marks), places
+
+
 class EliasFano:
     """A sequence that never falls.
 
@@ -53,15 +74,18 @@ class EliasFano:
         low = np.zeros(n * width // 64 + 2, np.uint64)
         if width:
             bits = np.arange(n, dtype=np.uint64) * np.uint64(width)
-            rest, word, shift = values & np.uint64((1 << width) - 1), (bits >> np.uint64(6)).astype(np.int64), bits & np.uint64(63)
-            np.bitwise_or.at(low, word, rest << shift)
-            over = shift + np.uint64(width) > 64
-            np.bitwise_or.at(low, word[over] + 1, rest[over] >> (np.uint64(64) - shift[over]))
+            rest, shift = values & np.uint64((1 << width) - 1), bits & np.uint64(63)
+            # some number begins in every word up to the last one's, and one at most goes on from a word to the next
+            words = (n - 1) * width // 64 + 1
+            low[:words] = np.bitwise_or.reduceat(rest << shift, -(np.arange(words) * -64 // width))
+            over = np.flatnonzero(shift + np.uint64(width) > 64)
+            low[(over * width >> 6) + 1] |= rest[over] >> (np.uint64(64) - shift[over])
         places = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         top = most >> width
         blocks = (n + top + 65) // (64 * BLOCK) + 1  # a word of zeros at the end
-        high = np.zeros(blocks * BLOCK, np.uint64)
-        np.bitwise_or.at(high, places >> 6, np.uint64(1) << (places & 63).astype(np.uint64))
+        marks = np.zeros(blocks * BLOCK * 64, bool)
+        marks[places] = True
+        high = np.packbits(marks, bitorder="little").view("<u8")
         counts = np.bitwise_count(high).reshape(blocks, BLOCK).sum(axis=1, dtype=np.int64)
         return cls(np.array([n, width, top], np.int64), low, high, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))
 
@@ -71,6 +95,13 @@ class EliasFano:
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """The place of the k-th one or zero in the high bits."""
         ahead = self.ones if one else np.arange(len(self.ones), dtype=np.int64) * (64 * BLOCK) - self.ones
+        if len(k):
+            # a stretch of which much is asked is unpacked as a whole
+            first, last = np.searchsorted(ahead, [k.min(), k.max()], side="right").tolist()
+            if (last - first + 1) * 64 * BLOCK <= UNPACKED * len(k):
+                words = np.asarray(self.high[(first - 1) * BLOCK : last * BLOCK])
+                places = np.flatnonzero(np.unpackbits((words if one else ~words).view(np.uint8), bitorder="little").view(bool))
+                return places[k - ahead[first - 1]] + (first - 1) * (64 * BLOCK)
         block = np.searchsorted(ahead, k, side="right") - 1
         words = np.asarray(self.high).reshape(-1, BLOCK)[block]
         if not one:
@@ -144,15 +175,14 @@ class Trie:
     @classmethod
     def of(cls, grams: np.ndarray, codes: np.ndarray) -> Trie:
         """grams (rows, length): in lexicographic order, none twice, of ids that are not negative."""
-        names = np.unique(grams)
-        local = np.searchsorted(names, grams).astype(np.int64)
+        names, local = numbered(grams.T)
         fresh, parent, levels = np.zeros(len(grams), bool), np.zeros(len(grams), np.int64), []
         for j in range(grams.shape[1]):
             if len(grams):
                 fresh[0] = True
-                fresh[1:] |= local[1:, j] != local[:-1, j]
+                fresh[1:] |= local[j, 1:] != local[j, :-1]
             rows = np.flatnonzero(fresh)
-            of, ids = parent[rows], local[rows, j]
+            of, ids = parent[rows], local[j, rows]
             begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(rows) else np.zeros(0, np.int64)
             ends = np.concatenate([begins[1:], [len(rows)]]) if len(rows) else begins
             base = np.concatenate([[0], np.cumsum(ids[ends - 1] + 1)[:-1]]) if len(rows) else begins
@@ -163,11 +193,17 @@ class Trie:
     def find(self, grams: np.ndarray) -> np.ndarray:
         """The places of n-grams in the last level, -1 where there is none. N-grams that follow one another with the same first words are looked up for these words once."""
         out = np.full(len(grams), -1, np.int64)
-        for at in range(0, len(grams) if len(self.codes) else 0, AT_ONCE):
-            some = grams[at : at + AT_ONCE]
-            fresh, node = np.arange(len(some)) == 0, np.zeros(len(some), np.int64)
-            for j, (pointers, values) in enumerate(self.levels):
-                fresh[1:] |= some[1:, j] != some[:-1, j]
+        if not len(self.codes):
+            return out
+        ids, which = numbered(grams.T)
+        local, known = self.words.seek(ids, np.zeros(len(ids), np.int64), np.full(len(ids), self.words.n))
+        local[~known] = -1
+        for at in range(0, len(grams), AT_ONCE):
+            some = local[which[:, at : at + AT_ONCE]]
+            new = np.diff(which[:, at : at + AT_ONCE], prepend=-1) != 0
+            fresh, node = new[0], np.zeros(some.shape[1], np.int64)
+            for (pointers, values), own, changed in zip(self.levels, some, new, strict=True):
+                fresh = fresh | changed
                 heads = np.flatnonzero(fresh)
                 above, begins = node[heads], np.flatnonzero(np.diff(node[heads], prepend=-2))
                 # of each run of heads below one node: where its children stand
@@ -178,14 +214,14 @@ class Trie:
                 start[there], stop[there] = pointers.at(parents[there]), pointers.at(parents[there] + 1)
                 inner = there[start[there] > 0]
                 base[inner] = values.at(start[inner] - 1) + 1
-                ids, which = np.unique(some[heads, j], return_inverse=True)
-                local, known = self.words.seek(ids, np.zeros(len(ids), np.int64), np.full(len(ids), self.words.n))
+                word = own[heads]
                 place = np.full(len(heads), -1, np.int64)
-                asked = np.flatnonzero(known[which] & (above >= 0))
-                found, same = values.seek(base[run[asked]] + local[which[asked]], start[run[asked]], stop[run[asked]])
+                asked = np.flatnonzero((word >= 0) & (above >= 0))
+                below = run[asked]
+                found, same = values.seek(base[below] + word[asked], start[below], stop[below])
                 place[asked[same]] = found[same]
                 node = place[np.cumsum(fresh) - 1]
-            out[at : at + len(some)] = node
+            out[at : at + len(node)] = node
         return out
 
     def to_bytes(self) -> bytes:

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .elias_fano import Trie
+from .elias_fano import Trie, numbered
 from .shared import forget, fresh_path, opened, release, remove, staged_at, tidied
 
 #: Words of an n-gram; tokens of a block and n-grams of a shard, about; training occurrences from which a context is dealt by the last words too.
@@ -125,7 +125,7 @@ class Blocks:
             pieces.append({"at": row, "doc_id": doc_id, "held": held, "n": len(words) - before + last})
             learnt += [np.zeros(begins + before, bool), np.full(pieces[-1]["n"], not held)]
         flat = np.concatenate(tokens)
-        crcs = np.fromiter(map(zlib.crc32, (b" ", *coded.dictionary.cast(pa.binary()).to_pylist())), np.int64, len(coded.dictionary) + 1)
+        crcs = np.fromiter(map(zlib.crc32, (b" ", *coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False))), np.int64, len(coded.dictionary) + 1)
         uses = np.bincount(flat[np.concatenate(learnt)], minlength=len(coded.dictionary) + 2)
         out = {"words": coded.dictionary, "crcs": packed(crcs), "uses": packed(uses[1:]), "tokens": packed(flat), "pieces": pieces, "size": self.held}
         self._fresh()
@@ -186,9 +186,16 @@ class Answers:
 
     def of(self, block: int) -> dict[int, bytes]:
         system, path = opened(f"{self.path}/folder={block % self.folders}")
-        found = [f.path for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
-        tables = [pq.read_table(f, columns=["shard", "payload"], filters=[("block", "=", block)], filesystem=system, partitioning=None) for f in sorted(found)]
-        return {s: p for t in tables for s, p in zip(t.column("shard").to_pylist(), t.column("payload").to_pylist(), strict=True)}
+        told: dict[int, bytes] = {}
+        for name in sorted(f.path for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")):
+            # most files hold other blocks, which their footers tell
+            with pq.ParquetFile(name, filesystem=system) as file:
+                spans = [(i, file.metadata.row_group(i).column(file.schema_arrow.get_field_index("block")).statistics) for i in range(file.num_row_groups)]
+                if groups := [i for i, s in spans if s is None or not s.has_min_max or s.min <= block <= s.max]:
+                    rows = file.read_row_groups(groups, ["block", "shard", "payload"], use_threads=False)
+                    rows = rows.filter(pc.equal(rows.column("block"), block))
+                    told |= zip(rows.column("shard").to_pylist(), rows.column("payload").to_pylist(), strict=True)
+        return told
 
 
 def _counted_words(blocks: DataFrame, shards: int) -> DataFrame:
@@ -245,6 +252,8 @@ class View:
         self.learnt = self.scored & ~np.repeat(np.array([p["held"] for p in pieces], bool), sizes)
         self.lead, self.starts = lead, starts
         self.uses = counts[self.tokens]
+        # each token's word, 0 before a text, and a number of the n-gram of the last round's order that ends at it
+        self.words, self.ranks = self.ids[self.tokens] + 1, self.tokens
         self.base = np.log10((self.uses + 1) / (total + known + 1))
         # after a round of an order: the n-grams' counts and codes, and scores, of each token
         self.counts, self.codes, self.scores = np.where(self.tokens == BEGIN, self.trained, self.uses), self.uses, self.base
@@ -253,43 +262,40 @@ class View:
         """Of the distinct n-grams whose context was trained: a token where each stands, which n-gram every such token has, the tokens, and the contexts' counts."""
         context = np.concatenate([[0], self.counts[:-1]])
         at = np.flatnonzero((self.inside >= order - 1) & (self.tokens != BEGIN) & (context > 0))
-        bits = max(1, int(self.tokens.max(initial=0)).bit_length())
-        if bits * order <= 63:
-            keys = np.zeros(len(at), np.int64)
-            for i in range(order - 1, -1, -1):
-                keys = keys << bits | self.tokens[at - i]
-            # in the order of the keys, which keeps what is sent small
-            order_ = np.argsort(keys)
-            ordered = keys[order_]
-            fresh = np.ones(len(keys), bool)
-            np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
-            which, first = np.empty(len(keys), np.int64), order_[fresh]
-            which[order_] = np.cumsum(fresh) - 1
+        # an n-gram is its context's number and its last token; in the order of these keys, which keeps what is sent small
+        bits, room = max(1, int(self.tokens.max(initial=0)).bit_length()), len(at).bit_length()
+        keys = self.ranks[at - 1] << bits | self.tokens[at]
+        if int(keys.max(initial=0)).bit_length() + room <= 63:
+            # sorted with their places, which is faster than to sort the places
+            keys = np.sort(keys << room | np.arange(len(keys)))
+            order_ = keys & ((1 << room) - 1)
+            keys >>= room
         else:
-            _, first, which = np.unique(np.stack([self.tokens[at - i] for i in range(order - 1, -1, -1)]), axis=1, return_index=True, return_inverse=True)
-            which = which.ravel()
+            order_ = np.argsort(keys)
+            keys = keys[order_]
+        fresh = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
+        which, first = np.empty(len(keys), np.int64), order_[fresh]
+        which[order_] = np.cumsum(fresh) - 1
         return at[first], which, at, context
 
-    def grams(self, first: np.ndarray, order: int) -> np.ndarray:
-        """The ids of n-grams that end at tokens: the context's from the nearest word on, then the last word's."""
-        return np.stack([self.ids[self.tokens[first - i]] for i in [*range(1, order), 0]], axis=1) + 1
+    def grams(self, first: np.ndarray, order: int) -> list[np.ndarray]:
+        """The ids of n-grams that end at tokens, word by word: the context's from the nearest word on, then the last word's."""
+        return [self.words[first - i] for i in [*range(1, order), 0]]
 
     def questions(self, order: int, shards: int) -> Iterator[tuple[int, bytes]]:
         """For every shard its n-grams in the order of their ids, how often they are trained, their contexts' counts, and what is known of their last part."""
         first, which, at, context = self.asked(order)
         grams = self.grams(first, order)
         n = np.bincount(which[self.learnt[at]], minlength=len(first))
-        for s, (rows, *columns) in _scattered(self.dealt(grams, context[first], shards), grams, n, context[first], np.where(n > 0, self.codes[first], 0)):
-            yield s, packed(*rows.T, *columns)
+        for s, columns in _scattered(self.dealt(grams, context[first], shards), *grams, n, context[first], np.where(n > 0, self.codes[first], 0)):
+            yield s, packed(*columns)
 
-    def dealt(self, grams: np.ndarray, context: np.ndarray, shards: int) -> np.ndarray:
+    def dealt(self, grams: list[np.ndarray], context: np.ndarray, shards: int) -> np.ndarray:
         """The shard of each n-gram: by its context, and by the last word too where the context is hot."""
-        mixed = np.zeros(len(grams), np.uint64)
-        for i in range(grams.shape[1]):
-            part = grams[:, i].astype(np.uint64)
-            if i == grams.shape[1] - 1:
-                part = np.where(context > self.hot, part, np.uint64(0))
-            mixed = (mixed + part) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = np.zeros(len(context), np.uint64)
+        for part in [*grams[:-1], np.where(context > self.hot, grams[-1], 0)]:
+            mixed = (mixed + part.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
         return (mixed % np.uint64(shards)).astype(np.int64)
 
@@ -300,12 +306,13 @@ class View:
         for s, (rows,) in _scattered(self.dealt(self.grams(first, order), context[first], shards), np.arange(len(first))):
             codes[rows], counts[rows] = unpacked(told[s])
         scores, after = self.scores.copy(), np.where(self.tokens == BEGIN, self.trained, 0)
-        found = codes[which] != ABSENT
-        scores[at] = np.where(found, -codes[which] / STEPS, self.scores[at] + np.log10(prior(order) / (context[at] + prior(order))))
-        after[at] = counts[which]
-        kept = np.full(len(self.tokens), ABSENT)
-        kept[at] = codes[which]
-        self.scores, self.counts, self.codes = scores, after, kept
+        own = codes[which]
+        kept, ranks = np.full(len(self.tokens), ABSENT), np.zeros(len(self.tokens), np.int64)
+        kept[at], ranks[at], after[at] = own, which + 1, counts[which]
+        scores[at] = -own / STEPS
+        lost = at[own == ABSENT]
+        scores[lost] = self.scores[lost] + np.log10(prior(order) / (context[lost] + prior(order)))
+        self.scores, self.counts, self.codes, self.ranks = scores, after, kept, ranks
 
     def sums(self) -> list[np.ndarray]:
         """Of every piece: its tokens, those known, and the base and model's scores."""
@@ -327,31 +334,46 @@ def _views(model: dict, answers: list[Answers]) -> Callable[[pa.RecordBatch], It
     return read
 
 
-def _sorted(grams: np.ndarray) -> np.ndarray:
-    """The order of n-grams by their words, by one key where it has room for all."""
-    bits = max(1, int(grams.max(initial=0)).bit_length())
-    if bits * grams.shape[1] > 63:
-        return np.lexsort(grams.T[::-1])
-    key = np.zeros(len(grams), np.int64)
-    for column in grams.T:
-        key = key << bits | column
-    return np.argsort(key)
+def _sorted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams (words, rows) by their words, and in this order where another n-gram begins.
+
+    >>> [x.tolist() for x in _sorted(np.array([[1 << 40, 3, 1 << 40], [1 << 40, 1 << 40, 1 << 40]]))]
+    [[1, 0, 2], [True, True, False]]
+    """
+    key, used = np.zeros(grams.shape[1], np.int64), 0
+    for column in numbered(grams)[1]:
+        bits = int(column.max(initial=0)).bit_length()
+        if used + bits > 63:
+            # no room for all words in a key: the first ones' are numbered anew
+            key = np.unique(key, return_inverse=True)[1]
+            used = int(key.max(initial=0)).bit_length()
+        key, used = key << bits | column, used + bits
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return order, new
 
 
 def _learnt(part: pa.Table, order: int, total: int, known: int, path: str) -> pa.Table:
     """One shard: adds the counts up, writes the trie of smoothed probabilities, and answers the blocks by lookups in its file."""
     shard, blocks = part.column("shard")[0].as_py(), part.column("block").to_pylist()
     asked = [unpacked(x) for x in part.column("payload").to_pylist()]
-    grams = np.concatenate([np.stack(c[:order], axis=1) for c in asked])
+    grams = np.stack([np.concatenate([c[i] for c in asked]) for i in range(order)])
     n, context, lower = (np.concatenate([c[order + i] for c in asked]) for i in range(3))
-    order_ = _sorted(grams)
-    rows = order_[n[order_] > 0]
-    new = np.concatenate([[True], (np.diff(grams[rows], axis=0) != 0).any(axis=1)])[: len(rows)]
+    ends = np.cumsum([len(c[0]) for c in asked]).tolist()
+    del asked
+    order_, new = _sorted(grams)
     firsts = np.flatnonzero(new)
-    sums = np.add.reduceat(n[rows], firsts) if len(rows) else np.zeros(0, np.int64)
-    rows = rows[firsts]
-    below = (lower[rows] + 1) / (total + known + 1) if order == 2 else 10.0 ** (-lower[rows] / STEPS)
-    trie = Trie.of(grams[rows], quantised((sums + prior(order) * below) / (context[rows] + prior(order))))
+    # of each n-gram, whichever blocks asked: those that train it know of its last part, the others say 0
+    add = lambda how, x: how.reduceat(x[order_], firsts) if len(firsts) else np.zeros(0, np.int64)
+    sums, lower = add(np.add, n), add(np.maximum, lower)
+    grams, context = np.ascontiguousarray(grams[:, order_[firsts]]).T, context[order_[firsts]]
+    learnt = np.flatnonzero(sums)
+    known_ = lower[learnt]
+    below = (known_ + 1) / (total + known + 1) if order == 2 else 10.0 ** (-known_ / STEPS)
+    trie = Trie.of(grams[learnt], quantised((sums[learnt] + prior(order) * below) / (context[learnt] + prior(order))))
+    sums = sums[learnt]
     del n, context, lower
     system, folder = opened(path)
     system.create_dir(folder, recursive=True)
@@ -363,14 +385,15 @@ def _learnt(part: pa.Table, order: int, total: int, known: int, path: str) -> pa
     else:
         with system.open_input_file(at) as f:
             mapped = Trie.from_buffer(np.frombuffer(f.read(), np.uint8))
-    place = np.empty(len(grams), np.int64)
-    place[order_] = mapped.find(grams[order_])
-    codes = np.where(place >= 0, mapped.codes[np.maximum(place, 0)] if len(mapped.codes) else ABSENT, ABSENT).astype(np.int64)
-    counts = np.where(place >= 0, sums[np.maximum(place, 0)] if len(sums) else 0, 0)
+    place = mapped.find(grams)
+    there, which = place >= 0, np.cumsum(new) - 1
+    own, often = np.full(len(place), ABSENT), np.zeros(len(place), np.int64)
+    own[there], often[there] = mapped.codes[place[there]], sums[place[there]]
+    codes, counts = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
+    codes[order_], counts[order_] = own[which], often[which]
     # no later task reads the file, and the disk holds those of all shards that are under way and no more
     del mapped
     system.delete_file(at)
-    ends = np.cumsum([len(c[0]) for c in asked]).tolist()
     told = [packed(codes[a:b], counts[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
     return pa.table([pa.array(blocks), pa.array([shard] * len(blocks)), pa.array(told, pa.binary())], ["block", "shard", "payload"])
 

@@ -153,6 +153,48 @@ def test_a_shard_leaves_no_file_once_it_has_answered(tmp_path):
     assert list((tmp_path / "tries").iterdir()) == []
 
 
+@pytest.mark.parametrize("word", [5, 1 << 22, 1 << 40])
+def test_a_shard_looks_up_an_n_gram_once_whoever_asks(tmp_path, monkeypatch, word):
+    asked, find = [], Trie.find
+    monkeypatch.setattr(Trie, "find", lambda self, grams: asked.append(grams.tolist()) or find(self, grams))
+    # the words from the nearest on, then the last, by columns; trained here; the context's count; what is known of the last part
+    first = nt.packed(*np.array([[word, 2, word], [3, 3, word], [4, word, 1]]), np.array([2, 0, 0]), np.array([3, 3, 7]), np.array([16, 0, 0]))
+    second = nt.packed(*np.array([[word, word, 2], [word, 3, 3], [1, 4, word]]), np.array([3, 0, 0]), np.array([7, 3, 3]), np.array([32, 0, 0]))
+    part = pa.table({"shard": [0] * 3, "block": [7, 8, 9], "payload": pa.array([first, second, first], pa.binary())})
+    told = [[x.tolist() for x in nt.unpacked(p)] for p in nt._learnt(part, 3, 9, 5, f"file://{tmp_path}/tries").column("payload").to_pylist()]
+    assert [sorted(x) for x in asked] == [sorted([[word, 3, 4], [2, 3, word], [word, word, 1]])]
+    code = lambda n, c, lower: int(nt.quantised(np.array([(n + nt.prior(3) * 10 ** (-lower / nt.STEPS)) / (c + nt.prior(3))]))[0])
+    one, other, absent = (code(4, 3, 16), 4), (code(3, 7, 32), 3), (nt.ABSENT, 0)
+    assert [list(zip(*t, strict=True)) for t in told] == [[one, absent, other], [other, one, absent], [one, absent, other]]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 9), st.integers(0, 200), st.integers(0, 1 << 45)), min_size=3, max_size=3), max_size=30))
+def test_numbers_and_order_of_ids(rows):
+    from kappaloom.llm.elias_fano import numbered
+
+    grams = np.array(rows, np.int64).reshape(-1, 3).T
+    names, places = numbered(grams)
+    assert names.tolist() == sorted({x for r in rows for x in r}) and names[places].tolist() == grams.tolist()
+    order, new = nt._sorted(grams)
+    ordered = [rows[i] for i in order]
+    assert sorted(order.tolist()) == list(range(len(rows))) and ordered == sorted(rows)
+    assert new.tolist() == [not i or r != ordered[i - 1] for i, r in enumerate(ordered)]
+
+
+@pytest.mark.parametrize("unpacked", [0, 1 << 40])
+@pytest.mark.parametrize("most", [1 << 12, 1 << 20, 1 << 45])
+def test_numbers_are_found_with_stretches_unpacked_and_without(monkeypatch, unpacked, most):
+    monkeypatch.setattr("kappaloom.llm.elias_fano.UNPACKED", unpacked)
+    rng = np.random.default_rng(3)
+    values = np.sort(rng.integers(0, most, 3000))
+    s = EliasFano.of(values)
+    for places in (rng.integers(0, 3000, 500), np.array([2999]), np.arange(1200, 1300), np.zeros(0, np.int64)):
+        assert s.at(places).tolist() == values[places].tolist()
+    x = np.concatenate([values[::7], values[::7] + 1, [0, most + 5]])
+    assert s.successor(x, np.zeros(len(x), np.int64), np.full(len(x), 3000)).tolist() == np.searchsorted(values, x).tolist()
+
+
 def test_shuffle_files_are_given_up_inside_and_the_setting_comes_back(spark):
     from kappaloom.llm.shared import tidied
 
