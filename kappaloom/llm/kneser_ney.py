@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh_path, opened, release, remove, staged, staged_at
+from .shared import forget, fresh_path, opened, release, remove, staged, staged_at
 
 #: Symbols of an n-gram: as many as a key has room for.
 ORDER = 4
@@ -280,26 +280,29 @@ def surprisals(rows: DataFrame, answers: Beside, text_column: str, carry: bool)
     return rows.mapInArrow(score, schema)
 
 
-def _quantiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
+def _quantiles(values: DataFrame, shares: dict[str, float], of: dict[str, str] | None = None) -> DataFrame:
     """(tongue, one column for each share, in thousandths) of values (lang, x): nearest ranks among a language's own, and POOLED of all languages as a weight.
 
+    of: by column, the condition on the values that count for it, all by default. A language without such values gets what all have; where nobody has such values, there is no quantile.
     The tongue '' stands for the null language and any without values: these have all languages' alone. All weights are whole numbers: own counts times
     the number of all, and POOLED times the counts of all.
     """
-    counts = values.groupBy(F.coalesce("lang", F.lit("")).alias("tongue"), "x").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    counts = values.groupBy(F.coalesce("lang", F.lit("")).alias("tongue"), "x").agg(*[F.count_if(F.expr((of or {}).get(c, "true"))).cast("decimal(38,0)").alias(f"n_{c}") for c in shares])
     every = staged(counts, "values")  # on a grid: bounded for each language
-    pooled = every.groupBy("x").agg(F.sum("n").alias("k")).agg(F.sum("k").alias("all"), F.collect_list(F.struct("x", "k")).alias("points"))
-    tongues = every.where("tongue <> ''").groupBy("tongue").agg(F.collect_list(F.struct("x", "n")).alias("own"))
-    tongues = tongues.unionByName(pooled.where("`all` > 0").select(F.lit("").alias("tongue"), F.expr("CAST(array() AS array<struct<x:bigint,n:decimal(38,0)>>)").alias("own"))).join(F.broadcast(pooled))  # one row
-    weights = f"explode(concat(transform(own, p -> (p.x AS x, CAST(p.n * `all` AS decimal(38,0)) AS w)), transform(points, p -> (p.x AS x, CAST(p.k * {POOLED} AS decimal(38,0)) AS w)))) AS p"
-    weighted = tongues.selectExpr("tongue", weights).select("tongue", "p.*")
-    ranked = weighted.groupBy("tongue", "x").agg(F.sum("w").alias("w")).selectExpr("tongue", "x", "sum(w) OVER (PARTITION BY tongue ORDER BY x) AS upto", "sum(w) OVER (PARTITION BY tongue) AS total")
-    return ranked.groupBy("tongue").agg(*[F.min(F.expr(f"CASE WHEN upto >= {share!r}BD * total THEN x END")).alias(name) for name, share in shares.items()])
+    point = F.struct("x", *[f"n_{c}" for c in shares])
+    pooled = every.groupBy("x").agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in shares]).agg(*[F.sum(f"n_{c}").alias(f"all_{c}") for c in shares], F.collect_list(point).alias("points"))
+    tongues = every.where("tongue <> ''").groupBy("tongue").agg(F.collect_list(point).alias("own"))
+    tongues = tongues.unionByName(pooled.select(F.lit("").alias("tongue"), F.expr("filter(points, p -> false)").alias("own"))).join(F.broadcast(pooled))  # one row
+    weight = lambda by: ", ".join(f"CAST(p.n_{c} * {by.format(c)} AS decimal(38,0)) AS {c}" for c in shares)
+    weights = f"explode(concat(transform(own, p -> (p.x AS x, {weight('all_{}')})), transform(points, p -> (p.x AS x, {weight(str(POOLED))})))) AS p"
+    weighted = tongues.selectExpr("tongue", weights).select("tongue", "p.*").groupBy("tongue", "x").agg(*[F.sum(c).alias(c) for c in shares])
+    ranked = weighted.selectExpr("tongue", "x", *[f"sum({c}) OVER (PARTITION BY tongue ORDER BY x) AS upto_{c}" for c in shares], *[f"sum({c}) OVER (PARTITION BY tongue) AS total_{c}" for c in shares])
+    least = [F.min(F.expr(f"CASE WHEN total_{c} > 0 AND upto_{c} >= {share!r}BD * total_{c} THEN x END")).alias(c) for c, share in shares.items()]
+    return staged(ranked.groupBy("tongue").agg(*least), "by-language")  # a row a language: its size is known once it is written
 
 
 def _with(rows: DataFrame, table: DataFrame, *names: str) -> DataFrame:
     """rows with the columns of their language in table (tongue, names), or of the tongue '' where it has none."""
-    table = staged(table, "by-language")  # a row a language: its size is known once it is written
     own = table.where("tongue <> ''")
     rest = table.where("tongue = ''").select(F.lit(True).alias("_other"), *[F.col(x).alias(f"_{x}") for x in names])
     joined = rows.withColumn("tongue", F.coalesce("lang", F.lit(""))).join(own, "tongue", "left")
@@ -311,19 +314,21 @@ def _judged(docs: DataFrame, labels: DataFrame, columns: list[str], carry: bool,
     rows, rows_path = written(docs, columns, id_column, text_column, lang_column)
     trusted = roles(rows, labels)
     grams, grams_path = gathered(rows, Beside(trusted.where("NOT held").select("block", "at"), "training"), text_column)
+    forget(docs.sparkSession)  # here and below: the plans of a part that is done are many, and the next ones would come on top of them in the driver
     model = Model(grams.where("n > 0").groupBy("g").agg(F.sum("n").alias("n")))
+    forget(docs.sparkSession)
     answers = model.answer(grams.select("g").distinct())
     beside = Beside(grams.select("block", "g").join(answers.hint("merge"), "g"), "answers")
     scored = staged(surprisals(rows, beside, text_column, carry), "surprisals")
     remove(docs.sparkSession, rows_path, grams_path, beside.path)  # nothing reads them any more
+    forget(docs.sparkSession)
     known = scored.select("at", "lang", "nll", "n_chars").where("n_chars > 0").join(trusted.select("at", "held"), "at")
     grid = "CAST(round(1000 * {}) AS bigint) AS x"
     middle = _quantiles(known.selectExpr("lang", grid.format("nll / n_chars")), {"middle": 0.5})
     level = f"(nll + {PRIOR} * middle / 1000) / (n_chars + {PRIOR})"
     scored = _with(scored, middle, "middle").withColumn("level", F.expr(level))
     known = staged(_with(known, middle, "middle").selectExpr("lang", "held", grid.format(level)), "levels")
-    scored = _with(scored, _quantiles(known.select("lang", "x"), {"low": BEYOND}), "low")
-    return _with(scored, _quantiles(known.where("held").select("lang", "x"), {"high": 1 - BEYOND}), "high")
+    return _with(scored, _quantiles(known, {"low": BEYOND, "high": 1 - BEYOND}, {"high": "held"}), "low", "high")
 
 
 #: A text is kept if its level, on the thresholds' grid, lies between them.

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .shared import release, remove, staged, staged_at
+from .shared import forget, release, remove, staged, staged_at
 
 #: Shingles hashed at once, so that a very long text needs little memory.
 CHUNK = 1 << 16
@@ -146,26 +146,29 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     return np.sort(np.unique(out ^ out >> np.uint64(32)).view(np.int64))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, size: int = 5, least: float = 0.8, used: list[str] | None = None) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) have a Jaccard similarity of shingles of at least `least`; two texts without words are alike.
-
-    used: gets the paths of tables that the result reads, to be removed when it is written.
-    """
+def _shingled(texts: DataFrame, size: int = 5) -> tuple[DataFrame, str]:
+    """(node, s), written: the shingle sets of texts (node, text); and where they are."""
 
     @F.pandas_udf("array<long>")
     def shingles(part: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, size) for t in part])
 
-    distinct, pairs_path = staged_at(pairs.distinct(), "near-pairs")
-    asked = distinct.select(F.col("a").alias("node")).unionByName(distinct.select(F.col("b").alias("node"))).distinct()
-    sets, sets_path = staged_at(texts.join(asked, "node").select("node", shingles("text").alias("s")), "shingle-sets")
-    if used is not None:
-        used += [pairs_path, sets_path]
+    return staged_at(texts.select("node", shingles("text").alias("s")), "shingle-sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     left, right = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    met = distinct.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    met = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return met.where(f"i >= {least} * (size(sa) + size(sb) - i)").select("a", "b")
 
 
+def similar(pairs: DataFrame, texts: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """The pairs (a, b) whose texts (node, text) have a Jaccard similarity of shingles of at least `least`; two texts without words are alike."""
+    distinct = staged(pairs.distinct(), "near-pairs")
+    asked = distinct.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return _alike(distinct, _shingled(texts.join(asked, "node"), size)[0], least)
+
+
 #: Least similarity of texts that are linked; shingles put last in the order at most; one text in so many is read for them; words of 64 bits that tell which shingles a text shares.
 LEAST, COMMON, SAMPLE, MARKS = 0.8, 1 << 16, 8, 4
 
@@ -315,24 +318,29 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     that of the least hash. Where all ids of a group are null, its first text by hash stays. Null and blank texts are one group;
     texts of any length are compared whole; other columns stay, whatever their names; an empty table gives an empty one.
     """
+    spark = docs.sparkSession
     named = staged(_named(docs, id_column, text_column, size, hot), "near-groups")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "print")).alias("f")
     first = staged(named.groupBy("root").agg(best).selectExpr("root", "f.doc_id AS doc_id", "f.print AS print"), "near-first")
     keys = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
     nodes = staged(named.groupBy("root", "print").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.col("print")), "near-nodes")
+    forget(spark)  # here and below: the plans of a part that is done are many, and the next ones would come on top of them in the driver
     shared = shared_prefixes(keys.select(F.col("print").alias("node"), "text"))
+    forget(spark)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs, path = staged_at(pairs, "near-candidates")
-        used = [path]
+        # no pair comes twice from neighbours() or across()
+        pairs, pairs_path = staged_at(pairs, "near-candidates")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         chosen = nodes.join(asked, "node").select("node", F.col("doc_id").alias("_id"))
         # one row of each text, by both columns, so that the copies of a text do not meet in one task
         texts = keys.join(chosen, F.expr("doc_id <=> _id AND print = node")).select("node", "text").dropDuplicates(["node"])
-        found = similar(pairs, texts, least=LEAST, used=used)
+        sets, sets_path = _shingled(texts)
+        found = _alike(pairs, sets, LEAST)
         roots = [nodes.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
         links = staged(found.join(roots[0], "a").join(roots[1], "b").where("root_a <> root_b").select("root_a", "root_b").distinct(), "near-links")
-        remove(docs.sparkSession, *used)
+        remove(spark, pairs_path, sets_path)
+        forget(spark)
         return links
 
     def wholes(links: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kappaloom.llm import kneser_ney, mixing
+from kappaloom.llm import kneser_ney, mixing, simhash
+from kappaloom.operators import components
+from kappaloom.sources.shared import staged_at
 
 from .test_near import joined_by_similarity
 
@@ -57,5 +59,23 @@ def test_pipeline_equals_its_parts_by_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens, list(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(expected)
 
 
+def test_small_tables_are_made_once(spark, tmp_path, monkeypatch):
+    """The driver keeps every plan's stages and tasks for a while: what is known is not computed again, and what is done is given up."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    written, given_up = [], []
+    for module in (kneser_ney, simhash, components):
+        monkeypatch.setattr(module, "staged_at", lambda df, label: written.append(label) or staged_at(df, label))
+        monkeypatch.setattr(module, "staged", lambda df, label: written.append(label) or staged_at(df, label)[0], raising=False)
+    for module in (kneser_ney, simhash):
+        monkeypatch.setattr(module, "forget", lambda s: given_up.append(len(written)), raising=False)
+    corpus_pipeline.quality(spark, docs, str(tmp_path)).count()
+    assert written.count("by-language") == 2 and given_up
+    written.clear()
+    given_up.clear()
+    corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).count()
+    assert "near-pairs" not in written and written.count("shingle-sets") == 2 and len(given_up) == 4
+
+
 def test_stages_are_named():
     assert len(corpus_pipeline.STAGES) == 4 and all(callable(f) for _, f in corpus_pipeline.STAGES)

@@ -166,6 +166,17 @@ def test_quantiles_equal_brute_force(spark):
             assert got == x
 
 
+def test_quantiles_of_some_values_equal_those_of_a_table_of_them(spark):
+    rng = random.Random(4)
+    values = [(rng.choice(["en", "en", "fr", None]), rng.randrange(100), rng.random() < 0.3) for _ in range(200)] + [("de", 50, False), ("nl", 99, None)]
+    frame = spark.createDataFrame(values, "lang string, x long, held boolean")
+    both = {r.tongue: (r.low, r.high) for r in kn._quantiles(frame, {"low": 0.2, "high": 0.7}, {"high": "held"}).collect()}
+    low = {r.tongue: r.low for r in kn._quantiles(frame, {"low": 0.2}).collect()}
+    high = {r.tongue: r.high for r in kn._quantiles(frame.where("held"), {"high": 0.7}).collect()}
+    assert set(high) == {"en", "fr", ""} and both == {t: (x, high.get(t, high[""])) for t, x in low.items()}
+    assert {r.high for r in kn._quantiles(frame.where("lang = 'de'"), {"low": 0.2, "high": 0.7}, {"high": "held"}).collect()} == {None}
+
+
 def test_without_trusted_or_documents(spark):
     rows, *_ = corpus()
     docs = frame(spark, rows[:5])

@@ -9,8 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kappaloom.operators import align, graph, lexical, order, validate
+from kappaloom.operators import align, components, graph, lexical, order, validate
 from kappaloom.operators.components import connected
+from kappaloom.sources.shared import staged_at
 
 
 def union(n, links):
@@ -39,6 +40,16 @@ def test_components_equal_union_find(spark, seed):
     assert found == {i: roots[i] for i in {x for a, b in links if a != b for x in (a, b)}}
 
 
+@pytest.mark.parametrize("links, rounds", [([(2, 1), (3, 1), (5, 4)], 0), ([], 0), ([(1, 2), (2, 3)], 1)])
+def test_stars_need_no_round(spark, monkeypatch, links, rounds):
+    written = []
+    monkeypatch.setattr(components, "staged_at", lambda df, label: written.append(label) or staged_at(df, label))
+    found = {(r.node, r.component) for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    roots = union(6, links)
+    assert found == {(i, roots[i]) for pair in links for i in pair}
+    assert len(written) == 1 + rounds
+
+
 def test_groups_of_shared_keys(spark):
     rows = [(1, "a", "x"), (2, "a", None), (3, "b", "x"), (4, "c", None), (5, None, None), (6, "d", "y"), (7, "e", "y")]
     frame = spark.createDataFrame(rows, "id long, k string, m string")
