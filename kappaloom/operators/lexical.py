@@ -21,7 +21,7 @@ from .order import hash_numbered, indexed
 
 #: What counts as a term: letters and digits, the accented ones of western languages included.
 TERM = "[a-z0-9à-öø-ÿ]+"
-_TERM = re.compile(TERM)
+TERM_PATTERN = re.compile(TERM)
 
 
 def term_counts(df: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -32,7 +32,7 @@ def term_counts(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def word_grams(text: str, most: int = 2) -> Iterator[str]:
     """The runs of 1 to `most` terms of a lower-cased text, joined by a space, w before them."""
-    words = _TERM.findall(text)
+    words = TERM_PATTERN.findall(text)
     for n in range(1, most + 1):
         yield from ("w " + " ".join(run) for run in zip(*(words[i:] for i in range(n)), strict=False))
 

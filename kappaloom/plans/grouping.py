@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, lexical
+from ..operators import graph, lexical, linear
 from ..sources.shared import staged
 from .agreement import rounded
 from .bindings import PASSAGES_SQL, containing, passages, table
@@ -226,6 +226,13 @@ def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "text", "quality")
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) of all documents, and (doc_id, quality, size) of the labelled ones; texts stay where they are."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    return docs.select("doc_id", "text"), sizes.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+
+
 #: Seeds of the repeats of outer folds.
 REPEATS = ("2026", "2027", "2028")
 
@@ -275,12 +282,9 @@ def training_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("refitted_terms")
 def refitted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms that speak most for either class, of the model of all labelled documents."""
-    rows = _rated(spark, sf_dir)
-    texts = rows.select("doc_id", "text")
-    places = lexical.vocabulary(texts, "doc_id", F.col("text"))
-    vectors = lexical.vectors(texts, "doc_id", F.col("text"), places)
-    _, terms = lexical.refitted(staged(vectors.join(rows.select("doc_id", "quality"), "doc_id"), "rated-vectors"), places, "quality", 60)
-    return rounded(terms, "coefficient", places=4)
+    docs, rows = _sized(spark, sf_dir)
+    terms = linear.refitted(docs, rows, "quality", "doc_id", F.col("text"))[0]
+    return rounded(linear.best_terms(terms, 60), "coefficient", places=4)
 
 
 @registered("unseen_predictions")
