@@ -290,9 +290,7 @@ def refitted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("unseen_predictions")
 def unseen_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability that each unlabelled document is good, by the model of all labelled ones and their terms."""
-    rows, docs = _rated(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
-    places = lexical.vocabulary(rows.select("doc_id", "text"), "doc_id", F.col("text"))
-    known = staged(lexical.vectors(rows.select("doc_id", "text"), "doc_id", F.col("text"), places).join(rows.select("doc_id", "quality"), "doc_id"), "rated-vectors")
-    model, _ = lexical.refitted(known, places, "quality", 1)
-    others = docs.join(rows.select("doc_id"), "doc_id", "left_anti")
-    return rounded(lexical.predicted(model, lexical.vectors(others, "doc_id", F.col("text"), places)), "probability", places=4)
+    docs, rows = _sized(spark, sf_dir)
+    terms, intercept, parts, _ = linear.refitted(docs, rows, "quality", "doc_id", F.col("text"))
+    others = docs.select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").toArrow().column(0).combine_chunks()
+    return rounded(linear.predicted(docs, "doc_id", F.col("text"), terms, intercept, parts, others), "probability", places=4)
